@@ -132,7 +132,12 @@ def segment_blocks(headings: DataFrame, lasts: DataFrame, piece: int = PIECE) ->
     encloses = (F.col("at") < F.col("level")) & (F.col("open")["level"] == F.col("at"))
     own = F.col("at") == F.col("level")
     parents = F.sort_array(
-        F.collect_list(F.when(encloses, F.struct(F.col("open")["pos"], F.col("open")["name"])))
+        F.collect_list(
+            F.when(
+                encloses,
+                F.struct(F.col("open")["pos"].alias("pos"), F.col("open")["name"].alias("name")),
+            )
+        )
     )
     return (
         placed.groupBy("doc", "pos", "level", "name")
@@ -145,7 +150,7 @@ def segment_blocks(headings: DataFrame, lasts: DataFrame, piece: int = PIECE) ->
             "name",
             F.coalesce(F.col("next") - 1, F.col("last")).alias("end"),
             F.array_join(
-                F.concat(F.transform("parents", lambda p: p["col2"]), F.array("name")), "."
+                F.concat(F.transform("parents", lambda p: p["name"]), F.array("name")), "."
             ).alias("symbol"),
         )
     )

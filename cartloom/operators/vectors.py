@@ -171,9 +171,9 @@ def _search_cells(
         )
         return pa.Table.from_batches([best])
 
-    return (
-        queries.groupBy(*cell).cogroup(vectors.groupBy(*cell)).applyInArrow(search, schema)
-    )
+    # Fresh column ids on one side: both may come from the same table.
+    queries = queries.select(*[F.col(name).alias(name) for name in queries.columns])
+    return queries.groupBy(*cell).cogroup(vectors.groupBy(*cell)).applyInArrow(search, schema)
 
 
 def vector_search_lsh(
