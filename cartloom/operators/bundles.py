@@ -21,7 +21,7 @@ def choose_anchor(
     weights: AnchorWeights = AnchorWeights(),
     pool: int = fixed.ANCHOR_POOL,
 ) -> DataFrame:
-    """The anchor product of every query: ``(query_id, anchor_id, source)``.
+    """The anchor product of every query: ``(query_id, user_query, anchor_id, source, score)``.
 
     The ``pool`` best sellers whose name contains the query are scored and the best one
     is taken; a query without any takes its first retrieved hit, from ``hits`` with
@@ -43,11 +43,12 @@ def choose_anchor(
     )
     first = hits.where(F.col("rank") == 1).select("query_id", F.col("product_id").alias("by_hit"))
     return (
-        queries.select("query_id")
+        queries.select("query_id", "user_query")
         .join(best, "query_id", "left")
         .join(first, "query_id", "left")
         .select(
             "query_id",
+            "user_query",
             F.coalesce("by_name", "by_hit").alias("anchor_id"),
             F.when(F.col("by_name").isNotNull(), "name")
             .when(F.col("by_hit").isNotNull(), "hit")
@@ -81,10 +82,16 @@ def score_candidates(
     )
 
 
-def _ranked_sets(scored: DataFrame, n: int, family: Column) -> DataFrame:
-    """The ``n`` most relevant candidates per anchor in one array, best first."""
+def candidate_sets(
+    scored: DataFrame, n: int = fixed.PAIR_POOL, family: Column | None = None
+) -> DataFrame:
+    """The ``n`` most relevant candidates per anchor as one array, ``(anchor_id, exempt, items)``.
+
+    From here on an anchor is one row: its at most ``n`` candidates, their pairs and the
+    selected bundles are arrays worked out inside the row, without joins or shuffles.
+    """
+    family = family_key(F.col("product_name")) if family is None else family
     order = [F.desc("relevance"), F.asc("rank")]
-    best = top_k(scored, ["anchor_id", "exempt"], order, n, "rk")
     item = F.struct(
         "rk",
         "product_id",
@@ -95,128 +102,113 @@ def _ranked_sets(scored: DataFrame, n: int, family: Column) -> DataFrame:
         "relevance",
         family.alias("family"),
     )
-    return best.groupBy("anchor_id", "exempt").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    return (
+        top_k(scored, ["anchor_id", "exempt"], order, n, "rk")
+        .groupBy("anchor_id", "exempt")
+        .agg(F.sort_array(F.collect_list(item)).alias("items"))
+    )
 
 
-def score_pairs(
-    scored: DataFrame,
-    n: int = fixed.PAIR_POOL,
-    weights: AddonWeights = AddonWeights(),
-    family: Column | None = None,
-) -> DataFrame:
-    """Every pair of the ``n`` most relevant candidates of an anchor that differ in family.
+def score_pairs(sets: DataFrame, weights: AddonWeights = AddonWeights()) -> DataFrame:
+    """Adds ``pairs``: all pairs of an anchor's items that differ in family, best first.
 
-    An anchor has at most ``n`` candidates here, so its pairs come from one array of
-    ``n`` items and need no self-join. Columns ``a`` and ``b`` hold the two items,
-    ``score`` the sum of their relevances plus the synergy of the weaker count.
+    A pair holds ``cost``, the negated score, and the items ``a`` and ``b``. The score is
+    the sum of both relevances plus the synergy of the weaker count; equal scores keep
+    the order of the items.
     """
-    family = family_key(F.col("product_name")) if family is None else family
-    a, b = F.col("a"), F.col("b")
-    return (
-        _ranked_sets(scored, n, family)
-        .withColumn("a", F.explode("items"))
-        .withColumn("b", F.explode("items"))
-        .where((a["rk"] < b["rk"]) & ~a["family"].eqNullSafe(b["family"]))
-        .select("anchor_id", "exempt", "a", "b", _pair_score(a, b, weights).alias("score"))
-    )
+    items = F.col("items")
+
+    def pair(a: Column, b: Column) -> Column:
+        weaker = F.least(a["co_purchase_count"], b["co_purchase_count"])
+        score = a["relevance"] + b["relevance"] + F.lit(weights.synergy) * weaker
+        return F.struct(
+            (-score).alias("cost"),
+            a["rk"].alias("rk_a"),
+            b["rk"].alias("rk_b"),
+            a.alias("a"),
+            b.alias("b"),
+            weaker.alias("min_count"),
+        )
 
+    def partners(a: Column, at: Column) -> Column:
+        later = F.filter(
+            F.slice(items, at + 2, F.size(items)), lambda b: ~b["family"].eqNullSafe(a["family"])
+        )
+        return F.transform(later, lambda b: pair(a, b))
 
-def _pair_score(a: Column, b: Column, weights: AddonWeights) -> Column:
-    weaker = F.least(a["co_purchase_count"], b["co_purchase_count"])
-    return a["relevance"] + b["relevance"] + F.lit(weights.synergy) * weaker
+    return sets.withColumn("pairs", F.sort_array(F.flatten(F.transform(items, partners))))
 
 
-def select_disjoint(pairs: DataFrame, m: int = fixed.BUNDLES_PER_ANCHOR) -> DataFrame:
-    """The best pairs per anchor that share no product, at most ``m``, ranked from 1.
+def select_disjoint(paired: DataFrame, m: int = fixed.BUNDLES_PER_ANCHOR) -> DataFrame:
+    """Adds ``selected``: the best pairs that share no product, at most ``m``.
 
-    Pairs are taken best first and skipped if a product was used before. An anchor has
-    the pairs of a bounded candidate pool, so they fit one array.
+    Pairs are taken best first and skipped if a product was used before.
     """
-    entry = F.struct(
-        (-F.col("score")).alias("cost"),
-        F.col("a")["rk"].alias("rk_a"),
-        F.col("b")["rk"].alias("rk_b"),
-        "a",
-        "b",
-    )
-    ordered = pairs.groupBy("anchor_id", "exempt").agg(
-        F.sort_array(F.collect_list(entry)).alias("ordered")
-    )
-    kind = ordered.schema["ordered"].dataType.simpleString()
+    kind = paired.schema["pairs"].dataType.simpleString()
 
-    def clashes(taken: Column, pair: Column) -> Column:
+    def add(taken: Column, pair: Column) -> Column:
         ids = [pair["a"]["product_id"], pair["b"]["product_id"]]
-        return F.exists(
+        clash = F.exists(
             taken,
             lambda other: other["a"]["product_id"].isin(*ids) | other["b"]["product_id"].isin(*ids),
         )
+        full = F.size(taken) >= m
+        return F.when(full | clash, taken).otherwise(F.concat(taken, F.array(pair)))
 
-    taken = F.aggregate(
-        "ordered",
-        F.array().cast(kind),
-        lambda held, pair: F.when((F.size(held) >= m) | clashes(held, pair), held).otherwise(
-            F.concat(held, F.array(pair))
-        ),
-    )
-    return ordered.select(
-        "anchor_id", "exempt", F.posexplode(taken).alias("position", "pair")
-    ).select(
-        "anchor_id",
-        "exempt",
-        (F.col("position") + 1).alias("rank"),
-        F.col("pair")["a"].alias("a"),
-        F.col("pair")["b"].alias("b"),
-        (-F.col("pair")["cost"]).alias("score"),
+    return paired.withColumn("selected", F.aggregate("pairs", F.array().cast(kind), add))
+
+
+def anchor_record() -> Column:
+    """The anchor part of a bundle, from card columns."""
+    return F.struct(
+        "product_id",
+        "product_name",
+        "aisle_id",
+        "department_id",
+        "reorder_rate",
+        "total_units",
+        "total_orders",
     )
 
 
 def decorate(
     selected: DataFrame,
-    cards: DataFrame,
     cuts: Cuts = Cuts(),
     theme_rules=fixed.THEME_RULES,
     placement_rules=fixed.PLACEMENT_RULES,
 ) -> DataFrame:
-    """Selected pairs as full bundle records next to their raw ``score``: ``(…, score, bundle)``."""
+    """Adds ``bundles``: the selected pairs as full records, for the row's ``anchor`` record."""
     anchor = F.col("anchor")
-    a, b = F.col("a"), F.col("b")
-    cards = cards.select(
-        F.col("product_id").alias("anchor_id"),
-        F.struct(
-            "product_id",
-            "product_name",
-            "aisle_id",
-            "department_id",
-            "reorder_rate",
-            "total_units",
-            "total_orders",
-        ).alias("anchor"),
-    )
+    rate, units = anchor["reorder_rate"], anchor["total_units"]
 
     def add_on(item: Column) -> Column:
         names = ("product_id", "product_name", "co_purchase_count", "reorder_rate", "total_units")
         return F.struct(*[item[name].alias(name) for name in names])
 
-    weaker = F.least(a["co_purchase_count"], b["co_purchase_count"])
-    rate, units = anchor["reorder_rate"], anchor["total_units"]
-    themed = selected.join(cards, "anchor_id").withColumn(
-        "theme",
-        rules.theme(
-            anchor["product_name"], F.array(a["product_name"], b["product_name"]), theme_rules
-        ),
-    )
-    bundle = F.struct(
-        "rank",
-        F.round("score", 1).alias("bundle_score"),
-        "theme",
-        rules.offer(rate, units, weaker, cuts).alias("offer"),
-        rules.confidence(weaker, cuts).alias("confidence"),
-        rules.expected_impact(rate, units, weaker, cuts).alias("expected_impact"),
-        rules.placement(F.col("theme"), placement_rules).alias("placement"),
-        "anchor",
-        F.array(add_on(a), add_on(b)).alias("add_ons"),
-    )
-    return themed.select("anchor_id", "exempt", "rank", "score", bundle.alias("bundle"))
+    def themed(pair: Column, at: Column) -> Column:
+        names = F.array(pair["a"]["product_name"], pair["b"]["product_name"])
+        return F.struct(
+            pair.alias("pair"),
+            at.alias("at"),
+            rules.theme(anchor["product_name"], names, theme_rules).alias("theme"),
+        )
+
+    def bundle(row: Column) -> Column:
+        pair = row["pair"]
+        weaker = pair["min_count"]
+        return F.struct(
+            (row["at"] + 1).alias("rank"),
+            F.round(-pair["cost"], 1).alias("bundle_score"),
+            row["theme"].alias("theme"),
+            rules.offer(rate, units, weaker, cuts).alias("offer"),
+            rules.confidence(weaker, cuts).alias("confidence"),
+            rules.expected_impact(rate, units, weaker, cuts).alias("expected_impact"),
+            rules.placement(row["theme"], placement_rules).alias("placement"),
+            anchor.alias("anchor"),
+            F.array(add_on(pair["a"]), add_on(pair["b"])).alias("add_ons"),
+        )
+
+    return selected.withColumn("bundles", F.transform(F.transform("selected", themed), bundle))
 
 
 def render_bundles(bundles: Column, card: Column) -> Column:

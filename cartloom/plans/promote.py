@@ -9,6 +9,8 @@ from cartloom.functions import fixed_values as fixed
 from cartloom.functions.rules import Cuts
 from cartloom.functions.scores import AddonWeights, AnchorWeights, penalty_exempt
 from cartloom.operators.bundles import (
+    anchor_record,
+    candidate_sets,
     choose_anchor,
     decorate,
     render_bundles,
@@ -17,6 +19,7 @@ from cartloom.operators.bundles import (
     select_disjoint,
 )
 from cartloom.operators.lookup import product_card, promo_candidates
+from cartloom.session import materialize
 
 
 def promote(
@@ -37,12 +40,12 @@ def promote(
     ``status`` is ``ok``, ``no_anchor``, ``unknown_product``, ``no_candidates`` or
     ``no_bundles``; only ``ok`` rows have bundles. Bundles depend on the anchor and on
     whether the query lifts the add-on penalty, so they are worked out once for each such
-    pair, however many queries share it.
+    pair, however many queries share it. The chosen anchors are written to the shared folder
+    first: everything after them starts from that table.
     """
     chosen = choose_anchor(queries, products, velocity, hits, anchor_weights)
-    asked = queries.select("query_id", "user_query").join(
-        chosen.select("query_id", "anchor_id"), "query_id"
-    ).withColumn("exempt", F.coalesce(penalty_exempt(F.col("user_query"), addon_weights), F.lit(False)))
+    exempt = F.coalesce(penalty_exempt(F.col("user_query"), addon_weights), F.lit(False))
+    asked = materialize(chosen.select("query_id", "user_query", "anchor_id", exempt.alias("exempt")), "asked")
     anchors = asked.where(F.col("anchor_id").isNotNull()).select("anchor_id", "exempt").distinct()
     planned = plan_anchors(
         anchors, products, velocity, affinity, cuts, addon_weights, family, theme_rules
@@ -71,57 +74,45 @@ def plan_anchors(
 ) -> DataFrame:
     """Bundles, status and text per ``(anchor_id, exempt)``."""
     ids = anchors.select("anchor_id").distinct()
-    cards = product_card(ids.select(F.col("anchor_id").alias("product_id")), products, velocity)
-    by_anchor = cards.withColumnRenamed("product_id", "anchor_id")
-    known = by_anchor.where(F.col("total_units").isNotNull())
-    candidates = promo_candidates(ids, affinity, products, velocity)
+    cards = (
+        product_card(ids.select(F.col("anchor_id").alias("product_id")), products, velocity)
+        .withColumn("anchor", anchor_record())
+        .withColumnRenamed("product_id", "anchor_id")
+        .select("anchor_id", "anchor", F.col("text").alias("card"))
+    )
+    asked = anchors.join(cards, "anchor_id")
     scored = score_candidates(
-        candidates,
-        anchors.join(
-            known.select("anchor_id", F.col("department_id").alias("anchor_department_id")),
-            "anchor_id",
+        promo_candidates(ids, affinity, products, velocity),
+        asked.select(
+            "anchor_id", "exempt", F.col("anchor.department_id").alias("anchor_department_id")
         ),
         weights,
     )
-    selected = select_disjoint(score_pairs(scored, weights=weights, family=family))
-    bundles = (
-        decorate(selected, cards, cuts, theme_rules)
-        .groupBy("anchor_id", "exempt")
-        .agg(F.sort_array(F.collect_list(F.struct("rank", "bundle"))).alias("ranked"))
-        .select(
-            "anchor_id",
-            "exempt",
-            F.transform("ranked", lambda item: item["bundle"]).alias("bundles"),
-        )
-    )
-    offered = candidates.select("anchor_id", F.lit(True).alias("offered")).distinct()
+    sets = candidate_sets(scored, family=family)
+    planned = asked.join(sets, ["anchor_id", "exempt"], "left")
+    bundled = decorate(select_disjoint(score_pairs(planned, weights)), cuts, theme_rules)
     status = (
-        F.when(F.col("total_units").isNull(), "unknown_product")
-        .when(F.col("offered").isNull(), "no_candidates")
-        .when(F.col("bundles").isNull(), "no_bundles")
+        F.when(F.col("anchor.total_units").isNull(), "unknown_product")
+        .when(F.col("items").isNull(), "no_candidates")
+        .when(F.size("bundles") == 0, "no_bundles")
         .otherwise("ok")
     )
     named = F.concat(
-        F.lit("Anchor: "), F.coalesce("product_name", F.lit("(unknown)")), F.lit(". ")
+        F.lit("Anchor: "), F.coalesce("anchor.product_name", F.lit("(unknown)")), F.lit(". ")
     )
     text = (
-        F.when(F.col("status") == "ok", render_bundles(F.col("bundles"), F.col("text")))
+        F.when(F.col("status") == "ok", render_bundles(F.col("bundles"), F.col("card")))
         .when(F.col("status") == "no_bundles", F.concat(named, F.lit(fixed.TEXT_NO_BUNDLES)))
         .otherwise(F.concat(named, F.lit(fixed.TEXT_NO_CANDIDATES)))
     )
-    return (
-        anchors.join(by_anchor, "anchor_id")
-        .join(offered, "anchor_id", "left")
-        .join(bundles, ["anchor_id", "exempt"], "left")
-        .withColumn("status", status)
-        .select(
-            "anchor_id",
-            "exempt",
-            F.col("product_name").alias("anchor_name"),
-            "status",
-            F.col("bundles").cast(f"array<{schemas.BUNDLE_STRUCT.simpleString()}>").alias("bundles"),
-            text.alias("result_text"),
-        )
+    kind = f"array<{schemas.BUNDLE_STRUCT.simpleString()}>"
+    return bundled.withColumn("status", status).select(
+        "anchor_id",
+        "exempt",
+        F.col("anchor.product_name").alias("anchor_name"),
+        "status",
+        F.when(F.col("status") == "ok", F.col("bundles").cast(kind)).alias("bundles"),
+        text.alias("result_text"),
     )
 
 

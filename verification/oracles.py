@@ -511,7 +511,7 @@ SELECT *, {placement("theme")} AS placement FROM (
   FROM selected s JOIN demand d ON d.product_id = s.anchor_id)"""
 oracle(
     "b6_decorate",
-    """SELECT anchor_id, rank, round(score, 6) AS score, theme, offer, confidence, expected_impact,
+    """SELECT anchor_id, rank, round(score, 1) AS bundle_score, theme, offer, confidence, expected_impact,
               placement, anchor_name, name_1, name_2 FROM decorated""",
     "name",
     anchors=ALL_ANCHORS,

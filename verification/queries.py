@@ -389,7 +389,8 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return bundles.score_pairs(_scored(spark, sf), weights=WEIGHTS, family=noun())
+    sets = bundles.candidate_sets(_scored(spark, sf), family=noun())
+    return bundles.score_pairs(sets, WEIGHTS)
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -418,7 +419,7 @@ def b2(spark, sf):
     chosen = bundles.choose_anchor(
         roles.queries(spark, sf), house.products, house.velocity, _hits(spark, sf)
     )
-    return rounded(chosen, "score")
+    return rounded(chosen.drop("user_query"), "score")
 
 
 @query("b3_addon_score")
@@ -430,46 +431,55 @@ def b3(spark, sf):
 
 @query("b4_pairs")
 def b4(spark, sf):
-    return rounded(
-        _pairs(spark, sf).select(
+    return (
+        _pairs(spark, sf)
+        .select("anchor_id", F.explode("pairs").alias("pair"))
+        .select(
             "anchor_id",
-            F.col("a")["product_id"].alias("product_id_1"),
-            F.col("b")["product_id"].alias("product_id_2"),
-            "score",
-        ),
-        "score",
+            F.col("pair.a.product_id").alias("product_id_1"),
+            F.col("pair.b.product_id").alias("product_id_2"),
+            F.round(-F.col("pair.cost"), 6).alias("score"),
+        )
     )
 
 
 @query("b5_disjoint")
 def b5(spark, sf):
-    return rounded(
-        bundles.select_disjoint(_pairs(spark, sf)).select(
+    return (
+        bundles.select_disjoint(_pairs(spark, sf))
+        .select("anchor_id", F.posexplode("selected").alias("at", "pair"))
+        .select(
             "anchor_id",
-            "rank",
-            F.col("a")["product_id"].alias("product_id_1"),
-            F.col("b")["product_id"].alias("product_id_2"),
-            "score",
-        ),
-        "score",
+            (F.col("at") + 1).alias("rank"),
+            F.col("pair.a.product_id").alias("product_id_1"),
+            F.col("pair.b.product_id").alias("product_id_2"),
+            F.round(-F.col("pair.cost"), 6).alias("score"),
+        )
     )
 
 
 @query("b6_decorate")
 def b6(spark, sf):
     house = roles.warehouse(spark, sf)
-    cards = lookup.product_card(house.products, house.products, house.velocity)
-    decorated = bundles.decorate(bundles.select_disjoint(_pairs(spark, sf)), cards, CUTS, THEMES)
+    cards = lookup.product_card(house.products, house.products, house.velocity).select(
+        F.col("product_id").alias("anchor_id"), bundles.anchor_record().alias("anchor")
+    )
+    selected = bundles.select_disjoint(_pairs(spark, sf)).join(cards, "anchor_id")
     bundle = F.col("bundle")
-    return decorated.select(
-        "anchor_id",
-        "rank",
-        F.round("score", 6).alias("score"),
-        *[bundle[name].alias(name) for name in ("theme", "offer", "confidence", "expected_impact")],
-        F.array_join(bundle["placement"], ", ").alias("placement"),
-        bundle["anchor"]["product_name"].alias("anchor_name"),
-        bundle["add_ons"][0]["product_name"].alias("name_1"),
-        bundle["add_ons"][1]["product_name"].alias("name_2"),
+    return (
+        bundles.decorate(selected, CUTS, THEMES)
+        .select("anchor_id", F.explode("bundles").alias("bundle"))
+        .select(
+            "anchor_id",
+            *[
+                bundle[name].alias(name)
+                for name in ("rank", "bundle_score", "theme", "offer", "confidence", "expected_impact")
+            ],
+            F.array_join(bundle["placement"], ", ").alias("placement"),
+            bundle["anchor"]["product_name"].alias("anchor_name"),
+            bundle["add_ons"][0]["product_name"].alias("name_1"),
+            bundle["add_ons"][1]["product_name"].alias("name_2"),
+        )
     )
 
 
