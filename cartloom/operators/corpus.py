@@ -252,19 +252,19 @@ def find_symbol(terms: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     asked = terms.select("term", F.lower(strip(F.col("term"))).alias("name")).where(
         F.col("name") != ""
     )
+    asked = asked.distinct()
     order = [F.asc(column) for column in FILE_ORDER]
     symbols = chunks.select(*FILE_ORDER, F.lower("symbol").alias("name"))
-    exact = asked.distinct().join(symbols, "name")
-    missing = asked.join(symbols.select("name"), "name", "left_anti")
     names = symbols.select("name").distinct()
+    exact = asked.join(symbols, "name")
+    missing = asked.join(names, "name", "left_anti")
     partial = (
         term_matches(missing.select(F.col("name").alias("term")), names, ["name"], "name")
         .select(F.col("term").alias("wanted"), "name")
         .join(symbols, "name")
     )
     tail = (
-        missing.distinct()
-        .withColumnRenamed("name", "wanted")
+        missing.withColumnRenamed("name", "wanted")
         .join(top_k(partial, ["wanted"], order, k).drop("rank"), "wanted")
     )
     tiers = (

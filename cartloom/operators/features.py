@@ -79,8 +79,9 @@ def basket_affinity(
             items.groupBy("product_id")
             .agg(F.count(F.lit(1)).alias("orders"))
             .where(F.col("orders") >= min_count)
+            .select("product_id")
         )
-        items = items.join(frequent, "product_id", "left_semi")
+        items = items.join(frequent, "product_id")
 
     large = (
         items.groupBy("order_id")

@@ -25,8 +25,12 @@ def with_demand(products: DataFrame, velocity: DataFrame) -> DataFrame:
 
 
 def lookup(keys: DataFrame, df: DataFrame, on: str) -> DataFrame:
-    """Rows of ``df`` whose ``on`` value is among the keys; repeated keys do not repeat rows."""
-    return df.join(keys.select(on), on, "left_semi")
+    """Rows of ``df`` whose ``on`` value is among the keys; repeated keys do not repeat rows.
+
+    Keys are made distinct before the shuffle, so one that is repeated very often is not
+    sent to a single task over and over.
+    """
+    return df.join(keys.select(on).distinct(), on, "left_semi")
 
 
 def symmetric(affinity: DataFrame) -> DataFrame:
@@ -65,7 +69,7 @@ def find_by_exact_name(
     rows per query.
     """
     names = names.select("query_id", "product_name").distinct()
-    asked = products.join(names.select("product_name"), "product_name", "left_semi")
+    asked = lookup(names, products, "product_name")
     best = top_k(
         with_demand(asked, velocity),
         ["product_name"],

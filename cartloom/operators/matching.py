@@ -9,10 +9,12 @@ pair that shares a key is then tested in full. Both ways give the same pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cartloom.session import materialize
+
 LITERAL_TERMS = 64
 LITERAL_CHARS = 65536
 GRAM = r"(?s)(?=(.{3}))"
@@ -53,16 +55,22 @@ def term_matches(
     """
     match = is_like if wildcards else is_inside
     pattern = like_pattern(F.col("term")) if wildcards else F.col("term")
-    terms = terms.select("term").where(F.col("term").isNotNull()).distinct()
-    terms = terms.withColumn("pattern", pattern)
-
-    sized = terms.limit(literal_terms + 1).agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("chars")
+    terms = (
+        terms.select("term")
+        .where(F.col("term").isNotNull())
+        .distinct()
+        .select("term", pattern.alias("pattern"), key_grams(F.col("term"), wildcards).alias("grams"))
     )
-    size = sized.first()
+    # Written once: the terms are counted here and used below.
+    terms = materialize(terms, "terms")
+    size = terms.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("chars"),
+        F.collect_set(F.length(F.col("grams")[0])).alias("kinds"),
+    ).first()
     if size.n <= literal_terms and size.chars <= LITERAL_CHARS:
         return _by_literals(terms, texts, keys, text, match)
-    return _by_grams(terms, texts, keys, text, match, wildcards)
+    return _by_grams(terms, texts, keys, text, match, size.kinds)
 
 
 def _by_literals(
@@ -80,16 +88,15 @@ def _by_literals(
     return texts.select(F.explode(found).alias("term"), *keys)
 
 
-def grams(text: Column) -> Column:
-    """Distinct grams of a text: its three-character runs, its characters, and the empty gram."""
+def grams(text: Column, kinds: Collection[int] = (3, 1, 0)) -> Column:
+    """Distinct grams of a text: three-character runs, characters and the empty gram, by length."""
     lowered = F.lower(text)
-    return F.array_distinct(
-        F.concat(
-            F.regexp_extract_all(lowered, F.lit(GRAM), F.lit(1)),
-            F.split(lowered, ""),
-            F.array(F.lit("")),
-        )
-    )
+    by_kind = {
+        3: F.regexp_extract_all(lowered, F.lit(GRAM), F.lit(1)),
+        1: F.filter(F.split(lowered, ""), lambda char: char != ""),
+        0: F.array(F.lit("")),
+    }
+    return F.array_distinct(F.concat(*[by_kind[kind] for kind in sorted(kinds)]))
 
 
 def key_grams(term: Column, wildcards: bool) -> Column:
@@ -113,10 +120,11 @@ def _by_grams(
     keys: Sequence[str],
     text: str,
     match: Callable[[Column, Column], Column],
-    wildcards: bool,
+    kinds: Collection[int],
 ) -> DataFrame:
-    spread = texts.select(*keys, F.explode(grams(F.col(text))).alias("gram"))
-    wanted = terms.withColumn("gram", F.explode(key_grams(F.col("term"), wildcards)))
+    """``kinds`` are the lengths of the grams that the terms use; no others are formed."""
+    spread = texts.select(*keys, F.explode(grams(F.col(text), kinds)).alias("gram"))
+    wanted = terms.select("term", "pattern", F.explode("grams").alias("gram"))
     holders = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     keyed = (
         wanted.join(holders, "gram")

@@ -13,6 +13,7 @@ from cartloom.operators.lookup import (
     product_card,
 )
 from cartloom.operators.matching import term_matches
+from cartloom.session import materialize
 
 
 def default_aliases(spark: SparkSession) -> DataFrame:
@@ -74,11 +75,13 @@ def recommend(
     ``source`` is ``co_purchase`` for products bought together with the chosen one,
     ``popular`` for popular ones of its department if there are none, ``no_pairs`` for
     neither, ``no_match`` if no product was found. Every distinct product is worked out
-    once, however many queries choose it.
+    once, however many queries choose it; the choices are written to the shared folder
+    first, and everything after them starts from that table.
     """
     chosen = choose_product(queries, hits, aliases, products, velocity).select(
         "query_id", F.col("product_id").alias("chosen_id")
     )
+    chosen = materialize(chosen, "chosen")
     keys = chosen.where(F.col("chosen_id").isNotNull()).select("chosen_id").distinct()
     together = co_purchase(
         keys.select(F.col("chosen_id").alias("product_id")), affinity, products, k

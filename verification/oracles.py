@@ -731,6 +731,30 @@ SELECT doc, pos, level, name, "end", coalesce((
 FROM blocks b"""
 oracle("t3_segment_blocks", SEGMENTS)
 oracle("t3_segment_blocks_pieces", SEGMENTS)
+oracle(
+    "t3_chunk_blocks",
+    corpus_sql(
+        """SELECT path, symbol, 'passage' AS kind, CAST(nr AS INTEGER) AS start_line,
+                  CAST(last AS INTEGER) AS end_line,
+                  (SELECT string_agg(l.line, chr(10) ORDER BY l.nr) FROM doc_lines l
+                   WHERE l.path = n.path AND l.nr BETWEEN n.nr AND n.last) AS text
+           FROM named n
+           UNION ALL
+           SELECT path, file_name, 'file', 1, CAST(max(nr) AS INTEGER),
+                  string_agg(line, chr(10) ORDER BY nr)
+           FROM doc_lines WHERE nr <= 5 AND path NOT IN (SELECT path FROM heads)
+           GROUP BY path, file_name""",
+        heads=r"""SELECT path, nr, length(regexp_extract(line, '^([A-Za-z]+) ([A-Za-z]+) ', 1)) AS level,
+                         regexp_extract(line, '^([A-Za-z]+) ([A-Za-z]+) ', 2) AS name
+                  FROM doc_lines WHERE regexp_matches(line, '^([A-Za-z]+) ([A-Za-z]+) ')""",
+        spans="""SELECT h.*, coalesce((SELECT min(o.nr) - 1 FROM heads o
+                   WHERE o.path = h.path AND o.nr > h.nr AND o.level <= h.level),
+                   (SELECT max(nr) FROM doc_lines l WHERE l.path = h.path)) AS last FROM heads h""",
+        named="""SELECT s.*, coalesce((SELECT string_agg(p.name, '.' ORDER BY p.nr) FROM spans p
+                   WHERE p.path = s.path AND p.nr < s.nr AND s.nr <= p.last) || '.', '') || name AS symbol
+                 FROM spans s""",
+    ),
+)
 TERMS = """
 SELECT unnest(string_split(p_name, ' ')) AS term FROM part UNION SELECT lang FROM documents"""
 oracle(

@@ -734,9 +734,9 @@ def t3_pieces(spark, sf):
 
 @query("t3_chunk_blocks")
 def t3_chunks(spark, sf):
-    """Documents cut at lines that start with a short word, by the length of that word."""
+    """Documents cut at lines that start with two words, by the length of the first."""
     return corpus.chunk_blocks(
-        roles.corpus(spark, sf), r"^(\w{0,2})()(\w+) ", (("", "passage"),)
+        roles.corpus(spark, sf), r"^([A-Za-z]+)( )([A-Za-z]+) ", ((" ", "passage"),), STEP
     )
 
 
