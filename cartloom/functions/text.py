@@ -8,15 +8,28 @@ from pyspark.sql import Column, functions as F
 
 from cartloom.functions import fixed_values as fixed
 
-# Every line boundary that ends a line of text, CRLF counting as one.
-LINE_BREAK = r"(?:\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029])"
+# Characters that end a line besides the line feed; CRLF counts as one break.
+RARE_BREAKS = tuple(map(chr, (0x0D, 0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029)))
+LINE_BREAK = "(?:\r\n|[\n" + "".join(RARE_BREAKS) + "])"
 
 
 def split_lines(text: Column) -> Column:
-    """The lines of ``text``: none for empty text, none after a final line break."""
-    body = F.regexp_replace(text, LINE_BREAK + r"\z", "")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, LINE_BREAK, -1)
+    """The lines of ``text``: none for empty text, none after a final line break.
+
+    Text with line feeds only, the usual case, is split on that one character, which is
+    several times faster than the pattern of all breaks.
+    """
+    ends = F.endswith(text, F.lit("\n"))
+    rare = F.lit(False)
+    for char in RARE_BREAKS:
+        ends = ends | F.endswith(text, F.lit(char))
+        rare = rare | F.contains(text, F.lit(char))
+    tail = F.when(F.endswith(text, F.lit("\r\n")), 2).when(ends, 1).otherwise(0)
+    body = F.substring(text, 1, F.length(text) - tail)
+    return (
+        F.when(text == "", F.array().cast("array<string>"))
+        .when(rare, F.split(body, LINE_BREAK, -1))
+        .otherwise(F.split(body, "\n", -1))
     )
 
 

@@ -10,6 +10,7 @@ from cartloom.functions import fixed_values as fixed
 from cartloom.functions.text import file_stem, file_suffix, split_lines, strip
 from cartloom.operators.matching import term_matches
 from cartloom.operators.ranking import top_k
+from cartloom.session import materialize
 
 PIECE = 4096
 
@@ -19,12 +20,12 @@ def _with_lines(docs: DataFrame) -> DataFrame:
     return docs.select("path", split_lines(F.col("text")).alias("lines"))
 
 
-def _chunk(path: Column, start: Column, end: Column, symbol: Column) -> Column:
+def _chunk(path: Column, start: Column, end: Column, symbol: Column, kind: Column) -> Column:
     lines = F.slice(F.col("lines"), start, end - start + 1)
     return F.struct(
         path.alias("path"),
         symbol.alias("symbol"),
-        F.lit("file").alias("kind"),
+        kind.alias("kind"),
         start.cast("int").alias("start_line"),
         end.cast("int").alias("end_line"),
         F.array_join(lines, "\n").alias("text"),
@@ -48,6 +49,7 @@ def chunk_lines(docs: DataFrame, step: int = fixed.CHUNK_LINES) -> DataFrame:
             start,
             F.least(start + step - 1, total),
             F.concat(_file_name(path), F.lit(":"), start.cast("string")),
+            F.lit("file"),
         ),
     )
     return _with_lines(docs.where(F.length("text") > 0)).select(F.inline(chunks))
@@ -55,23 +57,33 @@ def chunk_lines(docs: DataFrame, step: int = fixed.CHUNK_LINES) -> DataFrame:
 
 def head_chunk(docs: DataFrame, head: int = fixed.HEAD_LINES) -> DataFrame:
     """One chunk per text with its first ``head`` lines, as kept for a file without headings."""
-    name = _file_name(F.col("path"))
-    chunk = _chunk(F.col("path"), F.lit(1), F.least(F.size("lines"), F.lit(head)), name)
-    return _with_lines(docs).select(chunk.alias("chunk")).select("chunk.*")
+    return _with_lines(docs).select(_head(head).alias("chunk")).select("chunk.*")
+
+
+def _head(head: int) -> Column:
+    path = F.col("path")
+    end = F.least(F.size("lines"), F.lit(head))
+    return _chunk(path, F.lit(1), end, _file_name(path), F.lit("file"))
 
 
 def heading_lines(docs: DataFrame, pattern: str = fixed.BLOCK_HEADING) -> DataFrame:
-    """Lines that open a block: ``(doc, pos, level, name, word)``.
+    """Lines that open a block: ``(doc, last, pos, level, name, word)``.
 
-    ``pattern`` has three groups: the indentation, the opening word and the name.
+    ``pattern`` has three groups: the indentation, the opening word and the name. ``last``
+    is the number of lines of the document.
     """
     line, java = F.col("line"), "(?U)" + pattern
     return (
         _with_lines(docs)
-        .select(F.col("path").alias("doc"), F.posexplode("lines").alias("at", "line"))
+        .select(
+            F.col("path").alias("doc"),
+            F.size("lines").alias("last"),
+            F.posexplode("lines").alias("at", "line"),
+        )
         .where(F.col("line").rlike(java))
         .select(
             "doc",
+            "last",
             (F.col("at") + 1).alias("pos"),
             F.length(F.regexp_extract(line, java, 1)).alias("level"),
             F.regexp_extract(line, java, 3).alias("name"),
@@ -170,36 +182,27 @@ def chunk_blocks(
 ) -> DataFrame:
     """Texts cut at their headings; a text without any gives its head chunk.
 
-    The blocks of a text meet it again as one array per text, so the text is carried
-    once and not once per block.
+    Headings are written to the shared folder first. The blocks of a text meet it again
+    as one array per text, so the text is carried once and not once per block.
     """
-    headings = heading_lines(docs, pattern)
-    lasts = _with_lines(docs).select(F.col("path").alias("doc"), F.size("lines").alias("last"))
+    headings = materialize(heading_lines(docs, pattern), "headings")
     kind = F.lit(None).cast("string")
     for word, label in kinds:
         kind = F.when(F.col("word") == word, F.lit(label)).otherwise(kind)
     blocks = (
-        segment_blocks(headings, lasts)
+        segment_blocks(headings, headings.select("doc", "last").distinct())
         .join(headings.select("doc", "pos", kind.alias("kind")), ["doc", "pos"])
         .groupBy(F.col("doc").alias("path"))
         .agg(F.sort_array(F.collect_list(F.struct("pos", "end", "symbol", "kind"))).alias("blocks"))
     )
+    path = F.col("path")
     cut = F.transform(
         "blocks",
-        lambda block: F.struct(
-            F.col("path").alias("path"),
-            block["symbol"].alias("symbol"),
-            block["kind"].alias("kind"),
-            block["pos"].cast("int").alias("start_line"),
-            block["end"].cast("int").alias("end_line"),
-            F.array_join(
-                F.slice(F.col("lines"), block["pos"], block["end"] - block["pos"] + 1), "\n"
-            ).alias("text"),
-        ),
+        lambda block: _chunk(path, block["pos"], block["end"], block["symbol"], block["kind"]),
     )
-    found = _with_lines(docs).join(blocks, "path").select(F.inline(cut))
-    plain = head_chunk(docs.join(headings.select(F.col("doc").alias("path")), "path", "left_anti"), head)
-    return found.unionByName(plain)
+    whole = F.array(_head(head))
+    found = _with_lines(docs).join(blocks, "path", "left")
+    return found.select(F.coalesce(cut, whole).alias("chunks")).select(F.inline("chunks"))
 
 
 def index_files(docs: DataFrame) -> DataFrame:

@@ -29,16 +29,6 @@ def like_pattern(term: Column) -> Column:
     return F.concat(F.lit("%"), known, F.lit("%"))
 
 
-def is_like(text: Column, pattern: Column) -> Column:
-    """Case-insensitive LIKE."""
-    return F.ilike(text, pattern)
-
-
-def is_inside(text: Column, pattern: Column) -> Column:
-    """Case-insensitive substring, every character standing for itself."""
-    return F.contains(F.lower(text), F.lower(pattern))
-
-
 def term_matches(
     terms: DataFrame,
     texts: DataFrame,
@@ -53,13 +43,13 @@ def term_matches(
     ignores case; with ``wildcards`` the characters ``%`` and ``_`` of a term match any
     text and any one character.
     """
-    match = is_like if wildcards else is_inside
+    match = F.like if wildcards else F.contains
     pattern = like_pattern(F.col("term")) if wildcards else F.col("term")
     terms = (
         terms.select("term")
         .where(F.col("term").isNotNull())
         .distinct()
-        .select("term", pattern.alias("pattern"), key_grams(F.col("term"), wildcards).alias("grams"))
+        .select("term", F.lower(pattern).alias("pattern"), key_grams(F.col("term"), wildcards).alias("grams"))
     )
     # Written once: the terms are counted here and used below.
     terms = materialize(terms, "terms")
@@ -80,12 +70,17 @@ def _by_literals(
     text: str,
     match: Callable[[Column, Column], Column],
 ) -> DataFrame:
-    """``terms`` has at most ``literal_terms`` rows here, checked by the caller."""
+    """``terms`` has at most ``literal_terms`` rows here, checked by the caller.
+
+    Texts are lower-cased in a step of their own, once and not once per term.
+    """
     hits = [
-        F.when(match(F.col(text), F.lit(row.pattern)), F.lit(row.term)) for row in terms.collect()
+        F.when(match(F.col("lowered"), F.lit(row.pattern)), F.lit(row.term))
+        for row in terms.collect()
     ]
     found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-    return texts.select(F.explode(found).alias("term"), *keys)
+    lowered = texts.select(*keys, F.lower(text).alias("lowered"))
+    return lowered.select(*keys, found.alias("terms")).select(F.explode("terms").alias("term"), *keys)
 
 
 def grams(text: Column, kinds: Collection[int] = (3, 1, 0)) -> Column:
@@ -134,4 +129,4 @@ def _by_grams(
     candidates = spread.join(keyed, "gram").select("term", "pattern", *keys)
     if text not in keys:
         candidates = candidates.join(texts.select(*keys, text), list(keys))
-    return candidates.where(match(F.col(text), F.col("pattern"))).select("term", *keys)
+    return candidates.where(match(F.lower(text), F.col("pattern"))).select("term", *keys)

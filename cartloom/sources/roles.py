@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartloom import schemas
 from cartloom.operators.features import basket_affinity, sku_velocity
-from cartloom.session import materialize
+from cartloom.session import materialize, spread
 from cartloom.sources.tables import read_table
 
 # Department ids of the part types.
@@ -189,7 +189,8 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as ``(path, text)``."""
-    return read_table(spark, folder, "documents").select(
+    documents = read_table(spark, folder, "documents").select("doc_id", "source", "text")
+    return spread(documents, "doc_id").select(
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"),
         "text",
     )
