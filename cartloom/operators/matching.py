@@ -2,8 +2,8 @@
 
 A handful of terms is inlined into the scan of the texts as literals: one pass, no
 join and no shuffle. More terms meet the texts on shared three-character grams. Every
-term is keyed by the one of its grams that the fewest texts hold, so a gram that a
-large share of the texts hold is used only by terms that have no rarer one, and each
+term is keyed by the one of its grams that the fewest texts seem to hold, so a gram that
+a large share of the texts hold is used only by terms that have no rarer one, and each
 pair that shares a key is then tested in full. Both ways give the same pairs.
 """
 
@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cartloom.session import materialize
 
-LITERAL_TERMS = 64
+LITERAL_TERMS = 32
 LITERAL_CHARS = 65536
+SEEN_SHARE = 0.05
 GRAM = r"(?s)(?=(.{3}))"
 
 
@@ -117,16 +118,24 @@ def _by_grams(
     match: Callable[[Column, Column], Column],
     kinds: Collection[int],
 ) -> DataFrame:
-    """``kinds`` are the lengths of the grams that the terms use; no others are formed."""
-    spread = texts.select(*keys, F.explode(grams(F.col(text), kinds)).alias("gram"))
-    wanted = terms.select("term", "pattern", F.explode("grams").alias("gram"))
-    holders = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
+    """``kinds`` are the lengths of the grams that the terms use; no others are formed.
+
+    How many texts hold a gram is estimated from a share of the texts: it only decides
+    which gram a term is looked up by, and any of them finds every text with the term.
+    The choice is written, so that a repeated task works with the same one.
+    """
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.select(*keys, F.explode(grams(F.col(text), kinds)).alias("gram"))
+
+    seen = spread(texts.sample(SEEN_SHARE, seed=1)).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
     keyed = (
-        wanted.join(holders, "gram")
+        terms.select("term", "pattern", F.explode("grams").alias("gram"))
+        .join(seen, "gram", "left")
         .groupBy("term", "pattern")
-        .agg(F.min(F.struct("texts", "gram"))["gram"].alias("gram"))
+        .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)), "gram"))["gram"].alias("gram"))
     )
-    candidates = spread.join(keyed, "gram").select("term", "pattern", *keys)
+    candidates = spread(texts).join(materialize(keyed, "keys"), "gram").select("term", "pattern", *keys)
     if text not in keys:
         candidates = candidates.join(texts.select(*keys, text), list(keys))
     return candidates.where(match(F.lower(text), F.col("pattern"))).select("term", *keys)
