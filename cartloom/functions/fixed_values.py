@@ -97,17 +97,12 @@ ALIASES = (("banana", "Bananas"), ("banana", "Organic Bananas"))
 # Corpus indexing and ranking.
 TEXT_EXTENSIONS = (".py", ".sql", ".md", ".yml", ".yaml", ".json")
 TEXT_SKIP_PREFIXES = ("site/", "venv/", ".venv/", "__pycache__/")
-TEXT_SKIP_NAMES = (".repo_index.json",)
 CHUNK_LINES = 200
 HEAD_LINES = 400
 BLOCK_HEADING = r"^(\s*)(def|class)\s+([A-Za-z_][A-Za-z0-9_]*)\s*[\(:]"
 BLOCK_KINDS = (("def", "function"), ("class", "class"))
 RANK_TEXT = 50
 RANK_SYMBOL = 80
-RANK_PREFIXES = (
-    (("agents/repo_bot/",), -500),
-    (("agents/promo_agent.py", "agents/tools.py", "agents/graph.py", "sql/", "rag/"), 600),
-)
 EDGE_STOP_LIST = (
     "print", "len", "min", "max", "sum", "sorted", "enumerate", "range",
     "list", "dict", "set", "tuple", "int", "float", "str", "bool",

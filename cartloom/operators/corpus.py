@@ -283,13 +283,13 @@ def rank_chunks(
     chunks: DataFrame,
     text_points: int = fixed.RANK_TEXT,
     symbol_points: int = fixed.RANK_SYMBOL,
-    prefix_rules: Sequence[tuple[Sequence[str], int]] = fixed.RANK_PREFIXES,
+    prefix_rules: Sequence[tuple[Sequence[str], int]] = (),
     k: int = 5,
 ) -> DataFrame:
     """The ``k`` best chunks per term with a positive score.
 
-    A chunk scores points for the term in its text and in its symbol, and points for its
-    path whatever the term. Points for the term are not negative, so of the chunks
+    A chunk scores points for the term in its text and in its symbol. ``prefix_rules`` add
+    points, or take some off, by the start of its path whatever the term. Points for the term are not negative, so of the chunks
     without the term only the ``k`` best by path can be in any result; they are found
     once and added to every term.
     """

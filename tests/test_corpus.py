@@ -96,8 +96,8 @@ def test_blocks_match_a_stack(spark, piece):
 @pytest.fixture(scope="module")
 def chunks(spark):
     rows = [
-        ("agents/tools.py", "Search", "function", 1, 3, "def search price"),
-        ("agents/repo_bot/x.py", "search_all", "function", 1, 3, "price"),
+        ("app/tools.py", "Search", "function", 1, 3, "def search price"),
+        ("app/bot/x.py", "search_all", "function", 1, 3, "price"),
         ("docs/a.md", "a.md:1", "file", 1, 9, "The PRICE list"),
         ("docs/b.md", "b.md:1", "file", 1, 9, "nothing"),
         ("sql/q.sql", "q.sql:1", "file", 1, 9, "nothing"),
@@ -117,7 +117,7 @@ def by_term(df, *columns):
 def test_grep_and_symbols(spark, chunks):
     terms = spark.createDataFrame([("Price",), ("SEARCH ",), ("search_",), (" ",), ("zz",)], "term string")
     assert by_term(corpus.grep(terms, chunks), "path")["Price"] == [
-        ("agents/repo_bot/x.py",), ("agents/tools.py",), ("docs/a.md",),
+        ("app/bot/x.py",), ("app/tools.py",), ("docs/a.md",),
     ]
     assert len(by_term(corpus.grep(terms, chunks, 2), "path")["Price"]) == 2
     assert by_term(corpus.find_symbol(terms, chunks), "match", "symbol") == {
@@ -128,11 +128,12 @@ def test_grep_and_symbols(spark, chunks):
 
 def test_ranking_offers_favoured_paths_to_every_term(spark, chunks):
     terms = spark.createDataFrame([("price",), ("zz",), ("search",)], "term string")
-    got = by_term(corpus.rank_chunks(terms, chunks), "path", "score")
-    favoured = [("agents/tools.py", 600), ("sql/q.sql", 600)]
+    rule = ((("app/bot/",), -500), (("app/tools.py", "sql/"), 600))
+    got = by_term(corpus.rank_chunks(terms, chunks, prefix_rules=rule), "path", "score")
+    favoured = [("app/tools.py", 600), ("sql/q.sql", 600)]
     assert got == {
-        "price": [("agents/tools.py", 650), ("sql/q.sql", 600), ("docs/a.md", 50)],
-        "search": [("agents/tools.py", 730), ("sql/q.sql", 600)],
+        "price": [("app/tools.py", 650), ("sql/q.sql", 600), ("docs/a.md", 50)],
+        "search": [("app/tools.py", 730), ("sql/q.sql", 600)],
         "zz": favoured,
     }
     with pytest.raises(ValueError):
@@ -140,7 +141,7 @@ def test_ranking_offers_favoured_paths_to_every_term(spark, chunks):
 
 
 def test_selection_counts_and_modules(spark, chunks):
-    got = corpus.select_chunks(chunks, ("agents/", "api/"), ".py", ("function", "class"))
+    got = corpus.select_chunks(chunks, ("app/", "api/"), ".py", ("function", "class"))
     assert sorted(r.module for r in corpus.module_names(got).collect()) == ["tools", "x"]
     row = corpus.counts(chunks, "path").first()
     assert (row.rows, row.distinct_path) == (5, 5)

@@ -139,6 +139,12 @@ def oracle(name: str, sql: str, grain: str | None = None, **extra: str) -> None:
     ORACLES[name] = sql
 
 
+def oracle_of_grains(name: str, sql: str, **extra: str) -> None:
+    """Register SQL for a query over all lines and for its form over one month."""
+    oracle(name, sql, "part", **extra)
+    oracle(name + "_recent", sql, "recent", **extra)
+
+
 R6 = "round(reorder_rate, 6) AS reorder_rate"
 VELOCITY_OUT = (
     f"SELECT product_id, product_name, department_id, total_units, total_orders, {R6} FROM velocity"
@@ -186,13 +192,12 @@ oracle(
     VELOCITY_OUT + " WHERE product_id IN (SELECT l_partkey FROM lineitem)",
     "part",
 )
-oracle(
+oracle_of_grains(
     "p3_exact_name",
     """SELECT query_id, rank, product_id, product_name, total_units FROM (
          SELECT query_id, product_id, product_name, total_units, row_number() OVER (
            PARTITION BY query_id ORDER BY total_units DESC, product_id) AS rank
          FROM queries JOIN demand ON product_name = user_query) WHERE rank <= 5""",
-    "recent",
 )
 
 
@@ -204,7 +209,7 @@ def search(condition: str, k: int = 15) -> str:
 
 
 LIKE = "product_name ILIKE '%' || asked.user_query || '%'"
-oracle("p4_search_by_name", search(LIKE), "recent", asked="SELECT * FROM queries")
+oracle_of_grains("p4_search_by_name", search(LIKE), asked="SELECT * FROM queries")
 oracle(
     "p4_search_wildcards",
     search(LIKE),
@@ -235,15 +240,14 @@ oracle(
     "part",
     popular=POPULAR,
 )
-oracle(
+oracle_of_grains(
     "r4_product_card",
     f"""SELECT {DEMAND_COLUMNS}, text FROM cards
         UNION ALL
         SELECT c_custkey + 1000000, NULL, NULL, NULL, NULL, NULL, NULL,
                'Product ID: ' || (c_custkey + 1000000) || ' (not found)' FROM customer""",
-    "recent",
 )
-oracle("d1_documents", "SELECT product_id, text FROM cards", "recent")
+oracle_of_grains("d1_documents", "SELECT product_id, text FROM cards")
 oracle("c1_card_text", "SELECT product_id, text FROM cards", "name")
 
 
@@ -605,7 +609,7 @@ LEFT JOIN (SELECT * FROM (SELECT query_id, d.product_id, row_number() OVER (
            JOIN demand d ON d.product_name = aliases.product_name) WHERE nth = 1) a
   ON a.query_id = q.query_id
 LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h ON h.query_id = q.query_id"""
-oracle("r1_choose_product", "SELECT * FROM choice", "recent", aliases=ALIASES, choice=PRODUCT_CHOICE)
+oracle_of_grains("r1_choose_product", "SELECT * FROM choice", aliases=ALIASES, choice=PRODUCT_CHOICE)
 FOUND = """
 SELECT product_id AS chosen_id, 'co_purchase' AS source, rank, other_id AS product_id, product_name,
        co_purchase_count, NULL::BIGINT AS total_units, NULL::DOUBLE AS reorder_rate FROM together
@@ -626,11 +630,10 @@ RECOMMENDATION = dict(
     found=FOUND,
     recommended=RECOMMENDED,
 )
-oracle(
+oracle_of_grains(
     "r5_recommend",
     f"""SELECT query_id, chosen_id, source, rank, product_id, product_name, co_purchase_count,
           total_units, {R6} FROM recommended""",
-    "recent",
     **RECOMMENDATION,
 )
 RECOMMENDED_TEXT = f"""
@@ -649,7 +652,7 @@ FROM (SELECT query_id, chosen_id, max(source) AS source, string_agg(
         END, chr(10) ORDER BY rank) AS body
       FROM recommended GROUP BY query_id, chosen_id) r
 LEFT JOIN cards c ON c.product_id = r.chosen_id"""
-oracle("r5_recommend_text", RECOMMENDED_TEXT, "recent", **RECOMMENDATION)
+oracle_of_grains("r5_recommend_text", RECOMMENDED_TEXT, **RECOMMENDATION)
 
 # Sources and sinks
 oracle(

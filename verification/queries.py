@@ -50,6 +50,17 @@ def query(name: str) -> Callable[[Query], Query]:
     return add
 
 
+def query_of_grains(name: str) -> Callable:
+    """Register a query of a grain over all lines as ``name``, over one month as ``name_recent``."""
+
+    def add(function):
+        QUERIES[name] = lambda spark, sf: function(spark, sf, "part")
+        QUERIES[name + "_recent"] = lambda spark, sf: function(spark, sf, "recent")
+        return function
+
+    return add
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({column: F.round(column, digits) for column in columns})
 
@@ -169,16 +180,16 @@ def p2(spark, sf):
     return rounded(lookup.lookup(baskets, house.velocity, "product_id"), "reorder_rate")
 
 
-@query("p3_exact_name")
-def p3(spark, sf):
-    house = roles.warehouse(spark, sf, "recent")
+@query_of_grains("p3_exact_name")
+def p3(spark, sf, grain):
+    house = roles.warehouse(spark, sf, grain)
     asked = roles.queries(spark, sf).select("query_id", F.col("user_query").alias("product_name"))
     return lookup.find_by_exact_name(asked, house.products, house.velocity)
 
 
-@query("p4_search_by_name")
-def p4(spark, sf):
-    house = roles.warehouse(spark, sf, "recent")
+@query_of_grains("p4_search_by_name")
+def p4(spark, sf, grain):
+    house = roles.warehouse(spark, sf, grain)
     found = lookup.search_by_name(roles.queries(spark, sf), house.products, house.velocity)
     return rounded(found, "reorder_rate")
 
@@ -218,19 +229,19 @@ def r3(spark, sf):
     return rounded(lookup.popular_alternatives(house.products, house.velocity), "reorder_rate")
 
 
-@query("r4_product_card")
-def r4(spark, sf):
+@query_of_grains("r4_product_card")
+def r4(spark, sf, grain):
     """Cards for every customer number: most are no product and give a stub."""
-    house = roles.warehouse(spark, sf, "recent")
+    house = roles.warehouse(spark, sf, grain)
     keys = house.products.select("product_id").unionAll(
         tables.read_table(spark, sf, "customer").select(F.col("c_custkey") + F.lit(1000000))
     )
     return rounded(lookup.product_card(keys, house.products, house.velocity), "reorder_rate")
 
 
-@query("d1_documents")
-def d1(spark, sf):
-    house = roles.warehouse(spark, sf, "recent")
+@query_of_grains("d1_documents")
+def d1(spark, sf, grain):
+    house = roles.warehouse(spark, sf, grain)
     return lookup.build_documents(house.products, house.velocity)
 
 
@@ -569,9 +580,9 @@ def _part_hits(spark: SparkSession, sf: str, house: roles.Warehouse) -> DataFram
     )
 
 
-@query("r1_choose_product")
-def r1(spark, sf):
-    house = roles.warehouse(spark, sf, "recent")
+@query_of_grains("r1_choose_product")
+def r1(spark, sf, grain):
+    house = roles.warehouse(spark, sf, grain)
     return recommendation.choose_product(
         roles.queries(spark, sf),
         _part_hits(spark, sf, house),
@@ -581,8 +592,10 @@ def r1(spark, sf):
     )
 
 
-def _recommended(spark: SparkSession, sf: str) -> tuple[DataFrame, roles.Warehouse]:
-    house = roles.warehouse(spark, sf, "recent")
+def _recommended(
+    spark: SparkSession, sf: str, grain: str
+) -> tuple[DataFrame, roles.Warehouse]:
+    house = roles.warehouse(spark, sf, grain)
     found = recommendation.recommend(
         roles.queries(spark, sf),
         _part_hits(spark, sf, house),
@@ -594,14 +607,14 @@ def _recommended(spark: SparkSession, sf: str) -> tuple[DataFrame, roles.Warehou
     return found, house
 
 
-@query("r5_recommend")
-def r5(spark, sf):
-    return rounded(_recommended(spark, sf)[0], "reorder_rate")
+@query_of_grains("r5_recommend")
+def r5(spark, sf, grain):
+    return rounded(_recommended(spark, sf, grain)[0], "reorder_rate")
 
 
-@query("r5_recommend_text")
-def r5_text(spark, sf):
-    found, house = _recommended(spark, sf)
+@query_of_grains("r5_recommend_text")
+def r5_text(spark, sf, grain):
+    found, house = _recommended(spark, sf, grain)
     return recommendation.render_recommendations(found, house.products, house.velocity)
 
 
