@@ -25,26 +25,27 @@ def choose_anchor(
 
     The ``pool`` best sellers whose name contains the query are scored and the best one
     is taken; a query without any takes its first retrieved hit, from ``hits`` with
-    ``(query_id, rank, product_id)``; without that either, the anchor is null.
+    ``(query_id, rank, product_id)``; without that either, the anchor is null. Each
+    distinct query text is searched and scored once.
     """
-    named = search_by_name(queries, products, velocity, pool).drop("rank")
-    scored = named.join(queries.select("query_id", "user_query"), "query_id").withColumn(
+    texts = queries.select(F.col("user_query").alias("query_id"), "user_query").dropna().distinct()
+    scored = search_by_name(texts, products, velocity, pool).withColumn(
         "score",
         anchor_score(
-            F.col("user_query"),
+            F.col("query_id"),
             F.col("product_name"),
             F.col("total_units"),
             F.col("reorder_rate"),
             weights,
         ),
     )
-    best = top_k(scored, ["query_id"], [F.desc("score"), *by_demand()], 1).select(
-        "query_id", F.col("product_id").alias("by_name"), "score"
-    )
+    best = top_k(
+        scored.drop("rank"), ["query_id"], [F.desc("score"), *by_demand()], 1
+    ).select(F.col("query_id").alias("user_query"), F.col("product_id").alias("by_name"), "score")
     first = hits.where(F.col("rank") == 1).select("query_id", F.col("product_id").alias("by_hit"))
     return (
         queries.select("query_id", "user_query")
-        .join(best, "query_id", "left")
+        .join(best, "user_query", "left")
         .join(first, "query_id", "left")
         .select(
             "query_id",
