@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import lines, mixing, quality, urls
+from cartloom.llm import lines, mixing, quality, simhash, urls
 from cartloom.llm.tables import table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -37,6 +37,11 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_copies(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "source")
     return mixing.with_copies(documents).select(
@@ -48,5 +53,6 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filters": op7_url_filters,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixing": op10_mixing,
 }
