@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import lines, mixing, quality, simhash, urls
+from cartloom.llm import language, lines, mixing, quality, simhash, urls
 from cartloom.llm.tables import table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -37,6 +37,17 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(pages, outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    learning = documents.where("doc_id IS NOT NULL").where(~language.held_out(F.col("doc_id")))
+    model = language.learn(learning.select("text", "lang"))
+    found = language.predict(documents.select("doc_id", "text"), model)
+    return found.select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"),
+        "language.score", "language.accepted",
+    )
+
+
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_copies(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -53,6 +64,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filters": op7_url_filters,
+    "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixing": op10_mixing,
 }
