@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import language, lines, mixing, quality, simhash, urls
+from cartloom.llm import decontamination, language, lines, mixing, quality, simhash, urls
 from cartloom.llm.tables import table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -21,6 +21,13 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document and test item that was found in it; clean documents have none."""
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.with_hits(documents, table(spark, folder, "benchmark"))
+    return found.select("row.doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return lines.drop_lines(documents, lines.frequent_lines(documents)).select(
@@ -62,6 +69,7 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_language_id": op8_language_id,
