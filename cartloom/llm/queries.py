@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import decontamination, language, lines, mixing, quality, simhash, urls
+from cartloom.llm import decontamination, html, language, lines, mixing, pii, quality, simhash, urls
 from cartloom.llm.tables import table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -21,6 +21,17 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    found = html.extracted(table(spark, folder, "pages").select("page_id", "url", "html"))
+    return found.select("row.page_id", "row.url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """The key only serves the query; a user passes a secret one."""
+    found = pii.with_pseudonyms(table(spark, folder, "documents").select("doc_id", "text"), b"a key for tests")
+    return found.select("row.doc_id", "pii.*")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document and test item that was found in it; clean documents have none."""
     documents = table(spark, folder, "documents").select("doc_id", "text")
@@ -69,6 +80,8 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_pii": op3_pii,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filters": op7_url_filters,
