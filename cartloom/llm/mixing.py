@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from cartloom.llm.tables import n_words
+from cartloom.llm.words import n_words
 from cartloom.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -37,7 +37,7 @@ def draw(doc_id: Column, seed: str = "mix") -> Column:
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """One row per source of ``sized (source, size)``: source_size, target, rate."""
+    """One row per source of a table of (source, size): source_size, target, rate."""
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     kinds = F.array(*[F.lit(w) for w in weights])
@@ -65,24 +65,41 @@ def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
     )
 
 
-def with_copies(documents: DataFrame, **how) -> DataFrame:
-    """Columns ``row`` (all of ``documents``), ``size``, ``source_size``, ``target`` and ``copies``."""
-    sized = documents.select(n_words(F.col("text")).alias("size"), "source")
+def rates(sized: DataFrame, **how) -> DataFrame:
+    """The targets, to be broadcast if they are few."""
     goal = materialize(targets(sized, **how), "mixing-targets")
     bound = goal.agg(F.count("*"), F.coalesce(F.sum(F.length("source")), F.lit(0))).first()
-    if bound[0] <= BROADCAST_SOURCES and bound[1] <= BROADCAST_CHARS:
-        goal = F.broadcast(goal)
-    rows = documents.select(F.struct(*documents.columns).alias("row"), n_words(F.col("text")).alias("size"))
-    whole = F.floor("rate")
-    extra = draw(F.col("row.doc_id")) < (F.col("rate") - whole) * float(1 << 32)
-    return rows.join(goal, F.col("row.source").eqNullSafe(F.col("source")), "left").select(
-        "row", "size", "source_size", "target", (whole + extra.cast("long")).alias("copies")
+    few = bound[0] <= BROADCAST_SOURCES and bound[1] <= BROADCAST_CHARS
+    goal = goal.withColumnRenamed("source", "rated_source")
+    return F.broadcast(goal) if few else goal
+
+
+def copies(doc_id: Column, rate: Column) -> Column:
+    """How often a document is taken."""
+    extra = draw(doc_id) < (rate - F.floor(rate)) * float(1 << 32)
+    return F.floor(rate) + extra.cast("long")
+
+
+def sized(documents: DataFrame) -> DataFrame:
+    """doc_id, source and size of every document, written once."""
+    return materialize(documents.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mixing-sizes")
+
+
+def taken(documents: DataFrame, **how) -> DataFrame:
+    """doc_id, size, source_size, target and copies of every document; texts are read once."""
+    own = sized(documents)
+    goal = rates(own, **how)
+    return own.join(goal, F.col("source").eqNullSafe(F.col("rated_source")), "left").select(
+        "doc_id", "size", "source_size", "target", copies(F.col("doc_id"), F.col("rate")).alias("copies")
     )
 
 
 def mix(documents: DataFrame, **how) -> DataFrame:
     """Every document as often as it is taken, with the number ``copy`` of the copy, from 1."""
-    taken = with_copies(documents, **how).where("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("n")).select(
-        *[F.col("row")[c].alias(c) for c in documents.columns], F.col("n").alias("copy")
-    )
+    goal = rates(sized(documents), **how)
+    rows = documents.select(F.struct(*documents.columns).alias("row"))
+    rows = rows.join(goal, F.col("row.source").eqNullSafe(F.col("rated_source")), "left")
+    n = copies(F.col("row.doc_id"), F.col("rate"))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int"))).alias("n"), n.alias("most")).where(
+        "n <= most"
+    ).select(*[F.col("row")[c].alias(c) for c in documents.columns], F.col("n").alias("copy"))

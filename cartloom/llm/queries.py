@@ -73,8 +73,8 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "source")
-    return mixing.with_copies(documents).select(
-        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    return mixing.taken(documents).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
 
 

@@ -18,17 +18,6 @@ def lower_ascii(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def n_words(text: Column) -> Column:
-    """Number of words ``[^\\x20\\x09-\\x0D]+`` of a text; 0 for null.
-
-    A word ends where a non-space is followed by a space or the end, so the words are the
-    characters of ``X `` after all runs are reduced to one character each.
-    """
-    reduced = F.regexp_replace(F.trim(F.translate(text, "\t\n\x0b\x0c\r", " " * 5)), " +", " ")
-    spaces = F.length(reduced) - F.length(F.translate(reduced, " ", ""))
-    return F.when(F.length(reduced) > 0, spaces + 1).otherwise(0).cast("long")
-
-
 def share_by_hash(df: DataFrame, key: str, limit: int, seed: int = 11) -> DataFrame:
     """All rows if there are at most ``limit``, else about ``limit`` of them by a hash of ``key``."""
     n = df.count()

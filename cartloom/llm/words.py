@@ -13,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,6 +23,8 @@ BLOCK_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _VALUES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
@@ -53,7 +57,7 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end byte and text number of every word."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
+    space = _SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[starts] = True
     inside = ~space
@@ -102,5 +106,26 @@ def joined_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def n_words(text: Column) -> Column:
+    """Number of words of a text; 0 for null."""
+
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        parts = [np.zeros(0, np.int64)]
+        for first, last in blocks(texts):
+            data, starts = flat(texts.slice(first, last - first))
+            space = _SPACE[data]
+            begins = ~space
+            begins[1:] &= space[:-1]
+            # the first character of a text begins a word whatever the text before ends with
+            firsts = starts[:-1][starts[:-1] < starts[1:]]
+            begins[firsts] = ~space[firsts]
+            totals = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
+            parts.append(totals[starts[1:]] - totals[starts[:-1]])
+        return pa.array(np.concatenate(parts))
+
+    return count(text)
+
+
 def count_per_text(numbers: np.ndarray, n_texts: int) -> np.ndarray:
     return np.bincount(numbers, minlength=n_texts).astype(np.int64)
