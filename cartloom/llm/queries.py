@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import decontamination, html, language, lines, mixing, pii, quality, simhash, urls
+from cartloom.llm import decontamination, html, language, lines, mixing, pii, quality, simhash, suffixes, urls
 from cartloom.llm.tables import table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -39,6 +39,14 @@ def op4_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return found.select("row.doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.deduplicated(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("rest")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("rest", 256).alias("kept_sha256"),
+    )
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return lines.drop_lines(documents, lines.frequent_lines(documents)).select(
@@ -83,6 +91,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_pii": op3_pii,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_url_filters": op7_url_filters,
     "op8_language_id": op8_language_id,

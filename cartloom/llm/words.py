@@ -87,6 +87,11 @@ class PrefixHashes:
     def of(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[begins]) * self.inverse[begins])
 
+    def every(self, size: int) -> np.ndarray:
+        """Hashes of all substrings of one size."""
+        n = max(0, len(self.sums) - size)
+        return mixed((self.sums[size:] - self.sums[:n]) * self.inverse[:n])
+
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spreads the bits of hashes (a bijection on 64 bits)."""
