@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartloom.llm import words
 from cartloom.llm.components import components
 from cartloom.llm.tables import share_by_hash
 from cartloom.session import materialize
@@ -59,17 +60,20 @@ def _features(text: bytes, shingle: int) -> list[bytes]:
     return [line[b:e] for b, e in zip(begins[: len(tokens) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
 
 
+def _bits(hashes: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for first in range(0, len(hashes), _CHUNK):
+        part = hashes[first : first + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _fingerprint(text: bytes | None, shingle: int, seed: int) -> int:
     features = _features(text or b"", shingle)
     if not features:
         return 0
     hashes = np.fromiter((xxhash.xxh64_intdigest(f, seed) for f in features), np.uint64, len(features))
-    ones = np.zeros(64, np.int64)
-    for first in range(0, len(hashes), _CHUNK):
-        part = hashes[first : first + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return _bits(hashes)
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE, seed: int = 42) -> Column:
@@ -154,43 +158,49 @@ def _flips(bits, most: int) -> list[int]:
 
 
 def _keys(fps: DataFrame, plan: Plan, probing: bool) -> DataFrame:
-    """(part, bits, fp): where a fingerprint is stored, or what it probes."""
+    """(k, part, bits, fp): where a fingerprint is stored, or what it probes."""
     entries = [
         F.struct(F.lit(i).alias("part"), F.lit(_signed(sum(1 << b for b in group))).alias("own"), F.lit(_signed(x)).alias("flip"))
         for i, (group, t) in enumerate(zip(plan.groups, plan.thresholds, strict=True)) if t >= 0
         for x in _flips(group, t if probing else 0)
     ]
-    bits = F.col("fp").bitwiseAND(F.col("k.own")).bitwiseXOR(F.col("k.flip"))
-    return fps.select("fp", F.explode(F.array(*entries)).alias("k")).select("k.part", bits.alias("bits"), "fp")
+    bits = F.col("fp").bitwiseAND(F.col("e.own")).bitwiseXOR(F.col("e.flip"))
+    return fps.select("k", "fp", F.explode(F.array(*entries)).alias("e")).select("k", "e.part", bits.alias("bits"), "fp")
 
 
 def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) -> DataFrame:
-    """Links (a, b) that connect all of ``fps (fp)``, distinct, that are within an even ``radius``."""
+    """Links (k, a, b) that connect all of ``fps (k, fp)``, distinct, that are within an even ``radius``.
+
+    ``k`` numbers kinds of fingerprints, which are never linked with each other.
+    """
     if radius % 2:
         raise ValueError("the radius must be even")
     sample = share_by_hash(fps, "fp", SAMPLE).toPandas()["fp"].to_numpy(np.int64)
     plan = choose_plan(sample, fps.count(), radius) if len(sample) else Plan((tuple(range(64)),), (radius,))
+    bucket = ["k", "part", "bits"]
     stored, probes = _keys(fps, plan, False), _keys(fps, plan, True)
-    counts = stored.groupBy("part", "bits").agg(F.count("*").alias("n"))
-    cold = stored.join(counts.where(F.col("n") <= hot_bucket).select("part", "bits"), ["part", "bits"])
-    far = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
+    counts = stored.groupBy(*bucket).agg(F.count("*").alias("n"))
+    cold = stored.join(counts.where(F.col("n") <= hot_bucket).select(*bucket), bucket)
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = (
-        probes.withColumnRenamed("fp", "a").join(cold.withColumnRenamed("fp", "b"), ["part", "bits"])
-        .where("a < b").where(far).select("a", "b").distinct()
+        probes.withColumnRenamed("fp", "a").join(cold.withColumnRenamed("fp", "b"), bucket)
+        .where("a < b").where(near).select("k", "a", "b").distinct()
     )
-    hot = counts.where(F.col("n") > hot_bucket).select("part", "bits")
-    meeting = materialize(probes.join(hot, ["part", "bits"], "left_semi").select("fp").distinct(), "simhash-hot")
+    hot = counts.where(F.col("n") > hot_bucket).select(*bucket)
+    meeting = materialize(probes.join(hot, bucket, "left_semi").select("k", "fp").distinct(), "simhash-hot")
     masks = F.array(*[F.lit(_signed(x)) for x in _flips(range(64), radius // 2)])
-    points = meeting.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point"))
-    least = points.groupBy("point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
-    met = points.join(least, "point").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    points = meeting.select("k", "fp", F.explode(masks).alias("mask")).select(
+        "k", "fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("point")
+    )
+    least = points.groupBy("k", "point").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1")
+    met = points.join(least, ["k", "point"]).where("fp <> b").select("k", F.col("fp").alias("a"), "b")
     return pairs.unionAll(met)
 
 
 def grouped(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, component_id) for every fingerprint of ``marked (doc_id, fp)``."""
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
-    roots = components(links(fps.select("fp"), radius))
+    roots = components(links(fps.select(F.lit(0).alias("k"), "fp"), radius).select("a", "b"))
     own = fps.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
@@ -205,3 +215,132 @@ def near_copies(documents: DataFrame, radius: int = RADIUS, shingle: int = SHING
     )
     groups = materialize(grouped(marked, radius), "simhash-components").withColumnRenamed("fp", "group_fp")
     return marked.join(groups, F.col("fp") == F.col("group_fp")).select("doc_id", "fp", "component_id")
+
+
+# ---- dropping near copies --------------------------------------------------------------
+
+#: Fingerprints of the set of words, beside the one of shingles; a few changed words leave that set
+#: nearly as it is, and each further hash gives near copies another chance to be within the radius.
+WORD_PRINTS = 8
+JACCARD, JACCARD_SHINGLE, ROUNDS = 0.8, 5, 3
+_NO_ID = (1 << 63) - 1
+
+
+def _shingle_set(text: str, n: int) -> set[bytes]:
+    return set(_features(text.encode(), n))
+
+
+def jaccard(left: Column, right: Column, n: int = JACCARD_SHINGLE) -> Column:
+    """Similarity of the sets of word shingles of two texts; texts without words are equal."""
+
+    @F.arrow_udf("double")
+    def similarity(lefts: pa.Array, rights: pa.Array) -> pa.Array:
+        out, last, known = [], None, set()
+        for a, b in zip(lefts.to_pylist(), rights.to_pylist(), strict=True):
+            if b != last:
+                last, known = b, _shingle_set(b, n)
+            own = _shingle_set(a, n)
+            both = len(own & known)
+            out.append(both / (len(own) + len(known) - both) if own or known else 1.0)
+        return pa.array(out, pa.float64())
+
+    return similarity(left, right)
+
+
+def prints(text: Column, n: int = WORD_PRINTS) -> Column:
+    """The fingerprint of a text and ``n`` of its set of words, as an array of longs."""
+
+    @F.arrow_udf("array<long>")
+    def of(texts: pa.Array) -> pa.Array:
+        out = []
+        for raw in texts.cast(pa.large_binary()).to_pylist():
+            found = sorted(_features(raw or b"", 0))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(f, 1) for f in found), np.uint64, len(found))
+            salted = [words.mixed(hashes ^ words.mixed(np.array([k], np.uint64))) for k in range(1, n + 1)]
+            out.append([_fingerprint(raw, SHINGLE, 42), *[_bits(h) if len(h) else 0 for h in salted]])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return of(text)
+
+
+def _marked(documents: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return documents.select(
+        F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"),
+        prints(F.col("text")).alias("fps"),
+    )
+
+
+def candidate_groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(id, root): documents that are connected by any of their fingerprints, with the smallest id.
+
+    Documents with equal fingerprints are linked to the smallest of them, and these by the links
+    of their fingerprints.
+    """
+    whole = marked.groupBy("fps").agg(F.min("id").alias("node"))
+    equal = marked.join(whole, "fps").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    each = materialize(whole.select("node", F.posexplode("fps").alias("k", "fp")), "copies-prints")
+    least = materialize(each.groupBy("k", "fp").agg(F.min("node").alias("least")), "copies-distinct")
+    same = each.join(least, ["k", "fp"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    left = least.select("k", F.col("fp").alias("a"), F.col("least").alias("node_a"))
+    right = least.select("k", F.col("fp").alias("b"), F.col("least").alias("node_b"))
+    linked = links(least.select("k", "fp"), radius).join(left, ["k", "a"]).join(right, ["k", "b"])
+    found = equal.unionAll(same).unionAll(linked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    return components(found).select(F.col("node").alias("id"), "root")
+
+
+def without_copies(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each group of near copies, all columns.
+
+    Candidates are the components of several fingerprints. Inside a component, texts are compared
+    with the smallest document: those of at least ``JACCARD`` by shingles of five words are its
+    copies and go. What is left over is compared with its own smallest document, ``ROUNDS`` times
+    in all, so every comparison is with one text per group and none is between all pairs. Of
+    equal texts in a component the smallest document stays. Documents without id come last in
+    order; of equal rows one stays.
+    """
+    key = ["id", "h1", "h2"]
+    marked = materialize(_marked(documents), "copies-marked")
+    groups = materialize(candidate_groups(marked, radius), "copies-groups")
+    rows = marked.groupBy(*key).agg(F.count("*").alias("rows"))
+    rooted = materialize(
+        rows.join(groups, "id", "left").select(*key, "rows", F.coalesce("root", "id").alias("root")), "copies-rooted"
+    )
+    first = rooted.groupBy("root", "h1", "h2").agg(F.min("id").alias("first"))
+    again = rooted.join(first, ["root", "h1", "h2"])
+    exact = again.where("id <> first").select(*key)
+
+    several = first.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    texts = first.join(several, "root").select("root", F.col("first").alias("id"), "h1", "h2")
+    held = documents.select(
+        F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"),
+        F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("h2"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    left = materialize(held.join(texts, key).dropDuplicates(key), "copies-texts")
+    gone = exact
+    for _ in range(ROUNDS):
+        # of equal ids the smaller text leads, so that a group has one leading text
+        lead = left.groupBy("root").agg(F.min(F.struct(*key)).alias("lead"))
+        leads = left.join(lead, "root").where(F.struct(*key) == F.col("lead")).select("root", F.col("text").alias("lead_text"), "lead")
+        compared = left.join(leads, "root").where(F.struct(*key) != F.col("lead"))
+        judged = materialize(
+            compared.select("root", *key, "text", (jaccard(F.col("text"), F.col("lead_text")) >= JACCARD).alias("similar")),
+            "copies-judged",
+        )
+        gone = gone.unionAll(judged.where("similar").select(*key))
+        left = judged.where("NOT similar").select("root", *key, "text")
+    actions = gone.distinct().withColumn("action", F.lit("drop")).unionAll(
+        again.where("id = first AND rows > 1").select(*key).withColumn("action", F.lit("once"))
+    ).groupBy(*key).agg(F.min("action").alias("action"))
+    actions = materialize(actions, "copies-actions").select(*[F.col(c).alias(f"action_{c}") for c in key], "action")
+    row = F.struct(*documents.columns)
+    keyed = documents.select(
+        row.alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("h2"),
+    )
+    same = (F.col("id") == F.col("action_id")) & (F.col("h1") == F.col("action_h1")) & (F.col("h2") == F.col("action_h2"))
+    decided = keyed.join(actions, same, "left")
+    kept = decided.where("action IS NULL").select("row")
+    if actions.where("action = 'once'").limit(1).count():
+        kept = kept.unionAll(decided.where("action = 'once'").dropDuplicates(key).select("row"))
+    return kept.select(*[F.col("row")[c].alias(c) for c in documents.columns])
