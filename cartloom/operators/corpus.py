@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartloom.functions import fixed_values as fixed
 from cartloom.functions.text import file_stem, file_suffix, split_lines, strip
-from cartloom.operators.matching import term_matches
+from cartloom.operators.matching import term_hits, term_matches
 from cartloom.operators.ranking import top_k
 from cartloom.session import materialize
 
@@ -299,51 +299,73 @@ def rank_chunks(
     base = F.lit(0)
     for prefixes, points in prefix_rules:
         base = base + F.when(_starts_with(F.lower("path"), prefixes), points).otherwise(0)
-    asked = terms.select("term").distinct()
+    asked = terms.select("term").where(F.col("term").isNotNull()).distinct()
     keys = list(FILE_ORDER)
 
-    def matched(column: str, points: int) -> DataFrame:
-        return term_matches(asked, chunks, keys, column).withColumn("points", F.lit(points))
-
-    matches = (
-        matched("text", text_points)
-        .unionByName(matched("symbol", symbol_points))
-        .groupBy("term", *keys)
-        .agg(F.sum("points").alias("points"))
-        .withColumn("score", (F.col("points") + base).cast("bigint"))
+    hits = term_hits(asked, chunks, keys, ["text", "symbol"])
+    points = sum(
+        F.when(F.col("found")[at], gain).otherwise(0) for at, gain in enumerate((text_points, symbol_points))
     )
+    # a chunk scores in its own row, so chunks with equal or null keys do not run together
+    matches = hits.select("term", *keys, (points + base).cast("bigint").alias("score"))
     favoured = (
         chunks.withColumn("score", base.cast("bigint"))
         .where(F.col("score") > 0)
         .orderBy(*order)
         .limit(k)
-        .agg(F.collect_list(F.struct(*keys, "score")).alias("favoured"))
+        .agg(F.collect_list(F.struct(*keys, "score", "text")).alias("favoured"))
     )
-    # One row that holds at most k chunks.
+    # One row that holds at most k chunks; those with the term are already scored.
+    held = F.lit(False)
+    for column in ("text", "symbol"):
+        held = held | F.coalesce(F.contains(F.lower(column), F.lower("term")), F.lit(False))
     offered = asked.withColumn("favoured", favoured.scalar()).select("term", F.inline("favoured"))
-    scored = (
-        matches.select("term", *keys, "score")
-        .unionByName(offered)
-        .groupBy("term", *keys)
-        .agg(F.max("score").alias("score"))
-        .where(F.col("score") > 0)
-    )
+    scored = matches.unionByName(offered.where(~held).drop("text")).where(F.col("score") > 0)
     return top_k(scored, ["term"], order, k)
 
 
+def numbered(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
+    """``(key, position, *columns)``: rows counted from 0 in every group, by ``order``.
+
+    Rows are range-partitioned, sorted and written with the place they have there; a group that
+    spans several partitions is put together from the row counts of its pieces, so no task
+    holds a whole group.
+    """
+    group = [key, "piece"]
+    placed = materialize(
+        df.select(key, order, *columns)
+        .repartitionByRange(key, order)
+        .sortWithinPartitions(key, order)
+        .withColumn("place", F.monotonically_increasing_id())
+        .withColumn("piece", F.shiftright("place", 33)),
+        "numbered",
+    )
+    pieces = placed.groupBy(*group).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(
+        F.col(key).alias("own_key"), F.col("piece").alias("own_piece"), "first",
+        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"),
+    )
+    same = F.col(key).eqNullSafe(F.col("own_key")) & (F.col("piece") == F.col("own_piece"))
+    return placed.join(offsets, same).select(
+        key, (F.col("place") - F.col("first") + F.col("offset")).alias("position"), *columns
+    )
+
+
 def concat_ordered(
     df: DataFrame, key: str, order: str, text: str, sep: str = "\n", part_rows: int = 10000
 ) -> DataFrame:
     """The texts of every group in order, as ``(key, part, text)``.
 
-    ``order`` is an integer position within the group. Positions 0 to ``part_rows`` - 1
-    make part 0, and so on, so that a group of any size is a series of bounded strings;
-    joining the parts in order by ``sep`` gives the whole.
+    The first ``part_rows`` rows of a group make part 0, and so on, whatever the values of
+    ``order``, so that a group of any size is a series of bounded strings; joining the parts in
+    order by ``sep`` gives the whole.
     """
-    part = F.floor(F.col(order) / part_rows).cast("bigint").alias("part")
-    pieces = F.sort_array(F.collect_list(F.struct(F.col(order), F.col(text).alias("piece"))))
+    part = F.floor(F.col("position") / part_rows).cast("bigint").alias("part")
+    pieces = F.sort_array(F.collect_list(F.struct("position", F.col(text).alias("piece"))))
     return (
-        df.groupBy(key, part)
+        numbered(df, key, order, text)
+        .groupBy(key, part)
         .agg(pieces.alias("pieces"))
         .select(
             key, "part", F.array_join(F.transform("pieces", lambda p: p["piece"]), sep).alias("text")

@@ -1,15 +1,17 @@
-"""Which terms occur in which texts, as an equi-join.
-
-A handful of terms is inlined into the scan of the texts as literals: one pass, no
-join and no shuffle. More terms meet the texts on shared three-character grams. Every
-term is keyed by the one of its grams that the fewest texts seem to hold, so a gram that
-a large share of the texts hold is used only by terms that have no rarer one, and each
-pair that shares a key is then tested in full. Both ways give the same pairs.
+"""Which terms occur in which texts, in the scan of the texts.
+
+A handful of terms is inlined into the scan as literals. More terms travel to it in blocks
+of checked size and meet the texts on shared grams of up to three characters: every term is
+keyed by the one of its grams that the fewest terms hold, the distinct grams of a text are
+looked up, and each pair that shares a key is tested in full. A text holds the key of a term
+at most once, so a pair comes up once. Either way the text stays in its row: it is never
+shuffled, and rows with null or equal keys are found like any others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -17,8 +19,9 @@ from cartloom.session import materialize
 
 LITERAL_TERMS = 32
 LITERAL_CHARS = 65536
-SEEN_SHARE = 0.05
-GRAM = r"(?s)(?=(.{3}))"
+#: Characters of terms that are sent to the texts at once.
+BLOCK_CHARS = 2_000_000
+GRAM_SIZES = (3, 2)
 
 
 def like_pattern(term: Column) -> Column:
@@ -38,11 +41,25 @@ def term_matches(
     wildcards: bool = False,
     literal_terms: int = LITERAL_TERMS,
 ) -> DataFrame:
-    """One row ``(term, *keys)`` for every term of ``terms.term`` that occurs in a text.
+    """One row ``(term, *keys)`` for every row of ``texts`` and term of ``terms.term`` in its text.
+
+    Comparison ignores case; with ``wildcards`` the characters ``%`` and ``_`` of a term match
+    any text and any one character.
+    """
+    return term_hits(terms, texts, keys, [text], wildcards, literal_terms).select("term", *keys)
+
+
+def term_hits(
+    terms: DataFrame,
+    texts: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    wildcards: bool = False,
+    literal_terms: int = LITERAL_TERMS,
+) -> DataFrame:
+    """As :func:`term_matches` for several columns: ``(term, *keys, found)``.
 
-    ``keys`` identify a row of ``texts``; they may be the text itself. Comparison
-    ignores case; with ``wildcards`` the characters ``%`` and ``_`` of a term match any
-    text and any one character.
+    ``found`` holds one boolean per column; at least one of them is true.
     """
     match = F.like if wildcards else F.contains
     pattern = like_pattern(F.col("term")) if wildcards else F.col("term")
@@ -59,83 +76,84 @@ def term_matches(
         F.coalesce(F.sum(F.length("pattern")), F.lit(0)).alias("chars"),
         F.collect_set(F.length(F.col("grams")[0])).alias("kinds"),
     ).first()
+    lowered = texts.select(*keys, F.array(*[F.lower(column) for column in columns]).alias("lowered"))
     if size.n <= literal_terms and size.chars <= LITERAL_CHARS:
-        return _by_literals(terms, texts, keys, text, match)
-    return _by_grams(terms, texts, keys, text, match, size.kinds)
+        return _by_literals(terms, lowered, keys, match)
+    return _by_grams(terms, lowered, keys, match, size.kinds, -(-size.chars // BLOCK_CHARS))
+
+
+def _found(match: Callable[[Column, Column], Column], pattern: Column) -> Column:
+    return F.transform("lowered", lambda text: F.coalesce(match(text, pattern), F.lit(False)))
 
 
 def _by_literals(
-    terms: DataFrame,
-    texts: DataFrame,
-    keys: Sequence[str],
-    text: str,
-    match: Callable[[Column, Column], Column],
+    terms: DataFrame, texts: DataFrame, keys: Sequence[str], match: Callable[[Column, Column], Column]
 ) -> DataFrame:
-    """``terms`` has at most ``literal_terms`` rows here, checked by the caller.
-
-    Texts are lower-cased in a step of their own, once and not once per term.
-    """
+    """``terms`` has at most ``literal_terms`` rows here, checked by the caller."""
     hits = [
-        F.when(match(F.col("lowered"), F.lit(row.pattern)), F.lit(row.term))
+        F.struct(F.lit(row.term).alias("term"), _found(match, F.lit(row.pattern)).alias("found"))
         for row in terms.collect()
     ]
-    found = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
-    lowered = texts.select(*keys, F.lower(text).alias("lowered"))
-    return lowered.select(*keys, found.alias("terms")).select(F.explode("terms").alias("term"), *keys)
+    kind = "array<struct<term: string, found: array<boolean>>>"
+    pairs = F.filter(F.array(*hits), lambda hit: F.exists(hit["found"], lambda x: x)) if hits else F.array()
+    return texts.select(*keys, F.explode(pairs.cast(kind)).alias("hit")).select("hit.term", *keys, "hit.found")
 
 
-def grams(text: Column, kinds: Collection[int] = (3, 1, 0)) -> Column:
-    """Distinct grams of a text: three-character runs, characters and the empty gram, by length."""
-    lowered = F.lower(text)
+def grams(lowered: Column, kinds: Collection[int] = (3, 2, 1, 0)) -> Column:
+    """Distinct grams of a lower-cased text: runs of three and two characters, characters, and ``''``."""
     by_kind = {
-        3: F.regexp_extract_all(lowered, F.lit(GRAM), F.lit(1)),
+        **{n: F.regexp_extract_all(lowered, F.lit(_gram(n)), F.lit(1)) for n in GRAM_SIZES},
         1: F.filter(F.split(lowered, ""), lambda char: char != ""),
         0: F.array(F.lit("")),
     }
     return F.array_distinct(F.concat(*[by_kind[kind] for kind in sorted(kinds)]))
 
 
+def _gram(n: int) -> str:
+    return f"(?s)(?=(.{{{n}}}))"
+
+
 def key_grams(term: Column, wildcards: bool) -> Column:
     """Grams that every text with the term must hold: the longest kind that the term has."""
     lowered = F.lower(term)
     runs = F.split(lowered, r"[%_\\]+") if wildcards else F.array(lowered)
-    long = F.flatten(
-        F.transform(runs, lambda run: F.regexp_extract_all(run, F.lit(GRAM), F.lit(1)))
-    )
     single = F.filter(
         F.flatten(F.transform(runs, lambda run: F.split(run, ""))), lambda char: char != ""
     )
-    return F.array_distinct(
-        F.when(F.size(long) > 0, long).when(F.size(single) > 0, single).otherwise(F.array(F.lit("")))
-    )
+    found = F.when(F.size(single) > 0, single).otherwise(F.array(F.lit("")))
+    for n in reversed(GRAM_SIZES):
+        long = _runs_of(runs, n)
+        found = F.when(F.size(long) > 0, long).otherwise(found)
+    return F.array_distinct(found)
+
+
+def _runs_of(runs: Column, n: int) -> Column:
+    return F.flatten(F.transform(runs, lambda run: F.regexp_extract_all(run, F.lit(_gram(n)), F.lit(1))))
 
 
 def _by_grams(
     terms: DataFrame,
     texts: DataFrame,
     keys: Sequence[str],
-    text: str,
     match: Callable[[Column, Column], Column],
     kinds: Collection[int],
+    blocks: int,
 ) -> DataFrame:
-    """``kinds`` are the lengths of the grams that the terms use; no others are formed.
-
-    How many texts hold a gram is estimated from a share of the texts: it only decides
-    which gram a term is looked up by, and any of them finds every text with the term.
-    The choice is written, so that a repeated task works with the same one.
-    """
-
-    def spread(df: DataFrame) -> DataFrame:
-        return df.select(*keys, F.explode(grams(F.col(text), kinds)).alias("gram"))
-
-    seen = spread(texts.sample(SEEN_SHARE, seed=1)).groupBy("gram").agg(F.count(F.lit(1)).alias("texts"))
-    keyed = (
-        terms.select("term", "pattern", F.explode("grams").alias("gram"))
-        .join(seen, "gram", "left")
-        .groupBy("term", "pattern")
-        .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)), "gram"))["gram"].alias("gram"))
+    """``kinds`` are the lengths of the grams that the terms use; no others are formed."""
+    spread = terms.select("term", "pattern", F.explode("grams").alias("gram"))
+    held = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("terms"))
+    keyed = materialize(
+        spread.join(held, "gram").groupBy("term", "pattern").agg(F.min(F.struct("terms", "gram"))["gram"].alias("gram")),
+        "keys",
+    )
+    all_grams = F.array_distinct(
+        F.flatten(F.transform("lowered", lambda text: F.coalesce(grams(text, kinds), F.array().cast("array<string>"))))
     )
-    candidates = spread(texts).join(materialize(keyed, "keys"), "gram").select("term", "pattern", *keys)
-    if text not in keys:
-        candidates = candidates.join(texts.select(*keys, text), list(keys))
-    return candidates.where(match(F.lower(text), F.col("pattern"))).select("term", *keys)
+    looked_up = texts.select(*keys, "lowered", F.explode(all_grams).alias("gram"))
+    parts = []
+    for block in range(blocks):
+        # BLOCK_CHARS bounds the expected size of each block
+        own = keyed.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block) if blocks > 1 else keyed
+        pairs = looked_up.join(F.broadcast(own), "gram").select("term", *keys, _found(match, F.col("pattern")).alias("found"))
+        parts.append(pairs.where(F.exists("found", lambda x: x)))
+    return reduce(DataFrame.unionAll, parts)

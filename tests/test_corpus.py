@@ -155,6 +155,23 @@ def test_ordered_text_comes_in_bounded_parts(spark):
     assert "\n".join(t for k, _, t in got if k == "a") == "\n".join(f"line {i}" for i in range(25))
 
 
+def test_parts_are_cut_by_row_number(spark):
+    rows = [("a", 3, "x"), ("a", 10003, "y"), ("b", -5, "p"), ("b", 0, "q"), ("b", 7, "r")]
+    df = spark.createDataFrame(rows, "k string, i int, t string").repartition(3)
+    assert sorted(map(tuple, corpus.concat_ordered(df, "k", "i", "t").collect())) == [("a", 0, "x\ny"), ("b", 0, "p\nq\nr")]
+    halves = df.withColumn("i", df.i / 2)
+    got = sorted(map(tuple, corpus.concat_ordered(halves, "k", "i", "t", part_rows=2).collect()))
+    assert got == [("a", 0, "x\ny"), ("b", 0, "p\nq"), ("b", 1, "r")]
+
+
+def test_null_hashes_are_not_computed_again(spark):
+    current = spark.createDataFrame([(1, None, "t"), (2, "h", "u")], "k int, h string, body string")
+    state = spark.createDataFrame([(1, None, "old"), (2, "g", "old")], "k int, h string, payload string")
+    assert [r.k for r in incremental.changed_rows(current, state, "k", "h").collect()] == [2]
+    new = incremental.refresh(current, state, "k", "h", lambda df: df.selectExpr("k", "h", "body AS payload"))
+    assert sorted((r.k, r.payload) for r in new.collect()) == [(1, "old"), (2, "u")]
+
+
 def test_graph(spark):
     edges = spark.createDataFrame(
         [("f", "g"), ("f", "g"), ("m.f", "h"), ("g", "print"), ("g", "k")], "src string, dst string"

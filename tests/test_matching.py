@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cartloom.operators import corpus
 from cartloom.operators.lookup import search_by_name
 from cartloom.operators.matching import term_matches
 
@@ -75,3 +76,34 @@ def test_search_by_name(spark, catalogue):
     assert {r.query_id for r in literal.collect()} == {"q1"}
     top = search_by_name(queries, products, velocity, k=1).where(F.col("query_id") == "q4")
     assert [r.product_id for r in top.collect()] == [1]
+
+
+def _chunks(spark):
+    rows = [
+        ("a.py", 1, "run", "call zebra here"), ("a.py", 1, "run", "call zebra here"), ("a.py", 1, "run", "no such word"),
+        ("b.py", 5, None, "zebra"), (None, None, None, "zebra zz"), ("c.py", 2, "zebra", None),
+    ]
+    return spark.createDataFrame(rows, "path string, start_line int, symbol string, text string")
+
+
+@pytest.mark.parametrize("more", [0, 60])
+def test_null_and_repeated_keys_are_found_with_few_and_many_terms(spark, more):
+    terms = spark.createDataFrame([("zebra",), ("zz",), ("z",)] + [(f"other{i}",) for i in range(more)], "term string")
+    hits = corpus.grep(terms, _chunks(spark)).collect()
+    assert sum(r.term == "zebra" for r in hits) == 4
+    assert [r.path for r in hits if r.term == "zz"] == [None]
+    assert sum(r.term == "z" for r in hits) == 4
+    ranked = corpus.rank_chunks(terms, _chunks(spark)).collect()
+    best = sorted((r.path or "", r.score) for r in ranked if r.term == "zebra")
+    assert [path for path, _ in best] == ["", "a.py", "a.py", "b.py", "c.py"]
+    assert len({score for path, score in best if path == "a.py"}) == 1
+
+
+def test_texts_are_not_shuffled(spark):
+    terms = spark.range(50).select(F.concat(F.lit("term"), F.col("id").cast("string")).alias("term"))
+    plan = corpus.grep(terms, _chunks(spark))._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Exchange hash" in line or "Exchange range" in line:
+            assert "text" not in line and "lowered" not in line
+    # what is exchanged comes out of a stage that ends in the hits
+    assert "SortMergeJoin" not in plan

@@ -93,11 +93,18 @@ def test_grouped_text_keeps_order(spark, tmp_path):
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "module string, pos int, body string").repartition(6)
     path = str(tmp_path / "out")
-    text.write_grouped_text(df, "module", "pos", "body", path)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text.write_grouped_text(df, "module", "pos", "body", path, part_rows=1000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for module, prefix, n in (("hot one", "line ", 3000), ("small", "s", 9)):
         folder = os.path.join(path, f"module={module}")
-        parts = sorted(f for f in os.listdir(folder) if f.startswith("part-"))
-        body = "".join(open(os.path.join(folder, part)).read() for part in parts)
+        parts = sorted(os.listdir(folder))
+        assert parts == [f"part={i:09d}" for i in range(-(-n // 1000))]
+        files = [[f for f in os.listdir(os.path.join(folder, part)) if f.startswith("part-")] for part in parts]
+        assert all(len(names) == 1 for names in files)
+        body = "".join(open(os.path.join(folder, part, names[0])).read() for part, names in zip(parts, files))
         assert body.splitlines() == [f"{prefix}{i}" for i in range(n)]
 
 

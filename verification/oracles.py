@@ -665,7 +665,7 @@ oracle("s3_write_documents", "SELECT product_id, text FROM cards", "part")
 oracle(
     "s5_rebuild_vectors",
     """SELECT c.product_id, c.text,
-              round(list_sum([x * x FOR x IN CAST(embedding AS DOUBLE[])]), 4) AS norm
+              array_to_string([CAST(CAST(floor(x * 10000) AS BIGINT) AS VARCHAR) FOR x IN CAST(embedding AS DOUBLE[])], ' ') AS elements
        FROM cards c JOIN embeddings ON vec_id = c.product_id""",
     "part",
 )
@@ -709,9 +709,16 @@ CONVERSATION_TEXT = "string_agg(text || chr(10), '' ORDER BY turn)"
 oracle("s7_text_tree", f"SELECT conv_id, {CONVERSATION_TEXT} AS text FROM conversations GROUP BY conv_id")
 oracle(
     "s10_grouped_text",
-    """SELECT conv_id, line, count(*) AS times FROM (
-         SELECT conv_id, unnest(string_split(text, chr(10))) AS line FROM conversations)
-       GROUP BY conv_id, line""",
+    """SELECT conv_id, part, line, CAST(row_number() OVER (PARTITION BY conv_id, part ORDER BY nth, k) - 1 AS INTEGER) AS nr
+       FROM (SELECT conv_id, nth, nth // 3 AS part, unnest(lines) AS line, generate_subscripts(lines, 1) AS k
+             FROM (SELECT conv_id, string_split(text, chr(10)) AS lines,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations))""",
+)
+oracle(
+    "a6_concat_parts",
+    """SELECT conv_id, nth // 3 AS part, string_agg(text, chr(10) ORDER BY nth) AS text
+       FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS nth FROM conversations)
+       GROUP BY conv_id, nth // 3""",
 )
 oracle(
     "a6_concat_ordered",

@@ -646,8 +646,8 @@ def s5(spark, sf):
         house.products, house.velocity, vecs, scratch_path(spark, "documents"), path
     )
     stored = spark.read.parquet(path)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x)
-    return rounded(stored.select("product_id", "text", norm.alias("norm")), "norm", digits=4)
+    elements = F.transform("embedding", lambda x: F.floor(x.cast("double") * 10000).cast("string"))
+    return stored.select("product_id", "text", F.array_join(elements, " ").alias("elements"))
 
 
 @query("s6_load_report")
@@ -664,16 +664,17 @@ def a4(spark, sf):
 @query("s7_text_tree")
 def s7(spark, sf):
     """Every conversation turn as a text file, read back as a tree and joined by folder."""
-    path = _conversation_files(spark, sf)
-    return text_files.read_text_tree(spark, path, extensions=(".txt",)).select(
-        F.regexp_extract("path", r"conv_id=([0-9]+)/", 1).cast("bigint").alias("conv_id"), "text"
+    path = _conversation_files(spark, sf, part_rows=2)
+    joined = text_files.joined_by_folder(text_files.read_text_tree(spark, path, extensions=(".txt",)))
+    return joined.select(
+        F.regexp_extract("folder", r"conv_id=([0-9]+)$", 1).cast("bigint").alias("conv_id"), "text"
     )
 
 
-def _conversation_files(spark: SparkSession, sf: str) -> str:
+def _conversation_files(spark: SparkSession, sf: str, part_rows: int = 10000) -> str:
     path = scratch_path(spark, "conversations")
     turns = tables.read_table(spark, sf, "conversations")
-    text_files.write_grouped_text(turns, "conv_id", "turn", "text", path)
+    text_files.write_grouped_text(turns, "conv_id", "turn", "text", path, part_rows)
     return path
 
 
@@ -696,12 +697,15 @@ def s9(spark, sf):
 
 @query("s10_grouped_text")
 def s10(spark, sf):
-    """One row per line of the grouped files."""
-    written = spark.read.text(_conversation_files(spark, sf))
-    return written.groupBy("conv_id", "value").count().select(
-        F.col("conv_id").cast("bigint").alias("conv_id"),
-        F.col("value").alias("line"),
-        F.col("count").alias("times"),
+    """One row per line of the grouped files, with its file and its place there."""
+    path = _conversation_files(spark, sf, part_rows=3)
+    files = text_files.read_text_tree(spark, path, extensions=(".txt",))
+    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("nr", "line"))
+    return lines.select(
+        F.regexp_extract("path", "conv_id=([0-9]+)/", 1).cast("bigint").alias("conv_id"),
+        F.regexp_extract("path", "part=([0-9]+)/", 1).cast("bigint").alias("part"),
+        "nr",
+        "line",
     )
 
 
@@ -811,6 +815,14 @@ def a6(spark, sf):
     return corpus.concat_ordered(turns, "conv_id", "turn", "text")
 
 
+@query("a6_concat_parts")
+def a6_parts(spark, sf):
+    """Parts of three rows; the positions have gaps and fractions."""
+    turns = tables.read_table(spark, sf, "conversations")
+    apart = turns.withColumn("at", F.col("turn") * F.col("turn") * 7.5)
+    return corpus.concat_ordered(apart, "conv_id", "at", "text", part_rows=3)
+
+
 @query("a3_adjacency")
 def a3(spark, sf):
     return graph.adjacency(roles.edges(spark, sf))
