@@ -1,27 +1,29 @@
 """Nearest vectors per query, exact and approximate.
 
-Scores are computed a batch at a time with a matrix product inside Spark tasks; only
-the best ``k`` of a batch leave it, never all pairs. The last cut to ``k`` per query is
-an ordinary top-k.
+Queries travel to the scan of the vectors in blocks of checked size, so vectors are never
+shuffled. Scores are computed a batch at a time with a matrix product inside Spark tasks; a
+task keeps a running best ``k`` per query and sends only that. The last cut to ``k`` per
+query is an ordinary top-k. Vectors that are null, or have no defined cosine, are no hits,
+and such queries have none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from cartloom.operators.ranking import top_k
 
 BROADCAST_QUERIES = 4096
-QUERY_BLOCK = 4096
-VECTOR_BLOCK = 65536
+#: Bytes of queries that are sent at once.
+BROADCAST_BYTES = 32 << 20
 SLICE = 4_000_000
+#: Decimals that scores are compared by; the last bits depend on a vector's place in its batch.
+DECIMALS = 12
 HITS = "query_id {query}, vec_id {vec}, score double"
 
 
@@ -41,39 +43,52 @@ def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray
     return 2 * dots - np.square(queries).sum(1)[:, None] - np.square(vectors).sum(1)[None, :]
 
 
-def _best(
-    query_ids: pa.Array, queries: np.ndarray, batch: pa.Table | pa.RecordBatch, k: int, metric: str
-) -> pa.RecordBatch:
-    """The best ``k`` rows of a batch for each query, equal scores by id.
+def _best(hits: pa.Table, k: int) -> pa.Table:
+    """The best ``k`` rows ``(at, vec_id, score)`` per query number ``at``, equal scores by id."""
+    hits = hits.take(pc.sort_indices(hits, [("at", "ascending"), ("score", "descending"), ("vec_id", "ascending")]))
+    at = hits.column("at").to_numpy()
+    first = np.searchsorted(at, at)
+    return hits.filter(pa.array(np.arange(len(at)) - first < k))
 
-    Queries are taken in slices that keep one score matrix at about SLICE numbers.
+
+def _batch_hits(
+    queries: np.ndarray,
+    batch: pa.RecordBatch,
+    k: int,
+    metric: str,
+    allowed: Callable[[slice, np.ndarray], np.ndarray] | None = None,
+) -> pa.Table:
+    """The best rows of a batch for each query; more than ``k`` only where scores are equal.
+
+    Queries are taken in slices that keep one score matrix at about SLICE numbers. ``allowed``
+    says which pairs of a slice of queries and the vectors may be hits.
     """
-    by_id = pc.sort_indices(batch.column("vec_id"))
-    vec_ids = _one(batch.column("vec_id")).take(by_id)
-    vectors = _matrix(_one(batch.column("embedding")))[by_id.to_numpy()]
+    vectors = _matrix(_one(batch.column("embedding")))
     rows = max(1, SLICE // max(1, len(vectors)))
     at_query, at_vector, found = [], [], []
     for start in range(0, len(queries), rows):
-        scores = _scores(queries[start : start + rows], vectors, metric)
-        scores[np.isnan(scores)] = -np.inf
+        part = slice(start, min(start + rows, len(queries)))
+        if allowed is None:
+            scores = _scores(queries[part], vectors, metric)
+        else:
+            mask = allowed(part, vectors)
+            scores = np.full(mask.shape, -np.inf)
+            for q in np.flatnonzero(mask.any(axis=1)).tolist():
+                near = np.flatnonzero(mask[q])
+                scores[q, near] = _scores(queries[start + q][None], vectors[near], metric)[0]
+        scores = np.round(np.where(np.isnan(scores), -np.inf, scores), DECIMALS)
         keep = scores > -np.inf
         if scores.shape[1] > k:
-            cut = np.partition(scores, -k, axis=1)[:, [-k]]
-            above, level = scores > cut, scores == cut
-            room = k - above.sum(axis=1, keepdims=True)
-            keep &= above | (level & (np.cumsum(level, axis=1) <= room))
+            keep &= scores >= np.partition(scores, -k, axis=1)[:, [-k]]
         q, v = np.nonzero(keep)
         at_query.append(q + start)
         at_vector.append(v)
         found.append(scores[keep])
-    return pa.RecordBatch.from_arrays(
-        [
-            query_ids.take(pa.array(np.concatenate(at_query))),
-            vec_ids.take(pa.array(np.concatenate(at_vector))),
-            pa.array(np.concatenate(found)),
-        ],
-        names=["query_id", "vec_id", "score"],
-    )
+    return pa.table({
+        "at": pa.array(np.concatenate(at_query), pa.int64()),
+        "vec_id": _one(batch.column("vec_id")).take(pa.array(np.concatenate(at_vector))),
+        "score": pa.array(np.concatenate(found), pa.float64()),
+    })
 
 
 def _one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -109,71 +124,76 @@ def vector_search(
 ) -> DataFrame:
     """The ``k`` nearest vectors of every query: ``(query_id, rank, vec_id, score)``.
 
-    ``queries`` holds ``(query_id, embedding)``, ``vectors`` ``(vec_id, embedding)``. Up
-    to ``broadcast_queries`` queries travel to the tasks that scan the vectors, which
-    are then not shuffled. More queries are cut into blocks and so are the vectors, and
-    every pair of blocks is one bounded group.
+    ``queries`` holds ``(query_id, embedding)``, ``vectors`` ``(vec_id, embedding)``. At most
+    ``broadcast_queries`` queries, and BROADCAST_BYTES, are sent at once; more queries mean
+    more scans of the vectors.
     """
+    return _scanned(queries, vectors, k, metric, broadcast_queries, None)
+
+
+def _scanned(
+    queries: DataFrame, vectors: DataFrame, k: int, metric: str, at_once: int, codes: SignCodes | None
+) -> DataFrame:
     queries, vectors, schema = _checked(queries, vectors, metric)
-    sent = queries.limit(broadcast_queries + 1).toArrow()
-    if sent.num_rows > broadcast_queries:
-        qn = _blocks(queries.count(), QUERY_BLOCK)
-        vn = _blocks(vectors.count(), VECTOR_BLOCK)
-        cells = _search_cells(
-            queries.withColumns({"qb": F.pmod(F.xxhash64("query_id"), qn), "vb": _each(vn)}),
-            vectors.withColumns({"vb": F.pmod(F.xxhash64("vec_id"), vn), "qb": _each(qn)}),
-            ["qb", "vb"],
-            k,
-            metric,
-            schema,
-        )
-        return _ranked(cells, k)
-    if not sent.num_rows:
+    size = queries.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("dim")).first()
+    if not size.rows:
         return _ranked(vectors.sparkSession.createDataFrame([], schema), k)
-    query_ids, matrix = _one(sent.column("query_id")), _matrix(_one(sent.column("embedding")))
-    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, matrix))
+    at_once = max(1, min(at_once, BROADCAST_BYTES // (8 * max(1, size.dim))))
+    blocks = -(-size.rows // at_once)
+    hits = None
+    for block in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
+        found = _scan(own.toArrow(), vectors, k, metric, schema, codes)
+        hits = found if hits is None else hits.unionAll(found)
+    return _ranked(hits, k)
+
+
+def _scan(
+    sent: pa.Table, vectors: DataFrame, k: int, metric: str, schema: str, codes: SignCodes | None
+) -> DataFrame:
+    query_ids = _one(sent.column("query_id"))
+    shared = vectors.sparkSession.sparkContext.broadcast((query_ids, _matrix(_one(sent.column("embedding")))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, wanted = shared.value
+        if not len(ids):
+            return
+        asked = codes.of(wanted) if codes else None
+
+        def allowed(part: slice, held: np.ndarray) -> np.ndarray:
+            own = codes.of(held)
+            mask = np.zeros((part.stop - part.start, len(held)), bool)
+            for table in range(own.shape[1]):
+                mask |= asked[part, table][:, None] == own[:, table][None, :]
+            return mask
+
+        best = None
         for batch in batches:
             if batch.num_rows:
-                yield _best(ids, wanted, batch, k, metric)
+                hits = _batch_hits(wanted, batch, k, metric, allowed if codes else None)
+                best = _best(hits if best is None else pa.concat_tables([best, hits]), k)
+        if best is not None:
+            columns = [ids.take(_one(best.column("at"))), _one(best.column("vec_id")), _one(best.column("score"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
-    return _ranked(vectors.mapInArrow(scan, schema), k)
+    return vectors.mapInArrow(scan, schema)
 
 
-def _blocks(rows: int, size: int) -> Column:
-    """Into how many blocks of about ``size`` rows to cut ``rows`` rows."""
-    return F.lit(max(1, -(-rows // size))).cast("bigint")
+class SignCodes:
+    """Hash codes of vectors: in each of several tables, the signs of a few random projections."""
 
+    def __init__(self, dim: int, tables: int, bits: int, seed: int) -> None:
+        self.tables, self.bits = tables, bits
+        self.planes = np.random.default_rng(seed).normal(size=(dim, tables * bits))
 
-def _each(blocks: Column) -> Column:
-    """One row for every block number."""
-    return F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    def of(self, vectors: np.ndarray) -> np.ndarray:
+        signs = (vectors @ self.planes > 0).reshape(len(vectors), self.tables, self.bits)
+        return signs @ (1 << np.arange(self.bits))
 
 
-def _search_cells(
-    queries: DataFrame, vectors: DataFrame, cell: list[str], k: int, metric: str, schema: str
-) -> DataFrame:
-    """The best ``k`` vectors per query inside every cell that holds both kinds of rows."""
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table(
-                {
-                    "query_id": pa.array([], left.schema.field("query_id").type),
-                    "vec_id": pa.array([], right.schema.field("vec_id").type),
-                    "score": pa.array([], pa.float64()),
-                }
-            )
-        best = _best(
-            _one(left.column("query_id")), _matrix(_one(left.column("embedding"))), right, k, metric
-        )
-        return pa.Table.from_batches([best])
-
-    # Fresh column ids on one side: both may come from the same table.
-    queries = queries.select(*[F.col(name).alias(name) for name in queries.columns])
-    return queries.groupBy(*cell).cogroup(vectors.groupBy(*cell)).applyInArrow(search, schema)
+def _sign_codes(queries: DataFrame, tables: int, bits: int, seed: int) -> SignCodes:
+    dim = queries.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return SignCodes(dim, tables, bits, seed)
 
 
 def vector_search_lsh(
@@ -182,52 +202,35 @@ def vector_search_lsh(
     k: int = 5,
     metric: str = "cosine",
     tables: int = 8,
-    bucket: float = 0.5,
+    bits: int = 4,
     seed: int = 7,
+    broadcast_queries: int = BROADCAST_QUERIES,
 ) -> DataFrame:
-    """Approximate :func:`vector_search`: only vectors that share a hash bucket are scored.
+    """Approximate :func:`vector_search`: only vectors that share a hash code are scored.
 
-    Buckets are those of Spark ML's bucketed random projections, one per hash table. A
-    bucket is cut into blocks of queries and blocks of vectors by its row counts, so a
-    bucket that holds a large share of the vectors is many bounded groups.
+    Two vectors are candidates if in one of ``tables`` tables the signs of all ``bits`` random
+    projections agree. Codes are compared where the vectors are scanned, so a pair that agrees
+    in several tables is scored once and a code that many vectors share is no large group. More
+    bits prune more, more tables find more.
     """
-    queries, vectors, schema = _checked(queries, vectors, metric)
-    hasher = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    )
-    model = hasher.fit(vectors.select(array_to_vector("embedding").alias("features")))
+    return _scanned(queries, vectors, k, metric, broadcast_queries, _sign_codes(queries, tables, bits, seed))
 
-    def bucketed(df: DataFrame) -> DataFrame:
-        hashed = model.transform(df.withColumn("features", array_to_vector("embedding")))
-        return hashed.select(
-            *df.columns, F.posexplode("hashes").alias("table", "hash")
-        ).select(
-            *df.columns, "table", vector_to_array("hash")[0].cast("bigint").alias("bucket")
-        )
 
-    asked, held = bucketed(queries), bucketed(vectors)
+def lsh_candidates(
+    queries: DataFrame, vectors: DataFrame, tables: int = 8, bits: int = 4, seed: int = 7
+) -> DataFrame:
+    """The distinct pairs ``(query_id, vec_id)`` that :func:`vector_search_lsh` scores, to measure its share."""
+    codes = _sign_codes(queries, tables, bits, seed)
 
-    def sizes(df: DataFrame, size: int, name: str) -> DataFrame:
-        return df.groupBy("table", "bucket").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+    def coded(df: DataFrame, name: str) -> DataFrame:
+        @F.arrow_udf("array<long>")
+        def code(embeddings: pa.Array) -> pa.Array:
+            own = codes.of(_matrix(embeddings)) if len(embeddings) else np.zeros((0, tables), np.int64)
+            return pa.array(list(own.astype(np.int64)), pa.list_(pa.int64()))
 
-    blocks = sizes(asked, QUERY_BLOCK, "qn").join(
-        sizes(held, VECTOR_BLOCK, "vn"), ["table", "bucket"]
-    )
-    cells_q = asked.join(blocks, ["table", "bucket"]).withColumns(
-        {"qb": F.pmod(F.xxhash64("query_id"), F.col("qn")), "vb": _each(F.col("vn"))}
-    )
-    cells_v = held.join(blocks, ["table", "bucket"]).withColumns(
-        {"vb": F.pmod(F.xxhash64("vec_id"), F.col("vn")), "qb": _each(F.col("qn"))}
-    )
-    cell = ["table", "bucket", "qb", "vb"]
-    hits = _search_cells(
-        cells_q.select(*cell, "query_id", "embedding"),
-        cells_v.select(*cell, "vec_id", "embedding"),
-        cell,
-        k,
-        metric,
-        schema,
-    )
-    return _ranked(
-        hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")), k
-    )
+        held = df.select(name, "embedding").dropna()
+        return held.select(name, F.posexplode(code(F.col("embedding"))).alias("table", "code"))
+
+    return coded(queries, "query_id").join(coded(vectors, "vec_id"), ["table", "code"]).select(
+        "query_id", "vec_id"
+    ).distinct()

@@ -38,18 +38,17 @@ def collect(df):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("sent", [1000, 0])
+@pytest.mark.parametrize("sent", [1000, 70])
 def test_exact_search(spark, points, metric, sent, monkeypatch):
     data, table = points
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 70)
-    monkeypatch.setattr(vectors, "VECTOR_BLOCK", 90)
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 8 * 8 * 150)
     monkeypatch.setattr(vectors, "SLICE", 2000)
     asked = table.withColumnRenamed("vec_id", "query_id")
     got = collect(vectors.vector_search(asked, table, 7, metric, broadcast_queries=sent))
     want = brute(data, 7, metric)
     assert set(got) == set(want)
     for query, hits in want.items():
-        assert [round(s, 9) for _, s in got[query]] == [round(s, 9) for _, s in hits]
+        assert [s for _, s in got[query]] == pytest.approx([s for _, s in hits], abs=1e-9)
 
 
 def test_no_queries_and_no_vectors(spark, points):
@@ -61,13 +60,29 @@ def test_no_queries_and_no_vectors(spark, points):
         vectors.vector_search(asked, table, metric="dot")
 
 
-def test_hashed_search_finds_most_neighbours(spark, points):
-    data, table = points
+def test_hashed_search_prunes_and_finds_most_neighbours(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 16))
+    data = (centres[np.arange(600) % 30] + rng.normal(scale=0.15, size=(600, 16))).astype(np.float32)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(data)], VEC).repartition(4)
     asked = table.withColumnRenamed("vec_id", "query_id")
-    exact = collect(vectors.vector_search(asked, table, 5, "l2"))
-    near = collect(vectors.vector_search_lsh(asked, table, 5, "l2", tables=10, bucket=4.0))
-    found = sum(len({v for v, _ in exact[q][:5]} & {v for v, _ in near.get(q, [])}) for q in exact)
-    assert found / (5 * len(exact)) > 0.8
+    exact = collect(vectors.vector_search(asked, table, 5))
+    near = collect(vectors.vector_search_lsh(asked, table, 5, tables=4, bits=8))
+    found = sum(len({v for v, _ in exact[q]} & {v for v, _ in near.get(q, [])}) for q in exact)
+    assert found / (5 * len(exact)) >= 0.9
+    pairs = vectors.lsh_candidates(asked, table, tables=4, bits=8)
+    assert pairs.count() <= 0.2 * 600 * 600
+    candidates = {(r.query_id, r.vec_id) for r in pairs.collect()}
     for query, hits in near.items():
         for vec, score in hits:
-            assert score == pytest.approx(-np.square(data[query] - data[vec]).sum(), abs=1e-9)
+            assert (query, vec) in candidates
+            a, b = data[query].astype(float), data[vec].astype(float)
+            assert score == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-9)
+
+
+def test_equal_vectors_rank_by_id(spark):
+    row = np.random.default_rng(1).normal(size=7).tolist()
+    table = spark.createDataFrame([(i, row) for i in range(200)], VEC).repartition(7)
+    asked = table.where("vec_id < 3").withColumnRenamed("vec_id", "query_id")
+    got = collect(vectors.vector_search(asked, table, 4))
+    assert {q: [v for v, _ in hits] for q, hits in got.items()} == dict.fromkeys(range(3), [0, 1, 2, 3])

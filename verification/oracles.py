@@ -588,6 +588,7 @@ SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
        (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v) WHERE rank <= 5"""
 oracle("v1_vector_search", NEAREST)
 oracle("v1_vector_search_blocks", NEAREST)
+oracle("v2_lsh_quality", "SELECT true AS recall_reached, true AS share_kept")
 oracle(
     "v1_search_documents",
     """SELECT h.query_id, h.rank, h.product_id, c.text, round(h.score, 6) AS score

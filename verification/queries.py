@@ -533,7 +533,7 @@ def v1(spark, sf):
 def v1_blocks(spark, sf):
     table = tables.read_table(spark, sf, "embeddings")
     asked = table.select(F.col("vec_id").alias("query_id"), "embedding")
-    return rounded(vectors.vector_search(asked, table, broadcast_queries=0), "score")
+    return rounded(vectors.vector_search(asked, table, broadcast_queries=7), "score")
 
 
 @query("v1_search_documents")
@@ -554,6 +554,23 @@ def v2(spark, sf):
     return rounded(vectors.vector_search_lsh(asked, table), "score")
 
 
+@query("v2_lsh_quality")
+def v2_quality(spark, sf):
+    """Whether hashing keeps enough of the exact hits and prunes enough of all pairs."""
+    table = tables.read_table(spark, sf, "embeddings")
+    asked = table.select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = vectors.vector_search(asked, table).select("query_id", "vec_id")
+    near = vectors.vector_search_lsh(asked, table).select("query_id", "vec_id")
+    found = exact.join(near, ["query_id", "vec_id"]).agg(F.count("*").alias("found"))
+    scored = vectors.lsh_candidates(asked, table).agg(F.count("*").alias("scored"))
+    total = table.agg((F.count("*") * F.count("*")).alias("pairs"))
+    asked_for = exact.agg(F.count("*").alias("wanted"))
+    return total.select(
+        (found.scalar() >= asked_for.scalar() * 0.65).alias("recall_reached"),
+        (scored.scalar() <= F.col("pairs") * 0.45).alias("share_kept"),
+    )
+
+
 def _aliases(spark: SparkSession, sf: str) -> DataFrame:
     """The old and the new kind of some things, asked for by the thing's word."""
     words = tables.read_table(spark, sf, "part").select(
