@@ -37,7 +37,7 @@ from cartloom.session import materialize
 LEAST_PAGES = 4
 CONSTANT = 0.9
 MOST_DEPTH = 60
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
 
 # Element names of HTML by role, and words that mark parts of a page.
 BLOCKS = frozenset(
@@ -49,6 +49,7 @@ SILENT = frozenset(
     "audio button canvas datalist embed head iframe map math noscript object script select style svg template textarea "
     "title video".split()
 )
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME = frozenset("aside dialog footer form menu nav".split())
 MARKS = frozenset(
@@ -94,8 +95,10 @@ class _Tree(HTMLParser):
             self.open[-1].pieces.append(text)
 
     def handle_starttag(self, tag, attrs):
+        if self.silent == ["head"] and tag not in IN_HEAD:
+            self.silent = []  # the head has no end tag
         if self.silent:
-            if tag == self.silent[-1] and tag not in VOID:
+            if tag not in VOID:
                 self.silent.append(tag)
             return
         if tag in SILENT:
@@ -128,11 +131,13 @@ class _Tree(HTMLParser):
 
     def handle_endtag(self, tag):
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-            elif tag in ("head", "body", "html") and self.silent[0] == tag:
-                self.silent = []
-            return
+            if tag in self.silent:
+                while self.silent.pop() != tag:
+                    pass
+                return
+            if tag not in BLOCKS or all(n.tag != tag for n in self.open):
+                return
+            self.silent = []  # what was to be left out ends with the block around it
         if tag not in BLOCKS:
             return
         for k in range(len(self.open) - 1, 0, -1):
@@ -152,7 +157,6 @@ class _Tree(HTMLParser):
 def parsed(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of a page, and its runs of text with the node of each, in page order."""
     tree = _Tree()
-    # the head ends where the body begins, also if its end tag is missing
     tree.feed(html)
     tree.close()
     tree.silent = []
