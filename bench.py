@@ -55,7 +55,7 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    for grain in ("name", "part", "recent"):
+    for grain in ("name", "part"):
         roles.warehouse(spark, folder, grain)
 
     seconds = {}

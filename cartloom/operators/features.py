@@ -95,11 +95,16 @@ def basket_affinity(
     small_sets = (
         sized.where(F.col("blocks").isNull())
         .groupBy("order_id")
-        .agg(F.collect_list("product_id").alias("left"))
-        .where(F.size("left") > 1)
-        .select("left", F.col("left").alias("right"), F.lit(True).alias("same"))
+        .agg(F.collect_list("product_id").alias("items"))
+        .where(F.size("items") > 1)
+        .select("items")
+    )
+    blocks = _block_sets(sized.where(F.col("blocks").isNotNull()))
+    pairs = (
+        _pairs_within(small_sets)
+        .unionAll(_pairs_within(blocks.where("same").select(F.col("left").alias("items"))))
+        .unionAll(_pairs_across(blocks.where("NOT same")))
     )
-    pairs = _pairs(small_sets).unionAll(_pairs(_block_sets(sized.where(F.col("blocks").isNotNull()))))
     counts = pairs.groupBy("product_id_a", "product_id_b").agg(
         F.count(F.lit(1)).alias("co_purchase_count")
     )
@@ -134,12 +139,21 @@ def _block_sets(items: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(sets: DataFrame) -> DataFrame:
-    """Pairs across the two arrays; each pair once where both arrays are the same set."""
+def _pairs_within(sets: DataFrame) -> DataFrame:
+    """Every pair of a set once: each item with the sorted ones after it."""
+    items = F.col("items")
+    return (
+        sets.select(F.sort_array("items").alias("items"))
+        .select(F.posexplode("items").alias("at", "product_id_a"), "items")
+        .select("product_id_a", F.explode(F.slice(items, F.col("at") + 2, F.size(items))).alias("product_id_b"))
+    )
+
+
+def _pairs_across(sets: DataFrame) -> DataFrame:
+    """Pairs of an item of the left and one of the right array, which share none."""
     return (
         sets.withColumn("l", F.explode("left"))
-        .select("l", "same", F.explode("right").alias("r"))
-        .where(~F.col("same") | (F.col("l") < F.col("r")))
+        .select("l", F.explode("right").alias("r"))
         .select(
             F.least("l", "r").alias("product_id_a"),
             F.greatest("l", "r").alias("product_id_b"),

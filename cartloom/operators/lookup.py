@@ -151,24 +151,41 @@ def build_documents(products: DataFrame, velocity: DataFrame) -> DataFrame:
     return with_demand(products, velocity).select("product_id", _card().alias("text"))
 
 
-def neighbours(keys: DataFrame, affinity: DataFrame, products: DataFrame) -> DataFrame:
-    """Known products bought together with the keyed ones."""
+def strongest_neighbours(
+    keys: DataFrame, affinity: DataFrame, products: DataFrame, k: int
+) -> DataFrame:
+    """The ``k`` known products most often bought with each keyed one, with name and department.
+
+    Each direction of the pair table is reduced to the keys where it is scanned. Only ids and
+    counts are cut to ``k`` rows; names are joined to what is left.
+    """
+    wanted = keys.select(F.col("product_id").alias("wanted")).distinct()
+    a, b = F.col("product_id_a"), F.col("product_id_b")
+
+    def one_way(here: Column, there: Column) -> DataFrame:
+        return affinity.join(wanted, here == F.col("wanted"), "left_semi").select(
+            here.alias("product_id"), there.alias("other_id"), "co_purchase_count"
+        )
+
+    known = lookup(
+        products.select(F.col("product_id").alias("other_id")),
+        one_way(a, b).unionAll(one_way(b, a)),
+        "other_id",
+    )
+    best = top_k(known, ["product_id"], [F.desc("co_purchase_count"), F.asc("other_id")], k)
     other = products.select(
         F.col("product_id").alias("other_id"), "product_name", "department_id"
     )
-    return lookup(keys, symmetric(affinity), "product_id").join(other, "other_id")
+    return best.join(other, "other_id")
 
 
 def co_purchase(
     keys: DataFrame, affinity: DataFrame, products: DataFrame, k: int = 10
 ) -> DataFrame:
     """The ``k`` products most often bought together with each keyed product."""
-    return top_k(
-        neighbours(keys, affinity, products),
-        ["product_id"],
-        [F.desc("co_purchase_count"), F.asc("other_id")],
-        k,
-    ).select("product_id", "rank", "other_id", "product_name", "co_purchase_count")
+    return strongest_neighbours(keys, affinity, products, k).select(
+        "product_id", "rank", "other_id", "product_name", "co_purchase_count"
+    )
 
 
 def popular_alternatives(departments: DataFrame, velocity: DataFrame, k: int = 10) -> DataFrame:
@@ -201,12 +218,7 @@ def promo_candidates(
     not every pair.
     """
     anchors = anchors.select(F.col("anchor_id").alias("product_id"))
-    best = top_k(
-        neighbours(anchors, affinity, products),
-        ["product_id"],
-        [F.desc("co_purchase_count"), F.asc("other_id")],
-        k,
-    )
+    best = strongest_neighbours(anchors, affinity, products, k)
     demand = velocity.select(F.col("product_id").alias("other_id"), "total_units", "reorder_rate")
     return best.join(demand, "other_id", "left").select(
         F.col("product_id").alias("anchor_id"),

@@ -19,7 +19,8 @@ from cartloom.sources.tables import read_table
 DEPARTMENTS = (
     ("ECONOMY", 1), ("LARGE", 2), ("MEDIUM", 3), ("PROMO", 4), ("SMALL", 5), ("STANDARD", 6),
 )
-RECENT = ("1998-01-01", "1998-02-01")
+#: Suppliers join the wide catalogue under ids from here on.
+SUPPLIER_IDS = 1_000_000_000
 
 
 @dataclass(frozen=True)
@@ -98,9 +99,18 @@ def to_names(lines: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
     return lines.join(ids, "product_id").select(*columns)
 
 
-def recent_lines(lines: DataFrame) -> DataFrame:
-    """Lines of one month, a window in which many products were not sold."""
-    return lines.where((F.col("order_ts") >= RECENT[0]) & (F.col("order_ts") < RECENT[1]))
+def with_suppliers(products: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """The catalogue and every supplier as a product that no line holds.
+
+    Suppliers are dealt to seven departments, of which the last has no sold product.
+    """
+    suppliers = read_table(spark, folder, "supplier").select(
+        (F.col("s_suppkey") + SUPPLIER_IDS).alias("product_id"),
+        F.col("s_name").alias("product_name"),
+        F.col("s_nationkey").cast("int").alias("aisle_id"),
+        (F.col("s_suppkey") % 7 + 1).cast("int").alias("department_id"),
+    )
+    return schemas.require(products.unionByName(suppliers), schemas.PRODUCTS)
 
 
 _written: dict[tuple[str, str, str], Warehouse] = {}
@@ -109,8 +119,8 @@ _written: dict[tuple[str, str, str], Warehouse] = {}
 def warehouse(spark: SparkSession, folder: str, grain: str = "name") -> Warehouse:
     """Catalogue and feature tables of a grain, the features written once per application.
 
-    ``grain`` is ``name``, ``part``, or ``recent`` for part grain with the features of one
-    month only.
+    ``grain`` is ``name``, ``part``, or ``wide`` for part grain with the suppliers as products
+    that were never sold.
     """
     key = (spark.sparkContext.applicationId, folder, grain)
     if key not in _written:
@@ -119,8 +129,8 @@ def warehouse(spark: SparkSession, folder: str, grain: str = "name") -> Warehous
         if grain == "name":
             products = name_products(spark, folder)
             lines, baskets = to_names(lines, spark, folder), to_names(baskets, spark, folder)
-        elif grain == "recent":
-            lines = baskets = recent_lines(lines)
+        elif grain == "wide":
+            products = with_suppliers(products, spark, folder)
         elif grain != "part":
             raise ValueError(f"unknown grain {grain!r}")
         _written[key] = Warehouse(
@@ -134,8 +144,8 @@ def warehouse(spark: SparkSession, folder: str, grain: str = "name") -> Warehous
 def queries(spark: SparkSession, folder: str) -> DataFrame:
     """Query texts found in the tables: ``(query_id, user_query)``.
 
-    Part names, the words of part names, benchmark texts and nation names. The last two
-    match no product name.
+    Part names, the words of part names, benchmark texts, nation names and supplier names. The
+    last three match no part name.
     """
 
     def texts(prefix: str, table: DataFrame, key: str, text: str) -> DataFrame:
@@ -151,6 +161,7 @@ def queries(spark: SparkSession, folder: str) -> DataFrame:
         .unionAll(texts("word-", words, "word", "word"))
         .unionAll(texts("item-", read_table(spark, folder, "benchmark"), "item_id", "text"))
         .unionAll(texts("nation-", read_table(spark, folder, "nation"), "n_name", "n_name"))
+        .unionAll(texts("supplier-", read_table(spark, folder, "supplier"), "s_suppkey", "s_name"))
     )
 
 

@@ -43,13 +43,14 @@ SELECT l_orderkey AS order_id, min_key AS product_id, o_custkey AS customer_id,
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
 JOIN (SELECT p_name AS key_name, min(p_partkey) AS min_key FROM part GROUP BY p_name)
   ON key_name = p_name"""
-RECENT_LINES = PART_LINES + """
-WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1998-02-01'"""
+WIDE_PRODUCTS = PART_PRODUCTS + """
+UNION ALL
+SELECT s_suppkey + 1000000000, s_name, s_nationkey, CAST(s_suppkey % 7 + 1 AS INTEGER) FROM supplier"""
 
 GRAINS = {
     "part": (PART_PRODUCTS, PART_LINES),
     "name": (NAME_PRODUCTS, NAME_LINES),
-    "recent": (PART_PRODUCTS, RECENT_LINES),
+    "wide": (WIDE_PRODUCTS, PART_LINES),
 }
 
 
@@ -100,7 +101,8 @@ SELECT 'part-' || p_partkey AS query_id, p_name AS user_query FROM part
 UNION ALL
 SELECT DISTINCT 'word-' || w, w FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part)
 UNION ALL SELECT 'item-' || item_id, text FROM benchmark
-UNION ALL SELECT 'nation-' || n_name, n_name FROM nation"""
+UNION ALL SELECT 'nation-' || n_name, n_name FROM nation
+UNION ALL SELECT 'supplier-' || s_suppkey, s_name FROM supplier"""
 # The nearest products of the queries that have a vector.
 HITS = """
 SELECT query_id, product_id, score, rank FROM (
@@ -140,9 +142,9 @@ def oracle(name: str, sql: str, grain: str | None = None, **extra: str) -> None:
 
 
 def oracle_of_grains(name: str, sql: str, **extra: str) -> None:
-    """Register SQL for a query over all lines and for its form over one month."""
+    """Register SQL for a query over all lines and for its form with suppliers."""
     oracle(name, sql, "part", **extra)
-    oracle(name + "_recent", sql, "recent", **extra)
+    oracle(name + "_wide", sql, "wide", **extra)
 
 
 R6 = "round(reorder_rate, 6) AS reorder_rate"
@@ -186,7 +188,7 @@ oracle(
     "part",
 )
 oracle("p1_with_demand", f"SELECT {DEMAND_COLUMNS} FROM demand", "part")
-oracle("p1_with_demand_recent", f"SELECT {DEMAND_COLUMNS} FROM demand", "recent")
+oracle("p1_with_demand_wide", f"SELECT {DEMAND_COLUMNS} FROM demand", "wide")
 oracle(
     "p2_lookup",
     VELOCITY_OUT + " WHERE product_id IN (SELECT l_partkey FROM lineitem)",
@@ -402,7 +404,7 @@ WHERE rank <= 12"""
 CANDIDATES_OUT = f"""SELECT anchor_id, rank, product_id, product_name, department_id,
   co_purchase_count, total_units, {R6} FROM candidates"""
 oracle("b1_candidates", CANDIDATES_OUT, "name", candidates=CANDIDATES)
-oracle("b1_candidates_recent", CANDIDATES_OUT, "recent", candidates=CANDIDATES)
+oracle("b1_candidates_wide", CANDIDATES_OUT, "wide", candidates=CANDIDATES)
 
 PENALTIES = " + ".join(
     f"CASE WHEN contains(lower(product_name), {quoted(word)}) THEN 12000 ELSE 0 END"

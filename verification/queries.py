@@ -51,11 +51,11 @@ def query(name: str) -> Callable[[Query], Query]:
 
 
 def query_of_grains(name: str) -> Callable:
-    """Register a query of a grain over all lines as ``name``, over one month as ``name_recent``."""
+    """Register a query of a grain of all parts as ``name``, with never-sold suppliers as ``name_wide``."""
 
     def add(function):
         QUERIES[name] = lambda spark, sf: function(spark, sf, "part")
-        QUERIES[name + "_recent"] = lambda spark, sf: function(spark, sf, "recent")
+        QUERIES[name + "_wide"] = lambda spark, sf: function(spark, sf, "wide")
         return function
 
     return add
@@ -167,9 +167,9 @@ def p1(spark, sf):
     return rounded(lookup.with_demand(house.products, house.velocity), "reorder_rate")
 
 
-@query("p1_with_demand_recent")
-def p1_recent(spark, sf):
-    house = roles.warehouse(spark, sf, "recent")
+@query("p1_with_demand_wide")
+def p1_wide(spark, sf):
+    house = roles.warehouse(spark, sf, "wide")
     return rounded(lookup.with_demand(house.products, house.velocity), "reorder_rate")
 
 
@@ -416,9 +416,9 @@ def b1(spark, sf):
     return rounded(_candidates(spark, sf), "reorder_rate")
 
 
-@query("b1_candidates_recent")
-def b1_recent(spark, sf):
-    house = roles.warehouse(spark, sf, "recent")
+@query("b1_candidates_wide")
+def b1_wide(spark, sf):
+    house = roles.warehouse(spark, sf, "wide")
     anchors = house.products.select(F.col("product_id").alias("anchor_id"))
     found = lookup.promo_candidates(anchors, house.affinity, house.products, house.velocity)
     return rounded(found, "reorder_rate")
