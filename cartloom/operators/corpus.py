@@ -174,6 +174,70 @@ def _latest(column: str, window) -> Column:
     return F.last(column, ignorenulls=True).over(before)
 
 
+_HEAD = "struct<pos: int, level: int, name: string, word: string>"
+_OPEN = "array<struct<level: int, name: string>>"
+_NEXT = "array<struct<level: int, pos: int>>"
+
+
+def _row_headings(pattern: str) -> Column:
+    """The lines of a row's text that open a block, in order."""
+    java = "(?U)" + pattern
+    heads = F.transform(
+        "lines",
+        lambda line, at: F.when(
+            line.rlike(java),
+            F.struct(
+                (at + 1).cast("int").alias("pos"),
+                F.length(F.regexp_extract(line, java, 1)).alias("level"),
+                F.regexp_extract(line, java, 3).alias("name"),
+                F.regexp_extract(line, java, 2).alias("word"),
+            ),
+        ),
+    )
+    return F.array_compact(heads).cast(f"array<{_HEAD}>")
+
+
+def _row_symbols() -> Column:
+    """Of every heading the names of the headings around it and its own, joined by dots.
+
+    Passing over the headings, the open ones are a stack of growing levels.
+    """
+    start = F.struct(
+        F.array().cast(_OPEN).alias("open"), F.array().cast("array<string>").alias("symbols")
+    )
+
+    def step(done: Column, head: Column) -> Column:
+        around = F.filter(done["open"], lambda one: one["level"] < head["level"])
+        names = F.concat(F.transform(around, lambda one: one["name"]), F.array(head["name"]))
+        own = F.array(F.struct(head["level"].alias("level"), head["name"].alias("name")))
+        return F.struct(
+            F.concat(around, own).cast(_OPEN).alias("open"),
+            F.concat(done["symbols"], F.array(F.array_join(names, "."))).cast("array<string>").alias("symbols"),
+        )
+
+    return F.aggregate("heads", start, step, lambda done: done["symbols"])
+
+
+def _row_ends() -> Column:
+    """Of every heading the last line before the next one of its own or a smaller level.
+
+    Passing over the headings from the end, those that can be next are a stack of growing levels.
+    """
+    start = F.struct(F.array().cast(_NEXT).alias("coming"), F.array().cast("array<int>").alias("ends"))
+
+    def step(done: Column, head: Column) -> Column:
+        nearest = F.get(F.reverse(F.filter(done["coming"], lambda one: one["level"] <= head["level"])), F.lit(0))
+        end = F.coalesce(nearest["pos"] - 1, F.size("lines")).cast("int")
+        own = F.array(F.struct(head["level"].alias("level"), head["pos"].alias("pos")))
+        beyond = F.filter(done["coming"], lambda one: one["level"] < head["level"])
+        return F.struct(
+            F.concat(beyond, own).cast(_NEXT).alias("coming"),
+            F.concat(done["ends"], F.array(end)).cast("array<int>").alias("ends"),
+        )
+
+    return F.reverse(F.aggregate(F.reverse("heads"), start, step, lambda done: done["ends"]))
+
+
 def chunk_blocks(
     docs: DataFrame,
     pattern: str = fixed.BLOCK_HEADING,
@@ -182,27 +246,25 @@ def chunk_blocks(
 ) -> DataFrame:
     """Texts cut at their headings; a text without any gives its head chunk.
 
-    Headings are written to the shared folder first. The blocks of a text meet it again
-    as one array per text, so the text is carried once and not once per block.
+    A text is cut inside its own row, so nothing is shuffled. For headings that come as rows
+    see :func:`segment_blocks`.
     """
-    headings = materialize(heading_lines(docs, pattern), "headings")
-    kind = F.lit(None).cast("string")
-    for word, label in kinds:
-        kind = F.when(F.col("word") == word, F.lit(label)).otherwise(kind)
-    blocks = (
-        segment_blocks(headings, headings.select("doc", "last").distinct())
-        .join(headings.select("doc", "pos", kind.alias("kind")), ["doc", "pos"])
-        .groupBy(F.col("doc").alias("path"))
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "end", "symbol", "kind"))).alias("blocks"))
-    )
     path = F.col("path")
-    cut = F.transform(
-        "blocks",
-        lambda block: _chunk(path, block["pos"], block["end"], block["symbol"], block["kind"]),
+    heads = _with_lines(docs).withColumn("heads", _row_headings(pattern))
+    blocks = F.arrays_zip(
+        F.col("heads"), _row_symbols().alias("symbol"), _row_ends().alias("end")
     )
-    whole = F.array(_head(head))
-    found = _with_lines(docs).join(blocks, "path", "left")
-    return found.select(F.coalesce(cut, whole).alias("chunks")).select(F.inline("chunks"))
+
+    def cut(block: Column) -> Column:
+        opened = block["heads"]
+        kind = F.lit(None).cast("string")
+        for word, label in kinds:
+            kind = F.when(opened["word"] == word, F.lit(label)).otherwise(kind)
+        return _chunk(path, opened["pos"], block["end"], block["symbol"], kind)
+
+    found = heads.select("path", "lines", blocks.alias("blocks"))
+    chunks = F.when(F.size("blocks") > 0, F.transform("blocks", cut)).otherwise(F.array(_head(head)))
+    return found.select(F.inline(chunks))
 
 
 def index_files(docs: DataFrame) -> DataFrame:

@@ -600,7 +600,8 @@ oracle(
 ALIASES = f"""
 SELECT DISTINCT keyword, unnest(['old ' || keyword, 'new ' || keyword]) AS product_name
 FROM (SELECT split_part(p_name, ' ', 2) AS keyword FROM part)
-WHERE keyword IN ({", ".join(map(quoted, ALIAS_WORDS))})"""
+WHERE keyword IN ({", ".join(map(quoted, ALIAS_WORDS))})
+UNION ALL SELECT lower(s_name), s_name FROM supplier"""
 PRODUCT_CHOICE = """
 SELECT q.query_id, coalesce(a.product_id, h.product_id) AS product_id,
        CASE WHEN a.product_id IS NOT NULL THEN 'alias' WHEN h.product_id IS NOT NULL THEN 'hit'

@@ -572,11 +572,11 @@ def v2_quality(spark, sf):
 
 
 def _aliases(spark: SparkSession, sf: str) -> DataFrame:
-    """The old and the new kind of some things, asked for by the thing's word."""
+    """The old and the new kind of some things, asked for by the thing's word; suppliers by name."""
     words = tables.read_table(spark, sf, "part").select(
         F.split_part("p_name", F.lit(" "), F.lit(2)).alias("keyword")
     )
-    return (
+    kinds = (
         words.distinct()
         .where(F.col("keyword").isin(*ALIAS_WORDS))
         .select(
@@ -589,6 +589,8 @@ def _aliases(spark: SparkSession, sf: str) -> DataFrame:
             ).alias("product_name"),
         )
     )
+    suppliers = tables.read_table(spark, sf, "supplier")
+    return kinds.unionAll(suppliers.select(F.lower("s_name"), "s_name"))
 
 
 def _part_hits(spark: SparkSession, sf: str, house: roles.Warehouse) -> DataFrame:
