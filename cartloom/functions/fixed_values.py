@@ -133,3 +133,10 @@ TEXT_WHY = (
 )
 TEXT_CHOSEN = "Chosen product (after intent + canonical matching):"
 TEXT_NO_PAIRS = "- No strong co-purchase pairs found in affinity table."
+# Labels of the lines of a bundle, a recommendation and a card of an unknown product.
+TEXT_SCORE = ". Bundle Score="
+TEXT_LABELS = ("Theme", "Offer", "Confidence", "Expected impact", "Placement")
+TEXT_IS_ANCHOR = " (Anchor)"
+TEXT_TOGETHER = "Frequently bought together (based on basket affinity) for product_id="
+TEXT_POPULAR = "Popular alternatives in the same department (department_id="
+TEXT_UNKNOWN = " (not found)"

@@ -227,19 +227,17 @@ def render_bundles(bundles: Column, card: Column) -> Column:
         def labelled(label: str, value: Column) -> Column:
             return F.concat(F.lit(f"   {label}: "), value)
 
+        told = [bundle[name] for name in ("theme", "offer", "confidence", "expected_impact")]
+        told.append(F.array_join(bundle["placement"], ", "))
         return F.concat_ws(
             "\n",
             F.concat(
                 bundle["rank"].cast("string"),
-                F.lit(". Bundle Score="),
+                F.lit(fixed.TEXT_SCORE),
                 bundle["bundle_score"].cast("decimal(20,1)").cast("string"),
             ),
-            labelled("Theme", bundle["theme"]),
-            labelled("Offer", bundle["offer"]),
-            labelled("Confidence", bundle["confidence"]),
-            labelled("Expected impact", bundle["expected_impact"]),
-            labelled("Placement", F.array_join(bundle["placement"], ", ")),
-            F.concat(F.lit("   - "), bundle["anchor"]["product_name"], F.lit(" (Anchor)")),
+            *(labelled(*pair) for pair in zip(fixed.TEXT_LABELS, told, strict=True)),
+            F.concat(F.lit("   - "), bundle["anchor"]["product_name"], F.lit(fixed.TEXT_IS_ANCHOR)),
             item_line(bundle["add_ons"][0]),
             item_line(bundle["add_ons"][1]),
             F.lit(""),

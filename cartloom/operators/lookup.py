@@ -121,7 +121,7 @@ def product_card(keys: DataFrame, products: DataFrame, velocity: DataFrame) -> D
     """The card of every requested product; an unknown id gets a stub with no fields."""
     asked = keys.select("product_id").distinct()
     known = with_demand(products, velocity).withColumn("known", F.lit(True))
-    stub = F.concat(F.lit("Product ID: "), F.col("product_id").cast("string"), F.lit(" (not found)"))
+    stub = F.concat(F.lit("Product ID: "), F.col("product_id").cast("string"), F.lit(fixed.TEXT_UNKNOWN))
     return asked.join(known, "product_id", "left").select(
         "product_id",
         "product_name",

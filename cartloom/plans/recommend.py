@@ -167,14 +167,14 @@ def _text_parts(lines: Column) -> list[Column]:
     popular = F.col("source") == "popular"
     department = F.col("department_id").cast("string")
     heading = F.concat(
-        F.lit("Popular alternatives in the same department (department_id="), department, F.lit("):")
+        F.lit(fixed.TEXT_POPULAR), department, F.lit("):")
     )
     return [
         F.lit(fixed.TEXT_CHOSEN),
         F.col("card"),
         F.lit(""),
         F.concat(
-            F.lit("Frequently bought together (based on basket affinity) for product_id="),
+            F.lit(fixed.TEXT_TOGETHER),
             chosen,
             F.lit(":"),
         ),

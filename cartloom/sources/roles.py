@@ -113,16 +113,25 @@ def with_suppliers(products: DataFrame, spark: SparkSession, folder: str) -> Dat
     return schemas.require(products.unionByName(suppliers), schemas.PRODUCTS)
 
 
-_written: dict[tuple[str, str, str], Warehouse] = {}
+_written: dict[tuple, Warehouse] = {}
+
+
+def _changed_at(spark: SparkSession, folder: str) -> tuple[int, ...]:
+    """When each of the tables behind a warehouse was last written."""
+    out = []
+    for name in ("lineitem", "orders", "part", "supplier"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        out.append(path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime())
+    return tuple(out)
 
 
 def warehouse(spark: SparkSession, folder: str, grain: str = "name") -> Warehouse:
-    """Catalogue and feature tables of a grain, the features written once per application.
+    """Catalogue and feature tables of a grain, the features written once for unchanged tables.
 
     ``grain`` is ``name``, ``part``, or ``wide`` for part grain with the suppliers as products
     that were never sold.
     """
-    key = (spark.sparkContext.applicationId, folder, grain)
+    key = (spark.sparkContext.applicationId, folder, grain, _changed_at(spark, folder))
     if key not in _written:
         products, lines = part_products(spark, folder), part_lines(spark, folder)
         baskets = part_baskets(spark, folder)

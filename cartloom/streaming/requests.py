@@ -2,7 +2,7 @@
 
 The feature tables are static, so a micro-batch is an ordinary batch plan. Results and
 log go to a folder per batch that a repeated batch overwrites, so a restart after a lost
-driver neither drops nor doubles requests.
+driver neither drops nor doubles requests. Intermediate tables of a batch are deleted after it.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from cartloom.session import materialize
+from cartloom.session import materialize, scratch_scope
 from cartloom.sources.runlog import run_log
 
 
@@ -27,11 +27,12 @@ def serve(
     """Answer a stream ``(query_id, user_query)`` with ``answer``, a promotion run over a batch."""
 
     def batch(queries: DataFrame, batch_id: int) -> None:
-        promoted = materialize(answer(queries), f"batch-{batch_id}")
-        promoted.write.mode("overwrite").parquet(f"{results_path}/batch={batch_id}")
-        run_log(promoted, str(batch_id)).write.mode("overwrite").parquet(
-            f"{log_path}/batch={batch_id}"
-        )
+        with scratch_scope(queries.sparkSession):
+            promoted = materialize(answer(queries), f"batch-{batch_id}")
+            promoted.write.mode("overwrite").parquet(f"{results_path}/batch={batch_id}")
+            run_log(promoted, str(batch_id)).write.mode("overwrite").parquet(
+                f"{log_path}/batch={batch_id}"
+            )
 
     writer = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint_path)
     return writer.trigger(**trigger).start() if trigger else writer.start()

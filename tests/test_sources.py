@@ -10,7 +10,7 @@ from cartloom import schemas
 from cartloom.operators import corpus, lookup
 from cartloom.plans import promote as promotion
 from cartloom.plans.retrieve import build_store
-from cartloom.session import materialize, scratch_path, shared_dir
+from cartloom.session import materialize, scratch_path, scratch_scope, shared_dir
 from cartloom.sources import documents, runlog, tables, text
 from cartloom.streaming.requests import serve
 
@@ -72,10 +72,32 @@ def test_text_tree(spark, tmp_path):
         path.write_bytes(body.encode())
     got = {r.path: r.text for r in text.read_text_tree(spark, str(tmp_path)).collect()}
     assert got == {
-        "a.py": "def f(:\n", "sub dir/b+c.MD": "é\r\nx", "sub/site/keep.md": "yes",
+        "a.py": "def f(:\n", "sub dir/b+c.MD": "é\r\nx", "sub/site/keep.md": "yes", "d.sql": "",
     }
 
 
+def test_hidden_and_empty_files_are_read(spark, tmp_path):
+    want = {
+        "pkg/__init__.py": "", "pkg/_private.py": "x = 1\n", "pkg/mod.py": "y\n", ".github/build.yml": "on: push\n",
+        "_build/é+ b.md": "text é", "pkg/empty.py": "", "pkg/part=1/m.md": "m",
+    }
+    for name, body in {**want, "__pycache__/c.py": "no", "pkg/_SUCCESS": ""}.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(body.encode())
+    got = [tuple(r) for r in text.read_text_tree(spark, str(tmp_path)).select("path", "text").collect()]
+    assert sorted(got) == sorted(want.items())
+
+
+def test_scratch_of_a_scope_is_deleted(spark):
+    with scratch_scope(spark):
+        inside = materialize(spark.range(3), "inside")
+        path = inside.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    assert materialize(spark.range(3), "outside").count() == 3
+
+
 @pytest.mark.parametrize("file_format", ["json", "parquet"])
 def test_chunks_round_trip(spark, tmp_path, file_format):
     docs = spark.createDataFrame([("a.md", 'l1\n"l2"\tü'), ("b.md", "x")], "path string, text string")
