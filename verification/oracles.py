@@ -557,28 +557,35 @@ JOIN candidates a ON a.anchor_id = d.anchor_id AND a.product_id = d.product_id_1
 JOIN candidates b ON b.anchor_id = d.anchor_id AND b.product_id = d.product_id_2
 GROUP BY d.anchor_id, d.exempt"""
 HEAD = "\n".join([fixed.TEXT_HEAD, "", fixed.TEXT_ANCHOR, ""])
-oracle(
-    "b7_render",
-    f"""SELECT a.query_id, CASE WHEN a.anchor_id IS NULL THEN 'no_anchor' ELSE 'ok' END AS status,
-          CASE WHEN a.anchor_id IS NULL THEN {quoted(fixed.TEXT_NO_ANCHOR)}
-          ELSE {quoted(HEAD)} || c.text || chr(10) || chr(10) || {quoted(fixed.TEXT_BUNDLES)} || chr(10)
-            || b.body || chr(10) || {quoted(chr(10).join(fixed.TEXT_WHY))} END AS result_text
-        FROM asked a LEFT JOIN cards c ON c.product_id = a.anchor_id
-        LEFT JOIN blocks b ON b.anchor_id = a.anchor_id AND b.exempt = a.exempt""",
-    "name",
-    **PROMOTION,
-    blocks=BLOCKS,
-)
+RENDERED = f"""
+SELECT a.query_id, CASE WHEN a.anchor_id IS NULL THEN 'no_anchor' ELSE 'ok' END AS status,
+       CASE WHEN a.anchor_id IS NULL THEN {quoted(fixed.TEXT_NO_ANCHOR)}
+       ELSE {quoted(HEAD)} || c.text || chr(10) || chr(10) || {quoted(fixed.TEXT_BUNDLES)} || chr(10)
+         || b.body || chr(10) || {quoted(chr(10).join(fixed.TEXT_WHY))} END AS result_text
+FROM asked a LEFT JOIN cards c ON c.product_id = a.anchor_id
+LEFT JOIN blocks b ON b.anchor_id = a.anchor_id AND b.exempt = a.exempt"""
+oracle("b7_render", RENDERED, "name", **PROMOTION, blocks=BLOCKS)
 oracle(
     "s9_run_log",
     """SELECT sha256('batch-1|' || a.query_id) AS run_id, a.user_query AS query,
-              '/promo-recommendations' AS endpoint, false AS debug, 'ok' AS status,
-              (SELECT count(*) FROM decorated d WHERE d.anchor_id = a.anchor_id AND d.exempt = a.exempt)
-                AS bundle_count, a.anchor_id AS anchor_product_id,
-              substr(p.product_name, 1, 200) AS anchor_name
-       FROM asked a LEFT JOIN products p ON p.product_id = a.anchor_id""",
+              '/promo-recommendations' AS endpoint, false AS debug,
+              CASE WHEN starts_with(a.query_id, 'nation-') THEN 'error' ELSE 'ok' END AS status,
+              length(a.user_query) * CAST(1.5 AS DOUBLE) AS latency_ms,
+              n AS bundle_count, a.anchor_id AS anchor_product_id,
+              substr(repeat(p.product_name, 30), 1, 200) AS anchor_name,
+              CASE WHEN starts_with(a.query_id, 'nation-') THEN substr(repeat(a.user_query, 200), 1, 500) END
+                AS error_message,
+              '2024-05-06' AS run_day, a.user_query AS payload_query, r.result_text AS payload_text,
+              (SELECT theme FROM decorated d WHERE d.anchor_id = a.anchor_id AND d.exempt = a.exempt AND d.rank = 1)
+                AS payload_theme,
+              n AS payload_bundles
+       FROM (SELECT *, (SELECT count(*) FROM decorated d WHERE d.anchor_id = k.anchor_id AND d.exempt = k.exempt)
+               AS n FROM asked k) a
+       JOIN rendered r ON r.query_id = a.query_id LEFT JOIN products p ON p.product_id = a.anchor_id""",
     "name",
     **PROMOTION,
+    blocks=BLOCKS,
+    rendered=RENDERED,
 )
 
 # Retrieval and recommendation
@@ -743,6 +750,34 @@ SELECT doc, pos, level, name, "end", coalesce((
          WHERE p.doc = b.doc AND p.pos < b.pos AND b.pos <= p."end"
        ) || '.', '') || name AS symbol
 FROM blocks b"""
+oracle(
+    "t3_index_files",
+    corpus_sql(
+        """SELECT path, symbol, kind, CAST(nr AS INTEGER) AS start_line, CAST(last AS INTEGER) AS end_line,
+                  (SELECT string_agg(l.line, chr(10) ORDER BY l.nr) FROM code l
+                   WHERE l.path = n.path AND l.nr BETWEEN n.nr AND n.last) AS text
+           FROM named n
+           UNION ALL
+           SELECT path, path, 'file', 1, CAST(max(nr) AS INTEGER), string_agg(line, chr(10) ORDER BY nr)
+           FROM code WHERE path NOT IN (SELECT path FROM heads) GROUP BY path
+           UNION ALL SELECT * FROM plain""",
+        code="""SELECT 'conv' || conv_id || '.py' AS path, role, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nr,
+                       CASE role WHEN 'user' THEN 'class User' || turn || ':'
+                                 WHEN 'assistant' THEN '    def turn' || turn || '(self):' ELSE '        pass' END AS line
+                FROM conversations""",
+        heads="""SELECT path, nr, CASE role WHEN 'user' THEN 0 ELSE 4 END AS level,
+                        CASE role WHEN 'user' THEN 'class' ELSE 'function' END AS kind,
+                        CASE role WHEN 'user' THEN 'User' ELSE 'turn' END || turn AS name
+                 FROM code WHERE role IN ('user', 'assistant')""",
+        spans="""SELECT h.*, coalesce((SELECT min(o.nr) - 1 FROM heads o
+                   WHERE o.path = h.path AND o.nr > h.nr AND o.level <= h.level),
+                   (SELECT max(nr) FROM code l WHERE l.path = h.path)) AS last FROM heads h""",
+        named="""SELECT s.*, coalesce((SELECT string_agg(p.name, '.' ORDER BY p.nr) FROM spans p
+                   WHERE p.path = s.path AND p.nr < s.nr AND s.nr <= p.last) || '.', '') || name AS symbol
+                 FROM spans s""",
+        plain=chunks(fixed.CHUNK_LINES),
+    ),
+)
 oracle("t3_segment_blocks", SEGMENTS)
 oracle("t3_segment_blocks_pieces", SEGMENTS)
 oracle(

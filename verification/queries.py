@@ -706,11 +706,26 @@ def s8(spark, sf):
 
 @query("s9_run_log")
 def s9(spark, sf):
+    """All columns of the log; long names, failed requests with long messages, and the payload's fields."""
     path = scratch_path(spark, "runs")
-    runlog.append_run_log(runlog.run_log(_promoted(spark, sf), "batch-1"), path)
+    promoted = _promoted(spark, sf).withColumn("anchor_name", F.repeat("anchor_name", F.lit(30)))
+    failed = F.startswith("query_id", F.lit("nation-"))
+    log = runlog.run_log(
+        promoted,
+        "batch-1",
+        latency_ms=F.length("user_query") * 1.5,
+        error=F.when(failed, F.repeat("user_query", F.lit(200))),
+        run_date=F.lit("2024-05-06").cast("date"),
+    )
+    runlog.append_run_log(log, path)
+    payload = lambda field: F.get_json_object("payload", f"$.{field}")
     return spark.read.parquet(path).select(
-        "run_id", "query", "endpoint", "debug", "status", "bundle_count", "anchor_product_id",
-        "anchor_name",
+        "run_id", "query", "endpoint", "debug", "status", "latency_ms", "bundle_count", "anchor_product_id",
+        "anchor_name", "error_message", F.date_format("run_date", "yyyy-MM-dd").alias("run_day"),
+        payload("query").alias("payload_query"),
+        payload("result_text").alias("payload_text"),
+        payload("bundles[0].theme").alias("payload_theme"),
+        F.coalesce(F.json_array_length(payload("bundles")), F.lit(0)).cast("bigint").alias("payload_bundles"),
     )
 
 
@@ -776,6 +791,22 @@ def t3_chunks(spark, sf):
     )
 
 
+@query("t3_index_files")
+def t3_index(spark, sf):
+    """Conversations written as code, a class per question and a method per answer, and the documents."""
+    turns = tables.read_table(spark, sf, "conversations")
+    number = F.col("turn").cast("string")
+    line = (
+        F.when(F.col("role") == "user", F.concat(F.lit("class User"), number, F.lit(":")))
+        .when(F.col("role") == "assistant", F.concat(F.lit("    def turn"), number, F.lit("(self):")))
+        .otherwise("        pass")
+    )
+    code = corpus.concat_ordered(turns.withColumn("line", line), "conv_id", "turn", "line").select(
+        F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".py")).alias("path"), "text"
+    )
+    return corpus.index_files(code.unionByName(roles.corpus(spark, sf)))
+
+
 def _words(spark: SparkSession, sf: str) -> DataFrame:
     """The words of part names and the languages of documents as search terms."""
     words = tables.read_table(spark, sf, "part").select(F.explode(F.split("p_name", " ")))
