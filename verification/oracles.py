@@ -532,15 +532,15 @@ QUERY_ANCHORS = "SELECT DISTINCT anchor_id, exempt FROM asked WHERE anchor_id IS
 PROMOTION = dict(
     named=NAMED, chosen=CHOSEN, asked=ASKED, anchors=QUERY_ANCHORS, **CHAIN, decorated=DECORATED
 )
-oracle(
-    "b8_promote",
-    """SELECT a.query_id, a.anchor_id, CASE WHEN a.anchor_id IS NULL THEN 'no_anchor' ELSE 'ok' END
-              AS status, d.rank, round(d.score, 1) AS bundle_score, d.theme, d.offer, d.confidence,
-              d.expected_impact, d.placement, d.product_id_1, d.product_id_2, d.min_count
-       FROM asked a LEFT JOIN decorated d ON d.anchor_id = a.anchor_id AND d.exempt = a.exempt""",
-    "name",
-    **PROMOTION,
-)
+STATUS = """CASE WHEN a.anchor_id IS NULL THEN 'no_anchor'
+            WHEN NOT EXISTS (SELECT 1 FROM candidates k WHERE k.anchor_id = a.anchor_id) THEN 'no_candidates'
+            WHEN NOT EXISTS (SELECT 1 FROM decorated k WHERE k.anchor_id = a.anchor_id AND k.exempt = a.exempt)
+            THEN 'no_bundles' ELSE 'ok' END AS status"""
+PROMOTED = f"""SELECT a.query_id, a.anchor_id, {STATUS}, d.rank, round(d.score, 1) AS bundle_score, d.theme, d.offer,
+              d.confidence, d.expected_impact, d.placement, d.product_id_1, d.product_id_2, d.min_count
+       FROM asked a LEFT JOIN decorated d ON d.anchor_id = a.anchor_id AND d.exempt = a.exempt"""
+oracle("b8_promote", PROMOTED, "name", **PROMOTION)
+oracle("b8_promote_wide", PROMOTED, "wide", **PROMOTION)
 ITEM = """'   - ' || {0}.product_name || ' (affinity=' || {0}.co_purchase_count || ', rr='
   || CAST(CAST({0}.reorder_rate AS DECIMAL(10,3)) AS VARCHAR) || ', units=' || {0}.total_units || ')'"""
 BLOCKS = f"""
@@ -558,12 +558,15 @@ JOIN candidates b ON b.anchor_id = d.anchor_id AND b.product_id = d.product_id_2
 GROUP BY d.anchor_id, d.exempt"""
 HEAD = "\n".join([fixed.TEXT_HEAD, "", fixed.TEXT_ANCHOR, ""])
 RENDERED = f"""
-SELECT a.query_id, CASE WHEN a.anchor_id IS NULL THEN 'no_anchor' ELSE 'ok' END AS status,
-       CASE WHEN a.anchor_id IS NULL THEN {quoted(fixed.TEXT_NO_ANCHOR)}
-       ELSE {quoted(HEAD)} || c.text || chr(10) || chr(10) || {quoted(fixed.TEXT_BUNDLES)} || chr(10)
-         || b.body || chr(10) || {quoted(chr(10).join(fixed.TEXT_WHY))} END AS result_text
-FROM asked a LEFT JOIN cards c ON c.product_id = a.anchor_id
-LEFT JOIN blocks b ON b.anchor_id = a.anchor_id AND b.exempt = a.exempt"""
+SELECT query_id, status, CASE status WHEN 'no_anchor' THEN {quoted(fixed.TEXT_NO_ANCHOR)}
+       WHEN 'ok' THEN {quoted(HEAD)} || text || chr(10) || chr(10) || {quoted(fixed.TEXT_BUNDLES)} || chr(10)
+         || body || chr(10) || {quoted(chr(10).join(fixed.TEXT_WHY))}
+       ELSE 'Anchor: ' || product_name || '. ' || CASE status WHEN 'no_bundles'
+         THEN {quoted(fixed.TEXT_NO_BUNDLES)} ELSE {quoted(fixed.TEXT_NO_CANDIDATES)} END END AS result_text
+FROM (SELECT a.query_id, {STATUS}, c.text, c.product_name, b.body
+      FROM asked a LEFT JOIN cards c ON c.product_id = a.anchor_id
+      LEFT JOIN blocks b ON b.anchor_id = a.anchor_id AND b.exempt = a.exempt)"""
+oracle("b7_render_wide", RENDERED, "wide", **PROMOTION, blocks=BLOCKS)
 oracle("b7_render", RENDERED, "name", **PROMOTION, blocks=BLOCKS)
 oracle(
     "s9_run_log",

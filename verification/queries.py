@@ -404,8 +404,8 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return bundles.score_pairs(sets, WEIGHTS)
 
 
-def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    products = roles.warehouse(spark, sf).products
+def _hits(spark: SparkSession, sf: str, grain: str = "name") -> DataFrame:
+    products = roles.warehouse(spark, sf, grain).products
     return retrieval.retrieve(
         roles.query_vectors(spark, sf), roles.product_vectors(spark, sf, products)
     )
@@ -494,11 +494,11 @@ def b6(spark, sf):
     )
 
 
-def _promoted(spark: SparkSession, sf: str) -> DataFrame:
-    house = roles.warehouse(spark, sf)
+def _promoted(spark: SparkSession, sf: str, grain: str = "name") -> DataFrame:
+    house = roles.warehouse(spark, sf, grain)
     return promotion.promote(
         roles.queries(spark, sf),
-        _hits(spark, sf),
+        _hits(spark, sf, grain),
         house.products,
         house.velocity,
         house.affinity,
@@ -519,6 +519,17 @@ def b8(spark, sf):
     return promotion.flat_bundles(_promoted(spark, sf))
 
 
+@query("b8_promote_wide")
+def b8_wide(spark, sf):
+    """Every part and supplier as a product; suppliers have no candidates."""
+    return promotion.flat_bundles(_promoted(spark, sf, "wide"))
+
+
+@query("b7_render_wide")
+def b7_wide(spark, sf):
+    return _promoted(spark, sf, "wide").select("query_id", "status", "result_text")
+
+
 # Retrieval and recommendation
 
 
