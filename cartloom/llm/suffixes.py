@@ -39,9 +39,9 @@ from cartloom.session import materialize
 
 SPAN, GRAM = 50, 20
 #: Bytes of text per bucket of anchors, which bounds what one task holds.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 #: Bytes of text whose runs are collapsed together before they are sent.
-FLUSH_BYTES = 16 << 20
+FLUSH_BYTES = 8 << 20
 _CHUNK = 1 << 16
 
 
