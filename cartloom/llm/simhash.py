@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from cartloom.llm import words
 from cartloom.llm.components import components
@@ -222,29 +223,75 @@ def near_copies(documents: DataFrame, radius: int = RADIUS, shingle: int = SHING
 #: Fingerprints of the set of words, beside the one of shingles; a few changed words leave that set
 #: nearly as it is, and each further hash gives near copies another chance to be within the radius.
 WORD_PRINTS = 8
-JACCARD, JACCARD_SHINGLE, ROUNDS = 0.8, 5, 3
+JACCARD, JACCARD_SHINGLE = 0.8, 5
+#: Leading texts of a component that a round settles, and about the others that meet them in one task.
+LEAD_BLOCK = 256
 _NO_ID = (1 << 63) - 1
 
 
-def _shingle_set(text: str, n: int) -> set[bytes]:
-    return set(_features(text.encode(), n))
-
-
-def jaccard(left: Column, right: Column, n: int = JACCARD_SHINGLE) -> Column:
-    """Similarity of the sets of word shingles of two texts; texts without words are equal."""
-
-    @F.arrow_udf("double")
-    def similarity(lefts: pa.Array, rights: pa.Array) -> pa.Array:
-        out, last, known = [], None, set()
-        for a, b in zip(lefts.to_pylist(), rights.to_pylist(), strict=True):
-            if b != last:
-                last, known = b, _shingle_set(b, n)
-            own = _shingle_set(a, n)
-            both = len(own & known)
-            out.append(both / (len(own) + len(known) - both) if own or known else 1.0)
-        return pa.array(out, pa.float64())
-
-    return similarity(left, right)
+def _shingles(text: str, n: int = JACCARD_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
+    found = set(_features(text.encode(), n))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(f) for f in found), np.uint64, len(found)))
+
+
+class _Leads:
+    """Texts that stay, by shingle, for the similarity of another text with all of them at once."""
+
+    def __init__(self) -> None:
+        self.sizes: list[int] = []
+        self.hashes, self.owners = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, own: np.ndarray) -> None:
+        at = np.searchsorted(self.hashes, own)
+        self.hashes, self.owners = np.insert(self.hashes, at, own), np.insert(self.owners, at, len(self.sizes))
+        self.sizes.append(len(own))
+
+    def any_like(self, own: np.ndarray) -> bool:
+        """Whether one of them is ``JACCARD`` similar; texts without words are equal."""
+        sizes = np.array(self.sizes, np.int64)
+        if not len(own):
+            return bool((sizes == 0).any())
+        first, last = np.searchsorted(self.hashes, own), np.searchsorted(self.hashes, own, "right")
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owners[at], minlength=len(sizes))
+        return bool((both / (len(own) + sizes - both) >= JACCARD).any())
+
+
+def _settle(group: pa.Table) -> pa.Table:
+    """The verdicts of one chunk: ``similar`` goes, ``left`` is for the next round; a lead that stays has no row."""
+    rows = sorted(zip(*[group.column(c).to_pylist() for c in ("lead", "id", "h1", "h2", "chunk", "text")], strict=True),
+                  key=lambda x: (not x[0], x[1:4]))
+    leads, out = _Leads(), []
+    for lead, id_, h1, h2, chunk, text in rows:
+        own = _shingles(text)
+        similar = leads.any_like(own)
+        if lead and not similar:
+            leads.add(own)
+        elif not lead or chunk == 0:  # every chunk settles the leads, the first reports them
+            out.append((id_, h1, h2, similar))
+    columns = [pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64()] * 3 + [pa.bool_()])]
+    return pa.Table.from_arrays(columns, ["id", "h1", "h2", "similar"])
+
+
+def _one_round(left: DataFrame, block: int) -> DataFrame:
+    """(id, h1, h2, similar) of ``left (root, id, h1, h2, text)`` against the ``block`` smallest of each root.
+
+    These are settled among themselves; every other text meets those that stay, in chunks that
+    each get a copy of them, so no task holds a component.
+    """
+    key = ["id", "h1", "h2"]
+    nth = F.row_number().over(Window.partitionBy("root").orderBy(*key))
+    leads = left.select("root", *key).withColumn("nth", nth).where(F.col("nth") <= block).select(*key, F.lit(True).alias("lead"))
+    chunks = left.groupBy("root").agg(F.count("*").alias("n")).select(
+        "root", F.greatest(F.lit(1), F.ceil((F.col("n") - block) / block)).cast("int").alias("chunks")
+    )
+    marked = left.join(leads, key, "left").join(chunks, "root").withColumn("lead", F.coalesce("lead", F.lit(False)))
+    own = F.array(F.pmod(F.col("h1"), F.col("chunks")).cast("int"))
+    chunk = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)
+    dealt = marked.select("root", *key, "lead", "text", F.explode(chunk).alias("chunk"))
+    return dealt.groupBy("root", "chunk").applyInArrow(_settle, "id long, h1 long, h2 long, similar boolean")
 
 
 def prints(text: Column, n: int = WORD_PRINTS) -> Column:
@@ -289,13 +336,14 @@ def candidate_groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
     return components(found).select(F.col("node").alias("id"), "root")
 
 
-def without_copies(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+def without_copies(documents: DataFrame, radius: int = RADIUS, block: int = LEAD_BLOCK) -> DataFrame:
     """One document of each group of near copies, all columns.
 
-    Candidates are the components of several fingerprints. Inside a component, texts are compared
-    with the smallest document: those of at least ``JACCARD`` by shingles of five words are its
-    copies and go. What is left over is compared with its own smallest document, ``ROUNDS`` times
-    in all, so every comparison is with one text per group and none is between all pairs. Of
+    Candidates are the components of several fingerprints. Inside a component, a text stays if no
+    smaller document that stays is at least ``JACCARD`` similar by shingles of five words. A round
+    settles the ``block`` smallest texts of every component and drops the copies of those that
+    stay; rounds go on until no text is left over, so every text is compared with every text of
+    its component that stays before it. Of
     equal texts in a component the smallest document stays. Documents without id come last in
     order; of equal rows one stays.
     """
@@ -318,17 +366,10 @@ def without_copies(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     )
     left = materialize(held.join(texts, key).dropDuplicates(key), "copies-texts")
     gone = exact
-    for _ in range(ROUNDS):
-        # of equal ids the smaller text leads, so that a group has one leading text
-        lead = left.groupBy("root").agg(F.min(F.struct(*key)).alias("lead"))
-        leads = left.join(lead, "root").where(F.struct(*key) == F.col("lead")).select("root", F.col("text").alias("lead_text"), "lead")
-        compared = left.join(leads, "root").where(F.struct(*key) != F.col("lead"))
-        judged = materialize(
-            compared.select("root", *key, "text", (jaccard(F.col("text"), F.col("lead_text")) >= JACCARD).alias("similar")),
-            "copies-judged",
-        )
+    while left.limit(1).count():
+        judged = materialize(_one_round(left, block), "copies-judged")
         gone = gone.unionAll(judged.where("similar").select(*key))
-        left = judged.where("NOT similar").select("root", *key, "text")
+        left = materialize(left.join(judged.where("NOT similar").select(*key), key, "left_semi"), "copies-left")
     actions = gone.distinct().withColumn("action", F.lit("drop")).unionAll(
         again.where("id = first AND rows > 1").select(*key).withColumn("action", F.lit("once"))
     ).groupBy(*key).agg(F.min("action").alias("action"))

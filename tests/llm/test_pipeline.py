@@ -139,3 +139,13 @@ def test_stages_take_odd_and_empty_tables(spark):
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
     mixed = corpus_pipeline.mixing_sources(spark, docs.drop("copy"), FOLDER)
     assert mixed.columns[-1] == "copy" and mixed.count() >= 2
+
+
+@pytest.mark.parametrize("block", [2, simhash.LEAD_BLOCK])
+def test_near_dedup_compares_all_texts_of_a_component(spark, monkeypatch, block):
+    """Copies of texts that are unlike the first leaders of their component go too."""
+    monkeypatch.setattr(simhash, "candidate_groups", lambda marked, radius: marked.select("id", F.lit(1).cast("long").alias("root")).distinct())
+    texts = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(9)]
+    rows = list(enumerate(texts)) + [(20 + k, t.replace("w30", "x")) for k, t in enumerate(texts)]
+    out = simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
+    assert sorted(r.doc_id for r in out.collect()) == list(range(9))
