@@ -1,13 +1,15 @@
 """Main text of web pages by wrapper induction over pages of the same host.
 
 A page becomes a tree of its block elements; inline elements only add to the text of the block
-they are in, and an element whose end tag is missing ends with its parent. Pages of a host are
-aligned by simple tree matching with the first page of their host in the same block of rows.
-For every aligned node it is counted how many pages have it and how many of these have its most
-frequent text. The counts of all blocks are added up per host, so no task holds the pages of a
-host together, however many there are. A node is template if at least ``LEAST_PAGES`` different
-pages have it and ``CONSTANT`` of them with the same text; the other nodes are slots for
-content.
+they are in, and an element whose end tag is missing ends with its parent. Every host has one
+reference page (the smallest by hash of all its pages), and each page is aligned with it by simple
+tree matching. For every node of the reference, and for every path of labels from the root, it is
+counted how many different pages of the host have it, and how many of these have it with each
+text. Pages are different if their texts are; equal ones are reduced to one over the whole table.
+All counts are summed by Spark, so no task holds the pages of a host together and the result does
+not depend on how rows are divided. A text of a node is template if at least ``LEAST_PAGES``
+different pages have the node and ``CONSTANT`` of them have it with that text; the other nodes
+are slots for content.
 
 What varies from page to page may still be a menu, an advert or a footer. Slots are dropped if
 they are inside an element that says so by its name, class, id or role. If the page marks its
@@ -15,14 +17,13 @@ article (``article`` or ``main``), only slots inside it count.
 
 Defined results: a null or empty html has empty text; character references are decoded, white
 space inside a block becomes one space, and blocks are joined by one space; null and strange
-urls share the empty host; repeated pages count once in a block and are each extracted;
-elements deeper than ``MOST_DEPTH`` are taken as text of the element at that depth.
+urls share the empty host; repeated pages count once and are each extracted; elements
+deeper than ``MOST_DEPTH`` are taken as text of the element at that depth.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -37,6 +38,7 @@ from cartloom.session import materialize
 LEAST_PAGES = 4
 CONSTANT = 0.9
 MOST_DEPTH = 60
+_REFERENCES = 64
 _BLOCK = 1 << 20
 
 # Element names of HTML by role, and words that mark parts of a page.
@@ -169,25 +171,25 @@ def parsed(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     return tree.root, tree.runs
 
 
-def _match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Size and pairs of the largest common top-down matching of two trees that keeps order."""
+def _matching(a: Node, b: Node):
+    """Steps of :func:`_match`: yields the pairs of nodes whose matching it needs next."""
     if a.label != b.label:
-        return 0, []
+        return 0, None
     n, m = len(a.children), len(b.children)
     best = [[0] * (m + 1) for _ in range(n + 1)]
-    inner: dict[tuple[int, int], tuple[int, list]] = {}
+    inner: dict[tuple[int, int], tuple[int, tuple]] = {}
     for i, x in enumerate(a.children):
         row, above = best[i + 1], best[i]
         for j, y in enumerate(b.children):
             size = 0
             if x.label == y.label:
                 if x.children and y.children:
-                    inner[i, j] = _match(x, y)
+                    inner[i, j] = yield x, y
                     size = inner[i, j][0]
                 else:
                     size = 1
             row[j + 1] = max(row[j], above[j + 1], above[j] + size)
-    pairs, i, j = [(a, b)], n, m
+    below, i, j = [], n, m
     while i and j:
         if best[i][j] == best[i - 1][j]:
             i -= 1
@@ -195,65 +197,110 @@ def _match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs += inner[i, j][1] if (i, j) in inner else [(a.children[i], b.children[j])]
-    return 1 + best[n][m], pairs
+            below.append(inner[i, j][1] if (i, j) in inner else (a.children[i], b.children[j], []))
+    return 1 + best[n][m], (a, b, below)
 
 
-def aligned_counts(pages: list[Node]) -> dict[int, tuple[int, int, int]]:
-    """For each node path of the first page: pages that have it, its most frequent text, and how often.
+def _match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Size and pairs of the largest common top-down matching of two trees that keeps order.
 
-    A path names a node by the labels from the root; nodes of one path are told apart by their
-    order while matching, and counted together.
+    Works with a stack of its own, so trees may be of any depth.
     """
-    texts: dict[int, Counter] = defaultdict(Counter)
-    for page in pages:
-        seen: dict[int, set] = defaultdict(set)
-        for node, own in _match(pages[0], page)[1]:
-            if own.text:
-                seen[node.path].add(xxhash.xxh64_intdigest(own.text) >> 1)
-        for path, hashes in seen.items():
-            texts[path].update(hashes)
-            texts[path][-1] += 1
-    out = {}
-    for path, counts in texts.items():
-        n = counts.pop(-1)
-        text, times = max(counts.items(), key=lambda x: (x[1], x[0]))
-        out[path] = (n, text, times)
+    stack, value = [_matching(a, b)], None
+    while stack:
+        try:
+            needed = stack[-1].send(value)
+            stack.append(_matching(*needed))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    pairs, left = [], [value[1]] if value[1] else []
+    while left:
+        x, y, below = left.pop()
+        pairs.append((x, y))
+        left += below
+    return value[0], pairs
+
+
+def _text_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
+def _numbered(root: Node) -> dict[int, int]:
+    """A key for each node of a reference tree, by ``id`` of the node."""
+    out, stack = {}, [root]
+    while stack:
+        node = stack.pop()
+        out[id(node)] = xxhash.xxh64_intdigest(f"{len(out)}#{node.path}") >> 1
+        stack += node.children
     return out
 
 
+def page_keys(root: Node, reference: Node | None, numbers: dict[int, int]) -> list[tuple[int, int, int]]:
+    """Distinct (key, path, text) of a page's nodes with text: under their path and under their place in the reference."""
+    found, stack = set(), [root]
+    while stack:
+        node = stack.pop()
+        if node.text:
+            found.add((node.path, node.path, _text_hash(node.text)))
+        stack += node.children
+    if reference is not None:
+        for known, own in _match(reference, root)[1]:
+            if own.text:
+                found.add((numbers[id(known)], own.path, _text_hash(own.text)))
+    return sorted(found)
+
+
 def _induce(batches):
-    names = ["host", "path", "n", "text", "times"]
+    """(host, page, nodes) of every page with text; ``page`` is the hash of its texts."""
+    references: dict[str, tuple[str, Node, dict[int, int]]] = {}
+    kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("key", "path", "text")]))
     for batch in batches:
-        hosts, pages = batch.column(0).to_pylist(), batch.column(1)
+        pages = batch.column(1)
         for first, last in words.blocks(pages, _BLOCK):
-            groups: dict[str, dict[int, Node]] = defaultdict(dict)
-            for host, html in zip(hosts[first:last], pages.slice(first, last - first).to_pylist(), strict=True):
+            rows = []
+            part = [batch.column(k).slice(first, last - first).to_pylist() for k in range(3)]
+            for host, html, model in zip(*part, strict=True):
                 root, runs = parsed(html or "")
-                if runs:
-                    groups[host].setdefault(xxhash.xxh64_intdigest("\0".join(t for _, t in runs)), root)
-            rows = [
-                (host, path, *counts)
-                for host, own in groups.items()
-                for path, counts in aligned_counts(list(own.values())).items()
-            ]
+                if not runs:
+                    continue
+                if model is not None and (host not in references or references[host][0] != model):
+                    while len(references) >= _REFERENCES:
+                        references.pop(next(iter(references)))
+                    tree = parsed(model)[0]
+                    references[host] = (model, tree, _numbered(tree))
+                _, tree, numbers = references[host] if model is not None else (None, None, {})
+                nodes = [dict(zip(("key", "path", "text"), x, strict=True)) for x in page_keys(root, tree, numbers)]
+                rows.append((host, xxhash.xxh64_intdigest("\0".join(t for _, t in runs)) >> 1, nodes))
             if rows:
-                columns = [pa.array(x) for x in zip(*rows, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                hosts, hashes, nodes = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(nodes, kind)], ["host", "page", "nodes"]
+                )
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(template_host, constants): the nodes, as path and text, that are template on a host."""
-    counted = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(
-        _induce, "host string, path long, n long, text long, times long"
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html")
+    chosen = rows.where(F.length("html") > 0).groupBy(F.col("host").alias("reference_host")).agg(
+        F.min(F.struct(F.xxhash64("html").alias("hash"), "html")).alias("least")
     )
-    by_text = counted.groupBy("host", "path", "text").agg(F.sum("times").alias("times"), F.sum("n").alias("n"))
-    by_node = by_text.groupBy("host", "path").agg(
-        F.sum("n").alias("n"), F.max(F.struct("times", "text")).alias("most")
+    chosen = materialize(chosen.select("reference_host", F.col("least.html").alias("reference")), "html-references")
+    seen = rows.join(chosen, F.col("host") == F.col("reference_host"), "left").select("host", "html", "reference").mapInArrow(
+        _induce, "host string, page long, nodes array<struct<key: long, path: long, text: long>>"
     )
-    constant = by_node.where((F.col("n") >= LEAST_PAGES) & (F.col("most.times") >= CONSTANT * F.col("n")))
+    # equal pages of the whole table count once
+    different = materialize(seen.select("host", "nodes"), "html-pages")
+    node = materialize(different.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
+                       .groupBy("host", "key", "path", "text").agg(F.count("*").alias("times")), "html-nodes")
+    # a page has one text at a place of the reference and may have several on a path, so pages are counted beside
+    by_node = different.select("host", F.explode(F.array_distinct("nodes.key")).alias("key")).groupBy("host", "key").agg(
+        F.count("*").alias("n")
+    ).where(F.col("n") >= LEAST_PAGES)
+    constant = node.join(by_node, ["host", "key"]).where(F.col("times") >= CONSTANT * F.col("n"))
     return constant.groupBy(F.col("host").alias("template_host")).agg(
-        F.collect_set(F.struct("path", F.col("most.text").alias("text"))).alias("constants")
+        F.collect_set(F.struct("path", "text")).alias("constants")
     )
 
 

@@ -178,6 +178,17 @@ def test_constant_nodes_are_template(spark):
     assert html.extracted(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 8])
+def test_all_constant_siblings_are_template(spark, parts):
+    """Siblings of one label, on pages without article or main, however rows are divided."""
+    def page(k):
+        return f"<body><ul><li>Home<li>About<li>Contact</ul><div><p>Terms apply</p><p>story {k} is new</p><p>All rights</p></div>"
+
+    rows = [(k, f"http://one.test/{k}", page(k)) for k in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts, "page_id")
+    assert {r.row.page_id: r.text for r in html.extracted(pages).collect()} == {k: f"story {k} is new" for k in range(8)}
+
+
 def test_tree_matching_skips_inserted_nodes():
     a, b = (html.parsed(f"<body><div><p>x</p>{extra}<ul><li>1</ul></div>")[0] for extra in ("", "<table><tr><td>new</table>"))
     size, pairs = html._match(a, b)
