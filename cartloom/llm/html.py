@@ -291,7 +291,7 @@ def templates(pages: DataFrame) -> DataFrame:
         _induce, "host string, page long, nodes array<struct<key: long, path: long, text: long>>"
     )
     # equal pages of the whole table count once
-    different = materialize(seen.select("host", "nodes"), "html-pages")
+    different = materialize(seen.groupBy("host", "page").agg(F.min("nodes").alias("nodes")), "html-pages")
     node = materialize(different.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
                        .groupBy("host", "key", "path", "text").agg(F.count("*").alias("times")), "html-nodes")
     # a page has one text at a place of the reference and may have several on a path, so pages are counted beside

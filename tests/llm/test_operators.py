@@ -189,6 +189,12 @@ def test_all_constant_siblings_are_template(spark, parts):
     assert {r.row.page_id: r.text for r in html.extracted(pages).collect()} == {k: f"story {k} is new" for k in range(8)}
 
 
+def test_copies_of_a_page_do_not_make_it_template(spark):
+    page = "<body><article><p>the only story</p></article>"
+    pages = spark.createDataFrame([(k, None, page) for k in range(12)], "page_id long, url string, html string").repartition(6)
+    assert {r.text for r in html.extracted(pages).collect()} == {"the only story"}
+
+
 def test_tree_matching_skips_inserted_nodes():
     a, b = (html.parsed(f"<body><div><p>x</p>{extra}<ul><li>1</ul></div>")[0] for extra in ("", "<table><tr><td>new</table>"))
     size, pairs = html._match(a, b)
