@@ -17,8 +17,8 @@ article (``article`` or ``main``), only slots inside it count.
 
 Defined results: a null or empty html has empty text; character references are decoded, white
 space inside a block becomes one space, and blocks are joined by one space; null and strange
-urls share the empty host; repeated pages count once and are each extracted; elements
-deeper than ``MOST_DEPTH`` are taken as text of the element at that depth.
+urls share the empty host; repeated pages count once and are each extracted; elements may be
+nested to any depth.
 """
 
 from __future__ import annotations
@@ -37,7 +37,6 @@ from cartloom.session import materialize
 
 LEAST_PAGES = 4
 CONSTANT = 0.9
-MOST_DEPTH = 60
 _REFERENCES = 64
 _BLOCK = 1 << 20
 
@@ -119,8 +118,6 @@ class _Tree(HTMLParser):
         ended = ENDS.get(tag, set())
         while len(self.open) > 1 and (self.open[-1].tag in ended or self.open[-1].tag == "p"):
             self.open.pop()
-        if len(self.open) >= MOST_DEPTH:
-            return
         named = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role")}
         tokens = {t for v in named.values() for t in re.split(r"[^a-z0-9]+", v)}
         marked = tag not in ("html", "body", "main") and bool(tokens & MARKS)

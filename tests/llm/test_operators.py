@@ -195,6 +195,13 @@ def test_copies_of_a_page_do_not_make_it_template(spark):
     assert {r.text for r in html.extracted(pages).collect()} == {"the only story"}
 
 
+def test_end_tags_and_marks_of_deep_elements():
+    deep = "<body><div><article>" + "<div>" * 70 + "text<nav>menu</nav>" + "</div>" * 70 + "<p>rest</p></article></div>after"
+    assert html.main_text(deep) == "text rest"
+    root = html.parsed("<div>" * 3000 + "x")[0]
+    assert html._match(root, root)[0] == 3001
+
+
 def test_tree_matching_skips_inserted_nodes():
     a, b = (html.parsed(f"<body><div><p>x</p>{extra}<ul><li>1</ul></div>")[0] for extra in ("", "<table><tr><td>new</table>"))
     size, pairs = html._match(a, b)
