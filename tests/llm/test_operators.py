@@ -137,6 +137,13 @@ def test_language(spark, odd):
     assert language.predict(ask, None).collect()[0].language.lang == "und"
 
 
+def test_language_model_keeps_every_ngram(spark, monkeypatch):
+    monkeypatch.setattr(language, "MAX_NGRAMS", 5, raising=False)
+    texts = ["der hund und die katze"] * 3 + ["the dog and the cat"]
+    model = language.learn(spark.createDataFrame([(t, t[:2]) for t in texts], "text string, lang string"))
+    assert len(model.keys[-1]) == len({("   " + t + " ")[i : i + 4] for t in texts for i in range(len(t) + 1)})
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
     out = QUERIES["op8_language_id"](spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out").collect()
