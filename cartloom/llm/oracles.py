@@ -144,9 +144,93 @@ SELECT s.doc_id, size, source_size, target,
 FROM sized s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
 """
 
+OP12 = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), word AS (SELECT lang, p, unnest(w) AS word, unnest(range(len(w))) AS i FROM piece),
+total AS (SELECT lang, count(*) AS n FROM word GROUP BY lang),
+part AS (
+  SELECT lang, m, CASE m WHEN 1 THEN word ELSE array_to_string([word, w1, w2, w3, w4][1:m], ' ') END AS phrase
+  FROM (SELECT lang, word, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2, lead(word, 3) OVER o AS w3,
+               lead(word, 4) OVER o AS w4, count(*) OVER (PARTITION BY p) - i AS room FROM word WINDOW o AS (PARTITION BY p ORDER BY i)),
+       (SELECT unnest(range(1, 6)) AS m) WHERE room >= m
+), often AS (SELECT lang, m, phrase, count(*) AS f FROM part GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, m, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first,
+         array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM often, (SELECT unnest(range(1, 5)) AS k) WHERE k < m
+), scored AS (
+  SELECT c.*, x.f AS l, y.f AS r, n, (1000 * a::HUGEINT * n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts c JOIN often x ON c.lang = x.lang AND first = x.phrase JOIN often y ON c.lang = y.lang AND rest = y.phrase
+  JOIN total t ON c.lang = t.lang
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (
+  SELECT * FROM best b WHERE NOT EXISTS (
+    SELECT 1 FROM often o WHERE o.lang = b.lang AND o.m > b.m AND 100 * o.f >= 100 * b.a
+      AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+
+def _leaf(n_chars: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text"]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: CAST(ascii(c) AS BIGINT))), lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)),
+  lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END)))"""
+
+#: The trees are built level by level; level by level a row takes its sibling and folds its changed leaf.
+OP13 = rf"""
+WITH RECURSIVE leaf AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, {_leaf("n_chars")} AS leaf,
+         CASE WHEN ({_CRC}) % 7 = 0 THEN {_leaf("n_chars + 1")} ELSE {_leaf("n_chars")} END AS claimed FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf
+), node AS (
+  SELECT lang, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+  FROM node WHERE n > 1 GROUP BY lang, level, pos // 2
+), subroot AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM node WHERE n = 1),
+crown AS (
+  SELECT 0 AS level, pos, subroot AS h, count(*) OVER () AS n FROM subroot
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2
+  FROM crown WHERE n > 1 GROUP BY level, pos // 2
+), up AS (
+  SELECT r, lang, 0 AS level, pos, claimed AS h, '' AS siblings FROM placed
+  UNION ALL
+  SELECT r, u.lang, u.level + 1, u.pos // 2,
+         sha256(CASE WHEN s.h IS NULL THEN u.h WHEN u.pos % 2 = 1 THEN s.h || u.h ELSE u.h || s.h END), siblings || coalesce(s.h, '')
+  FROM up u JOIN node o ON o.lang IS NOT DISTINCT FROM u.lang AND o.level = u.level AND o.pos = u.pos AND o.n > 1
+  LEFT JOIN node s ON s.lang IS NOT DISTINCT FROM u.lang AND s.level = u.level AND s.pos = xor(u.pos, 1)
+), low AS (
+  SELECT r, u.lang, h, siblings FROM up u
+  JOIN (SELECT lang, max(level) AS top FROM node GROUP BY lang) t ON t.lang IS NOT DISTINCT FROM u.lang AND u.level = top
+), high AS (
+  SELECT r, 0 AS level, s.pos, h, siblings FROM low l JOIN subroot s ON s.lang IS NOT DISTINCT FROM l.lang
+  UNION ALL
+  SELECT r, u.level + 1, u.pos // 2,
+         sha256(CASE WHEN s.h IS NULL THEN u.h WHEN u.pos % 2 = 1 THEN s.h || u.h ELSE u.h || s.h END), siblings || coalesce(s.h, '')
+  FROM high u JOIN crown o ON o.level = u.level AND o.pos = u.pos AND o.n > 1
+  LEFT JOIN crown s ON s.level = u.level AND s.pos = xor(u.pos, 1)
+)
+SELECT doc_id, leaf, subroot, root, sha256(siblings) AS proof_sha256, h.h AS folded_root, h.h = root AS verified
+FROM placed p JOIN subroot s ON s.lang IS NOT DISTINCT FROM p.lang
+JOIN high h USING (r) JOIN (SELECT level AS top, h AS root FROM crown WHERE n = 1) ON h.level = top
+"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
     "op6_line_dedup": OP6,
     "op7_url_filters": OP7,
     "op10_mixing": OP10,
+    "op12_phrase_collocations": OP12,
+    "op13_merkle_manifest": OP13,
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import decontamination, html, language, lines, mixing, pii, quality, simhash, suffixes, urls
+from cartloom.llm import (
+    collocations, decontamination, html, language, lines, manifest, mixing, pieces, pii, quality, simhash, suffixes, urls
+)
 from cartloom.llm.tables import table
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -86,6 +88,40 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = pieces.encoded(documents, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Tampering, where 7 divides the CRC of the id, adds one to n_chars; a null id is never tampered with."""
+    documents = table(spark, folder, "documents").select(*manifest.FIELDS)
+    columns = {name: F.col(name) for name in manifest.FIELDS}
+    changed = manifest.leaf((columns | {"n_chars": F.col("n_chars") + 1}).values())
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    own = manifest.leaf(columns.values())
+    leaves = documents.select(
+        "lang", "doc_id", own.alias("leaf"),
+        F.struct("doc_id", F.when(chosen, F.unhex(changed)).otherwise(F.unhex(own)).alias("claimed")).alias("payload"),
+    )
+    found = manifest.verified(manifest.proofs(leaves), F.col("payload.claimed"))
+    return found.select(
+        "payload.doc_id", *[F.lower(F.hex(c)).alias(name) for c, name in (
+            ("leaf", "leaf"), ("subroot", "subroot"), ("root", "root"), ("proof", "proof_sha256"), ("folded", "folded_root")
+        )], (F.col("folded") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -97,4 +133,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_mixing": op10_mixing,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

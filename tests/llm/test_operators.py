@@ -14,7 +14,7 @@ from cartloom.llm.queries import QUERIES, RULES
 from tools.check import compare
 
 FOLDER = "/root/testdata/sf0.001"
-NO_SQL = {"op2_html_extraction", "op3_pii", "op4_benchmark_decontamination", "op5_suffix_array_dedup", "op8_language_id", "op9_simhash_near_dedup"}
+NO_SQL = {"op2_html_extraction", "op3_pii", "op4_benchmark_decontamination", "op5_suffix_array_dedup", "op8_language_id", "op9_simhash_near_dedup", "op11_sentencepiece"}
 
 
 def test_every_query_has_sql_or_a_test():
