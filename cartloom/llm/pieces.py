@@ -41,8 +41,8 @@ from cartloom.llm import words
 
 MARK = "▁"
 BLOCK_BYTES = 8 << 20
-#: Chunks are dealt to so many tasks at least; the session's shuffle partitions if those are more.
-BUCKETS = 64
+#: Chunks are dealt to as many tasks as the documents are read by, but to no fewer and no more than these.
+BUCKETS, MOST_BUCKETS = 64, 4096
 KEPT = 1_000_000
 #: Characters of a text that are cut into chunks at once, up to the next marker.
 SLICE = 1 << 20
@@ -243,7 +243,7 @@ def _joined(block: pa.Table, answers: pa.Table, model: bytes | None, names: list
 def encoded(documents: DataFrame, model_path: str, text: str = "text", decode: bool = True) -> DataFrame:
     """``row`` (all other columns of ``documents``; one column ``is_row`` if there are none), ``ids``, ``decoded`` if asked for."""
     model = read_model(model_path)
-    buckets = max(BUCKETS, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(MOST_BUCKETS, max(BUCKETS, 2 * documents.select(text).rdd.getNumPartitions()))
     answers = _segmented(_requests(documents, text, buckets), model, buckets)
     held = _positions(documents, text, buckets)
     fields = [T.StructField("row", held.schema["rows"].dataType.elementType), T.StructField("ids", T.ArrayType(T.IntegerType()))]
