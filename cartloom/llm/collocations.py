@@ -3,20 +3,25 @@
 Texts are cut at punctuation and line ends into pieces and those into words; a phrase is two to
 five neighbouring words of a piece, and everything is counted per language.
 
-A shard is about ``SHARD_BYTES`` of text that one task reads, more only where one text alone is
-longer. A shard is mined level by level: every word gets a number, a phrase of n + 1 words is the
-number of its first n and that of its last word, and only phrases whose two parts were found are
-formed. Its local support is the support times its share of all words, rounded up. A phrase that
-reaches the support over all shards reaches the local support in at least one, as the shares
-add up to one, so the union of the locally frequent phrases loses nothing. A phrase stays a
-candidate only if its local counts, and one less than the local support from each shard that did
-not report it, can reach the support; with many shards the local support is one and that sum is
-the exact count. Then every shard counts all candidates.
-
-Words are counted first, and pairs are mined before longer phrases: with many shards the local
-support prunes little, and what holds a rare word or pair is rare. The sets go to the shards as
-bitmaps of fixed size over hashes; a phrase that shares a bit with one of a set is counted in
-vain, and none is lost.
+The documents are ``SHARDS`` shards, each the tasks with one number modulo ``SHARDS``. A shard is
+mined completely: its tasks count their phrases, a sum over the tasks gives the counts of the
+block, and the phrases that reach the local support stay. The local support is the support times
+the shard's share of all words, rounded up. A phrase that reaches the support over all shards
+reaches the local support in at least one, as the shares add up to one, so the union over shards
+loses nothing. A phrase stays a candidate only if its local counts, and one less than the local
+support from each shard that did not report it, can reach the support. Then all candidates are
+counted in all documents.
+
+The number of shards is fixed, so that the local support does not fall to one as the documents
+grow; a shard of any size is as many tasks as it needs, and a task counts blocks of about
+``BLOCK_BYTES`` of text, more only where one text alone is longer. Words are counted first, and
+pairs are mined before longer phrases: what holds a rare word or pair is rare. In a block every
+word has a number, a phrase of n + 1 words is the number of its first n and that of its last, and
+only phrases whose two parts were kept are formed.
+
+Mining needs no texts: phrases travel as hashes, and what was found goes back to the tasks as
+bitmaps of fixed size. Phrases that share a hash or a bit are counted in vain, and none is lost;
+the counts of the result are by text.
 
 Defined results: a null text is empty, a null language is ``und``; repeated rows count each time;
 an empty table gives an empty result; other columns are not read.
@@ -29,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +44,10 @@ from cartloom.session import materialize
 
 SUPPORT = 100
 LONGEST = 5
-SHARD_BYTES = 16 << 20
+SHARDS = 8
+BLOCK_BYTES = 6 << 20
+#: Phrases that are written out at once.
+SLICE = 1 << 16
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 25
 #: A table of at most so many languages, with names of so many characters in all, is broadcast.
 BROADCAST_LANGS, BROADCAST_CHARS = 10_000, 1 << 20
@@ -62,7 +71,7 @@ def _longer(hashes: np.ndarray, word_hashes: np.ndarray) -> np.ndarray:
     return words.mixed(hashes * np.uint64(3) + word_hashes)
 
 
-class Shard:
+class Block:
     """The words of some texts, one space apart, with the piece and the language of each.
 
     Every different word of a language has a number; ``first`` is a place of each number.
@@ -82,18 +91,21 @@ class Shard:
         bound[:-1] &= ~inside[1:] | edge[1:-1]
         ends = np.flatnonzero(bound) + 1
         doc = np.searchsorted(starts, begins, "right") - 1
-        self.piece = np.searchsorted(np.flatnonzero(kind == 2), begins) + doc
+        self.piece = (np.searchsorted(np.flatnonzero(kind == 2), begins) + doc).astype(np.int32)
         self.ends = np.cumsum(ends - begins + 1) - 1
         self.begins = self.ends - (ends - begins)
         spaced = np.full(int(self.ends[-1]) + 1 if len(begins) else 0, 32, np.uint8)
         held = np.ones(len(spaced), bool)
         held[self.ends] = False
-        spaced[held] = data[inside]
+        letters = data[inside]
+        spaced[held] = letters
         self.data = spaced
         named = pc.dictionary_encode(pc.fill_null(langs, "und"))
-        self.langs, self.lang = named.dictionary, named.indices.to_numpy()[doc].astype(np.int64)
-        coded = pc.dictionary_encode(self.texts(np.arange(len(begins)), 1))
-        self.number, self.first, self.count = _numbers(self.lang * len(coded.dictionary) + coded.indices.to_numpy())
+        self.langs, self.lang = named.dictionary, named.indices.to_numpy()[doc]
+        coded = pc.dictionary_encode(_strings(letters, ends - begins))
+        key = self.lang.astype(np.int64) * len(coded.dictionary) + coded.indices.to_numpy()
+        del data, kind, inside, edge, bound, begins, ends, doc, held, letters, coded
+        self.number, self.first, self.count = _numbers(key)
 
     def __len__(self) -> int:
         return len(self.begins)
@@ -102,19 +114,32 @@ class Shard:
         """The phrases of ``n`` words from the words ``at``."""
         begins, ends = self.begins[at], self.ends[at + n - 1]
         sizes = ends - begins
-        offsets = np.append(0, np.cumsum(sizes))
-        taken = self.data[np.repeat(begins - offsets[:-1], sizes) + np.arange(offsets[-1])]
-        buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(taken)]
-        return pa.LargeStringArray.from_buffers(len(at), *buffers[1:]).cast(pa.string())
+        before = np.cumsum(sizes) - sizes
+        taken = self.data[np.repeat(begins - before, sizes) + np.arange(sizes.sum())]
+        return _strings(taken, sizes)
 
     def word_hashes(self) -> np.ndarray:
         """The hash of every number: of the word and its language."""
-        return words.mixed(_hashes(self.texts(self.first, 1)) ^ _hashes(self.langs)[self.lang[self.first]])
+        own = [_hashes(self.texts(part, 1)) for part in _slices(self.first)]
+        return words.mixed(np.concatenate([np.zeros(0, np.uint64), *own]) ^ _hashes(self.langs)[self.lang[self.first]])
+
+
+def _strings(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.append(0, np.cumsum(sizes, dtype=np.int64))
+    return pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def _slices(at: np.ndarray) -> Iterator[np.ndarray]:
+    for first in range(0, len(at), SLICE):
+        yield at[first : first + SLICE]
 
 
 def _numbers(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The number of every key; a place and the count of each number."""
-    _, first, number, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    number = pc.dictionary_encode(pa.array(key)).indices.to_numpy()
+    count = np.bincount(number)
+    first = np.empty(len(count), np.int64)
+    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
     return number, first, count
 
 
@@ -123,68 +148,69 @@ def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def _shards(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[Shard]:
-    """Shards over the batches of a partition with the columns lang and text."""
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[Block]:
+    """Blocks over the batches of a partition with the columns lang and text."""
     parts, size = [], 0
     for batch in batches:
-        for first, last in words.blocks(batch.column(1), shard_bytes):
+        for first, last in words.blocks(batch.column(1), block_bytes):
             part = batch.slice(first, last - first)
             own = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
-            if parts and size + own > shard_bytes:
-                yield _shard(parts)
+            if parts and size + own > block_bytes:
+                yield _block(parts)
                 parts, size = [], 0
             parts.append(part)
             size += own
     if parts:
-        yield _shard(parts)
+        yield _block(parts)
 
 
-def _shard(parts: list[pa.RecordBatch]) -> Shard:
-    table = pa.Table.from_batches(parts).combine_chunks()
-    return Shard(table.column(1).combine_chunks(), table.column(0).combine_chunks())
+def _block(parts: list[pa.RecordBatch]) -> Block:
+    return Block(pa.concat_arrays([part.column(1) for part in parts]), pa.concat_arrays([part.column(0) for part in parts]))
 
 
-def _rows(shard: Shard, at: np.ndarray, n: int, counts: np.ndarray) -> pa.RecordBatch:
-    langs = shard.langs.take(pa.array(shard.lang[at]))
-    return pa.RecordBatch.from_arrays([langs, shard.texts(at, n), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
+def _rows(block: Block, at: np.ndarray, n: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for part, own in zip(_slices(at), _slices(counts), strict=True):
+        langs = block.langs.take(pa.array(block.lang[part]))
+        columns = [langs, block.texts(part, n).cast(pa.string()), pa.array(own, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "n"])
 
 
-def _levels(shard: Shard, word_bits: np.ndarray, longest: int, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _levels(block: Block, word_bits: np.ndarray, longest: int, keep) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(n, places, counts) of the phrases of 2 to ``longest`` words that ``keep`` takes, level by level."""
-    word_hash = shard.word_hashes()
-    ok = _has(word_bits, word_hash)[shard.number]
-    hashes, parts, n_words = word_hash[shard.number], shard.number, len(shard.first)
+    word_hash = block.word_hashes()
+    ok = _has(word_bits, word_hash)[block.number]
+    hashes, parts, n_words = word_hash[block.number], block.number, len(block.first)
     for n in range(2, longest + 1):
-        if len(shard) < n:
+        if len(block) < n:
             return
-        size = len(shard) - n + 1
+        size = len(block) - n + 1
         # both parts, of all but the last and of all but the first word, were kept
-        at = np.flatnonzero(ok[:size] & ok[1 : size + 1] & (shard.piece[:size] == shard.piece[n - 1 :]))
+        at = np.flatnonzero(ok[:size] & ok[1 : size + 1] & (block.piece[:size] == block.piece[n - 1 :]))
         if not len(at):
             return
-        last = shard.number[at + n - 1]
-        own, place, count = _numbers(parts[at] * n_words + last)
+        last = block.number[at + n - 1]
+        own, place, count = _numbers(parts[at].astype(np.int64) * n_words + last)
         hashes[at] = _longer(hashes[at], word_hash[last])
         kept = keep(n, count, hashes[at[place]])
         if kept.any():
             yield n, at[place[kept]], count[kept]
-        ok, parts = np.zeros(len(shard), bool), np.zeros(len(shard), np.int64)
+        ok, parts = np.zeros(len(block), bool), np.zeros(len(block), np.int32)
         ok[at], parts[at] = kept[own], own
 
 
-def count_words(documents: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def count_words(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(lang, phrase, n) of every word, written once; ``documents`` holds (lang, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, shard_bytes):
-            if len(shard):
-                yield _rows(shard, shard.first, 1, shard.count)
+        for block in _blocks(batches, block_bytes):
+            if len(block):
+                yield from _rows(block, block.first, 1, block.count)
 
     return materialize(documents.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n")), "phrases-words")
 
 
 def _phrase_hashes(langs: pa.Array, phrases: pa.Array) -> np.ndarray:
-    """The hashes of phrases of any number of words, as the levels of a shard have them."""
+    """The hashes of phrases of any number of words, as the levels of a block have them."""
     split = pc.split_pattern(phrases, " ")
     starts, word = split.offsets.to_numpy(), _hashes(split.values)
     sizes = np.diff(starts)
@@ -202,9 +228,12 @@ def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = _phrase_hashes(batch.column(0), batch.column(1)) & np.uint64(bits - 1)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64))], names=["bit"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], names=["bit"])
+
+    return _bits(phrases.select("lang", "phrase").mapInArrow(hashed, "bit long"), bits)
 
-    found = phrases.select("lang", "phrase").mapInArrow(hashed, "bit long")
+
+def _bits(found: DataFrame, bits: int) -> np.ndarray:
     cells = found.groupBy(F.shiftright("bit", 6).alias("cell")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("own")
     ).toArrow()
@@ -213,60 +242,65 @@ def bitmap(phrases: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def mine(documents: DataFrame, total: int, support: int, longest: int, shard_bytes: int, word_bits: np.ndarray,
+def _bit() -> Column:
+    return F.col("hash").bitwiseAND(F.lit(PHRASE_BITS - 1)).alias("bit")
+
+
+def mine(documents: DataFrame, support: int, longest: int, block_bytes: int, word_bits: np.ndarray,
          pair_bits: np.ndarray | None = None) -> DataFrame:
-    """(lang, phrase) of the candidates: the union over shards of their locally frequent phrases, without
-    those that cannot reach the support. Words, and pairs if ``pair_bits`` is given, must be among those set."""
+    """(hash) of the candidates: the union over shards of their locally frequent phrases, without those
+    that cannot reach the support. Words must be among those set, and with ``pair_bits`` pairs too, which
+    are not mined again then."""
     shared = documents.sparkSession.sparkContext.broadcast((word_bits, pair_bits))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_words, own_pairs = shared.value
-        for shard in _shards(batches, shard_bytes):
-            least = max(1, -(-support * len(shard) // total))
+        shard = TaskContext.get().partitionId() % SHARDS
+        for block in _blocks(batches, block_bytes):
+            found: list[np.ndarray] = []
 
             def keep(n: int, counts: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-                often = counts >= least
-                return often & _has(own_pairs, hashes) if n == 2 and own_pairs is not None else often
+                kept = _has(own_pairs, hashes) if n == 2 and own_pairs is not None else np.ones(len(counts), bool)
+                found.append(hashes[kept].view(np.int64))
+                return kept
 
-            for n, at, counts in _levels(shard, own_words, longest, keep):
-                yield _rows(shard, at, n, counts - (least - 1))
-            # what a shard that reports nothing may hide
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.string()), pa.array([None], pa.string()), pa.array([least - 1], pa.int64())],
-                names=["lang", "phrase", "n"],
-            )
+            for n, _, counts in _levels(block, own_words, longest, keep):
+                if n == 2 and own_pairs is not None:
+                    continue
+                for part, own in zip(_slices(found[-1]), _slices(counts), strict=True):
+                    columns = [pa.array([shard] * len(part), pa.int32()), pa.array(part), pa.array(own, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "hash", "n"])
 
-    found = documents.mapInArrow(find, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-    found = materialize(found, "phrases-mined")
-    hidden = found.where("phrase IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return found.where(F.col("phrase").isNotNull() & (F.col("n") + hidden >= support)).select("lang", "phrase")
+    least = -(-support // SHARDS)
+    counted = documents.mapInArrow(count, "shard int, hash long, n long").groupBy("shard", "hash").agg(F.sum("n").alias("n"))
+    often = counted.where(F.col("n") >= least).groupBy("hash").agg(F.sum(F.col("n") - (least - 1)).alias("n"))
+    return often.where(F.col("n") + SHARDS * (least - 1) >= support).select("hash")
 
 
-def count_phrases(documents: DataFrame, word_bits: np.ndarray, phrase_bits: np.ndarray, longest: int, shard_bytes: int) -> DataFrame:
+def count_phrases(documents: DataFrame, word_bits: np.ndarray, phrase_bits: np.ndarray, longest: int, block_bytes: int) -> DataFrame:
     """(lang, phrase, n) of all phrases whose bit is set, counted over all documents."""
     shared = documents.sparkSession.sparkContext.broadcast((word_bits, phrase_bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_words, own_phrases = shared.value
-        for shard in _shards(batches, shard_bytes):
-            for n, at, counts in _levels(shard, own_words, longest, lambda n, counts, hashes: _has(own_phrases, hashes)):
-                yield _rows(shard, at, n, counts)
+        for block in _blocks(batches, block_bytes):
+            for n, at, counts in _levels(block, own_words, longest, lambda n, counts, hashes: _has(own_phrases, hashes)):
+                yield from _rows(block, at, n, counts)
 
     return documents.mapInArrow(count, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(documents: DataFrame, support: int = SUPPORT, longest: int = LONGEST,
-                     shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
+                     block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n) of the words and phrases that reach the support, and (lang, total) of all words."""
     texts = documents.select("lang", "text")
-    counted = count_words(texts, shard_bytes)
+    counted = count_words(texts, block_bytes)
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     often = counted.where(F.col("n") >= support)
-    total = max(1, counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     word_bits = bitmap(often, WORD_BITS)
-    pair_bits = bitmap(mine(texts, total, support, 2, shard_bytes, word_bits), PHRASE_BITS)
-    found = mine(texts, total, support, longest, shard_bytes, word_bits, pair_bits)
-    phrases = count_phrases(texts, word_bits, bitmap(found, PHRASE_BITS), longest, shard_bytes)
+    pair_bits = _bits(mine(texts, support, 2, block_bytes, word_bits).select(_bit()), PHRASE_BITS)
+    phrase_bits = pair_bits | _bits(mine(texts, support, longest, block_bytes, word_bits, pair_bits).select(_bit()), PHRASE_BITS)
+    phrases = count_phrases(texts, word_bits, phrase_bits, longest, block_bytes)
     return materialize(often.unionByName(phrases.where(F.col("n") >= support)), "phrases-frequent"), totals
 
 
@@ -306,9 +340,9 @@ def held_by_longer(frequent: DataFrame) -> DataFrame:
 
 
 def collocations(documents: DataFrame, k: int = 2000, support: int = SUPPORT, longest: int = LONGEST,
-                 share: int = 100, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+                 share: int = 100, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``k`` best phrases of every language that no longer phrase holds in ``share`` percent of places."""
-    frequent, totals = frequent_phrases(documents, support, longest, shard_bytes)
+    frequent, totals = frequent_phrases(documents, support, longest, block_bytes)
     kept = scored(frequent, totals).join(held_by_longer(frequent), ["lang", "phrase"], "left").where(
         F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a"))
     )
