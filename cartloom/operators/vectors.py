@@ -1,10 +1,11 @@
 """Nearest vectors per query, exact and approximate.
 
-Queries travel to the scan of the vectors in blocks of checked size, so vectors are never
-shuffled. Scores are computed a batch at a time with a matrix product inside Spark tasks; a
-task keeps a running best ``k`` per query and sends only that. The last cut to ``k`` per
-query is an ordinary top-k. Vectors that are null, or have no defined cosine, are no hits,
-and such queries have none.
+A few queries, of checked size, travel to the scan of the vectors, which are not shuffled then.
+More queries are dealt with the vectors in a grid: every block of queries meets every block of
+vectors in one task, and none passes the driver. Scores are computed with a matrix product
+inside Spark tasks; a task keeps the best ``k`` per query and sends only those. The last cut to
+``k`` per query is an ordinary top-k. Vectors that are null, or have no defined cosine, are no
+hits, and such queries have none; vectors of unequal length are an error.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cartloom.operators.ranking import top_k
 
@@ -30,6 +31,8 @@ HITS = "query_id {query}, vec_id {vec}, score double"
 def _matrix(column: pa.Array) -> np.ndarray:
     """A list column without nulls as a two-dimensional array."""
     rows = len(column)
+    if len(sizes := pc.unique(pc.list_value_length(column))) > 1:
+        raise ValueError(f"vectors have unequal lengths: {sorted(sizes.to_pylist())[:5]}")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(rows, -1) if rows else flat.reshape(0, 0)
 
@@ -53,7 +56,7 @@ def _best(hits: pa.Table, k: int) -> pa.Table:
 
 def _batch_hits(
     queries: np.ndarray,
-    batch: pa.RecordBatch,
+    batch: pa.RecordBatch | pa.Table,
     k: int,
     metric: str,
     allowed: Callable[[slice, np.ndarray], np.ndarray] | None = None,
@@ -121,31 +124,106 @@ def vector_search(
     k: int = 5,
     metric: str = "cosine",
     broadcast_queries: int = BROADCAST_QUERIES,
+    query_rows: int | None = None,
+    vector_rows: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest vectors of every query: ``(query_id, rank, vec_id, score)``.
 
     ``queries`` holds ``(query_id, embedding)``, ``vectors`` ``(vec_id, embedding)``. At most
-    ``broadcast_queries`` queries, and BROADCAST_BYTES, are sent at once; more queries mean
-    more scans of the vectors.
+    ``broadcast_queries`` queries, and BROADCAST_BYTES, are sent to a scan; more are dealt in a
+    grid of blocks of about ``query_rows`` by ``vector_rows``, by default BROADCAST_BYTES each.
     """
-    return _scanned(queries, vectors, k, metric, broadcast_queries, None)
+    return _searched(queries, vectors, k, metric, broadcast_queries, None, query_rows, vector_rows)
 
 
-def _scanned(
-    queries: DataFrame, vectors: DataFrame, k: int, metric: str, at_once: int, codes: SignCodes | None
+def _searched(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    metric: str,
+    at_once: int,
+    codes: SignCodes | None,
+    query_rows: int | None = None,
+    vector_rows: int | None = None,
 ) -> DataFrame:
     queries, vectors, schema = _checked(queries, vectors, metric)
     size = queries.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size("embedding")).alias("dim")).first()
     if not size.rows:
         return _ranked(vectors.sparkSession.createDataFrame([], schema), k)
-    at_once = max(1, min(at_once, BROADCAST_BYTES // (8 * max(1, size.dim))))
-    blocks = -(-size.rows // at_once)
-    hits = None
-    for block in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else queries
-        found = _scan(own.toArrow(), vectors, k, metric, schema, codes)
-        hits = found if hits is None else hits.unionAll(found)
-    return _ranked(hits, k)
+    fitting = max(1, BROADCAST_BYTES // (8 * max(1, size.dim)))
+    if size.rows <= min(at_once, fitting):
+        return _ranked(_scan(queries.toArrow(), vectors, k, metric, schema, codes), k)
+    query_rows, vector_rows = query_rows or fitting, vector_rows or fitting
+    query_blocks = -(-size.rows // query_rows)
+    vector_blocks = max(1, -(-vectors.count() // vector_rows))
+    return _ranked(
+        grid_hits(
+            queries.withColumns({"list": F.lit(0), "query_blocks": F.lit(query_blocks), "vector_blocks": F.lit(vector_blocks)}),
+            vectors.withColumns({"list": F.lit(0), "query_blocks": F.lit(query_blocks), "vector_blocks": F.lit(vector_blocks)}),
+            lambda wanted, held: _near(wanted, held, k, metric, codes),
+            schema,
+        ),
+        k,
+    )
+
+
+def _block(blocks: str, *columns: str) -> Column:
+    """The block of a row: by its values and its input partition, so that copies spread as well."""
+    return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), F.col(blocks)).cast("int")
+
+
+def _every(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
+def grid_hits(
+    queries: DataFrame, vectors: DataFrame, near: Callable[[pa.Table, pa.Table], pa.Table], schema: str
+) -> DataFrame:
+    """What ``near`` finds in each cell of a grid: one block of queries with one block of vectors.
+
+    Both sides carry ``list`` and, equal for all rows of a list, ``query_blocks`` and
+    ``vector_blocks``. A query goes to every block of vectors of its list once, a vector to every
+    block of queries. ``near`` gets the other columns of a cell's queries and vectors.
+    """
+    cell = ["list", "query_block", "vector_block"]
+    sizes = ("list", "query_blocks", "vector_blocks")
+    query_columns = [c for c in queries.columns if c not in sizes]
+    vector_columns = [c for c in vectors.columns if c not in sizes]
+    asked = queries.withColumn("query_block", _block("query_blocks", *query_columns))
+    asked = asked.select("list", "query_block", _every("vector_blocks").alias("vector_block"), *query_columns)
+    held = vectors.withColumn("vector_block", _block("vector_blocks", *vector_columns))
+    held = held.select("list", _every("query_blocks").alias("query_block"), "vector_block", *vector_columns)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return near(left.select(query_columns), right.select(vector_columns))
+
+    return asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(meet, schema)
+
+
+def _allowed(codes: SignCodes, asked: np.ndarray) -> Callable[[slice, np.ndarray], np.ndarray]:
+    """Which pairs of a slice of the queries and some vectors share a code in any table."""
+
+    def allowed(part: slice, held: np.ndarray) -> np.ndarray:
+        own = codes.of(held)
+        mask = np.zeros((part.stop - part.start, len(held)), bool)
+        for table in range(own.shape[1]):
+            mask |= asked[part, table][:, None] == own[:, table][None, :]
+        return mask
+
+    return allowed
+
+
+def _near(wanted: pa.Table, held: pa.Table, k: int, metric: str, codes: SignCodes | None) -> pa.Table:
+    """The best ``k`` vectors of a table for each query of a table."""
+    ids, asked = _one(wanted.column("query_id")), _matrix(_one(wanted.column("embedding")))
+    if not len(ids) or not held.num_rows:
+        return pa.table({"query_id": ids[:0], "vec_id": _one(held.column("vec_id"))[:0], "score": pa.array([], pa.float64())})
+    hits = _batch_hits(asked, held, k, metric, _allowed(codes, codes.of(asked)) if codes else None)
+    return _named(_best(hits, k), ids)
+
+
+def _named(hits: pa.Table, ids: pa.Array) -> pa.Table:
+    return pa.table({"query_id": ids.take(_one(hits.column("at"))), "vec_id": hits.column("vec_id"), "score": hits.column("score")})
 
 
 def _scan(
@@ -158,23 +236,14 @@ def _scan(
         ids, wanted = shared.value
         if not len(ids):
             return
-        asked = codes.of(wanted) if codes else None
-
-        def allowed(part: slice, held: np.ndarray) -> np.ndarray:
-            own = codes.of(held)
-            mask = np.zeros((part.stop - part.start, len(held)), bool)
-            for table in range(own.shape[1]):
-                mask |= asked[part, table][:, None] == own[:, table][None, :]
-            return mask
-
+        allowed = _allowed(codes, codes.of(wanted)) if codes else None
         best = None
         for batch in batches:
             if batch.num_rows:
-                hits = _batch_hits(wanted, batch, k, metric, allowed if codes else None)
+                hits = _batch_hits(wanted, batch, k, metric, allowed)
                 best = _best(hits if best is None else pa.concat_tables([best, hits]), k)
         if best is not None:
-            columns = [ids.take(_one(best.column("at"))), _one(best.column("vec_id")), _one(best.column("score"))]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+            yield from _named(best, ids).combine_chunks().to_batches()
 
     return vectors.mapInArrow(scan, schema)
 
@@ -213,7 +282,7 @@ def vector_search_lsh(
     in several tables is scored once and a code that many vectors share is no large group. More
     bits prune more, more tables find more.
     """
-    return _scanned(queries, vectors, k, metric, broadcast_queries, _sign_codes(queries, tables, bits, seed))
+    return _searched(queries, vectors, k, metric, broadcast_queries, _sign_codes(queries, tables, bits, seed))
 
 
 def lsh_candidates(

@@ -51,6 +51,33 @@ def test_exact_search(spark, points, metric, sent, monkeypatch):
         assert [s for _, s in got[query]] == pytest.approx([s for _, s in hits], abs=1e-9)
 
 
+@pytest.mark.parametrize("rows", [(1, 1000), (1000, 1), (40, 70)])
+def test_blocks_of_any_size_give_the_same_hits(spark, points, rows):
+    data, table = points
+    table = table.where("vec_id < 120 OR vec_id > 260")
+    asked = table.withColumnRenamed("vec_id", "query_id")
+    want = collect(vectors.vector_search(asked, table, 3))
+    got = vectors.vector_search(asked, table, 3, broadcast_queries=0, query_rows=rows[0], vector_rows=rows[1])
+    got = collect(got)
+    assert {q: [v for v, _ in hits] for q, hits in got.items()} == {q: [v for v, _ in hits] for q, hits in want.items()}
+
+
+def test_many_queries_do_not_pass_the_driver(spark, points, monkeypatch):
+    _, table = points
+    monkeypatch.setattr(type(table), "toArrow", None)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", None)
+    found = vectors.vector_search(table.withColumnRenamed("vec_id", "query_id"), table, 3, broadcast_queries=10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("sent", [1000, 0])
+def test_vectors_of_unequal_length_are_an_error(spark, sent):
+    table = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [1.0] * 5)], VEC).coalesce(1)
+    with pytest.raises(Exception, match="unequal lengths"):
+        vectors.vector_search(table.withColumnRenamed("vec_id", "query_id"), table, broadcast_queries=sent).collect()
+
+
 def test_no_queries_and_no_vectors(spark, points):
     _, table = points
     asked = table.withColumnRenamed("vec_id", "query_id")

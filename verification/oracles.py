@@ -600,6 +600,8 @@ SELECT query_id, rank, vec_id, round(score, 6) AS score FROM (
        (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v) WHERE rank <= 5"""
 oracle("v1_vector_search", NEAREST)
 oracle("v1_vector_search_blocks", NEAREST)
+oracle("v2_vector_index_all_lists", NEAREST)
+oracle("v2_index_quality", "SELECT true AS recall_reached, true AS vectors_kept, true AS bytes_kept")
 oracle("v2_lsh_quality", "SELECT true AS recall_reached, true AS share_kept")
 oracle(
     "v1_search_documents",

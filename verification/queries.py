@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cartloom.functions import rules, text
 from cartloom.functions.rules import Cuts
 from cartloom.functions.scores import AddonWeights, penalty_exempt
-from cartloom.operators import bundles, corpus, features, graph, incremental, lookup, ranking, vectors
+from cartloom.operators import bundles, corpus, features, graph, incremental, lookup, ranking, vector_index, vectors
 from cartloom.plans import promote as promotion
 from cartloom.plans import recommend as recommendation
 from cartloom.plans import retrieve as retrieval
@@ -544,7 +544,7 @@ def v1(spark, sf):
 def v1_blocks(spark, sf):
     table = tables.read_table(spark, sf, "embeddings")
     asked = table.select(F.col("vec_id").alias("query_id"), "embedding")
-    return rounded(vectors.vector_search(asked, table, broadcast_queries=7), "score")
+    return rounded(vectors.vector_search(asked, table, broadcast_queries=7, query_rows=300, vector_rows=400), "score")
 
 
 @query("v1_search_documents")
@@ -582,6 +582,42 @@ def v2_quality(spark, sf):
     )
 
 
+def _index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, vector_index.VectorIndex]:
+    """All vectors as queries, all vectors, and an inverted file of them."""
+    table = tables.read_table(spark, sf, "embeddings")
+    asked = table.select(F.col("vec_id").alias("query_id"), "embedding")
+    return asked, table, vector_index.build_index(table, scratch_path(spark, "vector-index"))
+
+
+@query("v2_vector_index")
+def v2_index(spark, sf):
+    asked, _, index = _index(spark, sf)
+    return rounded(vector_index.search_index(asked, index), "score")
+
+
+@query("v2_vector_index_all_lists")
+def v2_index_all(spark, sf):
+    """Every list is probed and every code may be read in full, so the result is exact."""
+    asked, table, index = _index(spark, sf)
+    found = vector_index.search_index(asked, index, probes=index.lists, rerank=table.count())
+    return rounded(found, "score")
+
+
+@query("v2_index_quality")
+def v2_index_quality(spark, sf):
+    """Recall of the five nearest, and what is read of all vectors: in full, and with codes an eighth as large."""
+    asked, table, index = _index(spark, sf)
+    exact = vectors.vector_search(asked, table).select("query_id", "vec_id")
+    near = vector_index.search_index(asked, index).select("query_id", "vec_id")
+    found = exact.join(near, ["query_id", "vec_id"]).agg(F.count("*").alias("found"))
+    wanted = exact.agg(F.count("*").alias("wanted"))
+    return vector_index.share_read(asked, index, 20).select(
+        (found.scalar() >= wanted.scalar() * 0.9).alias("recall_reached"),
+        (F.col("vectors_read") <= 0.2).alias("vectors_kept"),
+        (F.col("codes_read") / 8 + F.col("vectors_read") <= 0.2).alias("bytes_kept"),
+    )
+
+
 def _aliases(spark: SparkSession, sf: str) -> DataFrame:
     """The old and the new kind of some things, asked for by the thing's word; suppliers by name."""
     words = tables.read_table(spark, sf, "part").select(
