@@ -140,3 +140,14 @@ TEXT_IS_ANCHOR = " (Anchor)"
 TEXT_TOGETHER = "Frequently bought together (based on basket affinity) for product_id="
 TEXT_POPULAR = "Popular alternatives in the same department (department_id="
 TEXT_UNKNOWN = " (not found)"
+
+# The parts of a generated module page, in the order in which they are written.
+PAGE_TITLE = "# `%s` Module\n"
+PAGE_SYMBOL = "## `%s`\n\n"
+PAGE_FILE = "- **File:** `%s` (lines %d-%d)\n"
+PAGE_CALLERS = "- **Called by:** %s\n"
+PAGE_NO_CALLERS = "(not shown)"
+PAGE_CALLEES = "- **Calls:** %s\n\n"
+PAGE_NO_CALLEES = "(none)"
+PAGE_SUMMARY = "%s\n\n"
+PAGE_CODE = "```python\n%s\n```\n\n"

@@ -907,3 +907,61 @@ oracle(
     """SELECT d.doc_id, sha256(d.text) AS hash FROM documents d
        WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)""",
 )
+
+
+MODULE_CHUNKS = """
+base AS (
+  SELECT 'shop/' || p_type || '.py' AS path, 'p.' || p_partkey AS symbol, CAST(p_partkey AS INT) AS line,
+         concat_ws(' ', p_name, p_brand) AS text, p_partkey AS number, p_size AS size FROM part
+  UNION ALL SELECT 'shop/suppliers.py', 's.' || s_suppkey, CAST(s_suppkey AS INT), s_name, s_suppkey, 50 FROM supplier
+  UNION ALL SELECT 'shop/suppliers.py', NULL, 1, s_name, 1, 50 FROM supplier WHERE s_suppkey = 1
+), edges AS (SELECT DISTINCT 's.' || l_suppkey AS src, 'p.' || l_partkey AS dst FROM lineitem),
+chunk AS (
+  SELECT 2 AS v, path, symbol, line, text FROM base
+  UNION ALL
+  SELECT 1, path, symbol, line, CASE WHEN size < 5 THEN upper(text) ELSE text END
+  FROM (SELECT * FROM base WHERE number % 11 <> 0
+        UNION ALL SELECT * REPLACE (symbol || '_old' AS symbol) FROM base WHERE number % 13 = 0)
+), edge AS (
+  SELECT 2 AS v, src, dst FROM edges
+  UNION ALL SELECT 1, src, dst FROM edges WHERE NOT (src LIKE '%7' AND dst LIKE '%3')
+  UNION ALL SELECT 1, src, dst || '0' FROM edges WHERE src LIKE '%9' AND dst LIKE '%1'
+), link AS (SELECT v, src AS node, 'callees' AS way, dst AS other FROM edge UNION SELECT v, dst, 'callers', src FROM edge),
+tail AS (
+  SELECT v, symbol, node FROM (
+    SELECT v, symbol, symbol AS node, 1 AS nth FROM chunk UNION SELECT v, symbol, regexp_extract(symbol, '[^.]*$'), 2 FROM chunk)
+  WHERE (v, node) IN (SELECT (v, node) FROM link) QUALIFY row_number() OVER (PARTITION BY v, symbol ORDER BY nth) = 1
+), list AS (
+  SELECT v, symbol, way, string_agg(other, '|' ORDER BY other) AS hashed, string_agg(other, ', ' ORDER BY other) AS shown
+  FROM tail JOIN link USING (v, node) GROUP BY ALL
+), full_chunk AS (
+  SELECT c.*, path || '::' || c.symbol AS key, a.shown AS callers, b.shown AS callees,
+         sha256(text || coalesce(a.hashed, '') || coalesce(b.hashed, '')) AS hash
+  FROM chunk c LEFT JOIN list a ON a.v = c.v AND a.symbol = c.symbol AND a.way = 'callers'
+  LEFT JOIN list b ON b.v = c.v AND b.symbol = c.symbol AND b.way = 'callees'
+), state AS (
+  SELECT n.*, 'summary of ' || length(coalesce(o.text, n.text)) AS summary, CASE WHEN o.hash IS NULL THEN 2 ELSE 1 END AS version
+  FROM (SELECT * FROM full_chunk WHERE v = 2) n LEFT JOIN (SELECT * FROM full_chunk WHERE v = 1) o
+    ON n.key IS NOT DISTINCT FROM o.key AND n.hash = o.hash
+)"""
+oracle("t8_refresh_modules", f"WITH {MODULE_CHUNKS} SELECT key, hash, summary, version FROM state")
+oracle(
+    "s10_module_pages",
+    f"""WITH {MODULE_CHUNKS}, page AS (
+  SELECT regexp_extract(path, '([^/]+)\\.py$', 1) AS module, line, path, key, 2 AS nth,
+         '## `' || coalesce(symbol, '') || '`' || repeat(chr(10), 2)
+         || '- **File:** `' || path || '` (lines ' || line || '-' || (line + 1) || ')' || chr(10)
+         || '- **Called by:** ' || coalesce(callers, '(not shown)') || chr(10)
+         || '- **Calls:** ' || coalesce(callees, '(none)') || repeat(chr(10), 2)
+         || summary || repeat(chr(10), 2)
+         || '```python' || chr(10) || trim(text) || chr(10) || '```' || repeat(chr(10), 2) AS part FROM state
+), heads AS (
+  SELECT DISTINCT module, NULL::INT AS line, NULL AS path, NULL AS key, 0 AS nth, '# `' || module || '` Module' || chr(10) AS part FROM page
+  UNION ALL SELECT DISTINCT module, NULL, NULL, NULL, 1,
+    '_Generated documentation. Parts that did not change are kept from the run before._' || chr(10) FROM page
+), whole AS (
+  SELECT module, string_agg(part || chr(10), '' ORDER BY line NULLS FIRST, path NULLS FIRST, key NULLS FIRST, nth) AS text
+  FROM (SELECT * FROM heads UNION ALL SELECT * FROM page) GROUP BY module
+)
+SELECT module, sha256(text) AS page_hash, length(text) AS chars FROM whole""",
+)

@@ -10,6 +10,7 @@ from cartloom.functions import rules, text
 from cartloom.functions.rules import Cuts
 from cartloom.functions.scores import AddonWeights, penalty_exempt
 from cartloom.operators import bundles, corpus, features, graph, incremental, lookup, ranking, vector_index, vectors
+from cartloom.plans import modules as pages
 from cartloom.plans import promote as promotion
 from cartloom.plans import recommend as recommendation
 from cartloom.plans import retrieve as retrieval
@@ -970,6 +971,64 @@ def t8(spark, sf):
     )
 
 
+def _module_versions(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """Two versions of pages over parts and suppliers as functions; suppliers call the parts they deliver.
+
+    The first version has other texts for small parts, no parts of some keys, parts that vanish, a
+    part without name, and neither the suppliers' edges that come nor the ones that stay away.
+    """
+    parts = tables.read_table(spark, sf, "part").select(
+        F.concat(F.lit("shop/"), F.col("p_type"), F.lit(".py")).alias("path"),
+        F.concat(F.lit("p."), F.col("p_partkey").cast("string")).alias("symbol"),
+        F.col("p_partkey").cast("int").alias("start_line"), F.concat_ws(" ", "p_name", "p_brand").alias("text"),
+        F.col("p_partkey").alias("number"), F.col("p_size").alias("size"),
+    )
+    suppliers = tables.read_table(spark, sf, "supplier").select(
+        F.lit("shop/suppliers.py").alias("path"), F.concat(F.lit("s."), F.col("s_suppkey").cast("string")).alias("symbol"),
+        F.col("s_suppkey").cast("int").alias("start_line"), F.col("s_name").alias("text"),
+        F.col("s_suppkey").alias("number"), F.lit(50).alias("size"),
+    )
+    nameless = suppliers.where("number = 1").withColumn("symbol", F.lit(None).cast("string"))
+    now = parts.unionByName(suppliers).unionByName(nameless).withColumns(
+        {"kind": F.lit("function"), "end_line": F.col("start_line") + 1}
+    )
+    gone = now.where("number % 13 = 0").withColumn("symbol", F.concat("symbol", F.lit("_old")))
+    before = now.where("number % 11 <> 0").unionByName(gone).withColumn(
+        "text", F.when(F.col("size") < 5, F.upper("text")).otherwise(F.col("text"))
+    )
+    edges = roles.edges(spark, sf)
+    added = F.endswith("src", F.lit("7")) & F.endswith("dst", F.lit("3"))
+    removed = edges.where(F.endswith("src", F.lit("9")) & F.endswith("dst", F.lit("1"))).select(
+        "src", F.concat("dst", F.lit("0")).alias("dst")
+    )
+    folder = scratch_path(spark, "modules")
+    columns = ["path", "symbol", "kind", "start_line", "end_line", "text"]
+
+    def summary(changed: DataFrame) -> DataFrame:
+        return changed.select("key", "hash", F.concat(F.lit("summary of "), F.length("text").cast("string")).alias("summary"))
+
+    for chunks, own in ((before, edges.where(~added).unionByName(removed)), (now, edges)):
+        state = pages.refresh_modules(chunks.select(*columns), own, folder, summary, names=100_000)
+    return state, folder
+
+
+@query("t8_refresh_modules")
+def t8_modules(spark, sf):
+    """The state of the second version; ``version`` is 2 exactly for the chunks that were computed again."""
+    return _module_versions(spark, sf)[0].select("key", "hash", "payload.summary", "payload.version")
+
+
+@query("s10_module_pages")
+def s10_pages(spark, sf):
+    """The pages of the second version, read back from their files."""
+    _, folder = _module_versions(spark, sf)
+    files = text_files.read_text_tree(spark, f"{folder}/version=000002/modules", extensions=(".txt",))
+    return text_files.joined_by_folder(files).select(
+        F.regexp_extract("folder", r"module=([^/]*)$", 1).alias("module"), F.sha2("text", 256).alias("page_hash"),
+        F.length("text").alias("chars"),
+    )
+
+
 @query("j6_changed_rows")
 def j6(spark, sf):
     docs, state = _document_state(spark, sf)
