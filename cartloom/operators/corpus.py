@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartloom.functions import fixed_values as fixed
 from cartloom.functions.text import file_stem, file_suffix, split_lines, strip
+from cartloom.operators.gram_index import GramIndex
 from cartloom.operators.matching import term_hits, term_matches
 from cartloom.operators.ranking import top_k
 from cartloom.session import materialize
@@ -302,9 +303,13 @@ def counts(df: DataFrame, by: str) -> DataFrame:
 FILE_ORDER = ("path", "start_line", "symbol")
 
 
-def grep(terms: DataFrame, chunks: DataFrame, k: int = 25) -> DataFrame:
-    """The first ``k`` chunks, in file order, whose text holds the term, ignoring case."""
-    hits = term_matches(terms, chunks, FILE_ORDER, "text")
+def grep(terms: DataFrame, chunks: DataFrame | GramIndex, k: int = 25) -> DataFrame:
+    """The first ``k`` chunks, in file order, whose text holds the term, ignoring case.
+
+    ``chunks`` may be an index with the keys FILE_ORDER over the column ``text``.
+    """
+    indexed = isinstance(chunks, GramIndex)
+    hits = chunks.matches(terms) if indexed else term_matches(terms, chunks, FILE_ORDER, "text")
     return top_k(hits, ["term"], [F.asc(column) for column in FILE_ORDER], k)
 
 
@@ -342,7 +347,7 @@ def find_symbol(terms: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
 
 def rank_chunks(
     terms: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | GramIndex,
     text_points: int = fixed.RANK_TEXT,
     symbol_points: int = fixed.RANK_SYMBOL,
     prefix_rules: Sequence[tuple[Sequence[str], int]] = (),
@@ -353,7 +358,8 @@ def rank_chunks(
     A chunk scores points for the term in its text and in its symbol. ``prefix_rules`` add
     points, or take some off, by the start of its path whatever the term. Points for the term are not negative, so of the chunks
     without the term only the ``k`` best by path can be in any result; they are found
-    once and added to every term.
+    once and added to every term. ``chunks`` may be an index with the keys FILE_ORDER over the
+    columns ``text`` and ``symbol``; its texts are read for the chunks that are best by path only.
     """
     if text_points < 0 or symbol_points < 0:
         raise ValueError("points for a match must not be negative")
@@ -364,19 +370,18 @@ def rank_chunks(
     asked = terms.select("term").where(F.col("term").isNotNull()).distinct()
     keys = list(FILE_ORDER)
 
-    hits = term_hits(asked, chunks, keys, ["text", "symbol"])
+    indexed = isinstance(chunks, GramIndex)
+    hits = chunks.hits(asked) if indexed else term_hits(asked, chunks, keys, ["text", "symbol"])
     points = sum(
         F.when(F.col("found")[at], gain).otherwise(0) for at, gain in enumerate((text_points, symbol_points))
     )
     # a chunk scores in its own row, so chunks with equal or null keys do not run together
     matches = hits.select("term", *keys, (points + base).cast("bigint").alias("score"))
-    favoured = (
-        chunks.withColumn("score", base.cast("bigint"))
-        .where(F.col("score") > 0)
-        .orderBy(*order)
-        .limit(k)
-        .agg(F.collect_list(F.struct(*keys, "score", "text")).alias("favoured"))
-    )
+    held = chunks.texts().select("part", "place", *keys) if indexed else chunks
+    best = held.withColumn("score", base.cast("bigint")).where(F.col("score") > 0).orderBy(*order).limit(k)
+    if indexed:
+        best = best.join(chunks.texts().select("part", "place", "text"), ["part", "place"])
+    favoured = best.agg(F.collect_list(F.struct(*keys, "score", "text")).alias("favoured"))
     # One row that holds at most k chunks; those with the term are already scored.
     held = F.lit(False)
     for column in ("text", "symbol"):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cartloom.functions import fixed_values as fixed
 from cartloom.functions.text import card_text, strip
+from cartloom.operators.gram_index import GramIndex, build_gram_index
 from cartloom.operators.matching import term_matches
 from cartloom.operators.ranking import top_k
 
@@ -85,27 +86,38 @@ def find_by_exact_name(
     ).select("query_id", "rank", "product_id", "product_name", "total_units")
 
 
+def name_index(products: DataFrame, path: str) -> GramIndex:
+    """An index of the distinct product names, for :func:`search_by_name`."""
+    names = products.select("product_name").dropna().distinct()
+    return build_gram_index(names, ["product_name"], ["product_name"], path)
+
+
 def search_by_name(
     queries: DataFrame,
     products: DataFrame,
     velocity: DataFrame,
     k: int = 15,
     escape: bool = False,
+    index: GramIndex | None = None,
 ) -> DataFrame:
     """Products whose name contains the query, ignoring case, most sold first.
 
     ``queries`` holds ``(query_id, user_query)``; a blank query finds nothing. ``%`` and
     ``_`` in a query act as wildcards unless ``escape`` is set. Each distinct query text
     is matched once, against each distinct name once, and only the first ``k`` products
-    of a name can be among the first ``k`` of a query.
+    of a name can be among the first ``k`` of a query. ``index``, from :func:`name_index`, saves the
+    scan of the names.
     """
     asked = queries.select("query_id", strip(F.col("user_query")).alias("term")).where(
         F.col("term") != ""
     )
-    names = products.select("product_name").dropna().distinct()
-    matches = term_matches(
-        asked.select("term"), names, ["product_name"], "product_name", wildcards=not escape
-    )
+    if index is None:
+        names = products.select("product_name").dropna().distinct()
+        matches = term_matches(
+            asked.select("term"), names, ["product_name"], "product_name", wildcards=not escape
+        )
+    else:
+        matches = index.matches(asked.select("term"), wildcards=not escape)
     found = top_k(
         matches.join(_best_sellers_per_name(products, velocity, k), "product_name"),
         ["term"],

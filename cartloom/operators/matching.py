@@ -82,7 +82,7 @@ def term_hits(
     return _by_grams(terms, lowered, keys, match, size.kinds, -(-size.chars // BLOCK_CHARS))
 
 
-def _found(match: Callable[[Column, Column], Column], pattern: Column) -> Column:
+def found_in(match: Callable[[Column, Column], Column], pattern: Column) -> Column:
     return F.transform("lowered", lambda text: F.coalesce(match(text, pattern), F.lit(False)))
 
 
@@ -91,7 +91,7 @@ def _by_literals(
 ) -> DataFrame:
     """``terms`` has at most ``literal_terms`` rows here, checked by the caller."""
     hits = [
-        F.struct(F.lit(row.term).alias("term"), _found(match, F.lit(row.pattern)).alias("found"))
+        F.struct(F.lit(row.term).alias("term"), found_in(match, F.lit(row.pattern)).alias("found"))
         for row in terms.collect()
     ]
     kind = "array<struct<term: string, found: array<boolean>>>"
@@ -154,6 +154,6 @@ def _by_grams(
     for block in range(blocks):
         # BLOCK_CHARS bounds the expected size of each block
         own = keyed.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block) if blocks > 1 else keyed
-        pairs = looked_up.join(F.broadcast(own), "gram").select("term", *keys, _found(match, F.col("pattern")).alias("found"))
+        pairs = looked_up.join(F.broadcast(own), "gram").select("term", *keys, found_in(match, F.col("pattern")).alias("found"))
         parts.append(pairs.where(F.exists("found", lambda x: x)))
     return reduce(DataFrame.unionAll, parts)

@@ -218,6 +218,13 @@ oracle(
     "part",
     asked="SELECT query_id, translate(upper(user_query), ' AE', '%_') AS user_query FROM queries",
 )
+oracle_of_grains(
+    "p4_search_indexed",
+    f"""SELECT *, 1 AS run FROM ({search(LIKE)})
+        UNION ALL SELECT *, 2 AS run FROM ({search(LIKE.replace("asked", "coded")).replace("asked", "coded")})""",
+    asked="SELECT * FROM queries",
+    coded="SELECT query_id, translate(upper(user_query), ' AE', '%_') AS user_query FROM queries",
+)
 oracle(
     "p4_search_escaped",
     search("contains(lower(product_name), lower(asked.user_query))"),
@@ -821,6 +828,7 @@ oracle(
         terms=TERMS,
     ),
 )
+ORACLES["t4_grep_indexed"] = ORACLES["t4_grep"]
 oracle(
     "t4_grep_items",
     """SELECT term, path, start_line, symbol, rank FROM (
@@ -865,6 +873,7 @@ oracle(
     terms=CATALOGUE_TERMS,
     catalogue=CATALOGUE,
 )
+ORACLES["t6_rank_chunks_indexed"] = ORACLES["t6_rank_chunks"]
 oracle(
     "p6_select_chunks",
     corpus_sql(

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cartloom.functions import rules, text
 from cartloom.functions.rules import Cuts
 from cartloom.functions.scores import AddonWeights, penalty_exempt
-from cartloom.operators import bundles, corpus, features, graph, incremental, lookup, ranking, vector_index, vectors
+from cartloom.operators import (
+    bundles, corpus, features, gram_index, graph, incremental, lookup, ranking, vector_index, vectors
+)
 from cartloom.plans import modules as pages
 from cartloom.plans import promote as promotion
 from cartloom.plans import recommend as recommendation
@@ -204,6 +206,17 @@ def p4_wildcards(spark, sf):
     return rounded(lookup.search_by_name(asked, house.products, house.velocity), "reorder_rate")
 
 
+@query_of_grains("p4_search_indexed")
+def p4_indexed(spark, sf, grain):
+    """The index of names is written once and asked twice, by other queries the second time."""
+    house = roles.warehouse(spark, sf, grain)
+    index = lookup.name_index(house.products, scratch_path(spark, "name-index"))
+    asked = roles.queries(spark, sf)
+    both = (asked, asked.withColumn("user_query", F.translate(F.upper("user_query"), " AE", "%_")))
+    found = [lookup.search_by_name(one, house.products, house.velocity, index=index) for one in both]
+    return rounded(found[0].withColumn("run", F.lit(1)).unionByName(found[1].withColumn("run", F.lit(2))), "reorder_rate")
+
+
 @query("p4_search_escaped")
 def p4_escaped(spark, sf):
     house = roles.warehouse(spark, sf, "part")
@@ -867,6 +880,13 @@ def t4(spark, sf):
     return corpus.grep(_words(spark, sf), corpus.chunk_lines(roles.corpus(spark, sf), STEP))
 
 
+@query("t4_grep_indexed")
+def t4_indexed(spark, sf):
+    chunks = corpus.chunk_lines(roles.corpus(spark, sf), STEP)
+    path = scratch_path(spark, "gram-index")
+    return corpus.grep(_words(spark, sf), gram_index.build_gram_index(chunks, corpus.FILE_ORDER, ["text"], path, part_rows=1024))
+
+
 @query("t4_grep_items")
 def t4_items(spark, sf):
     terms = tables.read_table(spark, sf, "benchmark").select(F.col("text").alias("term"))
@@ -901,6 +921,15 @@ def t6(spark, sf):
     return corpus.rank_chunks(terms, _catalogue_chunks(spark, sf), prefix_rules=rule)
 
 
+@query("t6_rank_chunks_indexed")
+def t6_indexed(spark, sf):
+    terms = roles.queries(spark, sf).select(F.col("user_query").alias("term"))
+    rule = ((("economy/",), -500), (("promo/brand#1", "large/"), 60))
+    path = scratch_path(spark, "gram-index")
+    index = gram_index.build_gram_index(_catalogue_chunks(spark, sf), corpus.FILE_ORDER, ["text", "symbol"], path, part_rows=256)
+    return corpus.rank_chunks(terms, index, prefix_rules=rule)
+
+
 @query("p6_select_chunks")
 def p6(spark, sf):
     chunks = corpus.chunk_lines(roles.corpus(spark, sf), STEP)
