@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cartloom.functions import fixed_values as fixed
@@ -176,8 +177,6 @@ def _latest(column: str, window) -> Column:
 
 
 _HEAD = "struct<pos: int, level: int, name: string, word: string>"
-_OPEN = "array<struct<level: int, name: string>>"
-_NEXT = "array<struct<level: int, pos: int>>"
 
 
 def _row_headings(pattern: str) -> Column:
@@ -198,45 +197,29 @@ def _row_headings(pattern: str) -> Column:
     return F.array_compact(heads).cast(f"array<{_HEAD}>")
 
 
-def _row_symbols() -> Column:
-    """Of every heading the names of the headings around it and its own, joined by dots.
+def _blocks_of(heads: pa.Array, lasts: pa.Array) -> pa.Array:
+    """Of every heading the names around it and its own, joined by dots, and the last line of its block.
 
-    Passing over the headings, the open ones are a stack of growing levels.
+    One pass over the headings: the open ones are a stack of growing levels, and a heading closes
+    those of its own or a larger level.
     """
-    start = F.struct(
-        F.array().cast(_OPEN).alias("open"), F.array().cast("array<string>").alias("symbols")
-    )
-
-    def step(done: Column, head: Column) -> Column:
-        around = F.filter(done["open"], lambda one: one["level"] < head["level"])
-        names = F.concat(F.transform(around, lambda one: one["name"]), F.array(head["name"]))
-        own = F.array(F.struct(head["level"].alias("level"), head["name"].alias("name")))
-        return F.struct(
-            F.concat(around, own).cast(_OPEN).alias("open"),
-            F.concat(done["symbols"], F.array(F.array_join(names, "."))).cast("array<string>").alias("symbols"),
-        )
-
-    return F.aggregate("heads", start, step, lambda done: done["symbols"])
-
-
-def _row_ends() -> Column:
-    """Of every heading the last line before the next one of its own or a smaller level.
-
-    Passing over the headings from the end, those that can be next are a stack of growing levels.
-    """
-    start = F.struct(F.array().cast(_NEXT).alias("coming"), F.array().cast("array<int>").alias("ends"))
-
-    def step(done: Column, head: Column) -> Column:
-        nearest = F.get(F.reverse(F.filter(done["coming"], lambda one: one["level"] <= head["level"])), F.lit(0))
-        end = F.coalesce(nearest["pos"] - 1, F.size("lines")).cast("int")
-        own = F.array(F.struct(head["level"].alias("level"), head["pos"].alias("pos")))
-        beyond = F.filter(done["coming"], lambda one: one["level"] < head["level"])
-        return F.struct(
-            F.concat(beyond, own).cast(_NEXT).alias("coming"),
-            F.concat(done["ends"], F.array(end)).cast("array<int>").alias("ends"),
-        )
-
-    return F.reverse(F.aggregate(F.reverse("heads"), start, step, lambda done: done["ends"]))
+    symbols, ends = [], []
+    bounds, held = heads.offsets.to_numpy(), heads.values
+    levels, starts = held.field("level").to_pylist(), held.field("pos").to_pylist()
+    names = held.field("name").to_pylist()
+    for first, stop, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), lasts.to_pylist(), strict=True):
+        open_heads: list[int] = []
+        symbols += names[first:stop]
+        ends += [last] * (stop - first)
+        base = len(symbols) - stop
+        for at in range(first, stop):
+            while open_heads and levels[open_heads[-1]] >= levels[at]:
+                ends[base + open_heads.pop()] = starts[at] - 1
+            if open_heads:
+                symbols[base + at] = f"{symbols[base + open_heads[-1]]}.{names[at]}"
+            open_heads.append(at)
+    found = pa.StructArray.from_arrays([pa.array(symbols, pa.string()), pa.array(ends, pa.int32())], names=["symbol", "end"])
+    return pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), found)
 
 
 def chunk_blocks(
@@ -247,17 +230,19 @@ def chunk_blocks(
 ) -> DataFrame:
     """Texts cut at their headings; a text without any gives its head chunk.
 
-    A text is cut inside its own row, so nothing is shuffled. For headings that come as rows
-    see :func:`segment_blocks`.
+    A text is cut inside its own row, so nothing is shuffled, in time that grows with its lines and
+    headings. For headings that come as rows see :func:`segment_blocks`.
     """
     path = F.col("path")
     heads = _with_lines(docs).withColumn("heads", _row_headings(pattern))
-    blocks = F.arrays_zip(
-        F.col("heads"), _row_symbols().alias("symbol"), _row_ends().alias("end")
+    blocks = F.zip_with(
+        "heads",
+        F.arrow_udf(_blocks_of, "array<struct<symbol: string, end: int>>")("heads", F.size("lines")),
+        lambda head, block: F.struct(head.alias("head"), block.alias("block")),
     )
 
     def cut(block: Column) -> Column:
-        opened = block["heads"]
+        opened, block = block["head"], block["block"]
         kind = F.lit(None).cast("string")
         for word, label in kinds:
             kind = F.when(opened["word"] == word, F.lit(label)).otherwise(kind)
