@@ -12,7 +12,7 @@ The formulas are this library's own definitions:
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -228,6 +228,62 @@ def quantiles(
     )
 
 
+#: Items that a sketch keeps a level; more make it larger and its ranks more exact.
+SKETCH_SIZE = 4096
+
+
+def rank_error(size: int = SKETCH_SIZE) -> float:
+    """How far the rank of an approximate quantile is off, of all values, with a confidence of 99 percent."""
+    return 2.296 / size**0.9723
+
+
+def quantile_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), size: int = SKETCH_SIZE) -> DataFrame:
+    """``(*by, name, sketch)``: a sketch of the values of each column, per group of ``by``.
+
+    A sketch has a bounded size whatever it was built from, and sketches merge, so those of new
+    days, partitions or files are added to the stored ones without reading old rows again. Null
+    and NaN are no values.
+    """
+    own = [
+        F.kll_sketch_agg_double(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(size)).alias(f"of_{at}")
+        for at, c in enumerate(columns)
+    ]
+    rows = df.groupBy(*by).agg(*own)
+    named = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"of_{at}").alias("sketch")) for at, c in enumerate(columns)])
+    return rows.select(*by, F.inline(named)).where(F.col("sketch").isNotNull() & (F.kll_sketch_get_n_double("sketch") > 0))
+
+
+def approximate_quantiles(sketches: DataFrame, probs: Mapping[str, Mapping[str, float]], size: int = SKETCH_SIZE) -> DataFrame:
+    """``(name, quantile, value)`` from the merged sketches of each name.
+
+    ``probs`` gives the quantiles of each name by their names. The rank of a value is off by at
+    most :func:`rank_error`, with its confidence, of the number of values.
+    """
+    merged = sketches.groupBy("name").agg(F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"))
+    found = F.array(*[
+        F.struct(
+            F.lit(name).alias("own"), F.lit(key).alias("quantile"),
+            F.kll_sketch_get_quantile_double("sketch", F.lit(float(prob))).alias("value"),
+        )
+        for name, own in probs.items() for key, prob in own.items()
+    ])
+    return merged.select("name", F.inline(found)).where(F.col("name") == F.col("own")).select("name", "quantile", "value")
+
+
+def calibrate_sketches(
+    sketches: DataFrame,
+    affinity_probs: tuple[float, float, float] = (0.75, 0.5, 0.25),
+    units_prob: float = 0.5,
+    rate_prob: float = 0.25,
+) -> DataFrame:
+    """The cut-offs of :func:`calibrate` from sketches of its three columns."""
+    levels = dict(zip(("affinity_high", "affinity_mid", "affinity_low"), affinity_probs))
+    probs = {"co_purchase_count": levels, "total_units": {"units_mid": units_prob}, "reorder_rate": {"rate_low": rate_prob}}
+    names = [*levels, "units_mid", "rate_low"]
+    found = approximate_quantiles(sketches, probs)
+    return found.groupBy().agg(*[F.max(F.when(F.col("quantile") == name, F.col("value"))).alias(name) for name in names])
+
+
 def calibrate(
     affinity: DataFrame,
     velocity: DataFrame,

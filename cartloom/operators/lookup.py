@@ -8,6 +8,7 @@ from cartloom.functions import fixed_values as fixed
 from cartloom.functions.text import card_text, strip
 from cartloom.operators.gram_index import GramIndex, build_gram_index
 from cartloom.operators.matching import term_matches
+from cartloom.operators.neighbours import NeighbourTable
 from cartloom.operators.ranking import top_k
 
 
@@ -164,13 +165,19 @@ def build_documents(products: DataFrame, velocity: DataFrame) -> DataFrame:
 
 
 def strongest_neighbours(
-    keys: DataFrame, affinity: DataFrame, products: DataFrame, k: int
+    keys: DataFrame, affinity: DataFrame | NeighbourTable, products: DataFrame, k: int
 ) -> DataFrame:
     """The ``k`` known products most often bought with each keyed one, with name and department.
 
-    Each direction of the pair table is reduced to the keys where it is scanned. Only ids and
-    counts are cut to ``k`` rows; names are joined to what is left.
+    ``affinity`` is the pair table, of which each direction is reduced to the keys where it is
+    scanned, or the stored neighbours, which are not shuffled. Only ids and counts are cut to ``k``
+    rows; names are joined to what is left.
     """
+    other = products.select(
+        F.col("product_id").alias("other_id"), "product_name", "department_id"
+    )
+    if isinstance(affinity, NeighbourTable):
+        return affinity.of(keys, k).join(other, "other_id")
     wanted = keys.select(F.col("product_id").alias("wanted")).distinct()
     a, b = F.col("product_id_a"), F.col("product_id_b")
 
@@ -185,14 +192,11 @@ def strongest_neighbours(
         "other_id",
     )
     best = top_k(known, ["product_id"], [F.desc("co_purchase_count"), F.asc("other_id")], k)
-    other = products.select(
-        F.col("product_id").alias("other_id"), "product_name", "department_id"
-    )
     return best.join(other, "other_id")
 
 
 def co_purchase(
-    keys: DataFrame, affinity: DataFrame, products: DataFrame, k: int = 10
+    keys: DataFrame, affinity: DataFrame | NeighbourTable, products: DataFrame, k: int = 10
 ) -> DataFrame:
     """The ``k`` products most often bought together with each keyed product."""
     return strongest_neighbours(keys, affinity, products, k).select(
@@ -219,7 +223,7 @@ def popular_alternatives(departments: DataFrame, velocity: DataFrame, k: int = 1
 
 def promo_candidates(
     anchors: DataFrame,
-    affinity: DataFrame,
+    affinity: DataFrame | NeighbourTable,
     products: DataFrame,
     velocity: DataFrame,
     k: int = fixed.CANDIDATE_POOL,

@@ -19,6 +19,7 @@ from cartloom.operators.bundles import (
     select_disjoint,
 )
 from cartloom.operators.lookup import product_card, promo_candidates
+from cartloom.operators.neighbours import NeighbourTable
 from cartloom.session import materialize
 
 
@@ -27,7 +28,7 @@ def promote(
     hits: DataFrame,
     products: DataFrame,
     velocity: DataFrame,
-    affinity: DataFrame,
+    affinity: DataFrame | NeighbourTable,
     cuts: Cuts = Cuts(),
     anchor_weights: AnchorWeights = AnchorWeights(),
     addon_weights: AddonWeights = AddonWeights(),
@@ -66,7 +67,7 @@ def plan_anchors(
     anchors: DataFrame,
     products: DataFrame,
     velocity: DataFrame,
-    affinity: DataFrame,
+    affinity: DataFrame | NeighbourTable,
     cuts: Cuts = Cuts(),
     weights: AddonWeights = AddonWeights(),
     family: Column | None = None,

@@ -13,6 +13,7 @@ from cartloom.operators.lookup import (
     product_card,
 )
 from cartloom.operators.matching import term_matches
+from cartloom.operators.neighbours import NeighbourTable
 from cartloom.session import materialize
 
 
@@ -67,7 +68,7 @@ def recommend(
     aliases: DataFrame,
     products: DataFrame,
     velocity: DataFrame,
-    affinity: DataFrame,
+    affinity: DataFrame | NeighbourTable,
     k: int = 10,
 ) -> DataFrame:
     """Recommendations per query, at least one row for every query.
@@ -93,6 +94,8 @@ def recommend(
         "product_name",
         "co_purchase_count",
     )
+    # used twice: in the result, and to tell which products are without
+    together = materialize(together, "together")
     alone = (
         keys.join(together, "chosen_id", "left_anti")
         .join(products.select(F.col("product_id").alias("chosen_id"), "department_id"), "chosen_id")

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cartloom import schemas
 from cartloom.operators.features import basket_affinity, sku_velocity
-from cartloom.session import materialize, spread
+from cartloom.operators.neighbours import NeighbourTable, write_neighbours
+from cartloom.session import materialize, scratch_path, spread
 from cartloom.sources.tables import read_table
 
 # Department ids of the part types.
@@ -30,6 +31,7 @@ class Warehouse:
     products: DataFrame
     velocity: DataFrame
     affinity: DataFrame
+    neighbours: NeighbourTable
 
 
 def part_products(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,10 +144,12 @@ def warehouse(spark: SparkSession, folder: str, grain: str = "name") -> Warehous
             products = with_suppliers(products, spark, folder)
         elif grain != "part":
             raise ValueError(f"unknown grain {grain!r}")
+        affinity = materialize(basket_affinity(baskets), f"affinity-{grain}")
         _written[key] = Warehouse(
             products,
             materialize(sku_velocity(lines, products), f"velocity-{grain}"),
-            materialize(basket_affinity(baskets), f"affinity-{grain}"),
+            affinity,
+            write_neighbours(affinity, products, scratch_path(spark, f"neighbours-{grain}")),
         )
     return _written[key]
 

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cartloom.functions import fixed_values as fixed
 from cartloom.functions.rules import Cuts
@@ -95,3 +96,32 @@ def test_calibrated_cuts(spark, catalogue):
     assert cuts.discount[1] == (7000.0, fixed.DISCOUNT_STEPS[1][1])
     assert cuts.basket_units == 900.0
     assert cuts.trial_rate == 0.5
+
+
+def test_sketches_merge_and_keep_their_rank_error(spark):
+    values = spark.range(200_000).select(
+        F.pmod(F.xxhash64("id"), F.lit(100_000)).cast("double").alias("v"), (F.col("id") % 7).alias("day")
+    )
+    odd = spark.createDataFrame([(None, 7), (float("nan"), 8)], "v double, day long")
+    sketches = features.quantile_sketches(values.unionByName(odd), ["v"], ["day"])
+    assert sketches.count() == 7
+    probs = {"low": 0.01, "mid": 0.5, "high": 0.99}
+    got = {r.quantile: r.value for r in features.approximate_quantiles(sketches, {"v": probs}).collect()}
+    for name, prob in probs.items():
+        below, upto = values.agg(F.avg((F.col("v") < got[name]).cast("double")), F.avg((F.col("v") <= got[name]).cast("double"))).first()
+        assert below - 3 * features.rank_error() <= prob <= upto + 3 * features.rank_error()
+    # a sketch is bounded: seven times the rows make it no seven times larger
+    sizes = features.quantile_sketches(values, ["v"]).select(F.length("sketch")).first()[0]
+    assert sizes < 8 * 200_000 / 5
+    assert features.quantile_sketches(values.limit(0), ["v"]).count() == 0
+
+
+def test_cut_offs_from_sketches_are_near_the_exact_ones(spark):
+    affinity = spark.range(5000).select((F.col("id") % 101).alias("co_purchase_count"))
+    velocity = spark.range(5000).select(F.col("id").alias("total_units"), (F.col("id") / 5000).alias("reorder_rate"))
+    sketches = features.quantile_sketches(affinity, ["co_purchase_count"]).unionByName(
+        features.quantile_sketches(velocity, ["total_units", "reorder_rate"])
+    )
+    near, exact = features.calibrate_sketches(sketches).first(), features.calibrate(affinity, velocity).first()
+    assert near.asDict().keys() == exact.asDict().keys()
+    assert abs(near.affinity_mid - exact.affinity_mid) <= 1 and abs(near.units_mid - exact.units_mid) <= 15

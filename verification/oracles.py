@@ -167,6 +167,11 @@ SELECT round((SELECT quantile_cont(co_purchase_count::DOUBLE, 0.75) FROM affinit
 oracle("a5_calibrate", CALIBRATE, "name")
 oracle("a5_calibrate_parts", CALIBRATE, "part")
 
+oracle(
+    "a5_calibrate_sketches",
+    """SELECT unnest(['affinity_high', 'affinity_mid', 'affinity_low', 'units_mid', 'rate_low']) AS cut_off,
+              true AS within_error""",
+)
 oracle("s2_read_table", PART_PRODUCTS)
 oracle("j1_symmetric", "SELECT * FROM sym", "name")
 oracle(
@@ -238,6 +243,8 @@ SELECT product_id, rank, other_id, product_name, co_purchase_count FROM (
   FROM sym s JOIN products p ON p.product_id = s.other_id) WHERE rank <= 10"""
 oracle("r2_co_purchase", CO_PURCHASE, "name")
 oracle("r2_co_purchase_parts", CO_PURCHASE, "part")
+oracle("r2_co_purchase_pairs", CO_PURCHASE, "part")
+oracle("r2_co_purchase_many", CO_PURCHASE.replace("rank <= 10", "rank <= 55"), "name")
 POPULAR = """
 SELECT department_id, rank, product_id, product_name, total_units, reorder_rate FROM (
   SELECT *, row_number() OVER (PARTITION BY department_id

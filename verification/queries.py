@@ -128,6 +128,38 @@ def a5_parts(spark, sf):
     return rounded(found, *found.columns)
 
 
+@query("a5_calibrate_sketches")
+def a5_sketches(spark, sf):
+    """Whether each cut-off from merged sketches has a rank within the error of its exact one."""
+    house = roles.warehouse(spark, sf, "part")
+    shard = F.pmod(F.xxhash64("product"), F.lit(5)).alias("shard")
+    pairs = house.affinity.select(F.col("product_id_a").alias("product"), "co_purchase_count").select(shard, "co_purchase_count")
+    sold = house.velocity.select(F.col("product_id").alias("product"), "total_units", "reorder_rate").select(
+        shard, "total_units", "reorder_rate"
+    )
+    sketches = features.quantile_sketches(pairs, ["co_purchase_count"], ["shard"]).unionByName(
+        features.quantile_sketches(sold, ["total_units", "reorder_rate"], ["shard"])
+    )
+    cuts = features.calibrate_sketches(sketches)
+    wanted = (
+        ("affinity_high", pairs, "co_purchase_count", 0.75), ("affinity_mid", pairs, "co_purchase_count", 0.5),
+        ("affinity_low", pairs, "co_purchase_count", 0.25), ("units_mid", sold, "total_units", 0.5),
+        ("rate_low", sold, "reorder_rate", 0.25),
+    )
+    error, out = 3 * features.rank_error(), None
+    for name, rows, column, prob in wanted:
+        at = cuts.select(F.col(name)).scalar()
+        ranks = rows.select(column, at.alias("cut")).agg(
+            F.avg((F.col(column) < F.col("cut")).cast("double")).alias("below"),
+            F.avg((F.col(column) <= F.col("cut")).cast("double")).alias("upto"),
+        )
+        row = ranks.select(
+            F.lit(name).alias("cut_off"), ((F.col("below") <= prob + error) & (F.col("upto") >= prob - error)).alias("within_error")
+        )
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 # Lookups
 
 
@@ -228,15 +260,29 @@ def p4_escaped(spark, sf):
 @query("r2_co_purchase")
 def r2(spark, sf):
     house = roles.warehouse(spark, sf)
-    return lookup.co_purchase(house.products, house.affinity, house.products)
+    return lookup.co_purchase(house.products, house.neighbours, house.products)
 
 
 @query("r2_co_purchase_parts")
 def r2_parts(spark, sf):
+    house = roles.warehouse(spark, sf, "part")
+    return lookup.co_purchase(house.products, house.neighbours, house.products)
+
+
+@query("r2_co_purchase_pairs")
+def r2_pairs(spark, sf):
+    """From the pair table itself, which is scanned once for each direction."""
     house = roles.warehouse(spark, sf, "part")
     return lookup.co_purchase(house.products, house.affinity, house.products)
 
 
+@query("r2_co_purchase_many")
+def r2_many(spark, sf):
+    """More neighbours than are kept beside the pairs."""
+    house = roles.warehouse(spark, sf)
+    return lookup.co_purchase(house.products, house.neighbours, house.products, k=house.neighbours.strongest + 5)
+
+
 @query("r3_popular_alternatives")
 def r3(spark, sf):
     house = roles.warehouse(spark, sf, "part")
@@ -400,7 +446,7 @@ def _anchors(spark: SparkSession, sf: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
     house = roles.warehouse(spark, sf)
     return lookup.promo_candidates(
-        _anchors(spark, sf), house.affinity, house.products, house.velocity
+        _anchors(spark, sf), house.neighbours, house.products, house.velocity
     )
 
 
@@ -515,7 +561,7 @@ def _promoted(spark: SparkSession, sf: str, grain: str = "name") -> DataFrame:
         _hits(spark, sf, grain),
         house.products,
         house.velocity,
-        house.affinity,
+        house.neighbours,
         cuts=CUTS,
         addon_weights=WEIGHTS,
         family=noun(),
@@ -682,7 +728,7 @@ def _recommended(
         _aliases(spark, sf),
         house.products,
         house.velocity,
-        house.affinity,
+        house.neighbours,
     )
     return found, house
 
