@@ -404,6 +404,9 @@ oracle(
         FROM pages""",
 )
 
+ORACLES["f1_sku_velocity_upkeep"] = ORACLES["f1_sku_velocity"]
+ORACLES["f2_basket_affinity_upkeep"] = ORACLES["f2_basket_affinity"]
+
 # Promotion
 CANDIDATES = """
 SELECT r.product_id AS anchor_id, rank, r.other_id AS product_id, p.product_name, p.department_id,

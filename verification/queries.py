@@ -12,6 +12,7 @@ from cartloom.functions.scores import AddonWeights, penalty_exempt
 from cartloom.operators import (
     bundles, corpus, features, gram_index, graph, incremental, lookup, ranking, vector_index, vectors
 )
+from cartloom.operators.upkeep import FeatureRuns
 from cartloom.plans import modules as pages
 from cartloom.plans import promote as promotion
 from cartloom.plans import recommend as recommendation
@@ -114,6 +115,25 @@ def f2_blocks(spark, sf):
     return features.basket_affinity(roles.part_baskets(spark, sf), block=3)
 
 
+def _runs(spark: SparkSession, sf: str) -> FeatureRuns:
+    """A base of half of the lines and three batches; most orders have lines in several of them."""
+    lines = roles.part_lines(spark, sf).withColumn("batch", F.pmod(F.xxhash64("order_id", "product_id", "quantity"), F.lit(6)))
+    runs = FeatureRuns(spark, scratch_path(spark, "feature-runs"), fan_in=3)
+    for own in ("batch < 3", "batch = 3", "batch = 4", "batch = 5"):
+        runs.add(lines.where(own))
+    return runs
+
+
+@query("f1_sku_velocity_upkeep")
+def f1_upkeep(spark, sf):
+    return rounded(_runs(spark, sf).velocity(roles.part_products(spark, sf)), "reorder_rate")
+
+
+@query("f2_basket_affinity_upkeep")
+def f2_upkeep(spark, sf):
+    return _runs(spark, sf).affinity()
+
+
 @query("a5_calibrate")
 def a5(spark, sf):
     house = roles.warehouse(spark, sf)
