@@ -921,6 +921,11 @@ oracle(
               CASE WHEN l.toxic = 0 THEN 'kept' ELSE 'new:' || length(d.text) END AS payload
        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 )
+oracle(
+    "j6_state_table",
+    """SELECT d.doc_id, sha256(d.text) AS hash, CASE WHEN l.toxic = 0 THEN 'first' ELSE 'second' END AS payload
+       FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.lang IN ('en', 'de')""",
+)
 oracle(
     "j6_changed_rows",
     """SELECT d.doc_id, sha256(d.text) AS hash FROM documents d

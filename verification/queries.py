@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -12,6 +13,7 @@ from cartloom.functions.scores import AddonWeights, penalty_exempt
 from cartloom.operators import (
     bundles, corpus, features, gram_index, graph, incremental, lookup, ranking, vector_index, vectors
 )
+from cartloom.operators.state_table import keyed_state
 from cartloom.operators.upkeep import FeatureRuns
 from cartloom.plans import modules as pages
 from cartloom.plans import promote as promotion
@@ -1124,6 +1126,19 @@ def s10_pages(spark, sf):
     )
 
 
+@query("j6_state_table")
+def j6_state(spark, sf):
+    """A stored state of labelled documents brought to all documents, then to those of two languages."""
+    docs, state = _document_state(spark, sf)
+    held = keyed_state(spark, f"state_{uuid.uuid4().hex}", scratch_path(spark, "state"), key="bigint")
+    describe = lambda name: lambda df: df.select("doc_id", "hash", F.lit(name).alias("payload"))
+    held.refresh(state, "doc_id", "hash", describe("first"))
+    held.refresh(docs, "doc_id", "hash", describe("second"))
+    some = tables.read_table(spark, sf, "documents").where("lang IN ('en', 'de')").select("doc_id")
+    found = held.refresh(docs.join(some, "doc_id", "left_semi"), "doc_id", "hash", describe("third"))
+    return found.select(F.col("key").alias("doc_id"), "hash", "payload")
+
+
 @query("j6_changed_rows")
 def j6(spark, sf):
     docs, state = _document_state(spark, sf)
