@@ -377,7 +377,7 @@ def rank_chunks(
 
 
 def numbered(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
-    """``(key, position, *columns)``: rows counted from 0 in every group, by ``order``.
+    """``(key, position, *columns)``: rows counted from 0 in every group, by ``order``, equal ones by ``columns``.
 
     Rows are range-partitioned, sorted and written with the place they have there; a group that
     spans several partitions is put together from the row counts of its pieces, so no task
@@ -387,7 +387,7 @@ def numbered(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     placed = materialize(
         df.select(key, order, *columns)
         .repartitionByRange(key, order)
-        .sortWithinPartitions(key, order)
+        .sortWithinPartitions(key, order, *columns)
         .withColumn("place", F.monotonically_increasing_id())
         .withColumn("piece", F.shiftright("place", 33)),
         "numbered",
@@ -411,7 +411,7 @@ def concat_ordered(
 
     The first ``part_rows`` rows of a group make part 0, and so on, whatever the values of
     ``order``, so that a group of any size is a series of bounded strings; joining the parts in
-    order by ``sep`` gives the whole.
+    order by ``sep`` gives the whole. Rows with equal ``order`` are in the order of their texts.
     """
     part = F.floor(F.col("position") / part_rows).cast("bigint").alias("part")
     pieces = F.sort_array(F.collect_list(F.struct("position", F.col(text).alias("piece"))))

@@ -213,3 +213,24 @@ def test_refresh_recomputes_only_changes(spark):
 def test_default_words_stop_edges(spark):
     edges = spark.createDataFrame([("f", word) for word in fixed.EDGE_STOP_LIST], "src string, dst string")
     assert graph.filter_edges(edges).count() == 0
+
+
+@pytest.mark.parametrize("part_rows", [1, 2, 100])
+def test_rows_of_equal_positions_are_ordered_by_text(spark, part_rows):
+    rows = [(k, at, text) for k in (1, None) for at, text in [(2, "z"), (1, "b"), (1, "a"), (None, "n"), (1, "c"), (2, "y"), (1, None)]]
+    for order in (1, -1):
+        df = spark.createDataFrame(rows[::order], "k int, at int, body string").repartition(3)
+        parts = corpus.concat_ordered(df, "k", "at", "body", sep="|", part_rows=part_rows).collect()
+        for key in (1, None):
+            own = sorted((r.part, r.text) for r in parts if r.k == key)
+            assert "|".join(text for _, text in own if text) == "n|a|b|c|y|z"
+
+
+def test_many_headings_take_time_by_their_number(spark):
+    text = "\n".join(f"{'    ' * (i % 5)}def f{i}(a):\n{'    ' * (i % 5)}    pass" for i in range(100_000))
+    df = spark.createDataFrame([("a.py", text)], DOC)
+    last = corpus.chunk_blocks(df).where("start_line >= 199990").orderBy("start_line").collect()
+    assert [(r.symbol, r.start_line, r.end_line) for r in last] == [
+        ("f99995", 199991, 200000), ("f99995.f99996", 199993, 200000), ("f99995.f99996.f99997", 199995, 200000),
+        ("f99995.f99996.f99997.f99998", 199997, 200000), ("f99995.f99996.f99997.f99998.f99999", 199999, 200000),
+    ]

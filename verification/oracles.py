@@ -141,6 +141,12 @@ def oracle(name: str, sql: str, grain: str | None = None, **extra: str) -> None:
     ORACLES[name] = sql
 
 
+def oracle_of_names(name: str, sql: str, **extra: str) -> None:
+    """Register SQL for a query over distinct names and for its form over all products."""
+    oracle(name, sql, "name", **extra)
+    oracle(name + "_wide", sql, "wide", **extra)
+
+
 def oracle_of_grains(name: str, sql: str, **extra: str) -> None:
     """Register SQL for a query over all lines and for its form with suppliers."""
     oracle(name, sql, "part", **extra)
@@ -398,6 +404,12 @@ oracle(
     """SELECT doc_id, sha256(text || lang || source) AS hash,
               sha256(text || '|' || lang || '|' || source) AS separated_hash FROM documents""",
 )
+oracle(
+    "c11_content_hash_lists",
+    """SELECT n_nationkey, sha256(n_name || coalesce((SELECT string_agg(c_name, '|' ORDER BY c_name) FROM customer
+              WHERE c_nationkey = n_nationkey), '') || coalesce((SELECT r_name FROM region WHERE r_regionkey = n_nationkey), '')) AS hash
+       FROM nation""",
+)
 oracle(
     "c12_file_stem",
     r"""SELECT page_id, regexp_replace(regexp_extract(url, '([^/]+)/*$', 1), '(.)\.[^.]+$', '\1') AS stem
@@ -447,10 +459,9 @@ SELECT q.query_id, coalesce(n.product_id, h.product_id) AS anchor_id,
             ELSE 'none' END AS source, n.score
 FROM queries q LEFT JOIN (SELECT * FROM named WHERE best = 1) n ON n.query_id = q.query_id
 LEFT JOIN (SELECT * FROM hits WHERE rank = 1) h ON h.query_id = q.query_id"""
-oracle(
+oracle_of_names(
     "b2_anchor",
     "SELECT query_id, anchor_id, source, round(score, 6) AS score FROM chosen",
-    "name",
     named=NAMED,
     chosen=CHOSEN,
 )
@@ -503,24 +514,21 @@ CHAIN = dict(
     third=_best_pair("first", "second"),
     selected=SELECTED,
 )
-oracle(
+oracle_of_names(
     "b3_addon_score",
     "SELECT anchor_id, product_id, exempt, round(relevance, 6) AS relevance FROM scored",
-    "name",
     anchors=ALL_ANCHORS,
     **CHAIN,
 )
-oracle(
+oracle_of_names(
     "b4_pairs",
     "SELECT anchor_id, product_id_1, product_id_2, round(score, 6) AS score FROM pairs",
-    "name",
     anchors=ALL_ANCHORS,
     **CHAIN,
 )
-oracle(
+oracle_of_names(
     "b5_disjoint",
     "SELECT anchor_id, rank, product_id_1, product_id_2, round(score, 6) AS score FROM selected",
-    "name",
     anchors=ALL_ANCHORS,
     **CHAIN,
 )
@@ -532,11 +540,10 @@ SELECT *, {placement("theme")} AS placement FROM (
     {steps("s.min_count", CUTS.confidence, CUTS.confidence_default)} AS confidence,
     {impact("d.reorder_rate", "d.total_units", "s.min_count", 0.25, 80, 1000, 71)} AS expected_impact
   FROM selected s JOIN demand d ON d.product_id = s.anchor_id)"""
-oracle(
+oracle_of_names(
     "b6_decorate",
     """SELECT anchor_id, rank, round(score, 1) AS bundle_score, theme, offer, confidence, expected_impact,
               placement, anchor_name, name_1, name_2 FROM decorated""",
-    "name",
     anchors=ALL_ANCHORS,
     **CHAIN,
     decorated=DECORATED,
@@ -558,6 +565,24 @@ PROMOTED = f"""SELECT a.query_id, a.anchor_id, {STATUS}, d.rank, round(d.score,
        FROM asked a LEFT JOIN decorated d ON d.anchor_id = a.anchor_id AND d.exempt = a.exempt"""
 oracle("b8_promote", PROMOTED, "name", **PROMOTION)
 oracle("b8_promote_wide", PROMOTED, "wide", **PROMOTION)
+oracle(
+    "b8_statuses",
+    f"""SELECT anchor_id, exempt, status, CASE status WHEN 'ok' THEN n ELSE 0 END AS n_bundles,
+               CASE status WHEN 'ok' THEN NULL ELSE 'Anchor: ' || coalesce(product_name, '(unknown)') || '. '
+                 || CASE status WHEN 'no_bundles' THEN {quoted(fixed.TEXT_NO_BUNDLES)}
+                                ELSE {quoted(fixed.TEXT_NO_CANDIDATES)} END END AS message
+        FROM (SELECT a.*, p.product_name, n, CASE WHEN p.product_id IS NULL THEN 'unknown_product'
+                WHEN c.anchor_id IS NULL THEN 'no_candidates' WHEN n = 0 THEN 'no_bundles' ELSE 'ok' END AS status
+              FROM (SELECT a.*, (SELECT count(*) FROM decorated d WHERE d.anchor_id = a.anchor_id) AS n FROM anchors a) a
+              LEFT JOIN products p ON p.product_id = a.anchor_id
+              LEFT JOIN (SELECT DISTINCT anchor_id FROM candidates) c ON c.anchor_id = a.anchor_id)""",
+    "wide",
+    few="SELECT * FROM sym WHERE (least(product_id, other_id) * 31 + greatest(product_id, other_id)) % 60 = 0",
+    anchors="""SELECT anchor_id, anchor_id % 2 = 0 AS exempt FROM (
+        SELECT product_id AS anchor_id FROM products UNION ALL SELECT -n_nationkey - 1 FROM nation)""",
+    **{**CHAIN, "candidates": CANDIDATES.replace("FROM sym s", "FROM few s")},
+    decorated=DECORATED,
+)
 ITEM = """'   - ' || {0}.product_name || ' (affinity=' || {0}.co_purchase_count || ', rr='
   || CAST(CAST({0}.reorder_rate AS DECIMAL(10,3)) AS VARCHAR) || ', units=' || {0}.total_units || ')'"""
 BLOCKS = f"""

@@ -67,6 +67,17 @@ def query_of_grains(name: str) -> Callable:
     return add
 
 
+def query_of_names(name: str) -> Callable:
+    """Register a query over the products of distinct names as ``name``, over all products as ``name_wide``."""
+
+    def add(function):
+        QUERIES[name] = lambda spark, sf: function(spark, sf, "name")
+        QUERIES[name + "_wide"] = lambda spark, sf: function(spark, sf, "wide")
+        return function
+
+    return add
+
+
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({column: F.round(column, digits) for column in columns})
 
@@ -452,6 +463,21 @@ def c11(spark, sf):
     )
 
 
+@query("c11_content_hash_lists")
+def c11_lists(spark, sf):
+    """Text, callers and callees, the lists joined: customers of a nation, and regions of its number."""
+    nations = tables.read_table(spark, sf, "nation")
+    buyers = tables.read_table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(
+        F.sort_array(F.collect_list("c_name")).alias("callers")
+    )
+    areas = tables.read_table(spark, sf, "region").groupBy(F.col("r_regionkey").alias("n_nationkey")).agg(
+        F.collect_list("r_name").alias("callees")
+    )
+    parts = nations.join(buyers, "n_nationkey", "left").join(areas, "n_nationkey", "left")
+    lists = [text.joined(F.col("callers")), text.joined(F.col("callees"))]
+    return parts.select("n_nationkey", text.content_hash(F.col("n_name"), *lists).alias("hash"))
+
+
 @query("c12_file_stem")
 def c12(spark, sf):
     pages = tables.read_table(spark, sf, "pages")
@@ -461,28 +487,28 @@ def c12(spark, sf):
 # Promotion
 
 
-def _anchors(spark: SparkSession, sf: str) -> DataFrame:
-    return roles.warehouse(spark, sf).products.select(F.col("product_id").alias("anchor_id"))
+def _anchors(spark: SparkSession, sf: str, grain: str = "name") -> DataFrame:
+    return roles.warehouse(spark, sf, grain).products.select(F.col("product_id").alias("anchor_id"))
 
 
-def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    house = roles.warehouse(spark, sf)
+def _candidates(spark: SparkSession, sf: str, grain: str = "name") -> DataFrame:
+    house = roles.warehouse(spark, sf, grain)
     return lookup.promo_candidates(
-        _anchors(spark, sf), house.neighbours, house.products, house.velocity
+        _anchors(spark, sf, grain), house.neighbours, house.products, house.velocity
     )
 
 
-def _scored(spark: SparkSession, sf: str) -> DataFrame:
-    anchors = roles.warehouse(spark, sf).products.select(
+def _scored(spark: SparkSession, sf: str, grain: str) -> DataFrame:
+    anchors = roles.warehouse(spark, sf, grain).products.select(
         F.col("product_id").alias("anchor_id"),
         penalty_exempt(F.col("product_name"), WEIGHTS).alias("exempt"),
         F.col("department_id").alias("anchor_department_id"),
     )
-    return bundles.score_candidates(_candidates(spark, sf), anchors, WEIGHTS)
+    return bundles.score_candidates(_candidates(spark, sf, grain), anchors, WEIGHTS)
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    sets = bundles.candidate_sets(_scored(spark, sf), family=noun())
+def _pairs(spark: SparkSession, sf: str, grain: str) -> DataFrame:
+    sets = bundles.candidate_sets(_scored(spark, sf, grain), family=noun())
     return bundles.score_pairs(sets, WEIGHTS)
 
 
@@ -506,26 +532,26 @@ def b1_wide(spark, sf):
     return rounded(found, "reorder_rate")
 
 
-@query("b2_anchor")
-def b2(spark, sf):
-    house = roles.warehouse(spark, sf)
+@query_of_names("b2_anchor")
+def b2(spark, sf, grain):
+    house = roles.warehouse(spark, sf, grain)
     chosen = bundles.choose_anchor(
-        roles.queries(spark, sf), house.products, house.velocity, _hits(spark, sf)
+        roles.queries(spark, sf), house.products, house.velocity, _hits(spark, sf, grain)
     )
     return rounded(chosen.drop("user_query"), "score")
 
 
-@query("b3_addon_score")
-def b3(spark, sf):
+@query_of_names("b3_addon_score")
+def b3(spark, sf, grain):
     return rounded(
-        _scored(spark, sf).select("anchor_id", "product_id", "exempt", "relevance"), "relevance"
+        _scored(spark, sf, grain).select("anchor_id", "product_id", "exempt", "relevance"), "relevance"
     )
 
 
-@query("b4_pairs")
-def b4(spark, sf):
+@query_of_names("b4_pairs")
+def b4(spark, sf, grain):
     return (
-        _pairs(spark, sf)
+        _pairs(spark, sf, grain)
         .select("anchor_id", F.explode("pairs").alias("pair"))
         .select(
             "anchor_id",
@@ -536,10 +562,10 @@ def b4(spark, sf):
     )
 
 
-@query("b5_disjoint")
-def b5(spark, sf):
+@query_of_names("b5_disjoint")
+def b5(spark, sf, grain):
     return (
-        bundles.select_disjoint(_pairs(spark, sf))
+        bundles.select_disjoint(_pairs(spark, sf, grain))
         .select("anchor_id", F.posexplode("selected").alias("at", "pair"))
         .select(
             "anchor_id",
@@ -551,13 +577,13 @@ def b5(spark, sf):
     )
 
 
-@query("b6_decorate")
-def b6(spark, sf):
-    house = roles.warehouse(spark, sf)
+@query_of_names("b6_decorate")
+def b6(spark, sf, grain):
+    house = roles.warehouse(spark, sf, grain)
     cards = lookup.product_card(house.products, house.products, house.velocity).select(
         F.col("product_id").alias("anchor_id"), bundles.anchor_record().alias("anchor")
     )
-    selected = bundles.select_disjoint(_pairs(spark, sf)).join(cards, "anchor_id")
+    selected = bundles.select_disjoint(_pairs(spark, sf, grain)).join(cards, "anchor_id")
     bundle = F.col("bundle")
     return (
         bundles.decorate(selected, CUTS, THEMES)
@@ -607,6 +633,22 @@ def b8_wide(spark, sf):
     return promotion.flat_bundles(_promoted(spark, sf, "wide"))
 
 
+@query("b8_statuses")
+def b8_statuses(spark, sf):
+    """All products and some unknown keys as anchors, over so few pairs that many have one candidate or none."""
+    house = roles.warehouse(spark, sf, "wide")
+    few = house.affinity.where("(product_id_a * 31 + product_id_b) % 60 = 0")
+    unknown = tables.read_table(spark, sf, "nation").select((-F.col("n_nationkey") - 1).cast("long").alias("anchor_id"))
+    anchors = _anchors(spark, sf, "wide").unionAll(unknown).withColumn("exempt", F.col("anchor_id") % 2 == 0)
+    planned = promotion.plan_anchors(
+        anchors, house.products, house.velocity, few, CUTS, WEIGHTS, family=noun(), theme_rules=THEMES
+    )
+    return planned.select(
+        "anchor_id", "exempt", "status", F.greatest(F.size("bundles"), F.lit(0)).alias("n_bundles"),
+        F.when(F.col("status") != "ok", F.col("result_text")).alias("message"),
+    )
+
+
 @query("b7_render_wide")
 def b7_wide(spark, sf):
     return _promoted(spark, sf, "wide").select("query_id", "status", "result_text")
