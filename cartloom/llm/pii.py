@@ -44,9 +44,14 @@ _MAYBE = re.compile(r"[0-9@]|[=:]\s*\"")
 
 
 def permuted(value: int, size: int, key: bytes, kind: str) -> int:
-    """A keyed permutation of ``range(size)``: Feistel rounds on two halves, walked until inside."""
+    """A keyed permutation of ``range(size)``: Feistel rounds on two halves, walked until inside.
+
+    All bytes of the key count; a key of more than 64 is hashed first.
+    """
     if size < 2:
         return value
+    if len(key) > 64:
+        key = hashlib.blake2b(key).digest()
     left_size = 1
     while left_size * left_size < size:
         left_size *= 2
@@ -56,7 +61,7 @@ def permuted(value: int, size: int, key: bytes, kind: str) -> int:
         left, right = value >> half, value & (left_size - 1)
         for k in range(ROUNDS):
             seen = f"{kind}:{size}:{k}:{right}".encode()
-            mixed = hashlib.blake2b(seen, key=key[:64], digest_size=min(64, width + 8)).digest()
+            mixed = hashlib.blake2b(seen, key=key, digest_size=min(64, width + 8)).digest()
             left, right = right, left ^ (int.from_bytes(mixed, "big") & (left_size - 1))
         value = left << half | right
         if value < size:
@@ -149,12 +154,23 @@ def _ip(text: str, key: bytes) -> str | None:
     return ".".join(map(str, new.to_bytes(4, "big")))
 
 
+#: Country codes of one and two digits; all others have three.
+_ONE_DIGIT = ("1", "7")
+_TWO_DIGITS = (
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 "
+    "90 91 92 93 94 95 98"
+).split()
+
+
 def _phone(text: str, key: bytes) -> str | None:
-    country = re.match(r"\+[0-9]{1,3}?(?=[ (-])|\+[0-9]", text)[0]
-    digits = re.sub(r"\D", "", text[len(country) :])
+    """The country code is read from the digits, so a number is the same with any separators."""
+    every = re.sub(r"\D", "", text)
+    size = 1 if every[:1] in _ONE_DIGIT else 2 if every[:2] in _TWO_DIGITS else 3
+    country = re.match(rf"\+(?:[0-9][ ()-]*?){{{size}}}", text)[0]
+    digits = every[size:]
     if not 6 <= len(digits) <= 14:
         return None
-    new = permuted(int(digits), 10 ** len(digits), key, "phone" + country)
+    new = permuted(int(digits), 10 ** len(digits), key, "phone+" + every[:size])
     return country + _refill(text[len(country) :], str(new).zfill(len(digits)))
 
 
