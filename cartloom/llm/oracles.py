@@ -56,7 +56,7 @@ held AS (
   FROM held WINDOW w AS (ORDER BY s)
 ), cut AS (
   SELECT CASE WHEN (SELECT coalesce(sum(good), 0) FROM held) = 0 OR (SELECT coalesce(sum(bad), 0) FROM held) = 0 THEN -100000
-    ELSE (SELECT CAST(s AS BIGINT) * 12500 FROM gain ORDER BY g DESC, s LIMIT 1) END AS t
+    ELSE (SELECT CAST(s AS BIGINT) * 10000 - abs(CAST(s AS BIGINT)) * 2500 FROM gain ORDER BY g DESC, s LIMIT 1) END AS t
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND score_sum >= (SELECT t FROM cut) * n_grams AS kept
