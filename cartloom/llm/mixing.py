@@ -95,11 +95,17 @@ def taken(documents: DataFrame, **how) -> DataFrame:
 
 
 def mix(documents: DataFrame, **how) -> DataFrame:
-    """Every document as often as it is taken, with the number ``copy`` of the copy, from 1."""
+    """Every document as often as it is taken, with the number of the copy, from 1, in a last column ``copy``.
+
+    If the documents have a column of that name, the new one is called ``mix_copy``, and so on.
+    """
+    name = "copy"
+    while name.lower() in {c.lower() for c in documents.columns}:
+        name = "mix_" + name
     goal = rates(sized(documents), **how)
     rows = documents.select(F.struct(*documents.columns).alias("row"))
     rows = rows.join(goal, F.col("row.source").eqNullSafe(F.col("rated_source")), "left")
     n = copies(F.col("row.doc_id"), F.col("rate"))
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)).cast("int"))).alias("n"), n.alias("most")).where(
         "n <= most"
-    ).select(*[F.col("row")[c].alias(c) for c in documents.columns], F.col("n").alias("copy"))
+    ).select(*[F.col("row")[c].alias(c) for c in documents.columns], F.col("n").alias(name))

@@ -86,7 +86,7 @@ def test_runs_are_compacted_and_batches_are_admitted_once(spark):
 
 def test_odd_rows_mixing(odd):
     out = mixing.mix(odd)
-    assert out.columns == [*odd.columns, "copy"]
+    assert out.columns == [*odd.columns, "mix_copy"]
     taken = mixing.taken(odd).collect()
     assert len(taken) == 8 and all(r.copies <= 2 for r in taken)
     assert {r.source_size for r in taken if r.doc_id in (4, 2, 3)} == {200_000}
@@ -236,6 +236,29 @@ def test_pseudonyms_keep_formats_and_checks(spark, odd):
     assert len(out) == 8 and all(r.pii.text == r.row.text for r in out)
 
 
+def test_one_phone_number_has_one_pseudonym():
+    for forms in (("+49 30 1234567", "+49-30-1234567", "+49301234567"), ("+1 555 123 4567", "+1-555-123-4567", "+15551234567"),
+                  ("+353 12 345 678", "+35312345678", "+353-12-345-678"), ("+7 495 123 4567", "+74951234567")):
+        new = [pii.pseudonymised(f"call {form} now", b"key")[0] for form in forms]
+        digits = {re.sub(r"\D", "", text) for text in new}
+        assert len(digits) == 1 and digits != {re.sub(r"\D", "", forms[0])}
+        for form, text in zip(forms, new, strict=True):
+            assert re.sub(r"\d", "9", text) == re.sub(r"\d", "9", f"call {form} now")
+
+
+def test_all_bytes_of_a_key_count():
+    keys = [b"k" * 64 + tail for tail in (b"", b"a", b"b")] + [b"k" * 63]
+    assert len({pii.permuted(12345, 10**9, key, "x") for key in keys}) == 4
+    assert sorted(pii.permuted(i, 50, keys[1], "x") for i in range(50)) == list(range(50))
+
+
+def test_the_threshold_is_lowered_whatever_its_sign():
+    for best in (-8, 8):
+        score = np.array([best - 5] * 10 + [best] * 10)
+        good, bad = np.array([0] * 10 + [1] * 10), np.array([1] * 10 + [0] * 10)
+        assert quality._threshold(score, good, bad) == best * 10_000 - 20_000
+
+
 def test_decontamination_against_all_triples(spark, odd):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()

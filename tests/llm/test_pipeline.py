@@ -139,6 +139,9 @@ def test_stages_take_odd_and_empty_tables(spark):
         assert stage(spark, docs.limit(0), FOLDER).count() == 0
     mixed = corpus_pipeline.mixing_sources(spark, docs.drop("copy"), FOLDER)
     assert mixed.columns[-1] == "copy" and mixed.count() >= 2
+    taken = docs.withColumn("Mix_Copy", F.lit(0))
+    mixed = materialize(corpus_pipeline.mixing_sources(spark, taken, FOLDER), "mixed")
+    assert mixed.columns == [*taken.columns, "mix_mix_copy"] and mixed.where("copy = 'x'").count() == mixed.count() >= 2
 
 
 @pytest.mark.parametrize("block", [2, simhash.LEAD_BLOCK])
