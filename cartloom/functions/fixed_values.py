@@ -132,6 +132,7 @@ TEXT_WHY = (
     "- Bundles are diversified to avoid repeating similar add-on items.",
 )
 TEXT_CHOSEN = "Chosen product (after intent + canonical matching):"
+TEXT_TOP_HIT = "Top matching product (semantic search):"
 TEXT_NO_PAIRS = "- No strong co-purchase pairs found in affinity table."
 # Labels of the lines of a bundle, a recommendation and a card of an unknown product.
 TEXT_SCORE = ". Bundle Score="

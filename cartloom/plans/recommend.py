@@ -126,11 +126,13 @@ def recommend(
 
 
 def render_recommendations(
-    recommended: DataFrame, products: DataFrame, velocity: DataFrame
+    recommended: DataFrame, products: DataFrame, velocity: DataFrame, hits: DataFrame | None = None
 ) -> DataFrame:
     """One text per query, ``(query_id, chosen_id, text)``, from the rows of :func:`recommend`.
 
-    A query has at most ``k`` recommendations, so its lines fit one array.
+    A query has at most ``k`` recommendations, so its lines fit one array. ``hits`` with a column
+    ``text`` are the retrieved documents: a query without a chosen product gets the first one, which
+    then is a document that belongs to no product.
     """
     line = F.when(
         F.col("source") == "co_purchase",
@@ -156,10 +158,17 @@ def render_recommendations(
         velocity,
     ).select(F.col("product_id").alias("chosen_id"), "department_id", F.col("text").alias("card"))
     lines = F.array_join(F.transform("lines", lambda item: item["line"]), "\n")
+    if hits is None:
+        grouped = grouped.withColumn("top", F.lit(None).cast("string"))
+    else:
+        top = hits.where("rank = 1").groupBy("query_id").agg(F.min("text").alias("top"))
+        grouped = grouped.join(top, "query_id", "left")
+    no_product = (F.col("source") == "no_match") & F.col("top").isNotNull()
     return grouped.join(cards, "chosen_id", "left").select(
         "query_id",
         "chosen_id",
-        F.when(F.col("source") == "no_match", F.lit(fixed.TEXT_NO_MATCH))
+        F.when(no_product, F.concat(F.lit(fixed.TEXT_TOP_HIT + "\n"), F.col("top")))
+        .when(F.col("source") == "no_match", F.lit(fixed.TEXT_NO_MATCH))
         .otherwise(F.concat_ws("\n", *_text_parts(lines)))
         .alias("text"),
     )

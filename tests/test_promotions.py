@@ -172,6 +172,14 @@ def test_recommendations(spark, catalogue):
     )
     assert texts["odd"].endswith(fixed.TEXT_NO_PAIRS)
     assert "Product ID: 77 (not found)" in texts["odd"]
+    documents = spark.createDataFrame(
+        [("none", 2, None, "second"), ("none", 1, None, "a guide"), ("hit", 1, 2, "milk")],
+        "query_id string, rank int, product_id long, text string",
+    )
+    found = recommendation.render_recommendations(got, products, velocity, documents)
+    found = {r.query_id: r.text for r in found.collect()}
+    assert found["none"] == f"{fixed.TEXT_TOP_HIT}\na guide"
+    assert {q: t for q, t in found.items() if q != "none"} == {q: t for q, t in texts.items() if q != "none"}
 
 
 def test_hot_anchor_is_planned_once(spark, catalogue):

@@ -11,6 +11,7 @@ from cartloom.operators import corpus, lookup
 from cartloom.plans import promote as promotion
 from cartloom.plans.retrieve import build_store
 from cartloom.session import materialize, scratch_path, scratch_scope, shared_dir
+from cartloom.plans import index as indexing
 from cartloom.sources import documents, runlog, tables, text
 from cartloom.streaming.requests import serve
 
@@ -178,3 +179,17 @@ def test_request_stream(spark, catalogue, tmp_path):
         ("a", "ok"), ("b", "no_anchor"),
     }
     assert spark.read.parquet(log).count() == 2
+
+
+def test_index_of_a_tree_and_its_report(spark, tmp_path):
+    root = tmp_path / "tree"
+    for name, content in {"a/code.py": "def f(x):\n    pass\n", "a/empty.py": "", "b/.note.md": "hi\nyou", "site/x.md": "skipped", "c.bin": "no"}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(content)
+    report = indexing.build_index(spark, str(root), str(tmp_path / "index"), (".py", ".md"), skip_prefixes=("site/",))
+    assert report.first().asDict() == {"files": 3, "empty_files": 1, "chunks": 3}
+    got = {(r.path, r.symbol, r.kind) for r in text.read_chunks(spark, str(tmp_path / "index")).collect()}
+    assert got == {("a/code.py", "f", "function"), ("a/empty.py", "empty.py", "file"), ("b/.note.md", ".note.md:1", "file")}
+    (root / "c.bin").rename(tmp_path / "c.bin")
+    none = indexing.build_index(spark, str(root), str(tmp_path / "none"), (".nothing",))
+    assert none.first().asDict() == {"files": 0, "empty_files": 0, "chunks": 0}

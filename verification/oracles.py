@@ -825,6 +825,16 @@ oracle(
         plain=chunks(fixed.CHUNK_LINES),
     ),
 )
+oracle(
+    "t3_index_tree",
+    """WITH file AS (
+         SELECT conv_id, (nth - 1) // 2 AS part, sum(len(string_split(text, chr(10)))) AS lines
+         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations) GROUP BY ALL
+       ), conv AS (
+         SELECT conv_id, CAST(sum(ceil(lines / 200)) AS BIGINT) AS n_chunks, CAST(sum(lines) AS BIGINT) AS n_lines FROM file GROUP BY conv_id)
+       SELECT conv_id, 'file' AS kind, n_chunks, n_lines, (SELECT count(*) FROM file) AS files, 0 AS empty_files,
+              (SELECT CAST(sum(n_chunks) AS BIGINT) FROM conv) AS chunks FROM conv""",
+)
 oracle("t3_segment_blocks", SEGMENTS)
 oracle("t3_segment_blocks_pieces", SEGMENTS)
 oracle(

@@ -15,6 +15,7 @@ from cartloom.operators import (
 )
 from cartloom.operators.state_table import keyed_state
 from cartloom.operators.upkeep import FeatureRuns
+from cartloom.plans import index as indexing
 from cartloom.plans import modules as pages
 from cartloom.plans import promote as promotion
 from cartloom.plans import recommend as recommendation
@@ -978,6 +979,20 @@ def t3_index(spark, sf):
     return corpus.index_files(code.unionByName(roles.corpus(spark, sf)))
 
 
+@query("t3_index_tree")
+def t3_tree(spark, sf):
+    """The conversations as files, indexed from their folder: chunks of each, with the report's totals."""
+    path = scratch_path(spark, "index")
+    report = indexing.build_index(spark, _conversation_files(spark, sf, part_rows=2), path, (".txt",))
+    chunks = text_files.read_chunks(spark, path).select(
+        F.regexp_extract("path", "conv_id=([0-9]+)/", 1).cast("bigint").alias("conv_id"), "start_line", "end_line", "kind"
+    )
+    lines = F.sum(F.col("end_line") - F.col("start_line") + 1)
+    found = chunks.groupBy("conv_id", "kind").agg(F.count(F.lit(1)).alias("n_chunks"), lines.alias("n_lines"))
+    totals = report.first().asDict()
+    return found.withColumns({name: F.lit(n).cast("bigint") for name, n in totals.items()})
+
+
 def _words(spark: SparkSession, sf: str) -> DataFrame:
     """The words of part names and the languages of documents as search terms."""
     words = tables.read_table(spark, sf, "part").select(F.explode(F.split("p_name", " ")))
