@@ -289,8 +289,10 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     # equal pages of the whole table count once
     different = materialize(seen.groupBy("host", "page").agg(F.min("nodes").alias("nodes")), "html-pages")
+    # what follows from the two limits below is cut first, so texts of few pages are neither written nor joined
     node = materialize(different.select("host", F.explode("nodes").alias("x")).select("host", "x.*")
-                       .groupBy("host", "key", "path", "text").agg(F.count("*").alias("times")), "html-nodes")
+                       .groupBy("host", "key", "path", "text").agg(F.count("*").alias("times"))
+                       .where(F.col("times") >= CONSTANT * LEAST_PAGES), "html-nodes")
     # a page has one text at a place of the reference and may have several on a path, so pages are counted beside
     by_node = different.select("host", F.explode(F.array_distinct("nodes.key")).alias("key")).groupBy("host", "key").agg(
         F.count("*").alias("n")
