@@ -14,22 +14,27 @@ WITH docs AS (
 ), coded AS (
   SELECT r, doc_id, i, word, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) AS code FROM word
 ), gram AS (
-  SELECT r, doc_id, code % 65536 AS b FROM coded
+  SELECT r, doc_id, code % 1048576 AS b FROM coded
   UNION ALL
-  SELECT a.r, a.doc_id, (a.code * 1000003 + z.code) % 65536 FROM coded a JOIN coded z ON a.r = z.r AND z.i = a.i + 1
+  SELECT a.r, a.doc_id, 1048576 + (a.code * 1000003 + z.code) % 65536 FROM coded a JOIN coded z ON a.r = z.r AND z.i = a.i + 1
 ), lab AS (
   SELECT doc_id, min(quality) AS q, max(toxic) AS t FROM labels
   WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id
 ), role AS (
   SELECT doc_id, CASE WHEN q = 1 AND t = 0 THEN CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END
-                      WHEN doc_id % 5 = 0 AND q = 0 THEN 3 ELSE 0 END AS role FROM lab
+                      WHEN doc_id % 5 = 0 AND q = 0 THEN 3 WHEN doc_id % 5 = 0 THEN 4 ELSE 0 END AS role FROM lab
 ), cnt AS (
-  SELECT b, count(*) AS raw, count(*) FILTER (role = 1) AS trusted FROM gram LEFT JOIN role USING (doc_id) GROUP BY b
+  SELECT b, b >= 1048576 AS pair, CASE WHEN b >= 1048576 THEN 65536 ELSE 1048576 END AS size,
+         count(*) AS raw, count(*) FILTER (role = 1) AS trusted FROM gram LEFT JOIN role USING (doc_id) GROUP BY b
 ), weight AS (
-  SELECT b, CAST(floor((ln((trusted + 1) / (sum(trusted) OVER () + 65536)) - ln((raw + 1) / (sum(raw) OVER () + 65536)))
-                       * 1000000 + 0.5) AS BIGINT) AS w FROM cnt
+  SELECT b, CAST(floor((ln((trusted + 1) / (sum(trusted) OVER k + size)) - ln((raw + 1) / (sum(raw) OVER k + size)))
+                       * 1000000 + 0.5) AS BIGINT) AS w FROM cnt WINDOW k AS (PARTITION BY pair)
 ), score AS (
   SELECT r, CAST(sum(w) AS BIGINT) AS score_sum, count(*) AS n_grams FROM gram JOIN weight USING (b) GROUP BY r
+), low AS (
+  SELECT r, CAST(min(s) AS BIGINT) AS low_sum FROM (
+    SELECT r, w + lead(w) OVER (PARTITION BY r ORDER BY i) AS s FROM coded JOIN weight ON b = code % 1048576
+  ) GROUP BY r
 ), five AS (
   SELECT r, i, word || ' ' || lead(word, 1) OVER w || ' ' || lead(word, 2) OVER w || ' ' || lead(word, 3) OVER w
                || ' ' || lead(word, 4) OVER w AS five FROM word WINDOW w AS (PARTITION BY r ORDER BY i)
@@ -45,21 +50,31 @@ chars AS (SELECT r, CAST(sum(length(word)) AS BIGINT) AS word_chars FROM word GR
 base AS (
   SELECT d.r, d.doc_id, len(w) AS n_words, coalesce(word_chars, 0) AS word_chars,
          length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
-         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(score_sum, 0) AS score_sum, coalesce(n_grams, 0) AS n_grams
-  FROM docs d LEFT JOIN chars USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN score USING (r)
+         coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(score_sum, 0) AS score_sum, coalesce(n_grams, 0) AS n_grams,
+         coalesce(low_sum, 0) AS low_sum
+  FROM docs d LEFT JOIN chars USING (r) LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN score USING (r) LEFT JOIN low USING (r)
 ), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base),
 held AS (
   SELECT trunc(score_sum / (n_grams * 10000)) AS s, count(*) FILTER (role = 2) AS good, count(*) FILTER (role = 3) AS bad
-  FROM judged JOIN role USING (doc_id) WHERE role >= 2 AND NOT base_failed GROUP BY 1
+  FROM judged JOIN role USING (doc_id) WHERE role IN (2, 3) AND NOT base_failed GROUP BY 1
 ), gain AS (
   SELECT s, (sum(bad) OVER w - bad) * (SELECT sum(good) FROM held) - 20 * (sum(good) OVER w - good) * (SELECT sum(bad) FROM held) AS g
   FROM held WINDOW w AS (ORDER BY s)
 ), cut AS (
   SELECT CASE WHEN (SELECT coalesce(sum(good), 0) FROM held) = 0 OR (SELECT coalesce(sum(bad), 0) FROM held) = 0 THEN -100000
     ELSE (SELECT CAST(s AS BIGINT) * 10000 - abs(CAST(s AS BIGINT)) * 2500 FROM gain ORDER BY g DESC, s LIMIT 1) END AS t
+), held_low AS (
+  SELECT trunc(low_sum / 20000) AS s, count(*) FILTER (role = 2) AS good, count(*) FILTER (role = 4) AS bad
+  FROM judged JOIN role USING (doc_id) WHERE role IN (2, 4) AND NOT base_failed GROUP BY 1
+), gain_low AS (
+  SELECT s, (sum(bad) OVER w - bad) * (SELECT sum(good) FROM held_low) - 20 * (sum(good) OVER w - good) * (SELECT sum(bad) FROM held_low) AS g
+  FROM held_low WINDOW w AS (ORDER BY s)
+), cut_low AS (
+  SELECT CASE WHEN (SELECT coalesce(sum(good), 0) FROM held_low) = 0 OR (SELECT coalesce(sum(bad), 0) FROM held_low) = 0
+    THEN -(1::BIGINT << 40) ELSE (SELECT CAST(s AS BIGINT) * 10000 FROM gain_low ORDER BY g DESC, s LIMIT 1) END AS t
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND score_sum >= (SELECT t FROM cut) * n_grams AS kept
+       NOT base_failed AND score_sum >= (SELECT t FROM cut) * n_grams AND low_sum >= (SELECT t FROM cut_low) * 2 AS kept
 FROM judged
 """
 

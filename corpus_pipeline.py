@@ -11,11 +11,10 @@ from cartloom.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio, fitted on these documents."""
+    """Documents that pass the base rules and both likelihood ratios, fitted on these documents."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    kept = F.expr(f"NOT j.base_failed AND j.score_sum >= {model.threshold} * j.n_grams")
     rows = docs.select(F.struct(*docs.columns).alias("row"), quality.judged(F.col("text"), model.weights).alias("j"))
-    return rows.where(kept).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    return rows.where(quality.verdict(model)).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import html as stdlib_html
+import hashlib
 import re
 
 import numpy as np
@@ -58,7 +59,32 @@ def test_odd_rows_quality(spark, odd):
     assert got[1].n_words == 0 and got[1].base_failed and not got[1].kept
     assert got[4].n_repeat_words == 200_000 and got[4].base_failed
     assert got[5].n_dup_lines == 1 and got[6].n_words == 33_000 and got[6].n_repeat_words == 29_998
-    assert quality.fit(odd.limit(0), labels.limit(0)).threshold == quality.DEFAULT_THRESHOLD
+    none = quality.fit(odd.limit(0), labels.limit(0))
+    assert (none.threshold, none.low_threshold) == (quality.DEFAULT_THRESHOLD, quality.NO_THRESHOLD)
+
+
+def test_lowest_window_against_plain_python():
+    rng = np.random.default_rng(3)
+    weights = rng.integers(-9_000_000, 3_000_000, quality.BUCKETS).astype(np.int32)
+    texts = [None, "", "one", "two words", *(" ".join(f"w{x}" for x in rng.integers(0, 50, n)) for n in (3, 40, 400))]
+    got = quality._scores(pa.array(texts, pa.string()), weights)
+    for k, t in enumerate(texts):
+        codes = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in (t or "").split()]
+        own = [int(weights[c % quality.WORD_BUCKETS]) for c in codes]
+        pairs = [int(weights[quality.WORD_BUCKETS + (a * 1_000_003 + b) % quality.PAIR_BUCKETS]) for a, b in zip(codes, codes[1:])]
+        want = sum(own) + sum(pairs), len(own) + len(pairs), min((a + b for a, b in zip(own, own[1:])), default=0)
+        assert tuple(int(got[c][k]) for c in ("score_sum", "n_grams", "low_sum")) == want
+
+
+def test_quality_tells_toxic_documents_from_clean_ones(spark):
+    """Labelled rows of the larger table: those that no count and no threshold has seen as toxic go too."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").dropna()
+    found = QUERIES["op1_quality_rules"](spark, folder).where("NOT base_failed").join(labels, "doc_id")
+    rows = found.groupBy("quality", "toxic", (F.col("doc_id") % 5 == 0).alias("held")).agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {(r.quality, r.toxic, r.held): r.kept for r in rows}
+    assert kept[1, 0, True] > 0.97 and kept[1, 0, False] > 0.97
+    assert kept[1, 1, True] < 0.5 and kept[1, 1, False] < 0.5
 
 
 def test_odd_rows_lines(spark, odd):
