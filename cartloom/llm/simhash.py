@@ -30,7 +30,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from cartloom.llm import words
 from cartloom.llm.components import components
@@ -47,12 +46,10 @@ _CHUNK = 1 << 16
 
 
 def _features(text: bytes, shingle: int) -> list[bytes]:
-    """Shingles of lower-cased words, repeats included; with ``shingle`` 0 the distinct words."""
+    """Shingles of lower-cased words, repeats included."""
     tokens = text.lower().split()  # bytes: A-Z only, and exactly the separators of words
     if not tokens:
         return []
-    if shingle == 0:
-        return list(set(tokens))
     if len(tokens) <= shingle:
         return [b" ".join(tokens)]
     line = b" ".join(tokens)
@@ -199,14 +196,14 @@ def links(fps: DataFrame, radius: int = RADIUS, hot_bucket: int = HOT_BUCKET) ->
 
 
 def grouped(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) for every fingerprint of ``marked (doc_id, fp)``."""
+    """(fp, root, component_id) for every fingerprint of ``marked (doc_id, fp)``; root is its smallest fingerprint."""
     fps = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "simhash-distinct")
     roots = components(links(fps.select(F.lit(0).alias("k"), "fp"), radius).select("a", "b"))
     own = fps.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
     ids = own.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return own.join(ids, "root").select("fp", "component_id")
+    return own.join(ids, "root").select("fp", "root", "component_id")
 
 
 def near_copies(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = 42) -> DataFrame:
@@ -218,167 +215,39 @@ def near_copies(documents: DataFrame, radius: int = RADIUS, shingle: int = SHING
     return marked.join(groups, F.col("fp") == F.col("group_fp")).select("doc_id", "fp", "component_id")
 
 
-# ---- dropping near copies --------------------------------------------------------------
-
-#: Fingerprints of the set of words, beside the one of shingles; a few changed words leave that set
-#: nearly as it is, and each further hash gives near copies another chance to be within the radius.
-WORD_PRINTS = 8
-JACCARD, JACCARD_SHINGLE = 0.8, 5
-#: Leading texts of a component that a round settles, and about the others that meet them in one task.
-LEAD_BLOCK = 256
 _NO_ID = (1 << 63) - 1
 
 
-def _shingles(text: str, n: int = JACCARD_SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text."""
-    found = set(_features(text.encode(), n))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(f) for f in found), np.uint64, len(found)))
-
-
-class _Leads:
-    """Texts that stay, by shingle, for the similarity of another text with all of them at once."""
-
-    def __init__(self) -> None:
-        self.sizes: list[int] = []
-        self.hashes, self.owners = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, own: np.ndarray) -> None:
-        at = np.searchsorted(self.hashes, own)
-        self.hashes, self.owners = np.insert(self.hashes, at, own), np.insert(self.owners, at, len(self.sizes))
-        self.sizes.append(len(own))
-
-    def any_like(self, own: np.ndarray) -> bool:
-        """Whether one of them is ``JACCARD`` similar; texts without words are equal."""
-        sizes = np.array(self.sizes, np.int64)
-        if not len(own):
-            return bool((sizes == 0).any())
-        first, last = np.searchsorted(self.hashes, own), np.searchsorted(self.hashes, own, "right")
-        n = last - first
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        both = np.bincount(self.owners[at], minlength=len(sizes))
-        return bool((both / (len(own) + sizes - both) >= JACCARD).any())
-
-
-def _settle(group: pa.Table) -> pa.Table:
-    """The verdicts of one chunk: ``similar`` goes, ``left`` is for the next round; a lead that stays has no row."""
-    rows = sorted(zip(*[group.column(c).to_pylist() for c in ("lead", "id", "h1", "h2", "chunk", "text")], strict=True),
-                  key=lambda x: (not x[0], x[1:4]))
-    leads, out = _Leads(), []
-    for lead, id_, h1, h2, chunk, text in rows:
-        own = _shingles(text)
-        similar = leads.any_like(own)
-        if lead and not similar:
-            leads.add(own)
-        elif not lead or chunk == 0:  # every chunk settles the leads, the first reports them
-            out.append((id_, h1, h2, similar))
-    columns = [pa.array([x[k] for x in out], t) for k, t in enumerate([pa.int64()] * 3 + [pa.bool_()])]
-    return pa.Table.from_arrays(columns, ["id", "h1", "h2", "similar"])
-
-
-def _one_round(left: DataFrame, block: int) -> DataFrame:
-    """(id, h1, h2, similar) of ``left (root, id, h1, h2, text)`` against the ``block`` smallest of each root.
-
-    These are settled among themselves; every other text meets those that stay, in chunks that
-    each get a copy of them, so no task holds a component.
-    """
-    key = ["id", "h1", "h2"]
-    nth = F.row_number().over(Window.partitionBy("root").orderBy(*key))
-    leads = left.select("root", *key).withColumn("nth", nth).where(F.col("nth") <= block).select(*key, F.lit(True).alias("lead"))
-    chunks = left.groupBy("root").agg(F.count("*").alias("n")).select(
-        "root", F.greatest(F.lit(1), F.ceil((F.col("n") - block) / block)).cast("int").alias("chunks")
-    )
-    marked = left.join(leads, key, "left").join(chunks, "root").withColumn("lead", F.coalesce("lead", F.lit(False)))
-    own = F.array(F.pmod(F.col("h1"), F.col("chunks")).cast("int"))
-    chunk = F.when(F.col("lead"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(own)
-    dealt = marked.select("root", *key, "lead", "text", F.explode(chunk).alias("chunk"))
-    return dealt.groupBy("root", "chunk").applyInArrow(_settle, "id long, h1 long, h2 long, similar boolean")
-
-
-def prints(text: Column, n: int = WORD_PRINTS) -> Column:
-    """The fingerprint of a text and ``n`` of its set of words, as an array of longs."""
-
-    @F.arrow_udf("array<long>")
-    def of(texts: pa.Array) -> pa.Array:
-        out = []
-        for raw in texts.cast(pa.large_binary()).to_pylist():
-            found = sorted(_features(raw or b"", 0))
-            hashes = np.fromiter((xxhash.xxh64_intdigest(f, 1) for f in found), np.uint64, len(found))
-            salted = [words.mixed(hashes ^ words.mixed(np.array([k], np.uint64))) for k in range(1, n + 1)]
-            out.append([_fingerprint(raw, SHINGLE, 42), *[_bits(h) if len(h) else 0 for h in salted]])
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return of(text)
-
-
-def _marked(documents: DataFrame) -> DataFrame:
+def _identified(documents: DataFrame) -> list[Column]:
+    """What tells rows apart: the id, null last, and two hashes of the text; equal rows are alike."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select(
-        F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"),
-        prints(F.col("text")).alias("fps"),
-    )
+    return [
+        F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
+    ]
 
 
-def candidate_groups(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(id, root): documents that are connected by any of their fingerprints, with the smallest id.
+def one_of_each(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = 42) -> DataFrame:
+    """All columns of one document of each component: the smallest id, rows without id last.
 
-    Documents with equal fingerprints are linked to the smallest of them, and these by the links
-    of their fingerprints.
-    """
-    whole = marked.groupBy("fps").agg(F.min("id").alias("node"))
-    equal = marked.join(whole, "fps").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    each = materialize(whole.select("node", F.posexplode("fps").alias("k", "fp")), "copies-prints")
-    least = materialize(each.groupBy("k", "fp").agg(F.min("node").alias("least")), "copies-distinct")
-    same = each.join(least, ["k", "fp"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    left = least.select("k", F.col("fp").alias("a"), F.col("least").alias("node_a"))
-    right = least.select("k", F.col("fp").alias("b"), F.col("least").alias("node_b"))
-    linked = links(least.select("k", "fp"), radius).join(left, ["k", "a"]).join(right, ["k", "b"])
-    found = equal.unionAll(same).unionAll(linked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    return components(found).select(F.col("node").alias("id"), "root")
-
-
-def without_copies(documents: DataFrame, radius: int = RADIUS, block: int = LEAD_BLOCK) -> DataFrame:
-    """One document of each group of near copies, all columns.
-
-    Candidates are the components of several fingerprints. Inside a component, a text stays if no
-    smaller document that stays is at least ``JACCARD`` similar by shingles of five words. A round
-    settles the ``block`` smallest texts of every component and drops the copies of those that
-    stay; rounds go on until no text is left over, so every text is compared with every text of
-    its component that stays before it. Of
-    equal texts in a component the smallest document stays. Documents without id come last in
-    order; of equal rows one stays.
+    Of rows with the same id, the one with the smallest hashes of its text stays; of equal rows, one.
+    Texts are read for their fingerprints and again when the rows that go are taken out; only ids
+    and hashes are compared in between.
     """
     key = ["id", "h1", "h2"]
-    marked = materialize(_marked(documents), "copies-marked")
-    groups = materialize(candidate_groups(marked, radius), "copies-groups")
-    rows = marked.groupBy(*key).agg(F.count("*").alias("rows"))
+    prints = documents.select(*_identified(documents), fingerprint(F.col("text"), shingle, seed).alias("fp"))
+    marked = materialize(prints.groupBy(*key, "fp").agg(F.count("*").alias("n")), "simhash-fingerprints")
+    groups = grouped(marked.select(F.col("id").alias("doc_id"), "fp"), radius).select(F.col("fp").alias("group_fp"), "root")
     rooted = materialize(
-        rows.join(groups, "id", "left").select(*key, "rows", F.coalesce("root", "id").alias("root")), "copies-rooted"
-    )
-    first = rooted.groupBy("root", "h1", "h2").agg(F.min("id").alias("first"))
-    again = rooted.join(first, ["root", "h1", "h2"])
-    exact = again.where("id <> first").select(*key)
-
-    several = first.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    texts = first.join(several, "root").select("root", F.col("first").alias("id"), "h1", "h2")
-    held = documents.select(
-        F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"),
-        F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("h2"), F.coalesce("text", F.lit("")).alias("text"),
+        marked.join(groups, F.col("fp") == F.col("group_fp")).select("root", F.struct(*key).alias("who"), "n"), "simhash-rooted"
     )
-    left = materialize(held.join(texts, key).dropDuplicates(key), "copies-texts")
-    gone = exact
-    while left.limit(1).count():
-        judged = materialize(_one_round(left, block), "copies-judged")
-        gone = gone.unionAll(judged.where("similar").select(*key))
-        left = materialize(left.join(judged.where("NOT similar").select(*key), key, "left_semi"), "copies-left")
-    actions = gone.distinct().withColumn("action", F.lit("drop")).unionAll(
-        again.where("id = first AND rows > 1").select(*key).withColumn("action", F.lit("once"))
-    ).groupBy(*key).agg(F.min("action").alias("action"))
-    actions = materialize(actions, "copies-actions").select(*[F.col(c).alias(f"action_{c}") for c in key], "action")
-    row = F.struct(*documents.columns)
-    keyed = documents.select(
-        row.alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"),
-        F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"), F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))).alias("h2"),
+    first = rooted.groupBy("root").agg(F.min("who").alias("first")).withColumnRenamed("root", "first_root")
+    found = rooted.join(first, F.col("root") == F.col("first_root"))
+    action = F.when(F.col("who") != F.col("first"), "drop").when(F.col("n") > 1, "once")
+    actions = materialize(
+        found.select(*[F.col("who")[c].alias(f"action_{c}") for c in key], action.alias("action")).where("action IS NOT NULL"),
+        "simhash-actions",
     )
+    keyed = documents.select(F.struct(*documents.columns).alias("row"), *_identified(documents))
     same = (F.col("id") == F.col("action_id")) & (F.col("h1") == F.col("action_h1")) & (F.col("h2") == F.col("action_h2"))
     decided = keyed.join(actions, same, "left")
     kept = decided.where("action IS NULL").select("row")

@@ -2,9 +2,9 @@
 
 import re
 from collections import defaultdict
-from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,23 +39,24 @@ def sql(rows, text):
     return [dict(zip(names, row, strict=True)) for row in found.fetchall()]
 
 
-def shingles(text):
-    words = simhash._features((text or "").encode(), 5)
-    return set(words)
+def survivors(rows):
+    """Ids that stay when the fingerprints of all pairs are compared, by union and find."""
+    prints = np.array([simhash._fingerprint((r.text or "").encode(), 3, 42) for r in rows], np.int64)
+    parent = list(range(len(rows)))
 
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
 
-def similar_pairs(rows):
-    """Pairs of rows with a similarity of at least 0.8 by brute force over shared shingles."""
-    sets = [shingles(r.text) for r in rows]
-    holders = defaultdict(list)
-    for i, own in enumerate(sets):
-        for s in own:
-            holders[s].append(i)
-    shared = defaultdict(int)
-    for group in holders.values():
-        for pair in combinations(group, 2):
-            shared[pair] += 1
-    return {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count((prints[i] ^ prints[:i]).view(np.uint64)) <= 2):
+            a, b = sorted((find(i), find(int(j))))
+            parent[b] = a
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(r.doc_id, least.get(find(i), r.doc_id))
+    return sorted(least.values())
 
 
 def test_names_and_columns(spark, kept):
@@ -85,18 +86,11 @@ def test_line_dedup_against_plain_python(kept):
 
 
 def test_near_dedup_against_all_pairs(kept):
-    rows = kept[2]
-    left = {r.doc_id for r in kept[3]}
-    pairs = similar_pairs(rows)
-    both = [p for p in pairs if all(rows[i].doc_id in left for i in p)]
-    assert pairs and len(both) <= 0.1 * len(pairs)
-    assert not [p for p in both if rows[p[0]].text == rows[p[1]].text]
-    partners = defaultdict(set)
-    for a, b in pairs:
-        partners[a].add(rows[b].doc_id)
-        partners[b].add(rows[a].doc_id)
-    for i, r in enumerate(rows):
-        assert r.doc_id in left or partners[i] & left or shingles(r.text) == set()
+    want = survivors(kept[2])
+    assert sorted(r.doc_id for r in kept[3]) == want and len(want) < len(kept[2])
+    before = {r.doc_id: r for r in kept[2]}
+    assert all(r == before[r.doc_id] for r in kept[3])
+    assert len({r.text for r in kept[3]}) == len(kept[3])
 
 
 def test_decontamination_drops_documents_with_items(spark, kept):
@@ -118,15 +112,16 @@ def test_mixing_takes_what_the_sql_takes(kept):
 
 def test_near_dedup_of_odd_rows(spark):
     base = " ".join(f"word{i}" for i in range(60))
-    near = base.replace("word30", "other")
-    rows = [(1, base), (2, near), (3, base), (3, base), (None, base), (4, None), (5, ""), (6, "short text"), (6, "another one"),
-            (7, "only here " * 4), (7, "only here " * 4), (None, None)]
+    rows = [(1, base), (2, base + "\n"), (3, base), (3, base), (None, base), (4, None), (5, ""), (6, "short text"),
+            (6, "another one"), (7, "only here " * 4), (7, "only here " * 4), (None, None), (None, "no id"), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    docs = docs.select("*", *[F.lit(1).alias(c) for c in ("row", "id", "h1", "h2", "action", "root", "lead", "fps", "k", "fp")])
-    out = simhash.without_copies(docs)
+    docs = docs.select("*", *[F.lit(1).alias(c) for c in ("row", "id", "h1", "h2", "action", "root", "fp", "n", "who", "first")])
+    out = simhash.one_of_each(docs)
     assert out.columns == docs.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
-    assert got == sorted([(1, base), (4, None), (6, "short text"), (6, "another one"), (7, "only here " * 4)], key=repr)
+    want = [(1, base), (4, None), (6, "short text"), (6, "another one"), (7, "only here " * 4), (None, "no id")]
+    assert got == sorted(want, key=repr)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
 def test_stages_take_odd_and_empty_tables(spark):
@@ -144,11 +139,11 @@ def test_stages_take_odd_and_empty_tables(spark):
     assert mixed.columns == [*taken.columns, "mix_mix_copy"] and mixed.where("copy = 'x'").count() == mixed.count() >= 2
 
 
-@pytest.mark.parametrize("block", [2, simhash.LEAD_BLOCK])
-def test_near_dedup_compares_all_texts_of_a_component(spark, monkeypatch, block):
-    """Copies of texts that are unlike the first leaders of their component go too."""
-    monkeypatch.setattr(simhash, "candidate_groups", lambda marked, radius: marked.select("id", F.lit(1).cast("long").alias("root")).distinct())
-    texts = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(9)]
-    rows = list(enumerate(texts)) + [(20 + k, t.replace("w30", "x")) for k, t in enumerate(texts)]
-    out = simhash.without_copies(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
-    assert sorted(r.doc_id for r in out.collect()) == list(range(9))
+def test_near_dedup_keeps_one_of_a_chain(spark, monkeypatch):
+    """Texts that are linked through others are one group, and equal rows of the first are one row."""
+    values = {"a": 0b0, "b": 0b11, "c": 0b1111, "d": 0b1111111, "e": -1}
+    column = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    monkeypatch.setattr(simhash, "fingerprint", lambda text, shingle, seed: column[text].cast("long"))
+    rows = [(9, "a"), (2, "c"), (2, "c"), (5, "b"), (7, "d"), (8, "e"), (8, "e")]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(2, "c"), (7, "d"), (8, "e")]
