@@ -1,6 +1,7 @@
 """Benchmark decontamination: a BM25 index of test items, asked with every passage of every text.
 
-Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased. A text
+Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z lower-cased; each
+character of U+3000 to U+9FFF, which are written without spaces, is a word of its own. A text
 is read in passages of twice the length of the longest item, each beginning halfway through
 the one before, so every span as long as an item lies inside a passage. The terms of the
 index are pairs of neighbouring words: single words are so common across texts that the bounds
@@ -15,18 +16,24 @@ skipped. What is retrieved is verified: at least ``OVERLAP`` of the word triples
 item's question (all but its last quarter) and of its answer (the last quarter) must be in
 the passage.
 
-The index is broadcast. It holds at most ``INDEX_WORDS`` words of items; a larger benchmark is
-dealt to several indexes that are asked one after another. Defined results: null and empty
-texts have no hit; items that are null or have fewer than ``LEAST_WORDS`` words are not
-looked for; repeated items are each reported, repeated rows each have their hits; an empty
-benchmark finds nothing.
+Items of fewer than ``LEAST_WORDS`` words have too few pairs to be ranked; a text that holds
+all their words in a row has them, with a score of one.
+
+An index is broadcast and holds about ``INDEX_WORDS`` words of items. A larger benchmark is dealt to
+several indexes that are built and asked one after another, the hits so far being written in
+between, so the driver holds one. Document frequencies, mean length and length of a passage are
+those of the whole benchmark, so hits and scores do not depend on the number of indexes. Defined
+results: null and empty texts have no hit; items that are null or have no word are not looked
+for; equal rows of the benchmark count once in the statistics and are each reported, repeated rows
+of documents each have their hits; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from functools import reduce
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.llm import words
+from cartloom.session import materialize
 
 THRESHOLD = 0.5
 OVERLAP = 0.5
@@ -56,7 +64,8 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every word."""
     data, starts = words.flat(texts)
     data = _PLAIN[data]
-    begins, ends, doc = words.word_bounds(data, starts)
+    alone = np.flatnonzero((data >= 0xE3) & (data <= 0xE9))  # first of three bytes
+    begins, ends, doc = words.word_bounds(data, starts, np.concatenate([alone, alone + 3]))
     return words.PrefixHashes(data).of(begins, ends), doc
 
 
@@ -66,15 +75,54 @@ def _pairs(hashes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return words.joined_hashes(hashes, 2)[inside], inside
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """What BM25 needs of all items that are ranked: numbers, longest item, and items by term."""
+
+    n_items: int
+    n_words: int
+    span: int
+    frequencies: dict[int, int]
+
+
+def _terms(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct word pairs of items, with the number of items that hold each."""
+    own = [np.unique(words.joined_hashes(x, 2)) for x in items if len(x) >= LEAST_WORDS]
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_counts=True)
+
+
+def _counted(items: list[np.ndarray]) -> tuple[int, int, int]:
+    sizes = [len(x) for x in items if len(x) >= LEAST_WORDS]
+    return len(sizes), sum(sizes), max(sizes, default=1)
+
+
+def _split(texts: pa.Array) -> list[np.ndarray]:
+    """Hashes of the words of each text."""
+    hashes, doc = _hashed(texts)
+    return np.split(hashes, np.searchsorted(doc, np.arange(1, len(texts)))) if len(texts) else []
+
+
 class Index:
     """Postings of test items by term, with the best impact of every term and block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str]) -> None:
-        hashes, doc = _hashed(pa.array(texts, pa.string()))
-        items = [hashes[doc == i] for i in range(len(texts))]
-        self.ids = [i for i, own in zip(ids, items, strict=True) if len(own) >= LEAST_WORDS]
-        self.items = [own for own in items if len(own) >= LEAST_WORDS]
-        self.span = max((len(own) for own in self.items), default=1)
+    def __init__(
+        self, ids: list[int], texts: list[str], times: list[int] | None = None, statistics: Statistics | None = None
+    ) -> None:
+        split = _split(pa.array(texts, pa.string()))
+        ranked = [k for k, own in enumerate(split) if len(own) >= LEAST_WORDS]
+        short = [k for k, own in enumerate(split) if 0 < len(own) < LEAST_WORDS]
+        self.ids = [ids[k] for k in ranked + short]
+        self.times = [times[k] if times else 1 for k in ranked + short]
+        self.items = [split[k] for k in ranked]
+        self.statistics = statistics or Statistics(
+            *_counted(split), dict(zip(*[x.tolist() for x in _terms(split)], strict=True))
+        )
+        self.span = self.statistics.span
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(split[k]) for k in short}):
+            numbers = np.array([len(ranked) + j for j, k in enumerate(short) if len(split[k]) == n])
+            keys = np.array([words.joined_hashes(split[k], n)[0] for k in short if len(split[k]) == n], np.uint64)
+            self.short[n] = np.sort(keys), numbers[np.argsort(keys, kind="stable")]
         self.parts = []
         for own in self.items:
             cut = len(own) - max(TRIPLE, len(own) // 4)
@@ -90,16 +138,18 @@ class Index:
         for i, own in enumerate(self.items):
             for term, tf in zip(*np.unique(words.joined_hashes(own, 2), return_counts=True), strict=True):
                 postings[int(term)].append((i, int(tf)))
-        n, mean = len(self.items), sum(map(len, self.items)) / max(1, len(self.items))
+        n, mean = self.statistics.n_items, self.statistics.n_words / max(1, self.statistics.n_items)
         impacts: dict[int, list[tuple[int, float]]] = {}
-        selves = [0.0] * n
+        gains: list[list[float]] = [[] for _ in self.items]
         for term, rows in postings.items():
-            idf = math.log(1 + (n - len(rows) + 0.5) / (len(rows) + 0.5))
+            seen = self.statistics.frequencies[term]
+            idf = math.log(1 + (n - seen + 0.5) / (seen + 0.5))
             impacts[term] = []
             for i, tf in rows:
                 gain = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(self.items[i]) / mean))
-                selves[i] += gain
+                gains[i].append(gain)
                 impacts[term].append((i, gain))
+        selves = [math.fsum(own) for own in gains]  # exact, so the order of terms does not matter
         self.vocabulary = np.array(sorted(impacts), np.uint64)
         self.rows: list[list[tuple[int, float]]] = []
         self.blocks: list[dict[int, float]] = []
@@ -139,7 +189,7 @@ class Index:
                 goal = max(goal, item + 1)
                 moved = lists[:upto]
             elif lists[0][0][lists[0][1]][0] == item:
-                score = sum(x[0][x[1]][1] for x in lists[:upto])
+                score = math.fsum(x[0][x[1]][1] for x in lists[:upto])
                 if score >= least:
                     found.append((item, score))
                 goal, moved = item + 1, lists[:upto]
@@ -157,9 +207,33 @@ class Index:
         """The verified items of each text of a block, best passage first per item."""
         n = len(texts)
         out: list[dict[int, tuple]] = [{} for _ in range(n)]
-        if not self.items:
-            return [[] for _ in range(n)]
         hashes, doc = _hashed(texts)
+        self._find_short(hashes, doc, out)
+        if self.items:
+            self._find_ranked(hashes, doc, n, threshold, overlap, out)
+        return [
+            [
+                {"item_id": self.ids[i], "score": s, "question": q, "answer": a}
+                for i, (_, s, q, a) in sorted(x.items()) for _ in range(self.times[i])
+            ]
+            for x in out
+        ]
+
+    def _find_short(self, hashes: np.ndarray, doc: np.ndarray, out: list[dict[int, tuple]]) -> None:
+        """Items of few words, wherever all of them follow each other."""
+        for size, (keys, numbers) in self.short.items():
+            runs = words.joined_hashes(hashes, size)
+            inside = np.flatnonzero(doc[: len(runs)] == doc[size - 1 :]) if len(runs) else np.zeros(0, np.int64)
+            first = np.searchsorted(keys, runs[inside])
+            found = keys[np.minimum(first, len(keys) - 1)] == runs[inside]
+            for pair in np.unique(doc[inside[found]] * len(keys) + first[found]).tolist():
+                d, at = divmod(pair, len(keys))
+                for i in numbers[at : np.searchsorted(keys, keys[at], "right")].tolist():
+                    out[d][i] = (2.0, 1.0, 1.0, 1.0)
+
+    def _find_ranked(
+        self, hashes: np.ndarray, doc: np.ndarray, n: int, threshold: float, overlap: float, out: list[dict[int, tuple]]
+    ) -> None:
         counts = words.count_per_text(doc, n)
         begins = np.cumsum(counts) - counts
         pairs, at = _pairs(hashes, doc)
@@ -187,22 +261,47 @@ class Index:
                 if question >= overlap and answer >= overlap:
                     new = (question + answer, score, question, answer)
                     out[d][item] = max(new, out[d].get(item, new))
-        return [
-            [{"item_id": self.ids[i], "score": s, "question": q, "answer": a} for i, (_, s, q, a) in sorted(x.items())]
-            for x in out
-        ]
 
 
-def _indexes(benchmark: DataFrame) -> list[Index]:
-    """One index per ``INDEX_WORDS`` words of items."""
-    items = benchmark.where("text IS NOT NULL").select("item_id", "text")
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items by term, and one row without term for the numbers of a batch."""
+    for batch in batches:
+        items = _split(batch.column(0))
+        terms, seen = _terms(items)
+        numbers = _counted(items)
+        columns = [terms.view(np.int64).tolist() + [None], seen.tolist() + [0]] + [[0] * len(terms) + [x] for x in numbers]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["term", "seen", "items", "words", "span"])
+
+
+_TERMS = "term long, seen long, items long, words long, span long"
+
+
+def _indexes(benchmark: DataFrame, index_words: int) -> Iterator[tuple[Index, bool]]:
+    """One index per ``index_words`` words of items, and whether it is the last; built when it is asked for.
+
+    The driver gets the items of one index and the frequencies of their terms.
+    """
+    items = benchmark.where("text IS NOT NULL").groupBy("item_id", "text").agg(F.count("*").alias("times"))
     total = items.agg(F.coalesce(F.sum(words.n_words(F.col("text"))), F.lit(0))).first()[0]
-    parts = max(1, math.ceil(total / INDEX_WORDS))
-    out = []
+    parts = max(1, math.ceil(total / index_words))
+    numbers = counted = None
+    if parts > 1:
+        counted = materialize(
+            items.select("text").mapInArrow(_count_terms, _TERMS).groupBy("term").agg(
+                F.sum("seen").alias("seen"), F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("span").alias("span")
+            ), "decontamination-terms",
+        )
+        numbers = counted.where("term IS NULL").select("items", "words", "span").first()
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        out.append(Index([r["item_id"] for r in rows], [r["text"] for r in rows]))
-    return [x for x in out if x.items]
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        statistics = None
+        if counted is not None:
+            asked = own.select("text").mapInArrow(_count_terms, _TERMS).select("term").distinct()
+            seen = counted.join(asked, "term", "left_semi").select("term", "seen").toArrow()
+            terms = seen["term"].to_numpy().view(np.uint64).tolist()
+            statistics = Statistics(*numbers, dict(zip(terms, seen["seen"].to_pylist(), strict=True)))
+        rows = own.orderBy("item_id", "text").collect()
+        yield Index(*[[r[c] for r in rows] for c in ("item_id", "text", "times")], statistics), k == parts - 1
 
 
 def hits_of(text: Column, index: Index, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> Column:
@@ -217,13 +316,18 @@ def hits_of(text: Column, index: Index, threshold: float = THRESHOLD, overlap: f
     return find(text)
 
 
-def with_hits(documents: DataFrame, benchmark: DataFrame, text: str = "text", **limits) -> DataFrame:
-    """Columns ``row`` (all of ``documents``) and ``hits``, the verified items found in its text."""
-    out = documents.select(F.struct(*documents.columns).alias("row"))
-    found = [hits_of(F.col("row")[text], index, **limits) for index in _indexes(benchmark)]
-    if not found:
-        return out.withColumn("hits", F.array().cast(HITS))
-    return out.select("row", F.coalesce(reduce(lambda a, b: F.concat(a, b), found), F.array().cast(HITS)).alias("hits"))
+def with_hits(
+    documents: DataFrame, benchmark: DataFrame, text: str = "text", index_words: int = INDEX_WORDS, **limits
+) -> DataFrame:
+    """Columns ``row`` (all of ``documents``) and ``hits``, the verified items found in its text, by id."""
+    out = documents.select(F.struct(*documents.columns).alias("row"), F.array().cast(HITS).alias("hits"))
+    for index, last in _indexes(benchmark, index_words):
+        if index.ids:
+            found = F.coalesce(hits_of(F.col("row")[text], index, **limits), F.array().cast(HITS))
+            out = out.select("row", F.concat("hits", found).alias("hits"))
+            if not last:
+                out = materialize(out, "decontamination-hits")
+    return out.select("row", F.array_sort("hits").alias("hits"))
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:

@@ -55,11 +55,15 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def word_bounds(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end byte and text number of every word."""
+def word_bounds(
+    data: np.ndarray, starts: np.ndarray, cuts: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end byte and text number of every word; words also end before each byte of ``cuts``."""
     space = _SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[starts] = True
+    if cuts is not None:
+        edge[cuts] = True
     inside = ~space
     first, last = inside.copy(), inside.copy()
     first[1:] &= space[:-1] | edge[1:-1]

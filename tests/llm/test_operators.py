@@ -302,6 +302,25 @@ def test_decontamination_against_all_triples(spark, odd):
     assert decontamination.with_hits(odd, bench.limit(0)).count() == 8
 
 
+def test_decontamination_of_many_indexes_and_short_items(spark):
+    """Hits and scores are those of one index; short, repeated and unspaced items are found by all their words."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").select("item_id", "text")
+    more = [(9001, "of quick"), (9002, "\u6771\u4eac\u306f\u9996\u90fd"), (9002, "\u6771\u4eac\u306f\u9996\u90fd"), (9003, "\u4eac\u90fd"), (9004, " ? "),
+            (9005, "\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3059")]
+    kind = "item_id long, text string"
+    items = items.unionByName(spark.createDataFrame(more, kind)).unionByName(items.limit(3))
+    own = [(-1, "Tales OF, quick foxes"), (-2, "of a quick fox"), (-3, "\u6771\u4eac\u306f\u9996\u90fd\u3002"), (-4, "x \u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3067\u3059 y")]
+    docs = docs.unionByName(spark.createDataFrame(own, "doc_id long, text string"))
+    got = []
+    assert [last for _, last in decontamination._indexes(items, 300)].count(False) >= 3
+    for size in (decontamination.INDEX_WORDS, 300):
+        rows = decontamination.with_hits(docs, items, index_words=size).where("size(hits) > 0").collect()
+        got.append(sorted((r.row.doc_id, *h) for r in rows for h in r.hits))
+    assert got[0] == got[1] and len(got[0]) > 20
+    assert [x[:2] for x in got[0] if x[0] < 0] == [(-4, 9005), (-3, 9002), (-3, 9002), (-1, 9001)]
+
+
 def test_block_max_wand_finds_what_scoring_everything_finds():
     rng = np.random.default_rng(4)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(6, 25))) for _ in range(120)]
