@@ -130,6 +130,44 @@ def test_grouped_text_keeps_order(spark, tmp_path):
         body = "".join(open(os.path.join(folder, part, names[0])).read() for part, names in zip(parts, files))
         assert body.splitlines() == [f"{prefix}{i}" for i in range(n)]
 
+def test_folders_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    """Hidden and empty files of many folders are found without asking the driver for each file."""
+
+    def fail(*args):
+        raise AssertionError("listed on the driver")
+
+    monkeypatch.setattr(text, "_listed_by_driver", fail)
+    want = {f"d{i}/sub é+/{name}": body for i in range(70) for name, body in (("_a b.md", "é"), ("empty.md", ""), ("c.md", "c"))}
+    want |= {"top.md": "", ".git/x.md": "y"}
+    for name, body in want.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(body.encode())
+    got = [tuple(r) for r in text.read_text_tree(spark, str(tmp_path)).select("path", "text").collect()]
+    assert sorted(got) == sorted(want.items())
+
+
+def test_small_groups_are_written_by_tasks(spark, tmp_path):
+    """A file per group under the names that Spark gives to folders, nulls included, and no commit of each."""
+    keys = [None, "", "a/b=c %1", "é ü", *[f"k{i}" for i in range(50)]]
+    rows = [(key, i, None if i == 1 else f"{key} {i}\té") for key in keys for i in range(3)]
+    df = spark.createDataFrame(rows, "module string, pos int, body string").repartition(3)
+    path = str(tmp_path / "out")
+    text.write_grouped_text(df, "module", "pos", "body", path, part_rows=2)
+    old = str(tmp_path / "old")
+    df.where("module <> ''").select("module", "body").write.partitionBy("module").text(old)
+    own = {name for name in os.listdir(path) if name.startswith("module=")}
+    assert own == {name for name in os.listdir(old) if name.startswith("module=")} | {"module=__HIVE_DEFAULT_PARTITION__"}
+    names = sorted(os.path.relpath(os.path.join(d, f), path) for d, _, files in os.walk(path) for f in files)
+    assert len(names) == 2 * len(keys) and not [n for n in names if n.endswith(".crc")]
+    read = {r.path: r.text for r in text.read_text_tree(spark, path, (".txt",)).collect()}
+    assert read["module=k7/part=000000000/part-00000.txt"] == "k7 0\té\n\n"
+    assert read["module=a%2Fb%3Dc %251/part=000000001/part-00000.txt"] == "a/b=c %1 2\té\n"
+    assert read["module=__HIVE_DEFAULT_PARTITION__/part=000000001/part-null.txt"] == "None 2\té\n"
+    assert os.listdir(tmp_path) and not [n for n in os.listdir(tmp_path) if n.startswith("_out")]
+    with pytest.raises(AnalysisException):
+        text.write_grouped_text(df, "module", "pos", "body", path)
+
+
 
 def promoted(spark, catalogue, queries):
     products, velocity, affinity = catalogue
