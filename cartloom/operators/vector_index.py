@@ -29,6 +29,8 @@ ROUNDS = 20
 #: Rows of a block of the grid in which queries meet the codes of a list.
 QUERY_ROWS, CODE_ROWS = 4096, 1 << 18
 LEVELS = 15
+#: Numbers of a matrix of distances to centroids, and codes that are decoded at once.
+SLICE, DECODED_ROWS = 1 << 20, 1 << 14
 
 
 @dataclass(frozen=True)
@@ -53,7 +55,12 @@ class VectorIndex:
 
     def nearest(self, rows: np.ndarray, n: int) -> np.ndarray:
         """The lists of the ``n`` nearest centroids of every row, nearest first."""
-        return np.argsort(-_closeness(rows, self.centroids), axis=1, kind="stable")[:, :n]
+        out = np.empty((len(rows), min(n, self.lists)), np.int64)
+        # a few rows at a time: there may be thousands of lists
+        step = max(1, SLICE // self.lists)
+        for at in range(0, len(rows), step):
+            out[at : at + step] = _nearest_lists(-_closeness(rows[at : at + step], self.centroids), out.shape[1])
+        return out
 
     def encode(self, rows: np.ndarray) -> np.ndarray:
         """Two dimensions a byte."""
@@ -67,6 +74,13 @@ class VectorIndex:
         return self.low + steps * (np.where(self.high > self.low, self.high - self.low, 1) / LEVELS)
 
 
+def _nearest_lists(far: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of the ``n`` least of each row, in order, of equal ones the first."""
+    if n == 1:
+        return far.argmin(axis=1)[:, None]
+    return np.argsort(far, axis=1, kind="stable")[:, :n]
+
+
 def _closeness(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return 2 * rows @ centroids.T - np.square(centroids).sum(1)[None, :]
 
@@ -223,13 +237,19 @@ def candidates(
 
     def near(wanted: pa.Table, held: pa.Table) -> pa.Table:
         width = -(-len(index.low) // 2)
-        raw = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(-1, width)
-        rows = index.decode(raw)
-        flat = pa.array(rows.ravel())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), flat)
-        found = exact._near(wanted, pa.table({"vec_id": held.column("vec_id"), "embedding": lists}), rerank, index.metric, None)
-        own = held.column("own_list")[0].as_py() if held.num_rows else None
-        return found.append_column("list", pa.array([own] * found.num_rows, pa.int32()))
+        ids, vec_ids = exact._one(wanted.column("query_id")), exact._one(held.column("vec_id"))
+        own = pa.scalar(held.column("own_list")[0].as_py() if held.num_rows else None, pa.int32())
+        best = pa.table({"at": pa.array([], pa.int64()), "vec_id": vec_ids[:0], "score": pa.array([], pa.float64())})
+        asked, least = exact._matrix(exact._one(wanted.column("embedding"))), np.full(len(ids), -np.inf)
+        for at in range(0, held.num_rows if len(ids) else 0, DECODED_ROWS):
+            part = held.slice(at, DECODED_ROWS)
+            rows = index.decode(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, width))
+            exact._same_length(asked, rows)
+            hits = exact._hits(asked, rows, exact._one(part.column("vec_id")), rerank, index.metric, None, least)
+            best = exact._best(pa.concat_tables([best, hits]), rerank)
+            least = exact._kth(best, slice(0, len(ids)), rerank)
+        found = exact._named(best, ids)
+        return found.append_column("list", pa.repeat(own, found.num_rows))
 
     first = exact.grid_hits(
         asked.join(F.broadcast(shapes), "list"),
@@ -264,6 +284,9 @@ def search_index(
     of the exact search. Query ids are unique.
     """
     spark = queries.sparkSession
+    if min(probes or index.probes, index.lists) == index.lists and (rerank or 4 * k) >= index.read(spark).count():
+        # every vector would be read in full for every query: no first score and no pair of ids is needed
+        return exact.vector_search(queries, index.read(spark).select("vec_id", "embedding"), k, index.metric)
     best = candidates(queries, index, rerank or 4 * k, probes)
     stored = index.read(spark).select("list", "vec_id", "embedding")
     pairs = best.distinct().join(stored, ["list", "vec_id"]).join(

@@ -22,7 +22,16 @@ from cartloom.operators.ranking import top_k
 BROADCAST_QUERIES = 4096
 #: Bytes of queries that are sent at once.
 BROADCAST_BYTES = 32 << 20
-SLICE = 4_000_000
+#: Numbers of a matrix of scores, and the queries that are its rows.
+SLICE, QUERY_SLICE = 4_000_000, 1024
+#: Rows of a block of a grid, so that a few blocks are enough to spread the work.
+BLOCK_ROWS = 1 << 14
+#: Blocks of either side of a grid, unless more are needed to hold the rows.
+MOST_BLOCKS = 16
+#: Pairs that are scored at once.
+PAIRS = 1 << 16
+#: Rows of each side of a cell in which codes are compared.
+CODED_ROWS = 1 << 14
 #: Decimals that scores are compared by; the last bits depend on a vector's place in its batch.
 DECIMALS = 12
 HITS = "query_id {query}, vec_id {vec}, score double"
@@ -54,44 +63,97 @@ def _best(hits: pa.Table, k: int) -> pa.Table:
     return hits.filter(pa.array(np.arange(len(at)) - first < k))
 
 
-def _batch_hits(
-    queries: np.ndarray,
-    batch: pa.RecordBatch | pa.Table,
-    k: int,
-    metric: str,
-    allowed: Callable[[slice, np.ndarray], np.ndarray] | None = None,
+Allowed = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one in single precision, and their lengths; rows without a direction are NaN."""
+    norms = np.linalg.norm(rows, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(norms > 0, 1, np.nan).astype(np.float32)[:, None] * (rows / norms[:, None]).astype(np.float32), norms
+
+
+def _pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """The rounded score of each row of ``a`` with the same row of ``b``."""
+    dots = np.einsum("ij,ij->i", a, b)
+    if metric == "cosine":
+        scores = dots / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1))
+    else:
+        scores = 2 * dots - np.square(a).sum(1) - np.square(b).sum(1)
+    return np.round(np.where(np.isnan(scores), -np.inf, scores), DECIMALS)
+
+
+def _hits(
+    queries: np.ndarray, vectors: np.ndarray, ids: pa.Array, k: int, metric: str,
+    allowed: Allowed | None = None, least: np.ndarray | None = None,
 ) -> pa.Table:
-    """The best rows of a batch for each query; more than ``k`` only where scores are equal.
+    """The best ``k`` of ``vectors``, known by ``ids``, for each query, and none below its ``least`` score.
 
-    Queries are taken in slices that keep one score matrix at about SLICE numbers. ``allowed``
-    says which pairs of a slice of queries and the vectors may be hits.
+    Vectors are taken in slices. A matrix product, for the cosine in single precision, tells which of
+    a slice may be among the best so far, by a margin over its own error; only these are scored.
+    ``allowed`` says which pairs of numbers of queries and vectors may be hits.
     """
-    vectors = _matrix(_one(batch.column("embedding")))
-    rows = max(1, SLICE // max(1, len(vectors)))
-    at_query, at_vector, found = [], [], []
-    for start in range(0, len(queries), rows):
-        part = slice(start, min(start + rows, len(queries)))
-        if allowed is None:
-            scores = _scores(queries[part], vectors, metric)
-        else:
-            mask = allowed(part, vectors)
-            scores = np.full(mask.shape, -np.inf)
-            for q in np.flatnonzero(mask.any(axis=1)).tolist():
-                near = np.flatnonzero(mask[q])
-                scores[q, near] = _scores(queries[start + q][None], vectors[near], metric)[0]
-        scores = np.round(np.where(np.isnan(scores), -np.inf, scores), DECIMALS)
-        keep = scores > -np.inf
-        if scores.shape[1] > k:
-            keep &= scores >= np.partition(scores, -k, axis=1)[:, [-k]]
-        q, v = np.nonzero(keep)
-        at_query.append(q + start)
-        at_vector.append(v)
-        found.append(scores[keep])
-    return pa.table({
-        "at": pa.array(np.concatenate(at_query), pa.int64()),
-        "vec_id": _one(batch.column("vec_id")).take(pa.array(np.concatenate(at_vector))),
-        "score": pa.array(np.concatenate(found), pa.float64()),
-    })
+    least = np.full(len(queries), -np.inf) if least is None else least
+    dim = vectors.shape[1] if len(vectors) else 0
+    found: list[pa.Table] = []
+    if metric == "cosine":
+        left, right, margin = _unit(queries)[0], _unit(vectors)[0], (dim + 8) * 1.2e-7
+    for start in range(0, len(queries), QUERY_SLICE):
+        part = slice(start, min(start + QUERY_SLICE, len(queries)))
+        low, best = least[part].copy(), None
+        step = max(1, SLICE // (part.stop - start))
+        bounds = _growing(len(vectors), step, k)
+        for first, stop in zip(bounds, bounds[1:]):
+            held = slice(first, stop)
+            with np.errstate(invalid="ignore"):
+                if metric == "cosine":
+                    rough, off = left[part] @ right[held].T, margin
+                else:
+                    rough = _scores(queries[part], vectors[held], metric)
+                    off = 2e-12 + (dim + 8) * 1e-15 * (np.square(queries[part]).sum(1)[:, None] + np.square(vectors[held]).sum(1).max())
+                open_rows = np.flatnonzero(low == -np.inf)
+                bound = (low[:, None] - off).astype(rough.dtype) if metric != "cosine" else (low[:, None] - 2 * off).astype(np.float32)
+                if allowed is None and len(open_rows) and rough.shape[1] > k:
+                    kth = np.partition(np.where(np.isnan(rough[open_rows]), -np.inf, rough[open_rows]), -k, axis=1)[:, [-k]]
+                    bound[open_rows] = kth - 2 * (off if metric == "cosine" else off[open_rows])
+                q, v = np.nonzero((rough >= bound) & (rough > -np.inf))
+            if allowed is not None and len(q):
+                keep = allowed(q + start, v + first)
+                q, v = q[keep], v[keep]
+            if not len(q):
+                continue
+            scores = np.concatenate([
+                _pair_scores(queries[part][q[at : at + PAIRS]], vectors[held][v[at : at + PAIRS]], metric)
+                for at in range(0, len(q), PAIRS)
+            ])
+            keep = (scores > -np.inf) & (scores >= low[q])
+            q, v, scores = q[keep], v[keep], scores[keep]
+            hits = pa.table({"at": pa.array(q + start, pa.int64()), "vec_id": ids.take(pa.array(v + first)), "score": pa.array(scores)})
+            best = _best(hits if best is None else pa.concat_tables([best, hits]), k)
+            low = np.maximum(low, _kth(best, part, k))
+        if best is not None:
+            found.append(best)
+    if not found:
+        return pa.table({"at": pa.array([], pa.int64()), "vec_id": ids[:0], "score": pa.array([], pa.float64())})
+    return pa.concat_tables(found)
+
+
+def _growing(rows: int, most: int, k: int) -> list[int]:
+    """Bounds of slices that double up to ``most`` rows: a few rows give a first bound on the best ``k``."""
+    bounds, step = [0], min(most, 64 * k)
+    while bounds[-1] < rows:
+        bounds.append(min(rows, bounds[-1] + step))
+        step = min(most, 2 * step)
+    return bounds
+
+
+def _kth(best: pa.Table, part: slice, k: int) -> np.ndarray:
+    """The score of the ``k``-th hit of each query of a slice; minus infinity with fewer hits."""
+    at, scores = best.column("at").to_numpy(), best.column("score").to_numpy()
+    out = np.full(part.stop - part.start, -np.inf)
+    last = np.flatnonzero(np.arange(len(at)) - np.searchsorted(at, at) == k - 1)
+    out[at[last] - part.start] = scores[last]
+    return out
 
 
 def _one(column: pa.Array | pa.ChunkedArray) -> pa.Array:
@@ -131,7 +193,9 @@ def vector_search(
 
     ``queries`` holds ``(query_id, embedding)``, ``vectors`` ``(vec_id, embedding)``. At most
     ``broadcast_queries`` queries, and BROADCAST_BYTES, are sent to a scan; more are dealt in a
-    grid of blocks of about ``query_rows`` by ``vector_rows``, by default BROADCAST_BYTES each.
+    grid of blocks of about ``query_rows`` by ``vector_rows``, by default BLOCK_ROWS each. On
+    either side MOST_BLOCKS blocks, or as many as have BROADCAST_BYTES, are the most: a row goes
+    to every block of the other side, so small blocks of many rows would be copies without end.
     """
     return _searched(queries, vectors, k, metric, broadcast_queries, None, query_rows, vector_rows)
 
@@ -153,9 +217,8 @@ def _searched(
     fitting = max(1, BROADCAST_BYTES // (8 * max(1, size.dim)))
     if size.rows <= min(at_once, fitting):
         return _ranked(_scan(queries.toArrow(), vectors, k, metric, schema, codes), k)
-    query_rows, vector_rows = query_rows or fitting, vector_rows or fitting
-    query_blocks = -(-size.rows // query_rows)
-    vector_blocks = max(1, -(-vectors.count() // vector_rows))
+    query_blocks = _blocks(size.rows, query_rows or BLOCK_ROWS, fitting)
+    vector_blocks = _blocks(vectors.count(), vector_rows or BLOCK_ROWS, fitting)
     return _ranked(
         grid_hits(
             queries.withColumns({"list": F.lit(0), "query_blocks": F.lit(query_blocks), "vector_blocks": F.lit(vector_blocks)}),
@@ -167,6 +230,12 @@ def _searched(
     )
 
 
+def _blocks(rows: int, wanted: int, fitting: int) -> int:
+    """How many blocks of about ``wanted`` rows there are, or of ``fitting`` ones where those were too many."""
+    fewest = max(1, -(-rows // fitting))
+    return max(1, min(max(-(-rows // wanted), fewest), max(MOST_BLOCKS, fewest)))
+
+
 def _block(blocks: str, *columns: str) -> Column:
     """The block of a row: by its values and its input partition, so that copies spread as well."""
     return F.pmod(F.xxhash64(*columns, F.spark_partition_id()), F.col(blocks)).cast("int")
@@ -200,26 +269,41 @@ def grid_hits(
     return asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInArrow(meet, schema)
 
 
-def _allowed(codes: SignCodes, asked: np.ndarray) -> Callable[[slice, np.ndarray], np.ndarray]:
-    """Which pairs of a slice of the queries and some vectors share a code in any table."""
+def _allowed(asked: np.ndarray, held: np.ndarray) -> Allowed:
+    """Which pairs of rows of the codes of queries and of vectors agree in any table."""
 
-    def allowed(part: slice, held: np.ndarray) -> np.ndarray:
-        own = codes.of(held)
-        mask = np.zeros((part.stop - part.start, len(held)), bool)
-        for table in range(own.shape[1]):
-            mask |= asked[part, table][:, None] == own[:, table][None, :]
-        return mask
+    def allowed(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+        same = np.zeros(len(q), bool)
+        for table in range(held.shape[1]):
+            same |= asked[q, table] == held[v, table]
+        return same
 
     return allowed
 
 
+def _share_a_code(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each row of codes agrees with each of the other ones in any table."""
+    mask = np.zeros((len(left), len(right)), bool)
+    for table in range(right.shape[1]):
+        mask |= left[:, table][:, None] == right[:, table][None, :]
+    return mask
+
+
 def _near(wanted: pa.Table, held: pa.Table, k: int, metric: str, codes: SignCodes | None) -> pa.Table:
     """The best ``k`` vectors of a table for each query of a table."""
     ids, asked = _one(wanted.column("query_id")), _matrix(_one(wanted.column("embedding")))
+    vec_ids = _one(held.column("vec_id"))
     if not len(ids) or not held.num_rows:
-        return pa.table({"query_id": ids[:0], "vec_id": _one(held.column("vec_id"))[:0], "score": pa.array([], pa.float64())})
-    hits = _batch_hits(asked, held, k, metric, _allowed(codes, codes.of(asked)) if codes else None)
-    return _named(_best(hits, k), ids)
+        return pa.table({"query_id": ids[:0], "vec_id": vec_ids[:0], "score": pa.array([], pa.float64())})
+    vectors = _matrix(_one(held.column("embedding")))
+    _same_length(asked, vectors)
+    hits = _hits(asked, vectors, vec_ids, k, metric, _allowed(codes.of(asked), codes.of(vectors)) if codes else None)
+    return _named(hits, ids)
+
+
+def _same_length(queries: np.ndarray, vectors: np.ndarray) -> None:
+    if queries.shape[1] != vectors.shape[1]:
+        raise ValueError(f"vectors have unequal lengths: {sorted((queries.shape[1], vectors.shape[1]))}")
 
 
 def _named(hits: pa.Table, ids: pa.Array) -> pa.Table:
@@ -236,18 +320,27 @@ def _scan(
         ids, wanted = shared.value
         if not len(ids):
             return
-        allowed = _allowed(codes, codes.of(wanted)) if codes else None
-        best = None
+        own = codes.of(wanted) if codes else None
+        best, least = None, np.full(len(ids), -np.inf)
         for batch in batches:
             if batch.num_rows:
-                hits = _batch_hits(wanted, batch, k, metric, allowed)
+                rows = _matrix(_one(batch.column("embedding")))
+                _same_length(wanted, rows)
+                allowed = _allowed(own, codes.of(rows)) if codes else None
+                hits = _hits(wanted, rows, _one(batch.column("vec_id")), k, metric, allowed, least)
                 best = _best(hits if best is None else pa.concat_tables([best, hits]), k)
+                least = _kth(best, slice(0, len(ids)), k)
         if best is not None:
             yield from _named(best, ids).combine_chunks().to_batches()
 
     return vectors.mapInArrow(scan, schema)
 
 
+def _narrow(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Codes in as few bytes as hold them; the fewer, the faster they are compared."""
+    return codes.astype(np.uint8 if bits <= 8 else np.uint16 if bits <= 16 else np.int64)
+
+
 class SignCodes:
     """Hash codes of vectors: in each of several tables, the signs of a few random projections."""
 
@@ -257,7 +350,7 @@ class SignCodes:
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
         signs = (vectors @ self.planes > 0).reshape(len(vectors), self.tables, self.bits)
-        return signs @ (1 << np.arange(self.bits))
+        return _narrow(signs @ (1 << np.arange(self.bits)), self.bits)
 
 
 def _sign_codes(queries: DataFrame, tables: int, bits: int, seed: int) -> SignCodes:
@@ -288,18 +381,66 @@ def vector_search_lsh(
 def lsh_candidates(
     queries: DataFrame, vectors: DataFrame, tables: int = 8, bits: int = 4, seed: int = 7
 ) -> DataFrame:
-    """The distinct pairs ``(query_id, vec_id)`` that :func:`vector_search_lsh` scores, to measure its share."""
+    """The distinct pairs ``(query_id, vec_id)`` that :func:`vector_search_lsh` scores.
+
+    A pair meets in one cell of the grid of queries and vectors, so pairs are neither shuffled nor
+    made distinct. To measure their share, :func:`lsh_counts` does not form them.
+    """
+
+    def near(ids: pa.Array, own: np.ndarray, vec_ids: pa.Array, held: np.ndarray) -> pa.Table:
+        rows = max(1, SLICE // max(1, len(held)))
+        found = [np.nonzero(_share_a_code(own[at : at + rows], held)) for at in range(0, len(own), rows)]
+        q = np.concatenate([np.zeros(0, np.int64), *[part[0] + k * rows for k, part in enumerate(found)]])
+        v = np.concatenate([np.zeros(0, np.int64), *[part[1] for part in found]])
+        return pa.table({"query_id": ids.take(pa.array(q)), "vec_id": vec_ids.take(pa.array(v))})
+
+    schema = "query_id {}, vec_id {}".format(*(df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (vectors, "vec_id"))))
+    pairs = _coded_cells(queries, vectors, tables, bits, seed, near, schema)
+    # cells hold rows, and a repeated id is one pair
+    both = [df.select(c).dropna(subset=[c]) for df, c in ((queries, "query_id"), (vectors, "vec_id"))]
+    repeated = any(not df.groupBy(df.columns[0]).count().where("count > 1").isEmpty() for df in both)
+    return pairs.distinct() if repeated else pairs
+
+
+def lsh_counts(
+    queries: DataFrame, vectors: DataFrame, tables: int = 8, bits: int = 4, seed: int = 7
+) -> DataFrame:
+    """``(query_id, scored)``: how many ``vectors`` :func:`vector_search_lsh` scores for every query, equal rows once."""
+
+    def near(ids: pa.Array, own: np.ndarray, vec_ids: pa.Array, held: np.ndarray) -> pa.Table:
+        rows = max(1, SLICE // max(1, len(held)))
+        found = [_share_a_code(own[at : at + rows], held).sum(axis=1) for at in range(0, len(own), rows)]
+        counts = np.concatenate([np.zeros(0, np.int64), *found]).astype(np.int64)
+        return pa.table({"query_id": ids, "scored": pa.array(counts)})
+
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, scored long"
+    return _coded_cells(queries, vectors, tables, bits, seed, near, schema).groupBy("query_id").agg(F.sum("scored").alias("scored"))
+
+
+def _coded_cells(
+    queries: DataFrame, vectors: DataFrame, tables: int, bits: int, seed: int,
+    near: Callable[[pa.Array, np.ndarray, pa.Array, np.ndarray], pa.Table], schema: str,
+) -> DataFrame:
+    """What ``near`` finds in each cell of the grid of the ids and codes of queries and vectors."""
     codes = _sign_codes(queries, tables, bits, seed)
 
     def coded(df: DataFrame, name: str) -> DataFrame:
-        @F.arrow_udf("array<long>")
+        @F.arrow_udf("binary")
         def code(embeddings: pa.Array) -> pa.Array:
             own = codes.of(_matrix(embeddings)) if len(embeddings) else np.zeros((0, tables), np.int64)
-            return pa.array(list(own.astype(np.int64)), pa.list_(pa.int64()))
+            return pa.array([row.tobytes() for row in own.astype(np.int64)], pa.binary())
+
+        return df.select(name, "embedding").dropna().select(name, code(F.col("embedding")).alias("code")).distinct()
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return _narrow(np.frombuffer(b"".join(column.to_pylist()), np.int64).reshape(len(column), tables), bits)
 
-        held = df.select(name, "embedding").dropna()
-        return held.select(name, F.posexplode(code(F.col("embedding"))).alias("table", "code"))
+    def meet(wanted: pa.Table, held: pa.Table) -> pa.Table:
+        ids, vec_ids = _one(wanted.column("query_id")), _one(held.column("vec_id"))
+        return near(ids, matrix(_one(wanted.column("code"))), vec_ids, matrix(_one(held.column("code"))))
 
-    return coded(queries, "query_id").join(coded(vectors, "vec_id"), ["table", "code"]).select(
-        "query_id", "vec_id"
-    ).distinct()
+    asked, stored = coded(queries, "query_id"), coded(vectors, "vec_id")
+    shape = {"list": F.lit(0)}
+    for side, df in (("query_blocks", queries), ("vector_blocks", vectors)):
+        shape[side] = F.lit(max(1, -(-df.count() // CODED_ROWS)))
+    return grid_hits(asked.withColumns(shape), stored.withColumns(shape), meet, schema)

@@ -88,3 +88,27 @@ def test_odd_tables(spark, tmp_path):
     assert collect(vector_index.search_index(asked, index)) == {7: [(1, 1.0), (1, 1.0)]}
     with pytest.raises(ValueError):
         vector_index.build_index(one, f"{tmp_path}/bad", metric="dot")
+
+
+def test_an_index_asked_for_everything_forms_no_pairs(spark, tmp_path, monkeypatch):
+    """All lists and all vectors: the exact search, without a row for each query and vector."""
+    data = np.random.default_rng(5).normal(size=(200, 6)).astype(np.float32)
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(data)], "vec_id long, embedding array<float>")
+    index = vector_index.build_index(table, str(tmp_path / "index"), lists=7)
+    asked = table.withColumnRenamed("vec_id", "query_id")
+    want = sorted(map(tuple, vectors.vector_search(asked, table, 4).collect()))
+    monkeypatch.setattr(vector_index, "candidates", None)
+    assert sorted(map(tuple, vector_index.search_index(asked, index, 4, probes=7, rerank=200).collect())) == want
+
+
+def test_lists_of_many_rows_are_found_in_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    index = vector_index.VectorIndex("", "l2", rng.normal(size=(50, 4)), np.zeros(4), np.ones(4), 5, "")
+    rows = rng.normal(size=(333, 4))
+    want = np.argsort(-vector_index._closeness(rows, index.centroids), axis=1, kind="stable")
+    monkeypatch.setattr(vector_index, "SLICE", 1000)
+    whole, seen = vector_index._closeness, []
+    monkeypatch.setattr(vector_index, "_closeness", lambda a, b: seen.append(len(a)) or whole(a, b))
+    for n in (1, 5, 50):
+        assert (index.nearest(rows, n) == want[:, :n]).all()
+    assert max(seen) <= 20

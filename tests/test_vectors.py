@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cartloom.operators import vectors
@@ -113,3 +114,52 @@ def test_equal_vectors_rank_by_id(spark):
     asked = table.where("vec_id < 3").withColumnRenamed("vec_id", "query_id")
     got = collect(vectors.vector_search(asked, table, 4))
     assert {q: [v for v, _ in hits] for q, hits in got.items()} == dict.fromkeys(range(3), [0, 1, 2, 3])
+
+
+def test_pairs_of_codes_are_not_shuffled(spark, points, monkeypatch):
+    """Pairs come out of the cells of a grid once, and are counted without being formed."""
+    data, table = points
+    table = table.where("vec_id < 150").union(spark.createDataFrame([(999, None)], VEC))
+    monkeypatch.setattr(vectors, "CODED_ROWS", 40)
+    monkeypatch.setattr(vectors, "SLICE", 90)
+    asked = table.withColumnRenamed("vec_id", "query_id")
+    pairs = vectors.lsh_candidates(asked, table, tables=4, bits=3)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+    own = vectors.SignCodes(8, 4, 3, 7).of(data[:150])
+    want = {(q, v) for q in range(150) for v in range(150) if (own[q] == own[v]).any()}
+    got = [tuple(r) for r in pairs.collect()]
+    assert sorted(got) == sorted(want)
+    counts = {r.query_id: r.scored for r in vectors.lsh_counts(asked, table, tables=4, bits=3).collect()}
+    assert counts == {q: sum(a == q for a, _ in want) for q in range(150)}
+    twice = vectors.lsh_candidates(asked, table.union(table), tables=4, bits=3)
+    assert sorted(tuple(r) for r in twice.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_slices_give_the_hits_of_all_scores(metric, monkeypatch):
+    """Only pairs that may be among the best are scored in full; copies and close scores included."""
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.normal(size=(150, 5)), np.repeat(rng.normal(size=(3, 5)), 40, axis=0), np.zeros((2, 5))])
+    data[:60] = data[0] + rng.normal(scale=1e-7, size=(60, 5))
+    monkeypatch.setattr(vectors, "SLICE", 300)
+    monkeypatch.setattr(vectors, "QUERY_SLICE", 16)
+    scored, own = [], vectors._pair_scores
+    monkeypatch.setattr(vectors, "_pair_scores", lambda a, b, m: scored.append(len(a)) or own(a, b, m))
+    ids = pa.array(range(len(data)))
+    hits = vectors._hits(data, data, ids, 4, metric)
+    got = {}
+    for q, v, score in zip(*(c.to_pylist() for c in hits.columns)):
+        got.setdefault(q, []).append((v, score))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        norms = np.linalg.norm(data, axis=1)
+        full = data @ data.T / np.outer(norms, norms) if metric == "cosine" else -np.square(data[:, None] - data[None]).sum(2)
+    full = np.where(np.isnan(full), -np.inf, full)
+    for q in range(len(data)):
+        best = np.sort(full[q])[::-1][:4]
+        best = best[best > -np.inf]
+        assert [s for _, s in got.get(q, [])] == pytest.approx(best.tolist(), abs=1e-11)
+        assert all(full[q, v] == pytest.approx(s, abs=1e-11) for v, s in got.get(q, []))
+    assert sum(scored) < 0.6 * len(data) ** 2
+    assert vectors._blocks(720_000, 300, 65_536) == 16 and vectors._blocks(9_000_000, 300, 65_536) == 138
+    assert vectors._blocks(500, 300, 65_536) == 2 and vectors._blocks(0, 300, 65_536) == 1
