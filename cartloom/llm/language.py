@@ -9,7 +9,7 @@ language has the n-gram. A text gets the language of the lowest cross-entropy pe
 the first in order among equal ones.
 
 A prediction is ``accepted`` if its cross-entropy is not above what ``QUANTILE`` of the
-learning texts of that language reach, estimated on a bounded sample.
+learning texts of that language reach, times ``SLACK``; all learning texts count.
 
 The model holds every n-gram; the driver collects it once as plain columns and every task holds
 it, so its size is bounded by their memory alone. Defined results: a text that is null or has no letter is
@@ -20,7 +20,7 @@ they occur; rows without id are never held out.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -29,12 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.llm import words
-from cartloom.llm.tables import share_by_hash
+from cartloom.operators.corpus import numbered
 from cartloom.session import materialize
 
 ORDER = 4
-#: Bound on the texts that the limits of acceptance are estimated from.
-CALIBRATION = 4_000
 QUANTILE, SLACK = 0.995, 1.1
 UNKNOWN = "und"
 FOLDS = 5
@@ -223,7 +221,44 @@ def has_letter(text: Column) -> Column:
 
 def learn(documents: DataFrame) -> Model | None:
     """The model of all rows of ``documents (text, lang)``; None if there is nothing to learn."""
-    rows = documents.where("text IS NOT NULL AND lang IS NOT NULL").where(has_letter(F.col("text"))).select("text", "lang")
+    model = fit(documents)
+    return model and with_limits(model, _rows_to_learn(documents).select("lang", _measured(model, F.col("text")).alias("m")))
+
+
+def _rows_to_learn(documents: DataFrame) -> DataFrame:
+    known = documents.where("text IS NOT NULL AND lang IS NOT NULL")
+    return known.where(has_letter(F.col("text"))).select("text", "lang")
+
+
+def with_limits(model: Model, measured: DataFrame) -> Model:
+    """``model`` with the limits of acceptance of ``measured (lang, m)``, the measures of all learning texts.
+
+    The exact quantile of every language: texts are put in order by range partitions, and two places
+    of each language come to the driver.
+    """
+    names = F.array(*[F.lit(x) for x in model.langs])
+    own = materialize(
+        measured.where(F.col("lang") == names[F.col("m.best")]).select(
+            F.col("m.best").alias("best"), F.col("m.bits").alias("bits"), F.col("m.bits").alias("value")
+        ),
+        "language-bits",
+    )
+    at = F.lit(QUANTILE) * (F.col("n") - 1)
+    sizes = own.groupBy(F.col("best").alias("own")).agg(F.count(F.lit(1)).alias("n")).select(
+        "own", F.floor(at).alias("low"), F.ceil(at).alias("high"), (at - F.floor(at)).alias("part")
+    )
+    placed = numbered(own, "best", "bits", "value").join(F.broadcast(sizes), F.col("best") == F.col("own"))  # a row per language
+    ends = placed.where("position = low OR position = high").groupBy("best", "part").agg(
+        F.min("value").alias("first"), F.max("value").alias("last")
+    )
+    found = {row.best: row.first_ + row.part * (row.last_ - row.first_) for row in ends.toDF("best", "part", "first_", "last_").collect()}
+    limits = tuple(found[k] * SLACK if k in found else float("inf") for k in range(len(model.langs)))
+    return replace(model, limits=limits)
+
+
+def fit(documents: DataFrame) -> Model | None:
+    """The model of :func:`learn` without the limits of acceptance."""
+    rows = _rows_to_learn(documents)
     counted = materialize(
         rows.mapInArrow(_count, "lang string, gram array<long>, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")),
         "language-ngrams",
@@ -239,37 +274,51 @@ def learn(documents: DataFrame) -> Model | None:
     counts = np.zeros((len(first), len(langs)))
     counts[which, table["lang"].map(number).to_numpy()] = table["n"].to_numpy()
     model = kneser_ney(np.ascontiguousarray(grams[first]), counts)
-    model = Model(langs, model.keys, model.probs, model.contexts, model.backoffs)
-
-    sample = share_by_hash(rows, "text", CALIBRATION)
-    seen = sample.select("lang", _measured(model, F.col("text")).alias("m")).select("lang", "m.best", "m.bits").toPandas()
-    limits = []
-    for k, lang in enumerate(langs):
-        own = seen.loc[(seen["lang"] == lang) & (seen["best"] == k), "bits"]
-        limits.append(float(np.quantile(own, QUANTILE)) * SLACK if len(own) else float("inf"))
-    return Model(langs, model.keys, model.probs, model.contexts, model.backoffs, tuple(limits))
+    return replace(model, langs=langs)
 
 
 def predict(documents: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """All columns of ``documents`` and a struct ``language``: lang, score, bits, accepted."""
-    unknown = F.struct(
-        F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"),
-        F.lit(False).alias("accepted"),
-    )
     if model is None:
-        return documents.select("*", unknown.alias("language"))
+        return documents.select("*", _unknown().alias("language"))
+    # the inner select holds the columns in a struct, so that none of them clashes with ``m``
+    rows = documents.select(F.struct(*documents.columns).alias("row"), _measured(model, F.col(text)).alias("m"))
+    return rows.select(
+        *[F.col("row")[c].alias(c) for c in documents.columns], _found(model, F.col("m"), has_letter(F.col("row")[text])).alias("language")
+    )
+
+
+def _found(model: Model, m: Column, letter: Column) -> Column:
     names, limits = F.array(*[F.lit(x) for x in model.langs]), F.array(*[F.lit(x) for x in model.limits])
-    m = F.col("m")
     found = F.struct(
         names[m["best"]].alias("lang"), m["score"].alias("score"), m["bits"].alias("bits"),
         (m["bits"] <= limits[m["best"]]).alias("accepted"),
     )
-    # the inner select holds the columns in a struct, so that none of them clashes with ``m``
-    rows = documents.select(F.struct(*documents.columns).alias("row"), _measured(model, F.col(text)).alias("m"))
-    return rows.select(
-        *[F.col("row")[c].alias(c) for c in documents.columns],
-        F.when(has_letter(F.col("row")[text]), found).otherwise(unknown).alias("language"),
+    return F.when(letter, found).otherwise(_unknown())
+
+
+def _unknown() -> Column:
+    return F.struct(
+        F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits"),
+        F.lit(False).alias("accepted"),
+    )
+
+
+def learn_and_predict(documents: DataFrame, learning: Column) -> DataFrame:
+    """``doc_id`` of ``documents (doc_id, text, lang)`` and the ``language`` of :func:`predict`.
+
+    The model and its limits are those of the rows where ``learning`` holds, which reads ``doc_id``
+    alone. Each text is measured once, for its prediction and for the limits.
+    """
+    model = fit(documents.where(learning).select("text", "lang"))
+    if model is None:
+        return documents.select("doc_id", _unknown().alias("language"))
+    measured = materialize(
+        documents.select("doc_id", "lang", has_letter(F.col("text")).alias("letter"), _measured(model, F.col("text")).alias("m")),
+        "language-measured",
     )
+    model = with_limits(model, measured.where(learning & F.col("letter") & F.col("lang").isNotNull()).select("lang", "m"))
+    return measured.select("doc_id", _found(model, F.col("m"), F.col("letter")).alias("language"))
 
 
 def held_out(doc_id: Column) -> Column:

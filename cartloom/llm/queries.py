@@ -67,9 +67,8 @@ def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    learning = documents.where("doc_id IS NOT NULL").where(~language.held_out(F.col("doc_id")))
-    model = language.learn(learning.select("text", "lang"))
-    found = language.predict(documents.select("doc_id", "text"), model)
+    learning = F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"))
+    found = language.learn_and_predict(documents, learning)
     return found.select(
         "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"),
         "language.score", "language.accepted",

@@ -334,3 +334,19 @@ def test_block_max_wand_finds_what_scoring_everything_finds():
         for limit in (0.05, 0.1, 0.3):
             want = {i for i, s in scores.items() if s >= limit - 1e-9}
             assert {i for i, _ in index.search(terms, limit)} == want
+
+
+def test_limits_of_acceptance_come_from_all_learning_texts(spark):
+    """The quantile of all texts of a language, more than a sample of thousands held before."""
+    words = ["alpha beta", "gamma delta", "omega psi", "kappa", "lambda mu nu"]
+    rows = [(i, " ".join(words[(i * j + j) % 5] for j in range(1, 2 + i % 7)) + f" {chr(97 + i % 26) * (1 + i // 1000)}", "ab"[i % 2]) for i in range(6000)]
+    df = spark.createDataFrame([*rows, (None, "alpha", "a"), (6001, "12 3", "a"), (6002, None, "b")], "doc_id long, text string, lang string").repartition(3)
+    model = language.learn(df.select("text", "lang"))
+    texts = df.where("text IS NOT NULL").where(language.has_letter(F.col("text"))).select("lang", "text").collect()
+    bits, _ = language.entropies(model, [r.text for r in texts])
+    for k, lang in enumerate(model.langs):
+        own = bits[[r.lang == lang for r in texts] & (bits.argmin(axis=1) == k), k]
+        assert model.limits[k] == pytest.approx(float(np.quantile(own, language.QUANTILE)) * language.SLACK, rel=1e-12)
+    once = language.learn_and_predict(df, F.col("doc_id").isNotNull()).collect()
+    again = language.predict(df, language.learn(df.where("doc_id IS NOT NULL").select("text", "lang"))).collect()
+    assert sorted(map(str, ((r.doc_id, r.language) for r in once))) == sorted(map(str, ((r.doc_id, r.language) for r in again)))
