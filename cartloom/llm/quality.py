@@ -32,7 +32,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.llm import words
-from cartloom.llm.tables import share_by_hash
 
 #: Buckets of the hashed words and of the hashed pairs; they bound the model (one weight each) that
 #: goes to every task. Words that share a bucket hide each other, so words have the most.
@@ -40,8 +39,6 @@ WORD_BUCKETS, PAIR_BUCKETS = 1 << 20, 1 << 16
 BUCKETS = WORD_BUCKETS + PAIR_BUCKETS
 #: Neighbouring words of the lowest mean.
 WINDOW = 2
-#: Bound on the labelled rows used to fit; more are cut to about so many by a hash of the id.
-LABEL_LIMIT = 200_000
 #: Every so many-th labelled id is held out to fit the threshold.
 FOLDS = 5
 MILLION = 1_000_000
@@ -204,10 +201,10 @@ def _roles(documents: DataFrame, labels: DataFrame) -> DataFrame:
         .when(held, 4)
         .otherwise(0)
     )
-    known = share_by_hash(rows, "label_id", LABEL_LIMIT).select("label_id", role.alias("role")).where("role > 0")
+    known = rows.select("label_id", role.alias("role")).where("role > 0")
     texts = documents.select(F.col("doc_id").alias("id"), "text")
-    # LABEL_LIMIT bounds this side
-    return texts.join(F.broadcast(known), F.col("id") == F.col("label_id"), "left").select(
+    # all labels count; Spark sends them to the texts while they are few, and joins by shuffles beyond that
+    return texts.join(known, F.col("id") == F.col("label_id"), "left").select(
         "text", F.coalesce("role", F.lit(0)).alias("role")
     )
 

@@ -350,3 +350,12 @@ def test_limits_of_acceptance_come_from_all_learning_texts(spark):
     once = language.learn_and_predict(df, F.col("doc_id").isNotNull()).collect()
     again = language.predict(df, language.learn(df.where("doc_id IS NOT NULL").select("text", "lang"))).collect()
     assert sorted(map(str, ((r.doc_id, r.language) for r in once))) == sorted(map(str, ((r.doc_id, r.language) for r in again)))
+
+
+def test_every_label_counts(spark, monkeypatch):
+    """More labels than were used before: none is left out by a hash of its id."""
+    monkeypatch.setattr(quality, "LABEL_LIMIT", 10, raising=False)
+    labels = spark.createDataFrame([(i, i % 3 and 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(310)], "doc_id long, text string")
+    got = {r.text: r.role for r in quality._roles(docs, labels).collect()}
+    assert got == {f"t{i}": 0 if i >= 300 or (i % 3 == 0 and i % 5) else 1 if i % 5 else 2 if i % 3 else 3 for i in range(310)}
