@@ -13,8 +13,8 @@ of windows, about fifteen on average, is one entry.
    of all documents so sends one entry per block.
 2. Entries meet by anchor. Equal runs are settled at once by their smallest document. What is
    left are anchors with different runs, mostly at the ends of copied passages.
-3. For these the bytes of the runs are fetched, and the suffixes that begin at their windows
-   are sorted by mergesort: two suffixes are compared by finding the length of their common
+3. For these the bytes of the runs are fetched. Windows whose hash is in one document alone have
+   no equal elsewhere and stay; the suffixes that begin at the others are sorted by mergesort: two suffixes are compared by finding the length of their common
    extension by binary search over prefix polynomial hashes, then one byte. Neighbours that
    agree on ``SPAN`` bytes are verified byte by byte; where a hash collided, the group is
    sorted by its bytes. Each set of equal windows is settled by its smallest document.
@@ -321,6 +321,16 @@ def _fetch(batches, buckets: int):
         yield batch_of(parts)
 
 
+def _of_several(keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The numbers of the rows whose key has several ids."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    firsts = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+    several = np.minimum.reduceat(ids[order], firsts) < np.maximum.reduceat(ids[order], firsts)
+    return np.sort(order[np.repeat(several, np.diff(np.append(firsts, len(keys))))])
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """Of one bucket of open runs: the windows that a smaller document has."""
     rows = [unpack(blob, *PARTS) for blob in table["blob"].to_pylist()]
@@ -333,11 +343,15 @@ def _compare(table: pa.Table) -> pa.Table:
     run = np.repeat(np.arange(len(count)), count)
     step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
     group = words.mixed(anchor[run] + (offset[run].astype(np.int64) - step).astype(np.uint64))
-    order, new = equal_windows(data, prefix, begin[run] + step, group)
-    own = ids[run][order]
-    least = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1] if len(own) else own
+    at, own = begin[run] + step, ids[run]
+    # windows whose hash no other document has are equal to none of another document
+    held = _of_several(words.mixed(prefix.of(at, at + SPAN) ^ group), own)
     gone = np.zeros(len(run), bool)
-    gone[order[own > least]] = True
+    if len(held):
+        order, new = equal_windows(data, prefix, at[held], group[held])
+        own = own[held][order]
+        least = np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
+        gone[held[order[own > least]]] = True
     # neighbouring windows of a run become one row
     head = gone.copy()
     head[1:] &= ~(gone[:-1] & (run[1:] == run[:-1]))

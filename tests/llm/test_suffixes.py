@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from cartloom.llm import suffixes, words
 from cartloom.llm.queries import QUERIES
@@ -84,3 +85,26 @@ def test_suffix_sort_and_collisions(monkeypatch):
     real = words.PrefixHashes.of
     monkeypatch.setattr(words.PrefixHashes, "of", lambda self, a, b: real(self, a, b) & np.uint64(3))
     assert sets() == sorted(map(sorted, expected.values()))
+
+
+def test_only_windows_of_several_documents_are_sorted(monkeypatch):
+    """Runs that differ at one end: windows that one document alone has are not sorted, the result is brute force's."""
+    rng = np.random.default_rng(8)
+    common = rng.integers(97, 123, 70, dtype=np.uint8).tobytes()
+    runs = [(i, common[: 52 + i % 9] + rng.integers(97, 123, 12, dtype=np.uint8).tobytes()) for i in range(12)]
+    runs += [(12, runs[3][1]), (13, bytes(reversed(common)))]
+    n = [len(raw) - suffixes.SPAN + 1 for _, raw in runs]
+    blob = suffixes.pack(
+        np.array([i for i, _ in runs], np.int64), np.zeros(len(runs), np.int32), np.zeros(len(runs), np.uint32),
+        np.array(n, np.uint8), np.zeros(len(runs), np.uint8), np.frombuffer(b"".join(raw for _, raw in runs), np.uint8),
+    )
+    sorted_rows, own = [], suffixes.equal_windows
+    monkeypatch.setattr(suffixes, "equal_windows", lambda d, p, at, g: sorted_rows.append(len(at)) or own(d, p, at, g))
+    found = suffixes._compare(pa.table({"bucket": [0], "blob": [blob]})).to_pylist()
+    got = {(r["doc_id"], r["start"] + k) for r in found for k in range(r["n"])}
+    windows = {(i, k): raw[k : k + suffixes.SPAN] for (i, raw), m in zip(runs, n) for k in range(m)}
+    first = {}
+    for (i, k), window in windows.items():
+        first[k, window] = min(i, first.get((k, window), i))  # a run's windows are compared at their place after the anchor
+    assert got == {(i, k) for (i, k), window in windows.items() if first[k, window] < i}
+    assert sum(sorted_rows) < sum(n) / 2
