@@ -39,6 +39,8 @@ WORD_BUCKETS, PAIR_BUCKETS = 1 << 20, 1 << 16
 BUCKETS = WORD_BUCKETS + PAIR_BUCKETS
 #: Neighbouring words of the lowest mean.
 WINDOW = 2
+#: Bits of the table of labelled ids that goes to the texts (8 MB), and of one of its rows (Spark's bitmaps).
+FILTER_BITS, BITMAP_BITS = 1 << 26, 1 << 15
 #: Every so many-th labelled id is held out to fit the threshold.
 FOLDS = 5
 MILLION = 1_000_000
@@ -187,8 +189,8 @@ def judged(text: Column, weights: np.ndarray) -> Column:
     return judge(text)
 
 
-def _roles(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts with role 0 (not labelled), 1 (counted as trusted), or held out: 2 (good), 3 (bad), 4 (toxic only)."""
+def _known(labels: DataFrame) -> DataFrame:
+    """(label_id, role) of the ids with a role: 1 (counted as trusted), or held out: 2 (good), 3 (bad), 4 (toxic only)."""
     rows = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
         .groupBy(F.col("doc_id").alias("label_id"))
@@ -201,11 +203,40 @@ def _roles(documents: DataFrame, labels: DataFrame) -> DataFrame:
         .when(held, 4)
         .otherwise(0)
     )
-    known = rows.select("label_id", role.alias("role")).where("role > 0")
-    texts = documents.select(F.col("doc_id").alias("id"), "text")
-    # all labels count; Spark sends them to the texts while they are few, and joins by shuffles beyond that
-    return texts.join(known, F.col("id") == F.col("label_id"), "left").select(
-        "text", F.coalesce("role", F.lit(0)).alias("role")
+    return rows.select("label_id", role.alias("role")).where("role > 0")
+
+
+def _slot(key: Column) -> Column:
+    """The bit of a key; ids of two tables may be numbers of different sizes."""
+    return F.pmod(F.xxhash64(key.cast("string")), F.lit(FILTER_BITS))
+
+
+def _marked(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows with ``maybe``: true for every row whose key is among ``ids``, and for few others.
+
+    The slots of all ids are bits of one table of at most ``FILTER_BITS / 8`` bytes, which goes to the rows.
+    """
+    slots = ids.toDF("id").select(_slot(F.col("id")).alias("slot"))
+    bits = slots.groupBy(F.floor(F.col("slot") / BITMAP_BITS).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.pmod("slot", F.lit(BITMAP_BITS))).alias("bits")
+    )
+    slot = _slot(F.col(key))
+    at = F.pmod(slot, F.lit(BITMAP_BITS))
+    byte = F.conv(F.hex(F.col("bits").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    maybe = F.col(key).isNotNull() & F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    # FILTER_BITS bounds this side
+    joined = rows.join(F.broadcast(bits), F.floor(slot / BITMAP_BITS) == F.col("bucket"), "left")
+    return joined.select(*rows.columns, maybe.alias("maybe"))
+
+
+def _roles(documents: DataFrame, labels: DataFrame, roles: tuple[int, ...] = (1, 2, 3, 4)) -> DataFrame:
+    """Every text with its role, 0 if that is none of ``roles``. Only texts that may have one are shuffled."""
+    known = _known(labels).where(F.col("role").isin(*roles))
+    rows = _marked(documents.select(F.col("doc_id").alias("id"), "text"), "id", known.select("label_id"))
+    # always by shuffles: the labels have no bound
+    found = rows.where("maybe").join(known.hint("merge"), F.col("id") == F.col("label_id"), "left")
+    return rows.where("NOT maybe").select("text", F.lit(0).alias("role")).unionAll(
+        found.select("text", F.coalesce("role", F.lit(0)).alias("role"))
     )
 
 
@@ -232,9 +263,8 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
 
     The driver gets one row per bucket and one per held-out score in hundredths.
     """
-    roles = _roles(documents, labels)
     counted = (
-        roles.mapInArrow(_count, "bucket long, trusted long, raw long")
+        _roles(documents, labels, (1,)).mapInArrow(_count, "bucket long, trusted long, raw long")
         .groupBy("bucket")
         .agg(F.sum("trusted").alias("trusted"), F.sum("raw").alias("raw"))
         .toArrow()  # at most one row per bucket, as whole columns
@@ -246,8 +276,11 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
         _weights(trusted[:WORD_BUCKETS], raw[:WORD_BUCKETS]), _weights(trusted[WORD_BUCKETS:], raw[WORD_BUCKETS:])
     ])
 
-    # no filter on what the UDF returns: it would be pushed below the join and judge every document
-    scored = roles.where("role >= 2").select("role", judged(F.col("text"), weights).alias("j"))
+    # the scores of texts that may be held out are joined, not their texts
+    held_out = _known(labels).where("role >= 2").withColumnRenamed("label_id", "held_id")
+    rows = documents.select(F.col("doc_id").alias("id"), "text")
+    maybe = _marked(rows, "id", held_out.select("held_id")).where("maybe")
+    scored = maybe.select("id", judged(F.col("text"), weights).alias("j")).join(held_out, F.col("id") == F.col("held_id"))
     mean = F.expr("j.score_sum DIV (greatest(j.n_grams, 1L) * 10000)")
     low = F.expr(f"j.low_sum DIV ({WINDOW} * 10000)")
     held = (

@@ -359,3 +359,22 @@ def test_every_label_counts(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"t{i}") for i in range(310)], "doc_id long, text string")
     got = {r.text: r.role for r in quality._roles(docs, labels).collect()}
     assert got == {f"t{i}": 0 if i >= 300 or (i % 3 == 0 and i % 5) else 1 if i % 5 else 2 if i % 3 else 3 for i in range(310)}
+
+
+def test_texts_without_a_label_stay_where_they_are(spark):
+    """With more labels than Spark broadcasts, a join by id must not deal all texts out."""
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(4000)] + [(None, "none"), (3, "again")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 4000, 10)] + [(3, 1, 0)], "doc_id int, quality int, toxic int")
+    marked = quality._marked(docs, "doc_id", labels.select("doc_id")).where("maybe").collect()
+    ids = {r.doc_id for r in marked}
+    assert ids >= {3, *range(0, 4000, 10)} and len(ids) < 500 and None not in ids
+    assert sum(r.doc_id == 3 for r in marked) == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = quality._roles(docs, labels, (1,))
+        got = sorted((r.text, r.role) for r in rows.collect())
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted((r.text, int(r.doc_id == 3)) for r in docs.collect())
+    assert plan.startswith("Union")  # only the second branch is joined with the labels
