@@ -234,3 +234,16 @@ def test_many_headings_take_time_by_their_number(spark):
         ("f99995", 199991, 200000), ("f99995.f99996", 199993, 200000), ("f99995.f99996.f99997", 199995, 200000),
         ("f99995.f99996.f99997.f99998", 199997, 200000), ("f99995.f99996.f99997.f99998.f99999", 199999, 200000),
     ]
+
+
+def test_trace_removes_duplicates_of_neighbours_once(spark):
+    """Heads and tails share one pass over the neighbours, so that no task holds them twice."""
+    edges = spark.createDataFrame([("a.b", "x"), ("c", "y"), ("c", "y"), (None, "z")], "src string, dst string")
+    terms = spark.createDataFrame([("a.b",), (" a.b",), ("q.c",), ("q.x",), ("y",), (None,), ("none.",)], "term string")
+    found = graph.trace(terms, edges)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (" a.b", "a.b", "callees", "x"), ("a.b", "a.b", "callees", "x"), ("q.c", "c", "callees", "y"),
+        ("q.x", "x", "callers", "a.b"), ("y", "y", "callers", "c"),
+    ]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Aggregate [node") == 2
