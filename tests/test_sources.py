@@ -12,7 +12,7 @@ from cartloom.plans import promote as promotion
 from cartloom.plans.retrieve import build_store
 from cartloom.session import materialize, scratch_path, scratch_scope, shared_dir
 from cartloom.plans import index as indexing
-from cartloom.sources import documents, runlog, tables, text
+from cartloom.sources import documents, roles, runlog, tables, text
 from cartloom.streaming.requests import serve
 
 
@@ -231,3 +231,26 @@ def test_index_of_a_tree_and_its_report(spark, tmp_path):
     (root / "c.bin").rename(tmp_path / "c.bin")
     none = indexing.build_index(spark, str(root), str(tmp_path / "none"), (".nothing",))
     assert none.first().asDict() == {"files": 0, "empty_files": 0, "chunks": 0}
+
+
+def test_a_warehouse_writes_only_what_is_asked_for(spark, tmp_path, monkeypatch):
+    """A query of demand needs neither the pairs of all baskets nor their neighbours."""
+    rows = {
+        "part": ([(1, "old bolt", "Brand#12", "SMALL"), (2, "new gear", "Brand#3", "LARGE")], "p_partkey long, p_name string, p_brand string, p_type string"),
+        "supplier": ([(1, "s", 1)], "s_suppkey long, s_name string, s_nationkey int"),
+        "orders": ([(1, 7, "2024-01-01"), (2, 7, "2024-01-02")], "o_orderkey long, o_custkey long, o_orderdate string"),
+        "lineitem": ([(1, 1, 5.0), (1, 2, 1.0), (2, 1, 1.0)], "l_orderkey long, l_partkey long, l_quantity double"),
+    }
+    for name, (held, schema) in rows.items():
+        spark.createDataFrame(held, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    written = []
+    monkeypatch.setattr(roles, "read_table", lambda spark, folder, name: spark.read.parquet(f"{folder}/{name}.parquet"))
+    monkeypatch.setattr(roles, "materialize", lambda df, name: written.append(name) or materialize(df, name))
+    house = roles.warehouse(spark, str(tmp_path), "part")
+    assert written == []
+    assert sorted((r.product_id, r.total_orders) for r in house.velocity.collect()) == [(1, 2), (2, 1)]
+    assert house.velocity is roles.warehouse(spark, str(tmp_path), "part").velocity and written == ["velocity-part"]
+    assert [tuple(r) for r in house.affinity.collect()] == [(1, 2, 1)]
+    assert sorted((r.product_id, r.other_id) for r in house.neighbours.all_pairs().collect()) == [(1, 2), (2, 1)]
+    assert written == ["velocity-part", "affinity-part"]
+    house.neighbours.drop()
