@@ -254,3 +254,14 @@ def test_a_warehouse_writes_only_what_is_asked_for(spark, tmp_path, monkeypatch)
     assert sorted((r.product_id, r.other_id) for r in house.neighbours.all_pairs().collect()) == [(1, 2), (2, 1)]
     assert written == ["velocity-part", "affinity-part"]
     house.neighbours.drop()
+
+
+def test_lines_stay_in_all_partitions(spark, tmp_path, monkeypatch):
+    """Lines that compress well are not merged to few tasks, which group all of their rows in memory."""
+    spark.range(1, 400).selectExpr("id AS l_orderkey", "1L AS l_partkey", "1D AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 400).selectExpr("id AS o_orderkey", "7L AS o_custkey", "'2024-01-01' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(roles, "read_table", lambda spark, folder, name: spark.read.parquet(f"{folder}/{name}.parquet"))
+    monkeypatch.setattr(spark.conf, "get", lambda key, *default: "9" if key == "spark.sql.shuffle.partitions" else type(spark.conf).get(spark.conf, key, *default))
+    lines = roles.part_lines(spark, str(tmp_path))
+    assert lines.count() == 399
+    assert lines.select(F.spark_partition_id().alias("p")).distinct().count() == 9
