@@ -45,7 +45,7 @@ from cartloom.session import materialize
 SUPPORT = 100
 LONGEST = 5
 SHARDS = 8
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Phrases that are written out at once.
 SLICE = 1 << 16
 WORD_BITS, PHRASE_BITS = 1 << 24, 1 << 25
@@ -79,32 +79,36 @@ class Block:
 
     def __init__(self, texts: pa.Array, langs: pa.Array) -> None:
         data, starts = words.flat(texts)
-        data = words.lower_ascii(data)
         kind = _KIND[data]
         inside = kind == 0
+        # places of bytes and words; of a text near 2 GB they do not fit into 32 bits
+        places = np.int32 if len(data) < 1 << 30 else np.int64
         edge = np.zeros(len(data) + 1, bool)
         edge[starts] = True
         bound = inside.copy()
         bound[1:] &= ~inside[:-1] | edge[1:-1]
-        begins = np.flatnonzero(bound)
+        begins = np.flatnonzero(bound).astype(places)
         bound[:] = inside
         bound[:-1] &= ~inside[1:] | edge[1:-1]
-        ends = np.flatnonzero(bound) + 1
-        doc = np.searchsorted(starts, begins, "right") - 1
-        self.piece = (np.searchsorted(np.flatnonzero(kind == 2), begins) + doc).astype(np.int32)
-        self.ends = np.cumsum(ends - begins + 1) - 1
-        self.begins = self.ends - (ends - begins)
-        spaced = np.full(int(self.ends[-1]) + 1 if len(begins) else 0, 32, np.uint8)
-        held = np.ones(len(spaced), bool)
-        held[self.ends] = False
-        letters = data[inside]
-        spaced[held] = letters
-        self.data = spaced
+        sizes = np.flatnonzero(bound).astype(places) + places(1) - begins
+        del edge, bound
+        doc = (np.searchsorted(starts, begins, "right") - 1).astype(np.int32)
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), begins).astype(np.int32) + doc
         named = pc.dictionary_encode(pc.fill_null(langs, "und"))
         self.langs, self.lang = named.dictionary, named.indices.to_numpy()[doc]
-        coded = pc.dictionary_encode(_strings(letters, ends - begins))
-        key = self.lang.astype(np.int64) * len(coded.dictionary) + coded.indices.to_numpy()
-        del data, kind, inside, edge, bound, begins, ends, doc, held, letters, coded
+        letters = words.lower_ascii(data[inside])
+        del data, kind, inside, begins, doc
+        self.ends = np.cumsum(sizes + places(1), dtype=places) - places(1)
+        self.begins = self.ends - sizes
+        held = np.ones(int(self.ends[-1]) + 1 if len(sizes) else 0, bool)
+        held[self.ends] = False
+        self.data = np.full(len(held), 32, np.uint8)
+        self.data[held] = letters
+        del held
+        coded = pc.dictionary_encode(_strings(letters, sizes))
+        key = self.lang.astype(np.int64) * len(coded.dictionary)
+        key += coded.indices.to_numpy()
+        del letters, sizes, coded
         self.number, self.first, self.count = _numbers(key)
 
     def __len__(self) -> int:
@@ -137,10 +141,11 @@ def _slices(at: np.ndarray) -> Iterator[np.ndarray]:
 def _numbers(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The number of every key; a place and the count of each number."""
     number = pc.dictionary_encode(pa.array(key)).indices.to_numpy()
-    count = np.bincount(number)
-    first = np.empty(len(count), np.int64)
-    first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
-    return number, first, count
+    # numbers are given in the order of their first places
+    new = np.empty(len(number), bool)
+    new[:1] = True
+    new[1:] = number[1:] > np.maximum.accumulate(number)[:-1]
+    return number, np.flatnonzero(new), np.bincount(number)
 
 
 def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -179,7 +184,8 @@ def _levels(block: Block, word_bits: np.ndarray, longest: int, keep) -> Iterator
     """(n, places, counts) of the phrases of 2 to ``longest`` words that ``keep`` takes, level by level."""
     word_hash = block.word_hashes()
     ok = _has(word_bits, word_hash)[block.number]
-    hashes, parts, n_words = word_hash[block.number], block.number, len(block.first)
+    # the number of the phrase at each place, and the hash of each number
+    parts, hashes, n_words = block.number, word_hash, len(block.first)
     for n in range(2, longest + 1):
         if len(block) < n:
             return
@@ -188,14 +194,18 @@ def _levels(block: Block, word_bits: np.ndarray, longest: int, keep) -> Iterator
         at = np.flatnonzero(ok[:size] & ok[1 : size + 1] & (block.piece[:size] == block.piece[n - 1 :]))
         if not len(at):
             return
-        last = block.number[at + n - 1]
-        own, place, count = _numbers(parts[at].astype(np.int64) * n_words + last)
-        hashes[at] = _longer(hashes[at], word_hash[last])
-        kept = keep(n, count, hashes[at[place]])
-        if kept.any():
-            yield n, at[place[kept]], count[kept]
+        key = parts[at] * np.int64(n_words)
+        key += block.number[n - 1 :][at]
+        own, place, count = _numbers(key)
+        del key
+        place = at[place]
+        hashes = _longer(hashes[parts[place]], word_hash[block.number[place + n - 1]])
+        kept = keep(n, count, hashes)
         ok, parts = np.zeros(len(block), bool), np.zeros(len(block), np.int32)
         ok[at], parts[at] = kept[own], own
+        del own, at
+        if kept.any():
+            yield n, place[kept], count[kept]
 
 
 def count_words(documents: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -96,6 +97,22 @@ def test_hashes_of_a_block_are_those_of_a_table():
     ]
 
 
+def test_a_block_of_the_default_size_needs_little_memory():
+    drawn = [f"w{i}" for i in np.random.default_rng(1).integers(0, 3000, 200_000)]
+    texts = [" ".join(drawn[i : i + 1000]) for i in range(0, len(drawn), 1000)]
+    texts *= collocations.BLOCK_BYTES // sum(map(len, texts)) + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    bits = np.full(collocations.WORD_BITS // 8, 255, np.uint8)
+    tracemalloc.start()
+    try:
+        block = next(collocations._blocks(iter([batch]), collocations.BLOCK_BYTES))
+        sizes = [n for n, _, _ in collocations._levels(block, bits, 5, lambda n, counts, hashes: counts > 0)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sizes == [2, 3, 4, 5] and peak < 90 << 20
+
+
 def test_large_counts_are_exact(spark):
     big = 3_000_000_000_007
     frequent = spark.createDataFrame([("en", "a", big), ("en", "b", big + 2), ("en", "a b", big - 4)], "lang string, phrase string, n long")
