@@ -16,6 +16,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from cartloom.session import dealt
+
 BASKET_BLOCK = 512
 
 
@@ -64,16 +66,16 @@ def basket_affinity(
     one array. A larger order is cut into blocks of about ``block`` products by a hash
     of the product, and each pair of blocks is a group of its own, so that no task
     holds more than two blocks and the pairs of one order spread over the cluster. The
-    pair counts are combined before they are shuffled.
+    pair counts are combined before they are shuffled. Rows are dealt to all shuffle
+    partitions, as few compressed bytes become many rows, pairs and sorted sets in a task.
 
     ``min_count`` keeps pairs seen at least that often. A product in fewer orders than
     that cannot be part of such a pair, so it is dropped before pairs are formed.
     """
-    items = (
-        lines.select("order_id", "product_id")
-        .where(F.col("order_id").isNotNull() & F.col("product_id").isNotNull())
-        .distinct()
+    sold = lines.select("order_id", "product_id").where(
+        F.col("order_id").isNotNull() & F.col("product_id").isNotNull()
     )
+    items = dealt(sold, "order_id", "product_id").distinct()
     if min_count > 1:
         frequent = (
             items.groupBy("product_id")
@@ -83,6 +85,7 @@ def basket_affinity(
         )
         items = items.join(frequent, "product_id")
 
+    items = dealt(items, "order_id")
     large = (
         items.groupBy("order_id")
         .agg(F.count(F.lit(1)).alias("products"))
@@ -99,7 +102,8 @@ def basket_affinity(
         .where(F.size("items") > 1)
         .select("items")
     )
-    blocks = _block_sets(sized.where(F.col("blocks").isNotNull()))
+    # an order came to one task; its rows are spread again before they are repeated for each block
+    blocks = _block_sets(sized.where(F.col("blocks").isNotNull()).repartition("order_id", "product_id"))
     pairs = (
         _pairs_within(small_sets)
         .unionAll(_pairs_within(blocks.where("same").select(F.col("left").alias("items"))))

@@ -125,3 +125,14 @@ def test_cut_offs_from_sketches_are_near_the_exact_ones(spark):
     near, exact = features.calibrate_sketches(sketches).first(), features.calibrate(affinity, velocity).first()
     assert near.asDict().keys() == exact.asDict().keys()
     assert abs(near.affinity_mid - exact.affinity_mid) <= 1 and abs(near.units_mid - exact.units_mid) <= 15
+
+
+def test_rows_of_orders_are_not_merged_to_few_tasks(spark):
+    lines = spark.createDataFrame([(1, 7), (1, 8), (2, 7), (2, 8), (2, 9)], "order_id long, product_id long")
+    found = features.basket_affinity(lines)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # adaptive execution leaves these partitions as they are
+    dealt = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    assert any("order_id" in line and "product_id" in line for line in dealt)
+    assert any("order_id" in line and "product_id" not in line for line in dealt)
+    assert sorted(map(tuple, found.collect())) == [(7, 8, 2), (7, 9, 1), (8, 9, 1)]
