@@ -9,12 +9,15 @@ Lists end at parts, so none grows with the number of texts. The rows found are t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from cartloom.operators.matching import found_in, grams, key_grams, like_pattern
+from cartloom.operators.matching import found_in, key_grams, like_pattern
 from cartloom.operators.ranking import top_k
 from cartloom.session import materialize
 
@@ -25,6 +28,8 @@ BUCKETS = 64
 RAREST = 3
 #: So many grams or parts, at most, become literals of a filter that prunes files.
 LITERALS = 2000
+#: Characters of text whose grams are formed at once, more only where one text alone is longer.
+BLOCK_CHARS = 1 << 20
 POSTINGS = "bucket int, gram string, part long, n int, places array<int>"
 
 
@@ -106,6 +111,72 @@ def _literals(df: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return df.join(values.distinct(), F.col(column) == F.col("value"), "left_semi")
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(part, gram, places)`` of blocks of texts ``(part, place, lowered)``, the grams as
+    :func:`cartloom.operators.matching.grams` forms them."""
+    for batch in batches:
+        parts, places = (batch.column(at).to_numpy() for at in (0, 1))
+        order = np.lexsort((places, parts))
+        parts, places, texts = parts[order], places[order], batch.column(2).take(pa.array(order)).to_pylist()
+        ends = np.cumsum([len(text) for text in texts])
+        first = 0
+        while first < len(texts):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + BLOCK_CHARS, "right")))
+            for size in range(4):
+                yield _gram_rows(parts[first:last], places[first:last], texts[first:last], size)
+            first = last
+
+
+def _gram_rows(parts: np.ndarray, places: np.ndarray, texts: list[str], size: int) -> pa.RecordBatch:
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    own = np.repeat(np.arange(len(texts)), [len(text) for text in texts])
+    if size == 0:
+        grams, own = np.zeros(len(texts), np.uint64), np.arange(len(texts))
+    else:
+        n = max(0, len(chars) - size + 1)
+        inside = np.flatnonzero(own[:n] == own[size - 1 :][:n])
+        grams = _packed(chars, inside, size)
+        # in Spark's regular expressions a run also begins at the second half of a character beyond 16 bits, written as ?
+        halved = inside[chars[inside] > 0xFFFF] if size > 1 else inside[:0]
+        mark = chars.copy()
+        mark[halved] = ord("?")
+        rest = grams[np.searchsorted(inside, halved)] - _packed(chars, halved, 1) + _packed(mark, halved, 1)
+        grams, own = np.concatenate([grams, rest]), own[np.concatenate([inside, halved])]
+    # rows come by part and place, so one sorted number orders grams, parts and places
+    coded = pc.dictionary_encode(pa.array(grams))
+    key = coded.indices.to_numpy().astype(np.int64)
+    key *= len(texts)
+    key += own
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    number, row = np.divmod(key[new], len(texts))
+    part = parts[row]
+    new = np.ones(len(row), bool)
+    new[1:] = (number[1:] != number[:-1]) | (part[1:] != part[:-1])
+    starts = np.flatnonzero(new)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pa.array(places[row], pa.int32()))
+    gram = _unpacked(coded.dictionary.to_numpy(), size).take(pa.array(number[starts]))
+    return pa.RecordBatch.from_arrays([pa.array(part[starts]), gram, lists], names=["part", "gram", "places"])
+
+
+def _packed(chars: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` characters from each place, 21 bits for each, the first in the lowest."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out |= chars[at + k].astype(np.uint64) << np.uint64(21 * k)
+    return out
+
+
+def _unpacked(grams: np.ndarray, size: int) -> pa.Array:
+    chars = np.stack([grams >> np.uint64(21 * k) & np.uint64(0x1FFFFF) for k in range(size)], 1) if size else grams[:, None][:, :0]
+    width = 1 + (chars > 0x7F) + (chars > 0x7FF).astype(int) + (chars > 0xFFFF)
+    data = chars.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    offsets = np.append(0, np.cumsum(width.sum(1))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(grams), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
 def build_gram_index(
     texts: DataFrame, keys: Sequence[str], columns: Sequence[str], path: str, part_rows: int = PART_ROWS
 ) -> GramIndex:
@@ -123,14 +194,15 @@ def build_gram_index(
     texts.select(*stored).withColumn("number", number).select(
         F.shiftright("number", bits).alias("part"), F.col("number").bitwiseAND(part_rows - 1).cast("int").alias("place"), *stored
     ).write.partitionBy("part").parquet(f"{path}/texts")
-    all_grams = F.array_distinct(F.flatten(F.array(*[
-        F.coalesce(grams(F.lower(column)), F.array().cast("array<string>")) for column in columns
-    ])))
+    lowered = F.explode(F.array(*[F.lower(column) for column in columns])).alias("lowered")
     (
         index.texts()
-        .select("part", "place", F.explode(all_grams).alias("gram"))
+        .select("part", "place", lowered)
+        .where(F.col("lowered").isNotNull())
+        .mapInArrow(_listed, "part long, gram string, places array<int>")
         .groupBy("part", "gram")
-        .agg(F.count(F.lit(1)).cast("int").alias("n"), F.sort_array(F.collect_list("place")).alias("places"))
+        .agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+        .withColumn("n", F.size("places"))
         .select(_bucket().alias("bucket"), "gram", "part", "n", "places")
         .repartitionByRange("bucket", "gram", "part")
         .sortWithinPartitions("bucket", "gram", "part")

@@ -1,9 +1,11 @@
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from cartloom.operators import corpus, gram_index
-from cartloom.operators.matching import term_hits
+from cartloom.operators.matching import grams, term_hits
 from test_matching import TERMS, TEXTS
 
 ROWS = "id int, body string, note string"
@@ -38,6 +40,31 @@ def test_rows_are_those_of_the_scan(spark, tmp_path, texts, part_rows, wildcards
     assert rows_of(index.hits(terms, wildcards, rarest=1)) == want
 
 
+def test_lists_hold_the_grams_of_every_row(spark, tmp_path, texts):
+    rng = random.Random(4)
+    odd = [(1000 + i, "".join(rng.choices("aB?é日😀𝒳İ\n\r\u2028\x00", k=rng.randrange(9))), rng.choice([None, "", "😀a"])) for i in range(60)]
+    rows = texts.where("id IS NULL OR length(body) < 1000 OR body IS NULL").unionAll(spark.createDataFrame(odd, ROWS))
+    index = gram_index.build_gram_index(rows, ["id"], ["body", "note"], f"{tmp_path}/index", 16)
+    own = F.array_distinct(F.flatten(F.array(*[F.coalesce(grams(F.lower(c)), F.array().cast("array<string>")) for c in ("body", "note")])))
+    want = index.texts().select("part", F.explode(own).alias("gram"), "place").collect()
+    lists = index.postings().collect()
+    assert sorted((r.part, r.gram, place) for r in lists for place in r.places) == sorted(map(tuple, want))
+    assert all(r.n == len(r.places) and r.places == sorted(r.places) for r in lists)
+
+
+@pytest.mark.parametrize("block_chars", [1, 30, 1 << 20])
+def test_a_block_gives_a_row_per_gram_and_not_per_text(monkeypatch, block_chars):
+    monkeypatch.setattr(gram_index, "BLOCK_CHARS", block_chars)
+    columns = [pa.array([7] * 1000), pa.array(range(1000), pa.int32()), pa.array(["abc"] * 1000)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["part", "place", "lowered"])
+    rows = [row for found in gram_index._listed(iter([batch])) for row in found.to_pylist()]
+    held = {}
+    for r in rows:
+        held.setdefault((r["part"], r["gram"]), []).extend(r["places"])
+    assert held == {(7, gram): [*range(1000)] for gram in ("", "a", "ab", "abc", "b", "bc", "c")}
+    assert len(rows) == 7 * -(-1000 // max(1, block_chars // 3))
+
+
 def test_many_terms_go_without_literals(spark, tmp_path, texts, monkeypatch):
     monkeypatch.setattr(gram_index, "LITERALS", 2)
     index = gram_index.build_gram_index(texts, ["id"], ["body"], f"{tmp_path}/index", 8)
