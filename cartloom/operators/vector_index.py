@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cartloom.operators import vectors as exact
@@ -26,11 +27,11 @@ from cartloom.operators.ranking import top_k
 SAMPLE_ROWS = 20_000
 MOST_LISTS = 4096
 ROUNDS = 20
-#: Rows of a block of the grid in which queries meet the codes of a list.
+#: Rows of a block of queries and of codes, as long as no more than ``vectors.MOST_BLOCKS`` blocks are needed.
 QUERY_ROWS, CODE_ROWS = 4096, 1 << 18
 LEVELS = 15
-#: Numbers of a matrix of distances to centroids, and codes that are decoded at once.
-SLICE, DECODED_ROWS = 1 << 20, 1 << 14
+#: Numbers of a matrix of distances to centroids.
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -191,8 +192,12 @@ def _write(held: DataFrame, index: VectorIndex) -> None:
     ).sortWithinPartitions("list", "vec_id").write.partitionBy("list").parquet(f"{index.path}/lists")
 
 
-def probed(queries: DataFrame, index: VectorIndex, probes: int | None = None) -> DataFrame:
-    """``(list, query_id, embedding)``: every query once for each list that it looks at."""
+def with_probes(queries: DataFrame, index: VectorIndex, probes: int | None = None) -> DataFrame:
+    """``(query_id, embedding, home, probed)``: the queries that look at any list.
+
+    ``home`` is the list of the nearest centroid, ``probed`` has a bit for every list, set where
+    the query looks at it: a query stays one row, however many lists it looks at.
+    """
     n = min(probes or index.probes, index.lists)
     asked = queries.select("query_id", "embedding").dropna()
     query_type, kind = (asked.schema[c].dataType.simpleString() for c in ("query_id", "embedding"))
@@ -204,14 +209,42 @@ def probed(queries: DataFrame, index: VectorIndex, probes: int | None = None) ->
                 continue
             rows = _prepared(raw, index.metric)
             keep = np.flatnonzero(np.square(rows).sum(1) > 0) if index.metric == "cosine" else np.arange(len(rows))
-            near = index.nearest(rows[keep], n)
-            at = pa.array(np.repeat(keep, n))
+            homes, bits, step = [np.zeros(0, np.int64)], [], max(1, SLICE // index.lists)
+            for first in range(0, len(keep), step):
+                near = index.nearest(rows[keep[first : first + step]], n)
+                marks = np.zeros((len(near), index.lists), bool)
+                np.put_along_axis(marks, near, True, axis=1)
+                homes.append(near[:, 0])
+                bits += [row.tobytes() for row in np.packbits(marks, axis=1)]
+            at = pa.array(keep)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(near.ravel(), pa.int32()), batch.column("query_id").take(at), batch.column("embedding").take(at)],
-                names=["list", "query_id", "embedding"],
+                [batch.column("query_id").take(at), batch.column("embedding").take(at),
+                 pa.array(np.concatenate(homes), pa.int32()), pa.array(bits, pa.binary())],
+                names=["query_id", "embedding", "home", "probed"],
             )
 
-    return asked.mapInArrow(assign, f"list int, query_id {query_type}, embedding {kind}")
+    return asked.mapInArrow(assign, f"query_id {query_type}, embedding {kind}, home int, probed binary")
+
+
+def _marks(bits: pa.Array, lists: int) -> np.ndarray:
+    """Of each row of ``probed``, which lists it looks at."""
+    packed = np.frombuffer(b"".join(bits.to_pylist()), np.uint8).reshape(len(bits), -1)
+    return np.unpackbits(packed, axis=1, count=lists).view(bool)
+
+
+def lists_asked(queries: DataFrame, index: VectorIndex, probes: int | None = None) -> DataFrame:
+    """``(list, asked)``: how many queries look at each list that any looks at; counted where queries are read."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, step = np.zeros(index.lists, np.int64), max(1, SLICE // index.lists)
+        for batch in batches:
+            for first in range(0, batch.num_rows, step):
+                total += _marks(batch.column(0).slice(first, step), index.lists).sum(0)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["list", "asked"])
+
+    counted = with_probes(queries, index, probes).select("probed").mapInArrow(count, "list int, asked long")
+    return counted.groupBy("list").agg(F.sum("asked").alias("asked"))
 
 
 def candidates(
@@ -219,41 +252,52 @@ def candidates(
 ) -> DataFrame:
     """``(query_id, list, vec_id)``: the ``rerank`` vectors of each query that score best by code.
 
-    Of the index, only the codes of the lists that are asked for are read.
+    Of the index, only the codes of the lists that are asked for are read. Queries and codes are dealt in
+    a grid of a few large blocks, so a query is sent once per block of codes and not once per list that it
+    looks at, and has ``rerank`` hits per block. Inside a block queries are taken in the order of
+    their homes, and meet the lists that any of those at hand looks at.
     """
     spark = queries.sparkSession
-    asked = probed(queries, index, probes)
-    wanted = asked.groupBy("list").agg(F.count(F.lit(1)).alias("rows"))
     # at most one row per list
-    blocks = {row.list: -(-row.rows // QUERY_ROWS) for row in wanted.collect()}
-    codes = index.read(spark).where(F.col("list").isin(*sorted(blocks))).select("list", "vec_id", "code")
-    sizes = {row.list: -(-row["count"] // CODE_ROWS) for row in codes.groupBy("list").count().collect()}
-    held = [number for number in blocks if number in sizes]
-    query_type, vec_type = asked.schema["query_id"].dataType.simpleString(), codes.schema["vec_id"].dataType.simpleString()
+    wanted = {row.list: row.asked for row in lists_asked(queries, index, probes).collect()}
+    codes = index.read(spark).where(F.col("list").isin(*sorted(wanted))).select("list", "vec_id", "code")
+    rows = codes.count() if wanted else 0
+    query_type, vec_type = (df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (codes, "vec_id")))
     schema = f"query_id {query_type}, vec_id {vec_type}, score double, list int"
-    if not held:
+    if not rows:
         return spark.createDataFrame([], schema).select("query_id", "list", "vec_id")
-    shapes = spark.createDataFrame([(n, blocks[n], sizes[n]) for n in held], "list int, query_blocks int, vector_blocks int")
-
-    def near(wanted: pa.Table, held: pa.Table) -> pa.Table:
-        width = -(-len(index.low) // 2)
-        ids, vec_ids = exact._one(wanted.column("query_id")), exact._one(held.column("vec_id"))
-        own = pa.scalar(held.column("own_list")[0].as_py() if held.num_rows else None, pa.int32())
-        best = pa.table({"at": pa.array([], pa.int64()), "vec_id": vec_ids[:0], "score": pa.array([], pa.float64())})
-        asked, least = exact._matrix(exact._one(wanted.column("embedding"))), np.full(len(ids), -np.inf)
-        for at in range(0, held.num_rows if len(ids) else 0, DECODED_ROWS):
-            part = held.slice(at, DECODED_ROWS)
-            rows = index.decode(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(-1, width))
-            exact._same_length(asked, rows)
-            hits = exact._hits(asked, rows, exact._one(part.column("vec_id")), rerank, index.metric, None, least)
-            best = exact._best(pa.concat_tables([best, hits]), rerank)
-            least = exact._kth(best, slice(0, len(ids)), rerank)
-        found = exact._named(best, ids)
-        return found.append_column("list", pa.repeat(own, found.num_rows))
+    fitting = max(1, exact.BROADCAST_BYTES // (8 * max(1, len(index.low))))
+    asking = sum(wanted.values()) // min(probes or index.probes, index.lists)
+    blocks = {
+        "query_blocks": F.lit(exact._blocks(asking, QUERY_ROWS, fitting)),
+        "vector_blocks": F.lit(exact._blocks(rows, CODE_ROWS, fitting)),
+    }
+
+    def near(asked: pa.Table, held: pa.Table) -> pa.Table:
+        asked = asked.take(pc.sort_indices(asked, [("home", "ascending")]))
+        # places are in the order of ids, so that equal scores are in it as well
+        held = held.take(pc.sort_indices(held, [("vec_id", "ascending")]))
+        ids, vec_ids, own = (exact._one(x) for x in (asked.column("query_id"), held.column("vec_id"), held.column("own_list")))
+        found, lists = [pa.table({"query_id": ids[:0], "vec_id": vec_ids[:0], "score": pa.array([], pa.float64()), "list": own[:0]})], own.to_numpy()
+        if len(ids) and len(vec_ids):
+            packed = b"".join(held.column("code").to_pylist())
+            decoded = index.decode(np.frombuffer(packed, np.uint8).reshape(len(vec_ids), -1))
+        for at in range(0, len(ids) if len(vec_ids) else 0, exact.QUERY_SLICE):
+            part = asked.slice(at, exact.QUERY_SLICE)
+            rows, marks = exact._matrix(exact._one(part.column("embedding"))), _marks(exact._one(part.column("probed")), index.lists)
+            exact._same_length(rows, decoded)
+            places = np.flatnonzero(marks.any(axis=0)[lists])
+            allowed = lambda q, v, marks=marks, at=lists[places]: marks[q, at[v]]
+            seen = lambda q, v, marks=marks, at=lists[places]: marks[q][:, at[v]]
+            hits = exact._hits(rows, decoded[places], pa.array(places), rerank, index.metric, allowed, None, seen)
+            place = exact._one(hits.column("vec_id"))
+            named = exact._named(hits, ids.slice(at, exact.QUERY_SLICE))
+            found.append(named.set_column(1, "vec_id", vec_ids.take(place)).append_column("list", own.take(place)))
+        return pa.concat_tables(found)
 
     first = exact.grid_hits(
-        asked.join(F.broadcast(shapes), "list"),
-        codes.withColumn("own_list", F.col("list")).join(F.broadcast(shapes), "list"),
+        with_probes(queries, index, probes).withColumns({"list": F.lit(0), **blocks}),
+        codes.withColumnRenamed("list", "own_list").withColumns({"list": F.lit(0), **blocks}),
         near, schema,
     )
     return top_k(first, ["query_id"], [F.desc("score"), F.asc("vec_id")], rerank).select("query_id", "list", "vec_id")
@@ -275,19 +319,20 @@ def _score(metric: str) -> Column:
 
 
 def search_index(
-    queries: DataFrame, index: VectorIndex, k: int = 5, probes: int | None = None, rerank: int | None = None
+    queries: DataFrame, index: VectorIndex, k: int = 5, probes: int | None = None, rerank: int | None = None,
+    best: DataFrame | None = None,
 ) -> DataFrame:
     """The ``k`` nearest vectors found for every query: ``(query_id, rank, vec_id, score)``.
 
     ``probes`` lists are looked at and ``rerank`` vectors, 4 times ``k`` unless given, are read in
     full for each query; scores are exact. With all lists and enough vectors the result is that
-    of the exact search. Query ids are unique.
+    of the exact search. Query ids are unique. ``best`` are the :func:`candidates`, if they are there already.
     """
     spark = queries.sparkSession
     if min(probes or index.probes, index.lists) == index.lists and (rerank or 4 * k) >= index.read(spark).count():
         # every vector would be read in full for every query: no first score and no pair of ids is needed
         return exact.vector_search(queries, index.read(spark).select("vec_id", "embedding"), k, index.metric)
-    best = candidates(queries, index, rerank or 4 * k, probes)
+    best = candidates(queries, index, rerank or 4 * k, probes) if best is None else best
     stored = index.read(spark).select("list", "vec_id", "embedding")
     pairs = best.distinct().join(stored, ["list", "vec_id"]).join(
         queries.select("query_id", F.col("embedding").alias("asked")), "query_id"
@@ -296,13 +341,19 @@ def search_index(
     return top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k).select("query_id", "rank", "vec_id", "score")
 
 
-def share_read(queries: DataFrame, index: VectorIndex, rerank: int, probes: int | None = None) -> DataFrame:
-    """One row: the mean share of the codes that a query looks at, and of the vectors that it reads in full."""
+def share_read(
+    queries: DataFrame, index: VectorIndex, rerank: int, probes: int | None = None, best: DataFrame | None = None
+) -> DataFrame:
+    """One row: the mean share of the codes that a query looks at, and of the vectors that it reads in full.
+
+    ``best`` are the :func:`candidates`, if they are there already.
+    """
     stored = index.read(queries.sparkSession)
     sizes = stored.groupBy("list").agg(F.count(F.lit(1)).alias("held"))
     asked = queries.select("query_id").agg(F.count(F.lit(1)).alias("asked"))
-    seen = probed(queries, index, probes).join(sizes, "list").agg(F.sum("held").alias("codes"))
-    full = candidates(queries, index, rerank, probes).agg(F.count(F.lit(1)).alias("vectors"))
+    seen = lists_asked(queries, index, probes).join(sizes, "list").agg(F.sum(F.col("asked") * F.col("held")).alias("codes"))
+    best = candidates(queries, index, rerank, probes) if best is None else best
+    full = best.agg(F.count(F.lit(1)).alias("vectors"))
     pairs = stored.agg(F.count(F.lit(1)).alias("rows")).select((F.col("rows") * asked.scalar()).alias("pairs"))
     return pairs.select(
         (seen.scalar() / F.col("pairs")).alias("codes_read"), (full.scalar() / F.col("pairs")).alias("vectors_read")

@@ -64,6 +64,7 @@ def _best(hits: pa.Table, k: int) -> pa.Table:
 
 
 Allowed = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Seen = Callable[[np.ndarray, slice], np.ndarray]
 
 
 def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +86,14 @@ def _pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 def _hits(
     queries: np.ndarray, vectors: np.ndarray, ids: pa.Array, k: int, metric: str,
-    allowed: Allowed | None = None, least: np.ndarray | None = None,
+    allowed: Allowed | None = None, least: np.ndarray | None = None, seen: Seen | None = None,
 ) -> pa.Table:
     """The best ``k`` of ``vectors``, known by ``ids``, for each query, and none below its ``least`` score.
 
     Vectors are taken in slices. A matrix product, for the cosine in single precision, tells which of
     a slice may be among the best so far, by a margin over its own error; only these are scored.
-    ``allowed`` says which pairs of numbers of queries and vectors may be hits.
+    ``allowed`` says which pairs of numbers of queries and vectors may be hits. ``seen`` says the same of some
+    queries by a slice of vectors; with it, a query without a bound gets one from its rough scores.
     """
     least = np.full(len(queries), -np.inf) if least is None else least
     dim = vectors.shape[1] if len(vectors) else 0
@@ -113,10 +115,15 @@ def _hits(
                     off = 2e-12 + (dim + 8) * 1e-15 * (np.square(queries[part]).sum(1)[:, None] + np.square(vectors[held]).sum(1).max())
                 open_rows = np.flatnonzero(low == -np.inf)
                 bound = (low[:, None] - off).astype(rough.dtype) if metric != "cosine" else (low[:, None] - 2 * off).astype(np.float32)
-                if allowed is None and len(open_rows) and rough.shape[1] > k:
-                    kth = np.partition(np.where(np.isnan(rough[open_rows]), -np.inf, rough[open_rows]), -k, axis=1)[:, [-k]]
+                if (allowed is None or seen is not None) and len(open_rows) and rough.shape[1] > k:
+                    known = np.where(np.isnan(rough[open_rows]), -np.inf, rough[open_rows])
+                    if seen is not None:
+                        known[~seen(open_rows + start, held)] = -np.inf
+                    kth = np.partition(known, -k, axis=1)[:, [-k]]
                     bound[open_rows] = kth - 2 * (off if metric == "cosine" else off[open_rows])
-                q, v = np.nonzero((rough >= bound) & (rough > -np.inf))
+                # a bound above minus infinity leaves out what is no hit
+                near = rough >= np.maximum(bound, np.finfo(rough.dtype).min)
+                q, v = np.divmod(np.flatnonzero(near), rough.shape[1])
             if allowed is not None and len(q):
                 keep = allowed(q + start, v + first)
                 q, v = q[keep], v[keep]

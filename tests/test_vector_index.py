@@ -112,3 +112,34 @@ def test_lists_of_many_rows_are_found_in_slices(monkeypatch):
     for n in (1, 5, 50):
         assert (index.nearest(rows, n) == want[:, :n]).all()
     assert max(seen) <= 20
+
+
+def test_a_query_is_one_row_however_many_lists_it_looks_at(spark, tmp_path, monkeypatch):
+    """And the candidates in a grid of several blocks are the best by code of the lists that are looked at."""
+    data = np.random.default_rng(8).normal(size=(300, 5)).astype(np.float32)
+    data[250:260] = data[250]
+    table = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(data)], VEC).repartition(3)
+    index = vector_index.build_index(table, f"{tmp_path}/index", lists=9)
+    asked = asked_of(table)
+    assert vector_index.with_probes(asked, index, 6).count() == 300
+    monkeypatch.setattr(vector_index, "QUERY_ROWS", 70)
+    monkeypatch.setattr(vector_index, "CODE_ROWS", 60)
+    monkeypatch.setattr(vectors, "QUERY_SLICE", 32)
+    found = {(r.query_id, r.vec_id): r.list for r in vector_index.candidates(asked, index, 7, probes=6).collect()}
+    raw = data.astype(float)
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    own = index.nearest(unit, 1)[:, 0]
+    rows = index.decode(index.encode(unit))
+    scores = np.round(unit @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T, 9)
+    for q, lists in enumerate(index.nearest(unit, 6)):
+        held = np.flatnonzero(np.isin(own, lists))
+        want = sorted(held.tolist(), key=lambda v: (-scores[q, v], v))[:7]
+        assert sorted(v for a, v in found if a == q) == sorted(want)
+    assert all(own[v] == number for (_, v), number in found.items())
+    counts = {r.list: r.asked for r in vector_index.lists_asked(asked, index, 6).collect()}
+    assert counts == dict(enumerate(np.bincount(index.nearest(unit, 6).ravel()).tolist()))
+    # every query is a row of a grid of ceil(300 / 70) by ceil(300 / 60) blocks, a list is no row
+    sent, whole = [], vectors.grid_hits
+    monkeypatch.setattr(vectors, "grid_hits", lambda q, v, *rest: sent.append(q.count() * q.first().vector_blocks) or whole(q, v, *rest))
+    vector_index.candidates(asked, index, 7, probes=6)
+    assert sent == [300 * 5]
