@@ -265,3 +265,14 @@ def test_lines_stay_in_all_partitions(spark, tmp_path, monkeypatch):
     lines = roles.part_lines(spark, str(tmp_path))
     assert lines.count() == 399
     assert lines.select(F.spark_partition_id().alias("p")).distinct().count() == 9
+
+
+def test_a_folder_is_hashed_without_its_joined_text(spark):
+    rows = [(f"m={m}/part={p:03d}/f.txt", f"{m}é{p}\n" * (p + 1)) for m in ("a", "b", "") for p in range(12)]
+    rows += [("m=a/part=003/f.txt", "aa"), ("m=a/part=003/f.txt", "aa"), ("m=b/part=1/n.txt", None), ("m=c/part=1/n.txt", None), ("top.txt", "x"), (None, "y")]
+    files = spark.createDataFrame(rows, "path string, text string").repartition(5)
+    want = text.joined_by_folder(files).select("folder", F.sha2("text", 256), F.length("text").cast("long")).collect()
+    got = text.joined_by_folder(files, digest=True)
+    assert {row[0]: tuple(row) for row in got.collect()} == {row[0]: tuple(row) for row in want}
+    assert got.count() == len(want) == 6
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
