@@ -40,8 +40,14 @@ from cartloom.session import materialize
 SPAN, GRAM = 50, 20
 #: Bytes of text per bucket of anchors, which bounds what one task holds.
 BUCKET_BYTES = 6 << 20
+#: More buckets than these are settled eight at a time, as many runs at once as a bucket has.
+FEW_BUCKETS, SETTLED_RUNS = 256, 600_000
+#: Bytes of text whose windows are looked at together, so few that their arrays stay in a cache.
+TEXT_BYTES = 1 << 17
 #: Bytes of text whose runs are collapsed together before they are sent.
 FLUSH_BYTES = 8 << 20
+#: Open runs whose bytes are packed together.
+FETCH_RUNS = 200_000
 _CHUNK = 1 << 16
 
 
@@ -80,20 +86,27 @@ def _docs(which: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> tuple[np.nda
 
 # ---- windows, anchors, runs ------------------------------------------------------------
 
+#: The bits of a rank that hold the place of a string in its window.
+_PLACE = np.uint64((1 << (SPAN - GRAM).bit_length()) - 1)
+
+
+def _ranked(hashes: np.ndarray) -> np.ndarray:
+    """What strings are compared by to find the smallest of a window; of equal ones the first is it."""
+    return hashes & ~_PLACE
+
 
 def anchored_runs(data: np.ndarray, starts: np.ndarray, prefix: words.PrefixHashes):
     """First window, number of windows, anchor and text number of every run of windows."""
     n = len(data) - SPAN + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 4
-    value = prefix.every(GRAM)
-    at = np.arange(len(value), dtype=np.int32)
-    width, reach = SPAN - GRAM + 1, 1
-    while reach < width:  # least of the first ``reach`` strings of a window, doubling
+    least, width, reach = _ranked(prefix.every(GRAM)), SPAN - GRAM + 1, 1
+    while reach < width:  # least of the first ``reach`` strings of a window, doubling; its low bits are its place there
         shift = min(reach, width - reach)
-        lower = value[shift:] < value[:-shift]
-        value, at = np.where(lower, value[shift:], value[:-shift]), np.where(lower, at[shift:], at[:-shift])
+        later = least[shift:] + np.uint64(shift)
+        least = np.minimum(least[:-shift], later, out=later)
         reach += shift
+    at = np.arange(len(least), dtype=np.int32) + (least & _PLACE).astype(np.int32)
     ends = np.repeat(starts[1:], np.diff(starts))[:n]
     inside = np.arange(n) + SPAN <= ends
     changed = at[1:n] != at[: n - 1]
@@ -105,6 +118,19 @@ def anchored_runs(data: np.ndarray, starts: np.ndarray, prefix: words.PrefixHash
     return begin, count, at[begin].astype(np.int64), np.searchsorted(starts, begin, "right") - 1
 
 
+def _grouped(anchor: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs, and anchors that are equal in 32 bits, are together, and where new pairs begin."""
+    # one sort of a number with 32 bits of each; only where it does not tell pairs apart they are sorted in full
+    key = (anchor << np.uint64(32)) | (code & np.uint64(0xFFFFFFFF))
+    for sort in (lambda: np.argsort(key), lambda: np.lexsort((code, anchor))):
+        order = sort()
+        a, c = anchor[order], code[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+        if not (new[1:] & (key[order[1:]] == key[order[:-1]])).any():
+            break
+    return order, new
+
+
 def _collapse(batches, buckets: int):
     """Runs of each block of texts by bucket (kind 0), and what the block itself removes (kind 1)."""
 
@@ -112,11 +138,9 @@ def _collapse(batches, buckets: int):
         anchor, code, doc, start, count = (np.concatenate(x) for x in zip(*parts, strict=True))
         ids, marks = np.concatenate(ids), np.concatenate(marks)
         own = ids[doc]
-        order = np.lexsort((own, code, anchor))
+        order, new = _grouped(anchor, code)
         anchor, code, doc, start, count, own = (x[order] for x in (anchor, code, doc, start, count, own))
-        new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (code[1:] != code[:-1])])
-        least = own[new][np.cumsum(new) - 1]
-        gone = own > least
+        gone = own > np.minimum.reduceat(own, np.flatnonzero(new))[np.cumsum(new) - 1]
         rows = []
         if gone.any():
             used_ids, used_marks, which = _docs(doc[gone], ids, marks)
@@ -142,7 +166,7 @@ def _collapse(batches, buckets: int):
     parts, ids, marks, size, n = [], [], [], 0, 0
     for batch in batches:
         texts = batch.column(2)
-        for first, last in words.blocks(texts):
+        for first, last in words.blocks(texts, TEXT_BYTES):
             data, starts = words.flat(texts.slice(first, last - first))
             prefix = words.PrefixHashes(data)
             begin, count, anchor, doc = anchored_runs(data, starts, prefix)
@@ -171,32 +195,46 @@ def _rows(ids, marks, is_open, start, count) -> pa.Table:
 
 def _settle(table: pa.Table) -> pa.Table:
     """Of one bucket: runs to remove, and runs whose windows have to be compared one by one (open)."""
-    out, runs = [], []
+    out, blobs, total = [], [], 0
     for kind, blob in zip(table["kind"].to_pylist(), table["blob"].to_pylist(), strict=True):
         if kind:
             ids, marks, doc, start, count = unpack(blob, *DROPS)
             out.append(_rows(ids[doc], marks[doc], np.zeros(len(doc), bool), start, count))
         else:
-            ids, marks, step, low, high, doc, start, count = unpack(blob, *RUNS)
-            code = low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
-            runs.append((np.cumsum(step, dtype=np.uint64), code, ids[doc], marks[doc], start, count))
-    if runs:
-        anchor, code, ids, marks, start, count = (np.concatenate(x) for x in zip(*runs, strict=True))
-        order = np.lexsort((ids, code, anchor))
-        anchor, code, ids, marks, start, count = (x[order] for x in (anchor, code, ids, marks, start, count))
-        new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-        new = new_anchor | np.concatenate([[True], code[1:] != code[:-1]])
-        gone = ids > ids[new][np.cumsum(new) - 1]
-        of = np.cumsum(new_anchor) - 1
-        several = (np.bincount(of[new]) > 1)[of]
-        # runs of one document alone cannot remove anything from each other
-        firsts = np.flatnonzero(new_anchor)
-        mixed_ids = (np.minimum.reduceat(ids, firsts) < np.maximum.reduceat(ids, firsts))[of]
-        for is_open, chosen in ((False, gone), (True, ~gone & several & mixed_ids)):
-            out.append(_rows(ids[chosen], marks[chosen], np.full(int(chosen.sum()), is_open), start[chosen], count[chosen]))
+            ids, marks, step, *rest = unpack(blob, *RUNS)
+            blobs.append((ids, marks, np.cumsum(step, dtype=np.uint32), *rest))
+            total += len(step)
+    # runs lie in the order of their anchors, so a range of anchors is a slice of every blob
+    ranges = -(-total // SETTLED_RUNS)
+    edges = np.linspace(0, 1 << 32, ranges + 1).astype(np.uint64)
+    for first, last in zip(edges[:-1], edges[1:], strict=True):
+        runs = []
+        for ids, marks, anchor, low, high, doc, start, count in blobs:
+            k = slice(*np.searchsorted(anchor, (first, last)).tolist())
+            code = low[k].astype(np.uint64) | high[k].astype(np.uint64) << np.uint64(32)
+            runs.append((anchor[k].astype(np.uint64), code, ids[doc[k]], marks[doc[k]], start[k], count[k]))
+        runs = [np.concatenate(x) for x in zip(*runs, strict=True)]
+        if len(runs[0]):
+            out += _settled(*runs)
     return pa.concat_tables(out)
 
 
+def _settled(anchor, code, ids, marks, start, count) -> list[pa.Table]:
+    order, new = _grouped(anchor, code)
+    anchor, code, ids, marks, start, count = (x[order] for x in (anchor, code, ids, marks, start, count))
+    new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    gone = ids > np.minimum.reduceat(ids, np.flatnonzero(new))[np.cumsum(new) - 1]
+    of = np.cumsum(new_anchor) - 1
+    several = (np.bincount(of[new]) > 1)[of]
+    # runs of one document alone cannot remove anything from each other
+    firsts = np.flatnonzero(new_anchor)
+    mixed_ids = (np.minimum.reduceat(ids, firsts) < np.maximum.reduceat(ids, firsts))[of]
+    return [
+        _rows(ids[chosen], marks[chosen], np.full(int(chosen.sum()), is_open), start[chosen], count[chosen])
+        for is_open, chosen in ((False, gone), (True, ~gone & several & mixed_ids))
+    ]
+
+
 # ---- suffix sort -----------------------------------------------------------------------
 
 
@@ -283,38 +321,48 @@ def equal_windows(data: np.ndarray, prefix: words.PrefixHashes, at: np.ndarray,
     return order, new
 
 
+def _anchors(runs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of the anchor of each run: the first smallest string of its first window."""
+    lengths = np.array([len(run) for run in runs], np.int64)
+    begin = np.cumsum(lengths) - lengths
+    prefix = words.PrefixHashes(np.frombuffer(b"".join(runs), np.uint8))
+    place, hashes = np.zeros(len(runs), np.int64), prefix.of(begin, begin + GRAM)
+    for k in range(1, SPAN - GRAM + 1):
+        other = prefix.of(begin + k, begin + k + GRAM)
+        less = _ranked(other) < _ranked(hashes)
+        place[less], hashes[less] = k, other[less]
+    return place, hashes
+
+
 def _fetch(batches, buckets: int):
     """Bytes of the open runs of every text, packed by bucket of their anchor."""
 
-    def flush(parts):
-        ids, marks, start, count, offset, bucket, content = (np.concatenate(x) if k < 6 else sum(x, []) for k, x in enumerate(zip(*parts, strict=True)))
+    step = words.BLOCK_BYTES // (2 * SPAN)
+
+    def batch_of(parts):
+        ids, marks, start, count = (np.concatenate([part[k] for part in parts]) for k in range(4))
+        content = [x for part in parts for x in part[4]]
+        offset, hashes = (np.concatenate(x) for x in zip(*(_anchors(content[at : at + step]) for at in range(0, len(content), step)), strict=True))
+        bucket = (hashes >> np.uint64(32)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
         cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = []
         for b in np.flatnonzero(np.diff(cuts)).tolist():
             k = order[cuts[b] : cuts[b + 1]]
-            joined = np.frombuffer(b"".join([content[i] for i in k.tolist()]), np.uint8)
-            yield b, pack(ids[k], marks[k], start[k].astype(np.uint32), count[k].astype(np.uint8), offset[k].astype(np.uint8), joined)
-
-    def batch_of(parts):
-        rows = list(flush(parts))
+            own = np.frombuffer(b"".join([content[i] for i in k.tolist()]), np.uint8)
+            rows.append((b, pack(ids[k], marks[k], start[k].astype(np.uint32), count[k].astype(np.uint8), offset[k].astype(np.uint8), own)))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "blob"])
 
     parts, n = [], 0
     for batch in batches:
         for doc_id, own_mark, blob, starts, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = zstandard.decompress(blob)
-            data = np.frombuffer(raw, np.uint8)
             start, count = np.array(starts, np.int64), np.array(counts, np.int64)
-            prefix = words.PrefixHashes(data)
-            value = prefix.every(GRAM)
-            # the anchor of a run is the first smallest string of its first window
-            grams = value[start[:, None] + np.arange(SPAN - GRAM + 1)]
-            offset = grams.argmin(axis=1)
-            bucket = (grams[np.arange(len(start)), offset] >> np.uint64(32)).astype(np.int64) % buckets
+            # only the bytes of the runs are hashed, many texts at once
             content = [raw[s : s + c + SPAN - 1] for s, c in zip(starts, counts, strict=True)]
-            parts.append((np.full(len(start), doc_id), np.full(len(start), own_mark, np.int32), start, count, offset, bucket, content))
+            parts.append((np.full(len(start), doc_id), np.full(len(start), own_mark, np.int32), start, count, content))
             n += len(start)
-            if n >= 200_000:
+            if n >= FETCH_RUNS:
                 yield batch_of(parts)
                 parts, n = [], 0
     if parts:
@@ -393,7 +441,9 @@ def removed_windows(documents: DataFrame) -> DataFrame:
     )
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, -(-total // BUCKET_BYTES))
-    runs = texts.mapInArrow(lambda b: _collapse(b, buckets), "bucket int, kind int, blob binary")
+    # every block of texts sends a value to every bucket: their number grows with the square of the buckets
+    settling = min(buckets, max(FEW_BUCKETS, -(-buckets // 8)))
+    runs = texts.mapInArrow(lambda b: _collapse(b, settling), "bucket int, kind int, blob binary")
     settled = materialize(runs.groupBy("bucket").applyInArrow(_settle, SETTLED), "suffix-settled")
     per_doc = [F.collect_list("start").alias("starts"), F.collect_list("n").alias("counts")]
     wanted = settled.where("open").distinct().groupBy("doc_id", "mark").agg(*per_doc)

@@ -108,3 +108,64 @@ def test_only_windows_of_several_documents_are_sorted(monkeypatch):
         first[k, window] = min(i, first.get((k, window), i))  # a run's windows are compared at their place after the anchor
     assert got == {(i, k) for (i, k), window in windows.items() if first[k, window] < i}
     assert sum(sorted_rows) < sum(n) / 2
+
+
+def test_bytes_are_fetched_without_hashing_whole_texts(monkeypatch):
+    """Anchors of fetched runs are those by which the runs were dealt, and only the bytes of runs are hashed."""
+    rng = np.random.default_rng(4)
+    raws = [b"ab" * 50 + rng.integers(97, 100, 4000, dtype=np.uint8).tobytes() for _ in range(6)]
+    asked, want = [], {}
+    for i, raw in enumerate(raws):
+        data = np.frombuffer(raw, np.uint8)
+        prefix = words.PrefixHashes(data)
+        begin, count, anchor, _ = suffixes.anchored_runs(data, np.array([0, len(raw)]), prefix)
+        value = prefix.every(suffixes.GRAM)
+        for b, c, a in list(zip(begin.tolist(), count.tolist(), anchor.tolist()))[::40]:
+            for w in range(b, b + c):  # every window of a run has its anchor: the first string of the least rank
+                ranks = suffixes._ranked(value[w : w + suffixes.SPAN - suffixes.GRAM + 1])
+                assert w + int(ranks.argmin()) == a
+            want[i, b] = (a - b, int(value[a] >> np.uint64(32)) % 3, raw[b : b + c + suffixes.SPAN - 1])
+        mine = [k for k in want if k[0] == i]
+        counts = dict(zip(begin.tolist(), count.tolist()))
+        asked.append((i, 0, suffixes.zstandard.compress(raw), [b for _, b in mine], [counts[b] for _, b in mine]))
+    hashed, own = [], words.PrefixHashes.__init__
+    monkeypatch.setattr(words.PrefixHashes, "__init__", lambda self, data: hashed.append(len(data)) or own(self, data))
+    batch = pa.RecordBatch.from_pylist([dict(zip(("doc_id", "mark", "blob", "starts", "counts"), row)) for row in asked])
+    got = {}
+    for found in suffixes._fetch([batch], 3):
+        for bucket, blob in zip(*(c.to_pylist() for c in found.columns)):
+            ids, marks, start, count, offset, data = suffixes.unpack(blob, *suffixes.PARTS)
+            at = 0
+            for i, s, c, o in zip(ids.tolist(), start.tolist(), count.tolist(), offset.tolist()):
+                got[i, s] = (o, bucket, data[at : at + c + suffixes.SPAN - 1].tobytes())
+                at += c + suffixes.SPAN - 1
+    assert got == want
+    assert sum(hashed) == sum(len(content) for _, _, content in want.values()) < sum(map(len, raws)) / 3
+
+
+def test_pairs_are_grouped_by_all_of_their_bits():
+    anchor = np.array([5, 5 + (1 << 32), 5, 5, 5 + (1 << 32), 9], np.uint64)
+    code = np.array([7, 7, 7 + (1 << 32), 7, 7, 7], np.uint64)
+    order, new = suffixes._grouped(anchor, code)
+    pairs = list(zip(anchor[order].tolist(), code[order].tolist()))
+    assert [p for p, first in zip(pairs, new) if first] == sorted(set(pairs)) and new.sum() == 4
+    rng = np.random.default_rng(2)
+    anchor, code = rng.integers(0, 50, 1000).astype(np.uint64), rng.integers(0, 9, 1000).astype(np.uint64)
+    order, new = suffixes._grouped(anchor, code)
+    assert sorted(order.tolist()) == list(range(1000)) and new.sum() == len(set(zip(anchor.tolist(), code.tolist())))
+
+
+def test_a_large_bucket_is_settled_in_ranges_of_anchors(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words_ = [bytes(rng.integers(97, 123, 60, dtype=np.uint8)) for _ in range(30)]
+    texts = [b"".join(words_[k] for k in rng.integers(0, 30, 12)) + bytes(rng.integers(97, 123, 200, dtype=np.uint8)) for _ in range(40)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(40), pa.int64()), pa.array(np.zeros(40, np.int32)), pa.array([t.decode() for t in texts])], ["doc_id", "mark", "text"]
+    )
+    table = pa.Table.from_batches(suffixes._collapse([batch], 1))
+    ordered = lambda t: sorted(map(repr, t.to_pylist()))
+    want, own, sizes = ordered(suffixes._settle(table)), suffixes._settled, []
+    monkeypatch.setattr(suffixes, "SETTLED_RUNS", 100)
+    monkeypatch.setattr(suffixes, "_settled", lambda anchor, *rest: sizes.append(len(anchor)) or own(anchor, *rest))
+    assert ordered(suffixes._settle(table)) == want and len(want) > 100
+    assert len(sizes) > 5 and max(sizes) < 300
